@@ -25,7 +25,6 @@ REFUND_PATTERN = "%REMBOURSE%"
 DEDUCTION_CATEGORIES = ("Deductions", "Deductions_legales", "Assurances", "Syndicats")
 UNDEFINED_LABEL = "Non défini"
 
-A = F.col("amount_cents")
 
 
 def dollars(c: str | Column) -> Column:
@@ -34,7 +33,8 @@ def dollars(c: str | Column) -> Column:
     return c.cast("double") / 100.0
 
 
-def _sum_when(cond: Column, val: Column = A) -> Column:
+def _sum_when(cond: Column, val: Column | None = None) -> Column:
+    val = F.col("amount_cents") if val is None else val
     return F.sum(F.when(cond, val).otherwise(F.lit(0))).cast("long")
 
 
@@ -44,6 +44,7 @@ def _sum_when(cond: Column, val: Column = A) -> Column:
 
 def contract_cents_aggs() -> list[Column]:
     """Line-level partial sums of the contract family, in cents."""
+    A = F.col("amount_cents")
     return [
         _sum_when(A > 0).alias("_pos"),
         _sum_when(A < 0).alias("_neg"),
@@ -71,6 +72,7 @@ def contract_dollars(rate: float = CONTRACT_EMPLOYER_RATE) -> list[Column]:
 
 def nb_employes_nonzero() -> Column:
     """X5 reading 2: distinct employees with a non-zero amount."""
+    A = F.col("amount_cents")
     return F.countDistinct(F.when(A != 0, F.col("employee_id"))).alias("nb_employes")
 
 
@@ -112,6 +114,7 @@ def _per_employee_then_join(tx: DataFrame, emp: DataFrame, keys: list[Column],
     Each employee has one attribute value, so counting flagged rows per group is
     exactly the distinct count of the reference.
     """
+    A = F.col("amount_cents")
     per_emp = tx.groupBy(*keys, "employee_id").agg(
         *contract_cents_aggs(), F.max(F.when(A != 0, 1).otherwise(0)).alias("_nz"))
     key_names = per_emp.columns[:len(keys)]
@@ -157,6 +160,7 @@ def kpi_year(tx: DataFrame, rate: float = CONTRACT_EMPLOYER_RATE) -> DataFrame:
 
 def kpi_month_category(tx: DataFrame, emp: DataFrame, rate: float = CONTRACT_EMPLOYER_RATE) -> DataFrame:
     """month x job category (gains, deductions, net, employer share, cost, headcount, count)."""
+    A = F.col("amount_cents")
     per_emp = tx.groupBy(_month_key().alias("mois"), "employee_id").agg(
         *contract_cents_aggs(), F.max(F.when(A != 0, 1).otherwise(0)).alias("_nz"),
         F.count(F.lit(1)).alias("_n"))
@@ -184,6 +188,7 @@ def kpi_cards(tx: DataFrame, pay_date=None) -> DataFrame:
     The latest date is a scalar subquery, so the filter can prune partitions of a
     ledger stored by pay date/year.
     """
+    A = F.col("amount_cents")
     target = F.lit(pay_date).cast("date") if pay_date is not None else \
         tx.agg(F.max("pay_date")).scalar()
     day = tx.filter(F.col("pay_date") == target)
@@ -222,7 +227,9 @@ def kpi_param_rate(tx: DataFrame, params: DataFrame, key: str = "taux_part_emplo
 # Star family (F10-F11): categories from the code dimension, algebraic deductions.
 # --------------------------------------------------------------------------------------
 
-def star_cents_aggs(cat: Column = F.col("categorie_paie")) -> list[Column]:
+def star_cents_aggs(cat: Column | None = None) -> list[Column]:
+    cat = F.col("categorie_paie") if cat is None else cat
+    A = F.col("amount_cents")
     ded = cat.isin(*DEDUCTION_CATEGORIES)
     gains = cat == "Gains"
     return [
@@ -296,6 +303,7 @@ def kpi_employee_date(tx: DataFrame, emp: DataFrame, stg: DataFrame | None = Non
     reference on two employee-number columns (X22) becomes one equi join on the
     employee id, so no row can fan out.
     """
+    A = F.col("amount_cents")
     agg = tx.groupBy(F.col("pay_date").alias("date_paie"), "employee_id").agg(
         _sum_when(A > 0).alias("_pos"), _sum_when(A < 0).alias("_neg"), F.sum(A).cast("long").alias("_net"))
     e = emp.select("employee_id", "matricule_norm", "nom_complet", "categorie_emploi", "titre_emploi")

@@ -21,6 +21,7 @@ _ORACLE: dict[str, str] = {}
 
 PLAN_MODULES = [
     "paysift.plans.kpi_plans",
+    "paysift.plans.analytics_plans",
 ]
 
 
