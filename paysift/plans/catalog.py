@@ -22,6 +22,7 @@ _ORACLE: dict[str, str] = {}
 PLAN_MODULES = [
     "paysift.plans.kpi_plans",
     "paysift.plans.analytics_plans",
+    "paysift.plans.cleaning_plans",
 ]
 
 

@@ -64,3 +64,58 @@ STAR_OUTER = ", ".join([
     "CAST(_net AS DOUBLE)/nullif(nb_employes, 0)/100.0 AS net_moyen_par_employe",
     "nb_ajustements", "nb_remboursements", "nb_employes", "nb_transactions",
 ])
+
+
+# ---- cleaning twins (DuckDB) ----------------------------------------------------------
+
+ISO_RE = r"^(\d{4})-(\d{2})-(\d{2})"
+DMY_RE = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
+SERIAL_RE = r"^\d{4,6}(\.0+)?$"
+
+
+def amount_cents(x: str) -> str:
+    s = f"trim({x})"
+    neg = f"(starts_with({s}, '(') AND ends_with({s}, ')'))"
+    s1 = f"(CASE WHEN {neg} THEN substr({s}, 2, length({s}) - 2) ELSE {s} END)"
+    s2 = f"replace(replace(replace(translate({s1}, '\u00a0\u202f', ''), 'CAD', ''), 'CA', ''), '$', '')"
+    s3 = f"regexp_replace({s2}, '\\s+', '', 'g')"
+    s4 = (f"(CASE WHEN contains({s3}, '.') AND contains({s3}, ',') THEN replace(replace({s3}, '.', ''), ',', '.')"
+          f" ELSE replace({s3}, ',', '.') END)")
+    d = f"TRY_CAST({s4} AS DECIMAL(38,10))"
+    return f"TRY_CAST(round((CASE WHEN {neg} THEN -{d} ELSE {d} END) * 100, 0) AS BIGINT)"
+
+
+def fix_ydm(x: str) -> str:
+    s = f"trim({x})"
+    a, b, y = (f"regexp_extract({s}, '{ISO_RE}', {i})" for i in (2, 3, 1))
+    return (f"(CASE WHEN regexp_matches({s}, '{ISO_RE}') AND TRY_CAST({a} AS INT) > 12 "
+            f"AND TRY_CAST({b} AS INT) <= 12 THEN concat_ws('-', {y}, {b}, {a}) ELSE {s} END)")
+
+
+def _ymd(y: str, m: str, d: str) -> str:
+    return (f"CAST(try_strptime(printf('%04d-%02d-%02d', TRY_CAST({y} AS INT), TRY_CAST({m} AS INT), "
+            f"TRY_CAST({d} AS INT)), '%Y-%m-%d') AS DATE)")
+
+
+def serial_date(s: str, origin: str = "1899-12-30") -> str:
+    return f"(DATE '{origin}' + TRY_CAST(regexp_extract({s}, '^(\\d+)', 1) AS INT))"
+
+
+def parse_date(x: str, lo: int, hi: int) -> str:
+    s = fix_ydm(x)
+    iso = _ymd(*(f"regexp_extract({s}, '{ISO_RE}', {i})" for i in (1, 2, 3)))
+    dd, mm, yy = (f"regexp_extract({s}, '{DMY_RE}', {i})" for i in (1, 2, 3))
+    d = (f"(CASE WHEN regexp_matches({s}, '{ISO_RE}') THEN {iso} "
+         f"WHEN regexp_matches({s}, '{DMY_RE}') THEN {_ymd(yy, mm, dd)} "
+         f"WHEN regexp_matches({s}, '{SERIAL_RE}') THEN {serial_date(s)} END)")
+    return f"(CASE WHEN year({d}) BETWEEN {lo} AND {hi} THEN {d} END)"
+
+
+def norm_text(x: str) -> str:
+    return f"trim(regexp_replace(strip_accents(lower({x})), '\\s+', ' ', 'g'))"
+
+
+def norm_matricule(x: str) -> str:
+    s = f"trim({x})"
+    st = f"regexp_replace({s}, '^0+', '')"
+    return f"upper(CASE WHEN regexp_matches({s}, '^[0-9]+$') THEN (CASE WHEN {st} = '' THEN '0' ELSE {st} END) ELSE {s} END)"

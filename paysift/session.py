@@ -30,7 +30,6 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.ansi.enabled", "false")
         .getOrCreate()
     )
 
