@@ -23,6 +23,7 @@ PLAN_MODULES = [
     "paysift.plans.kpi_plans",
     "paysift.plans.analytics_plans",
     "paysift.plans.cleaning_plans",
+    "paysift.plans.quality_plans",
 ]
 
 
