@@ -24,6 +24,7 @@ PLAN_MODULES = [
     "paysift.plans.analytics_plans",
     "paysift.plans.cleaning_plans",
     "paysift.plans.quality_plans",
+    "paysift.plans.report_plans",
 ]
 
 
