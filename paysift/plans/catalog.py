@@ -25,6 +25,7 @@ PLAN_MODULES = [
     "paysift.plans.cleaning_plans",
     "paysift.plans.quality_plans",
     "paysift.plans.report_plans",
+    "paysift.plans.search_plans",
 ]
 
 
