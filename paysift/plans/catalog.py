@@ -26,6 +26,7 @@ PLAN_MODULES = [
     "paysift.plans.quality_plans",
     "paysift.plans.report_plans",
     "paysift.plans.search_plans",
+    "paysift.plans.profile_plans",
 ]
 
 

@@ -165,12 +165,12 @@ def sign_policies(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
                                  "pay_code string, employee_sign int, employer_sign int")
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw text amounts and dates in every accepted shape, 2 % unparsable amounts."""
-    lg = ledger(spark, sf_dir)
-    h = F.col("source_row_no") % 1009
-    a = F.abs(F.col("amount_cents"))
-    d = (F.expr("abs(amount_cents) div 100") % 1000).cast("string")
+def raw_text_columns(amount_col: str = "amount_cents", date_col: str = "pay_date",
+                     row_col: str = "source_row_no"):
+    """Text amount and text date of a line, in every accepted shape (FIXTURES.md raw_lines)."""
+    h = F.col(row_col) % 1009
+    a = F.abs(F.col(amount_col))
+    d = (F.expr(f"abs({amount_col}) div 100") % 1000).cast("string")
     f = F.lpad((a % 100).cast("string"), 2, "0")
     txt = (F.when(h % 50 == 4, F.lit("n/a"))
            .when(h % 5 == 0, F.concat(d, F.lit(","), f))
@@ -178,15 +178,22 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(h % 5 == 2, F.concat(F.lit("("), d, F.lit(","), f, F.lit(")")))
            .when(h % 5 == 3, F.concat(F.lit("1."), F.lpad(d, 3, "0"), F.lit(","), f))
            .otherwise(F.concat(F.lit("-"), d, F.lit("."), f, F.lit(" CAD"))))
-    iso = F.col("pay_date").cast("string")
-    ser = F.datediff(F.col("pay_date"), F.lit("1899-12-30").cast("date"))
+    iso = F.col(date_col).cast("string")
+    ser = F.datediff(F.col(date_col), F.lit("1899-12-30").cast("date"))
     date_raw = (F.when(h % 4 == 0, iso)
                 .when(h % 4 == 1, F.concat(F.substring(iso, 9, 2), F.lit("/"), F.substring(iso, 6, 2),
                                            F.lit("/"), F.substring(iso, 1, 4)))
                 .when(h % 4 == 2, F.concat(F.substring(iso, 1, 4), F.lit("-"), F.substring(iso, 9, 2),
                                            F.lit("-"), F.substring(iso, 6, 2)))
                 .otherwise(ser.cast("string")))
-    return lg.select("source_row_no", txt.alias("montant_raw"), date_raw.alias("date_raw"), "pay_date")
+    return txt, date_raw
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw text amounts and dates in every accepted shape, 2 % unparsable amounts."""
+    txt, date_raw = raw_text_columns()
+    return ledger(spark, sf_dir).select("source_row_no", txt.alias("montant_raw"), date_raw.alias("date_raw"),
+                                        "pay_date")
 
 
 STG_COLUMNS = ["batch_id", "source_file", "source_row_no", "employee_id", "pay_date", "pay_code",
