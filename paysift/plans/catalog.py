@@ -27,6 +27,7 @@ PLAN_MODULES = [
     "paysift.plans.report_plans",
     "paysift.plans.search_plans",
     "paysift.plans.profile_plans",
+    "paysift.plans.source_plans",
 ]
 
 

@@ -73,11 +73,13 @@ def read_pay_csv(spark: SparkSession, path: str, encodings=("UTF-8", "ISO-8859-1
     header = first[0][0] if first else ""
     sep = max(seps, key=lambda s: header.count(s))
     return (spark.read.option("header", True).option("sep", sep).option("encoding", enc_ok)
-            .option("inferSchema", False).option("quote", '"').option("escape", '"').csv(path)
-            .withColumn("source_file", F.col("_metadata.file_path")))
+            .option("inferSchema", False).option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+            .withColumn("file_path", F.col("_metadata.file_path")))
 
 
 def write_pay_files(df: DataFrame, path: str, sep: str = ";") -> None:
     """Write a pay file DataFrame as one CSV folder per source file (landing-folder layout)."""
     (df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .partitionBy("source_file").csv(path))
