@@ -28,6 +28,7 @@ PLAN_MODULES = [
     "paysift.plans.search_plans",
     "paysift.plans.profile_plans",
     "paysift.plans.source_plans",
+    "paysift.plans.stream_plans",
 ]
 
 
