@@ -203,7 +203,7 @@ def b15(spark, sf):
     return CL.drop_marker_rows(fx.employees(spark, sf), "nom_complet", "matricule_raw")
 
 
-@query("b16_drop_empty")
+@query("b16_drop_empty", "SELECT * FROM employees")
 def b16(spark, sf):
     return CL.drop_empty(fx.employees(spark, sf))
 

@@ -14,6 +14,7 @@ from paysift.sources.payfile import FILE_HEADERS, raw_pay_file, read_pay_csv, wr
 from paysift.sources.tables import read_table
 
 from .catalog import query
+from .analytics_plans import CANON_CTE
 from .profile_plans import PAYFILE_CTE, q
 from .quality_plans import STAGED_CTE, staged
 
@@ -27,7 +28,10 @@ def a01(spark, sf):
     return df.select(*[F.col(f"`{h}`") for h in FILE_HEADERS], "source_file")
 
 
-@query("a05_append_lines")
+@query("a05_append_lines", """
+SELECT 'run-1' AS import_run_id, pay_year, count(*) AS n FROM ledger GROUP BY pay_year
+UNION ALL SELECT 'run-2', pay_year, count(*) FROM ledger WHERE pay_year = 1998 GROUP BY pay_year
+""")
 def a05(spark, sf):
     path = SK.work_dir(spark, "appended")
     lg = fx.ledger(spark, sf)
@@ -57,7 +61,14 @@ def a07(spark, sf):
                                           .alias("source_file"), "checksum", "n_bytes")
 
 
-@query("a08_write_report")
+@query("a08_write_report", """
+SELECT date_paie, CAST(sum(montant_combine) AS DOUBLE)/100.0 AS total_combine,
+  CAST(sum(CASE WHEN categorie_paie = 'Gains' THEN montant_employe ELSE 0 END) AS DOUBLE)/100.0 AS gains,
+  CAST(sum(CASE WHEN strip_accents(lower(categorie_paie)) LIKE 'deduction%' THEN montant_employe ELSE 0 END) AS DOUBLE)/100.0
+    AS deductions,
+  CAST(sum(part_employeur) AS DOUBLE)/100.0 AS part_employeur
+FROM canon GROUP BY date_paie
+""", ctes=CANON_CTE)
 def a08(spark, sf):
     from paysift.operators import analytics as an
     from .analytics_plans import canon
@@ -67,7 +78,7 @@ def a08(spark, sf):
                              "part_employeur double").json(path)
 
 
-@query("a09_write_ledger")
+@query("a09_write_ledger", "SELECT pay_year, count(*) AS n FROM ledger WHERE pay_year >= 1997 GROUP BY pay_year")
 def a09(spark, sf):
     path = SK.work_dir(spark, "ledger")
     lg = fx.ledger(spark, sf)
@@ -77,7 +88,7 @@ def a09(spark, sf):
     return stored.filter(F.col("pay_year") >= 1997).groupBy("pay_year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e09_replace_batch")
+@query("e09_replace_batch", "SELECT batch_id, count(*) AS n FROM stg_lines GROUP BY batch_id")
 def e09(spark, sf):
     path = SK.work_dir(spark, "batches")
     st = fx.stg_lines(spark, sf)
@@ -111,7 +122,15 @@ def a11l(spark, sf):
                                            kpi.dollars("amount_cents").alias("montant"))
 
 
-@query("a12_snapshot_store")
+@query("a12_snapshot_store", """
+SELECT c.pay_date, salaire_net_total, masse_salariale, deductions, salaire_net_total / nb_employes AS net_moyen,
+  nb_employes, nb_transactions, least(n_codes, 10) AS n_codes_top
+FROM (SELECT pay_date, CAST(sum(amount_cents) AS DOUBLE)/100.0 AS salaire_net_total,
+        CAST(sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS masse_salariale,
+        CAST(sum(CASE WHEN amount_cents < 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS deductions,
+        count(DISTINCT employee_id) AS nb_employes, count(*) AS nb_transactions, count(DISTINCT pay_code) AS n_codes
+      FROM ledger GROUP BY pay_date) c
+""")
 def a12(spark, sf):
     path = SK.work_dir(spark, "snapshots")
     lg = fx.ledger(spark, sf)
