@@ -408,10 +408,23 @@ def tabularity(df: DataFrame, expected_cols: int = 10) -> DataFrame:
                       F.round(score, 6).alias("score"))
 
 
-def header_signatures(first_lines: DataFrame, sep: str = ";") -> DataFrame:
+def first_lines(spark, path: str) -> DataFrame:
+    """The first line of every text file under ``path``, distributed.
+
+    The first line of a file is the first row of the split that starts at
+    offset 0; inside a split, ``monotonically_increasing_id`` follows the line
+    order, so ``min_by`` on (block start, id) picks it without reading a whole
+    file into one row."""
+    t = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_o"))
+    return t.groupBy("file").agg(F.min_by("value", "_o").alias("header"))
+
+
+def header_signatures(first: DataFrame, sep: str = ";") -> DataFrame:
     """signature = md5 of the sorted, normalised header names of each file."""
     names = F.transform(F.split(F.col("header"), sep), lambda x: F.lower(F.trim(x)))
-    return first_lines.select("file", F.md5(F.array_join(F.array_sort(names), "|")).alias("signature"))
+    return first.select("file", F.md5(F.array_join(F.array_sort(names), "|")).alias("signature"))
 
 
 def match_profiles(signatures: DataFrame, profiles: DataFrame) -> DataFrame:

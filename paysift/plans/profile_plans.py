@@ -265,3 +265,48 @@ def a02(spark, sf):
 @query("a03_canonicalise_columns", f"SELECT {CANON_SELECT}, source_file FROM payfile", ctes=PAYFILE_CTE)
 def a03(spark, sf):
     return canonicalise_columns(payfile(spark, sf))
+
+
+# Saved mapping profiles (client, header list, last update) for C16.
+SAVED_PROFILES = [
+    (1, "client_a", FILE_HEADERS, "2025-01-10 00:00:00"),
+    (2, "client_a", FILE_HEADERS, "2025-06-01 00:00:00"),
+    (3, "client_b", FILE_HEADERS[:5], "2025-03-01 00:00:00"),
+]
+
+
+def _profiles_df(spark):
+    rows = [(i, c, ";".join(h), ts) for i, c, h, ts in SAVED_PROFILES]
+    df = spark.createDataFrame(rows, "profile_id int, client string, header string, updated_at string")
+    sig = P.header_signatures(df.withColumnRenamed("profile_id", "file"))
+    return df.join(sig.withColumnRenamed("file", "profile_id"), "profile_id").select(
+        "profile_id", "client", "signature", F.to_timestamp("updated_at").alias("updated_at"))
+
+
+def _sig_sql(h):
+    return f"md5(array_to_string(list_sort(list_transform(string_split({h}, ';'), lambda x: lower(trim(x)))), '|'))"
+
+
+PROFILES_CTE = "saved AS (SELECT profile_id, client, " + _sig_sql("header") + """ AS signature,
+    CAST(updated_at AS TIMESTAMP) AS updated_at
+  FROM (VALUES """ + ", ".join(
+    "({0}, '{1}', '{2}', '{3}')".format(i, c, ";".join(h).replace("'", "''"), ts) for i, c, h, ts in SAVED_PROFILES
+) + ") AS v(profile_id, client, header, updated_at))"
+
+
+@query("c16_match_profiles", f"""
+SELECT f.source_file, f.signature, s.profile_id, s.client, s.updated_at, s.profile_id IS NOT NULL AS matched
+FROM (SELECT DISTINCT source_file, {_sig_sql("'" + ";".join(FILE_HEADERS).replace("'", "''") + "'")} AS signature
+      FROM payfile) f
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY updated_at DESC, profile_id DESC) AS r
+                          FROM saved) x WHERE r = 1) s ON s.signature = f.signature
+""", ctes=PAYFILE_CTE + ",\n" + PROFILES_CTE)
+def c16(spark, sf):
+    from paysift.sources.payfile import write_pay_files
+    from paysift.sources.sinks import work_dir
+    landing = work_dir(spark, "c16-landing")
+    write_pay_files(raw_pay_file(spark, sf), landing)
+    sigs = P.header_signatures(P.first_lines(spark, landing)).select(
+        F.regexp_extract("file", r"source_file=([^/]+)", 1).alias("source_file"), "signature").distinct()
+    m = P.match_profiles(sigs, _profiles_df(spark))
+    return m.select("source_file", "signature", "profile_id", "client", "updated_at", "matched")

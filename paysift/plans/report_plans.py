@@ -107,6 +107,14 @@ def f37(spark, sf):
         "period", "value AS effectifs", "previous", "delta_pct", "trend")
 
 
+@query("f39_overtime_kpi", """
+SELECT period, value AS heures_sup, previous, delta_pct, trend, alert_level FROM deltas WHERE kpi_id = 'heures_sup'
+""", ctes=DELTAS_CTE)
+def f39(spark, sf):
+    return deltas(spark, sf).filter("kpi_id = 'heures_sup'").selectExpr(
+        "period", "value AS heures_sup", "previous", "delta_pct", "trend", "alert_level")
+
+
 @query("f38_turnover_rate", """
 SELECT period, nouveaux, departs, (n_current + n_previous) / 2.0 AS effectif_moyen,
   round(CASE WHEN (n_current + n_previous) / 2.0 > 0 THEN departs / ((n_current + n_previous) / 2.0) * 100 ELSE 0.0 END, 6) AS taux,
