@@ -24,20 +24,19 @@ def amount_to_decimal(col) -> Column:
 
     Handles ``$``/``CAD``/``CA``, non-breaking spaces, accounting parentheses,
     ``1.234,56`` (point = thousands) and ``1234,56`` (comma = decimal); a plain
-    point stays a decimal point.
-    """
+    point stays a decimal point. Each intermediate string is referenced at most
+    three times, so the generated code stays small (no branch duplicates the
+    whole chain)."""
     s = F.trim(_c(col).cast("string"))
     neg = s.startswith("(") & s.endswith(")")
-    s = F.when(neg, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    s = F.regexp_replace(s, r"(?s)^\((.*)\)$", "$1")
     s = F.translate(s, NBSP_CHARS, "")
     for tok in CURRENCY_TOKENS:
         s = F.replace(s, F.lit(tok), F.lit(""))
     s = F.regexp_replace(s, r"\s+", "")
-    both = s.contains(".") & s.contains(",")
-    s = F.when(both, F.translate(F.replace(s, F.lit("."), F.lit("")), ",", ".")) \
-        .otherwise(F.translate(s, ",", "."))
-    d = s.try_cast("decimal(38,10)")
-    return F.when(neg, -d).otherwise(d)
+    # a comma is the decimal mark; when present, points are thousands separators
+    s = F.when(s.contains(","), F.translate(F.replace(s, F.lit("."), F.lit("")), ",", ".")).otherwise(s)
+    return s.try_cast("decimal(38,10)") * F.when(neg, F.lit(-1)).otherwise(F.lit(1))
 
 
 def amount_to_cents(col) -> Column:

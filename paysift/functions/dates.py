@@ -23,6 +23,8 @@ WIDE_YEAR_LO, WIDE_YEAR_HI = 1990, 2100
 ISO_RE = r"^(\d{4})-(\d{2})-(\d{2})"
 DMY_RE = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
 SERIAL_RE = r"^\d{4,6}(\.0+)?$"
+# yyyy-dd-MM with a middle part > 12 and a last part <= 12 -> swap the two parts
+YDM_SWAP_RE = r"^(\d{4})-(1[3-9]|[2-9]\d)-(0\d|1[0-2])$"
 
 
 def _c(c) -> Column:
@@ -49,18 +51,22 @@ def serial_to_date(col, origin: str = EXCEL_ORIGIN_1900) -> Column:
 
 
 def in_window(d: Column, lo: int = YEAR_LO, hi: int = YEAR_HI) -> Column:
-    """Keep a date only when its year is in [lo, hi]."""
-    return F.when(F.year(d).between(lo, hi), d)
+    """Keep a date only when its year is in [lo, hi] (``d`` is referenced once)."""
+    return F.try_element_at(F.filter(F.array(d), lambda x: F.year(x).between(lo, hi)), F.lit(1))
 
 
 def parse_pay_date(col, lo: int = YEAR_LO, hi: int = YEAR_HI, serial_origin: str = EXCEL_ORIGIN_1900) -> Column:
-    """B2 (+B3, B4, B5): any accepted date text -> DATE or NULL."""
-    s = fix_ydm(col)
-    iso = _ymd(*(F.regexp_extract(s, ISO_RE, i) for i in (1, 2, 3)))
-    dmy_d, dmy_m, dmy_y = (F.regexp_extract(s, DMY_RE, i) for i in (1, 2, 3))
-    dmy = _ymd(dmy_y, dmy_m, dmy_d)
-    d = (F.when(s.rlike(ISO_RE), iso)
-         .when(s.rlike(DMY_RE), dmy)
+    """B2 (+B3, B4, B5): any accepted date text -> DATE or NULL.
+
+    Three cheap shape tests pick one parser: ISO prefix (the B4 repair of
+    ``yyyy-dd-MM`` — middle part > 12 and last <= 12 — is one regex swap),
+    day-first ``d/M/yyyy`` (either separator), or an Excel serial. Each value is
+    parsed once by ``try_to_date`` with a fixed pattern (invalid dates -> NULL),
+    and no sub-expression is duplicated, so the generated code stays small."""
+    s = F.trim(_c(col).cast("string"))
+    iso = F.regexp_replace(F.substring(s, 1, 10), YDM_SWAP_RE, "$1-$3-$2")
+    d = (F.when(s.rlike(ISO_RE), F.try_to_date(iso, "yyyy-MM-dd"))
+         .when(s.rlike(DMY_RE), F.try_to_date(F.translate(s, "-", "/"), "d/M/yyyy"))
          .when(s.rlike(SERIAL_RE), serial_to_date(s, serial_origin)))
     return in_window(d, lo, hi)
 
