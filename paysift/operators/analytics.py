@@ -133,19 +133,18 @@ def benefits(lines: DataFrame) -> DataFrame:
 def turnover(lines: DataFrame) -> DataFrame:
     """entry (first date) and exit (last date) rows per employee (X21: right-censored).
 
-    Lines are first reduced to distinct (employee, date, name, post); bounds per
-    employee are a group-by joined back on the employee (AQE splits a hot key).
-    """
+    Lines are reduced to distinct (employee, date, name, post); the bounds per
+    employee are aggregated from that same set and joined back once on the
+    employee (both sides share the employee partitioning; AQE splits a hot key);
+    each row then yields an entry and/or an exit."""
     d = lines.select("matricule", "date_paie", "nom_employe", "poste_budgetaire").distinct()
     bounds = d.groupBy("matricule").agg(F.min("date_paie").alias("first_date"),
                                         F.max("date_paie").alias("last_date"))
     st = d.join(bounds, "matricule")
-    cols = ["matricule", "nom_employe", "poste_budgetaire"]
-    entries = st.filter(F.col("date_paie") == F.col("first_date")).select(
-        "date_paie", F.lit("Entree").alias("type"), *cols)
-    exits = st.filter(F.col("date_paie") == F.col("last_date")).select(
-        "date_paie", F.lit("Sortie").alias("type"), *cols)
-    return entries.unionByName(exits)
+    kinds = F.array(F.when(F.col("date_paie") == F.col("first_date"), F.lit("Entree")),
+                    F.when(F.col("date_paie") == F.col("last_date"), F.lit("Sortie")))
+    return st.select("date_paie", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("type"),
+                     "matricule", "nom_employe", "poste_budgetaire")
 
 
 def contributions(lines: DataFrame) -> DataFrame:
