@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kpi import dollars
+from .topk import bounded_list
 
 # Category patterns of the screen views. The reference matches
 # 'Déduction%'; we compare on the accent-free lower-case form so 'Deductions'
@@ -24,6 +25,7 @@ PRIME_PATTERN = "%prime%"
 OVERTIME_FAMILY = "HS"
 UNCLASSED = "Non classé"
 UNDEFINED = "Non défini"
+LIST_MAX_CHARS = 255  # fixed value: VARCHAR(255) of the new-hire list
 
 # Accent folding (lower-case Latin-1 letters used by French names).
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
@@ -267,16 +269,23 @@ def new_hires(tx: DataFrame, emp: DataFrame, batches: DataFrame) -> DataFrame:
         (F.col("matricule_int") > F.coalesce("max_precedent", F.lit(0))).alias("est_nouveau"))
 
 
-def new_hire_stats(nh: DataFrame) -> DataFrame:
-    """F33 stats: totals, new, old, bounds and the sorted list of new numbers per batch."""
-    return nh.groupBy("batch_id", "pay_date", "source_file").agg(
+def new_hire_stats(nh: DataFrame, list_chars: int = LIST_MAX_CHARS) -> DataFrame:
+    """F33 stats: totals, new, old, bounds and the sorted list of new numbers per batch.
+
+    The list is cut to ``list_chars`` characters as the reference's VARCHAR(255)
+    result; only the smallest numbers that can fit are gathered (salted top-k),
+    so a batch where everyone is new never becomes one huge value."""
+    stats = nh.groupBy("batch_id", "pay_date", "source_file").agg(
         F.countDistinct("employee_id").alias("total_employes"),
         F.countDistinct(F.when(F.col("est_nouveau"), F.col("employee_id"))).alias("nouveaux_employes"),
         F.countDistinct(F.when(~F.col("est_nouveau"), F.col("employee_id"))).alias("anciens_employes"),
         F.max("max_precedent").alias("max_precedent"), F.max("max_actuel").alias("max_actuel"),
-        F.max("date_precedente").alias("date_precedente"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("est_nouveau"), F.col("matricule_norm")))),
-                     ", ").alias("liste_nouveaux"))
+        F.max("date_precedente").alias("date_precedente"))
+    k = list_chars // 3 + 1  # every entry takes at least 3 characters with its separator
+    lst = bounded_list(nh.filter(F.col("est_nouveau")), ["batch_id"], "matricule_norm", k, ", ", list_chars,
+                       "liste_nouveaux")
+    return stats.join(lst, "batch_id", "left").withColumn(
+        "liste_nouveaux", F.coalesce("liste_nouveaux", F.lit("")))
 
 
 def churn(nh: DataFrame, emp: DataFrame) -> DataFrame:

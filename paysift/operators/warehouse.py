@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from paysift.functions.keys import POST_DEFAULT, business_key
 
 from .quality import validate_lines
+from .topk import bounded_list
+
+REPORT_LIST_SIZE = 100
 
 DEDUCTION_DEFAULT = "Deductions"
 GAINS = "Gains"
@@ -120,14 +123,21 @@ def dedup_log(staged: DataFrame) -> DataFrame:
         F.col("_f.batch_id").alias("first_seen_batch_id"))
 
 
-def dedup_report(log: DataFrame) -> DataFrame:
-    """Duplicates per batch and date, ignored amount, codes and numbers listed."""
-    return log.groupBy("batch_id", "pay_date").agg(
+def dedup_report(log: DataFrame, list_size: int = REPORT_LIST_SIZE) -> DataFrame:
+    """Duplicates per batch and date, ignored amount, codes and numbers listed.
+
+    The code and number lists hold the ``list_size`` smallest distinct values
+    (salted top-k, never a whole group in one task); ``nb_matricules`` /
+    ``nb_codes`` keep the exact distinct counts."""
+    keys = ["batch_id", "pay_date"]
+    agg = log.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("nb_doublons"),
         (F.sum(F.abs("amount_cents")).cast("double") / 100.0).alias("montant_total_ignore"),
-        F.array_join(F.array_sort(F.collect_set("pay_code")), ", ").alias("codes_paie_concernes"),
-        F.array_join(F.array_sort(F.collect_set(F.col("employee_id").cast("string"))), ", ")
-        .alias("matricules_concernes"))
+        F.countDistinct("pay_code").alias("nb_codes"), F.countDistinct("employee_id").alias("nb_matricules"))
+    lg = log.withColumn("_mat", F.col("employee_id").cast("string"))
+    codes = bounded_list(lg, keys, "pay_code", list_size, name="codes_paie_concernes")
+    mats = bounded_list(lg, keys, "_mat", list_size, name="matricules_concernes")
+    return agg.join(codes, keys, "left").join(mats, keys, "left")
 
 
 def extract_employees(stg: DataFrame, key: str = "employee_id", row_col: str = "source_row_no") -> DataFrame:

@@ -273,7 +273,7 @@ SELECT batch_id, pay_date, source_file, COUNT(DISTINCT employee_id) AS total_emp
   COUNT(DISTINCT employee_id) FILTER (WHERE est_nouveau) AS nouveaux_employes,
   COUNT(DISTINCT employee_id) FILTER (WHERE NOT est_nouveau) AS anciens_employes,
   max(max_precedent) AS max_precedent, max(max_actuel) AS max_actuel, max(date_precedente) AS date_precedente,
-  coalesce(string_agg(DISTINCT matricule_norm, ', ' ORDER BY matricule_norm) FILTER (WHERE est_nouveau), '')
+  coalesce(left(string_agg(DISTINCT matricule_norm, ', ' ORDER BY matricule_norm) FILTER (WHERE est_nouveau), 255), '')
     AS liste_nouveaux
 FROM nh GROUP BY batch_id, pay_date, source_file
 """, ctes=NEW_HIRES_CTE)

@@ -396,6 +396,7 @@ def e08(spark, sf):
 
 @query("e08_dedup_report", """
 SELECT batch_id, pay_date, count(*) AS nb_doublons, CAST(sum(abs(amount_cents)) AS DOUBLE)/100.0 AS montant_total_ignore,
+  count(DISTINCT pay_code) AS nb_codes, count(DISTINCT employee_id) AS nb_matricules,
   string_agg(DISTINCT pay_code, ', ' ORDER BY pay_code) AS codes_paie_concernes,
   string_agg(DISTINCT CAST(employee_id AS VARCHAR), ', ' ORDER BY CAST(employee_id AS VARCHAR)) AS matricules_concernes
 FROM dlog GROUP BY batch_id, pay_date
