@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from paysift.operators import kpi
 from paysift.sources import fixtures as fx
 from paysift.sources.params import params
@@ -170,5 +168,3 @@ LEFT JOIN (SELECT pay_date AS date_paie, employee_id, max(nullif(budget_post, ''
 def f13(spark, sf):
     return kpi.kpi_employee_date(fx.ledger(spark, sf), fx.employees(spark, sf), fx.stg_lines(spark, sf))
 
-
-_ = F  # keep the functions import for interactive use

@@ -11,7 +11,7 @@ from paysift.operators.lines import canonical_lines
 from paysift.sources import fixtures as fx
 
 from .catalog import query
-from .sqltext import STAR_INNER, STAR_OUTER
+from .sqltext import STAR_INNER
 
 STAGED_CTE = """staged AS (
   SELECT *, len(validation_errors) = 0 AS is_valid FROM (
@@ -123,9 +123,6 @@ def d06(spark, sf):
     return Q.kpi_identity_tests(kpi.kpi_star(fx.ledger(spark, sf)))
 
 
-_ = STAR_OUTER
-
-
 @query("d07_reconcile", """
 SELECT coalesce(a.pay_date, b.pay_date) AS pay_date, a.c AS detail, b.c AS summary,
   coalesce(a.c, 0) - coalesce(b.c, 0) AS gap, (abs(coalesce(a.c, 0) - coalesce(b.c, 0)) <= 0 AND a.c IS NOT NULL AND b.c IS NOT NULL) AS ok

@@ -206,3 +206,18 @@ def l03(spark, sf):
     first = emb.agg(F.min("vec_id")).scalar()
     query_vec = emb.filter(F.col("vec_id") == first).select(F.col("embedding").alias("q"))
     return V.cosine_topk(emb, query_vec, k=8)
+
+
+SYN_CTE = """syn AS (SELECT * FROM (VALUES ('Gains', ['gains', 'revenu', 'salaire', 'brut', 'base']),
+    ('Deductions', ['deductions', 'retenues', 'retenue', 'debit'])) AS v(categorie, synonyms))"""
+
+
+@query("a14_category_synonyms", """
+SELECT c.code_paie, c.description_code_paie, s.categorie, count(*) AS lignes
+FROM canon c LEFT JOIN (SELECT categorie, unnest(synonyms) AS syn FROM syn) s ON lower(trim(c.description_code_paie)) = s.syn
+GROUP BY 1, 2, 3
+""", ctes=CANON_CTE + ",\n" + SYN_CTE)
+def a14s(spark, sf):
+    from .analytics_plans import canon
+    lines = PR.categorise(canon(spark, sf), "description_code_paie", PR.synonyms(spark))
+    return lines.groupBy("code_paie", "description_code_paie", "categorie").agg(F.count(F.lit(1)).alias("lignes"))

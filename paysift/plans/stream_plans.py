@@ -3,8 +3,6 @@ from the driver tables, then the sink is read back as a DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from paysift.sources import fixtures as fx
 from paysift.sources.payfile import raw_pay_file, write_pay_files
 from paysift.sources.sinks import work_dir
@@ -50,5 +48,3 @@ def m03(spark, sf):
     M.stream_kpi(spark, src, schema, fx.periods(spark, sf), out, ck)
     return M.latest_kpi(spark, out)
 
-
-_ = F

@@ -40,7 +40,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def category_of(label_col: str, syn: DataFrame) -> DataFrame:
-    """Map a free-text label to a category by synonym membership (broadcast, tiny)."""
-    exploded = syn.select("categorie", F.explode("synonyms").alias("_syn"))
-    return F.broadcast(exploded), F.lower(F.trim(F.col(label_col)))
+def categorise(df: DataFrame, label_col: str, syn: DataFrame, out: str = "categorie") -> DataFrame:
+    """Category of a free-text label by synonym membership (``array_contains`` semantics).
+
+    The synonym table is a small catalogue: it is exploded and broadcast, and
+    the match is an equi join on the normalised label."""
+    exploded = F.broadcast(syn.select(F.col("categorie").alias(out), F.explode("synonyms").alias("_syn")))
+    return df.join(exploded, F.lower(F.trim(F.col(label_col))) == F.col("_syn"), "left").drop("_syn")
