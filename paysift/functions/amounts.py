@@ -55,7 +55,7 @@ def norm_currency(col) -> Column:
     """Currency code normalisation ($, C$, CA$ -> CAD; others upper-cased)."""
     s = F.upper(F.trim(_c(col).cast("string")))
     m = F.create_map(*[F.lit(x) for kv in CURRENCY_MAP.items() for x in kv])
-    return F.coalesce(F.element_at(m, s), s)
+    return F.coalesce(F.try_element_at(m, s), s)
 
 
 def currency_token(col) -> Column:

@@ -51,9 +51,9 @@ def split_fullname(col, mode: str = "comma") -> Column:
     words = F.split(raw, r"\s+")
     n = F.size(words)
     if mode == "first_word":
-        nom_w, pre_w = F.element_at(words, 1), F.array_join(F.slice(words, 2, n), " ")
+        nom_w, pre_w = F.try_element_at(words, F.lit(1)), F.array_join(F.slice(words, 2, n), " ")
     else:
-        nom_w, pre_w = F.element_at(words, -1), F.array_join(F.slice(words, 1, n - 1), " ")
+        nom_w, pre_w = F.try_element_at(words, F.lit(-1)), F.array_join(F.slice(words, 1, n - 1), " ")
     has_comma = raw.contains(",")
     nom = F.when(has_comma, F.trim(F.substring_index(raw, ",", 1))) \
         .when(n >= 2, nom_w).otherwise(raw)

@@ -82,7 +82,7 @@ def detect_date_columns(df: DataFrame, cols: list[str], threshold: float = 0.6,
     ratio = u.groupBy("column").agg(
         F.round(F.avg(D.parse_pay_date(F.col("value"), lo, hi).isNotNull().cast("int")), 6).alias("ratio"))
     tmap = F.create_map(*[F.lit(x) for c in cols for x in (c, types[c])])
-    typ = F.element_at(tmap, F.col("column"))
+    typ = F.try_element_at(tmap, F.col("column"))
     reason = (F.when(F.col("column").rlike(DATE_NAME_RE), F.lit("name"))
               .when(typ.isin("date", "timestamp", "timestamp_ntz"), F.lit("type"))
               .when(F.col("ratio") >= threshold, F.lit("values")))

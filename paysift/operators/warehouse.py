@@ -75,7 +75,7 @@ def dim_budget_post(lines: DataFrame) -> DataFrame:
     """E5: distinct budget posts split in four segments (fonds, fonction, compte, entite)."""
     p = lines.select(F.coalesce("budget_post", F.lit(POST_DEFAULT)).alias("poste_budgetaire")).distinct()
     parts = F.split("poste_budgetaire", "-")
-    return p.select("poste_budgetaire", *[F.element_at(parts, i + 1).alias(n) for i, n in
+    return p.select("poste_budgetaire", *[F.try_element_at(parts, F.lit(i + 1)).alias(n) for i, n in
                                           enumerate(["fonds", "fonction", "compte", "entite"])])
 
 

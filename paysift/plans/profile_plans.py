@@ -280,7 +280,7 @@ def _profiles_df(spark):
     df = spark.createDataFrame(rows, "profile_id int, client string, header string, updated_at string")
     sig = P.header_signatures(df.withColumnRenamed("profile_id", "file"))
     return df.join(sig.withColumnRenamed("file", "profile_id"), "profile_id").select(
-        "profile_id", "client", "signature", F.to_timestamp("updated_at").alias("updated_at"))
+        "profile_id", "client", "signature", F.to_timestamp_ntz("updated_at").alias("updated_at"))
 
 
 def _sig_sql(h):

@@ -354,8 +354,8 @@ def e04(spark, sf):
 
 
 @query("e05_dim_budget_post", """
-SELECT poste_budgetaire, split_part(poste_budgetaire, '-', 1) AS fonds, split_part(poste_budgetaire, '-', 2) AS fonction,
-  split_part(poste_budgetaire, '-', 3) AS compte, split_part(poste_budgetaire, '-', 4) AS entite
+SELECT poste_budgetaire, string_split(poste_budgetaire, '-')[1] AS fonds, string_split(poste_budgetaire, '-')[2] AS fonction,
+  string_split(poste_budgetaire, '-')[3] AS compte, string_split(poste_budgetaire, '-')[4] AS entite
 FROM (SELECT DISTINCT coalesce(budget_post, 'N/A') AS poste_budgetaire FROM stg_lines) d
 """)
 def e05(spark, sf):
