@@ -25,15 +25,16 @@ def with_row_no(df: DataFrame, order_cols: list[str], name: str = "row_no",
                 num_partitions: int | None = None) -> DataFrame:
     """Global 1-based ordinal by ``order_cols`` (which must be unique together).
 
-    Only the key columns are sorted and numbered; that narrow frame is
-    checkpointed (reliable, ``spark.checkpoint.dir``) so the local indexes and
-    the per-partition counts come from one materialisation even if an executor
-    is lost, then the ordinal is joined back on the key.
+    The rows are range-partitioned and sorted, each task numbers its rows
+    locally, and the range-sorted frame is checkpointed (reliable,
+    ``spark.checkpoint.dir``) so the local indexes and the per-partition counts
+    come from one materialisation even if an executor is lost. The offsets (one
+    row per partition) are broadcast back; no join on the data keys is needed.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.select(*order_cols).repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()
                           .bitwiseAND(F.lit((1 << INDEX_BITS) - 1))))
@@ -42,9 +43,9 @@ def with_row_no(df: DataFrame, order_cols: list[str], name: str = "row_no",
     offsets = counts.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
-    numbered = ranged.join(F.broadcast(offsets), "_pid").select(
-        *order_cols, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1).alias(name))
-    return df.join(numbered, order_cols)
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1)
+            .drop("_pid", "_local", "_off"))
 
 
 def with_file_row_no(df: DataFrame, file_col: str = "source_file", order_col: str = "source_row_no",

@@ -126,18 +126,26 @@ def dedup_log(staged: DataFrame) -> DataFrame:
 def dedup_report(log: DataFrame, list_size: int = REPORT_LIST_SIZE) -> DataFrame:
     """Duplicates per batch and date, ignored amount, codes and numbers listed.
 
-    The code and number lists hold the ``list_size`` smallest distinct values
-    (salted top-k, never a whole group in one task); ``nb_matricules`` /
-    ``nb_codes`` keep the exact distinct counts."""
+    Codes and numbers are stacked as (kind, value) rows so one distinct + one
+    salted top-k pass gives both lists (the ``list_size`` smallest distinct
+    values, never a whole group in one task) and their exact distinct counts
+    (``nb_codes``, ``nb_matricules``)."""
     keys = ["batch_id", "pay_date"]
     agg = log.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("nb_doublons"),
-        (F.sum(F.abs("amount_cents")).cast("double") / 100.0).alias("montant_total_ignore"),
-        F.countDistinct("pay_code").alias("nb_codes"), F.countDistinct("employee_id").alias("nb_matricules"))
-    lg = log.withColumn("_mat", F.col("employee_id").cast("string"))
-    codes = bounded_list(lg, keys, "pay_code", list_size, name="codes_paie_concernes")
-    mats = bounded_list(lg, keys, "_mat", list_size, name="matricules_concernes")
-    return agg.join(codes, keys, "left").join(mats, keys, "left")
+        (F.sum(F.abs("amount_cents")).cast("double") / 100.0).alias("montant_total_ignore"))
+    vals = log.select(*keys, F.explode(F.array(
+        F.struct(F.lit("codes").alias("kind"), F.col("pay_code").alias("value")),
+        F.struct(F.lit("mats").alias("kind"), F.col("employee_id").cast("string").alias("value")))).alias("v")) \
+        .select(*keys, "v.kind", "v.value").filter(F.col("value").isNotNull()).distinct()
+    counts = vals.groupBy(*keys).pivot("kind", ["codes", "mats"]).agg(F.count(F.lit(1)))
+    lists = bounded_list(vals, keys + ["kind"], "value", list_size, name="lst") \
+        .groupBy(*keys).pivot("kind", ["codes", "mats"]).agg(F.first("lst"))
+    return (agg.join(counts.select(*keys, F.col("codes").alias("nb_codes"), F.col("mats").alias("nb_matricules")),
+                     keys, "left")
+            .join(lists.select(*keys, F.col("codes").alias("codes_paie_concernes"),
+                               F.col("mats").alias("matricules_concernes")), keys, "left")
+            .na.fill(0, ["nb_codes", "nb_matricules"]))
 
 
 def extract_employees(stg: DataFrame, key: str = "employee_id", row_col: str = "source_row_no") -> DataFrame:

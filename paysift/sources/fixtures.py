@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, spread
 
 # Fixed values of the fixture mapping (FIXTURES.md): line number -> pay code, category.
 PAY_CODE_BY_LINE = {1: "101", 2: "105", 3: "106_AJUST", 4: "450", 5: "520", 6: "701"}
@@ -47,6 +47,23 @@ SIGN_POLICY_ROWS = [("520", -1, 1), ("701", -1, 1), ("450", 1, 1)]
 FIRST_NAMES = ("Élodie", "Noël", "Jean")
 
 
+# Session settings naming a stored copy of the fixture tables (see ``materialize``).
+WAREHOUSE_DIR = "paysift.warehouse.dir"
+WAREHOUSE_SOURCE = "paysift.warehouse.source"
+LEDGER_COLUMNS = ["source_row_no", "source_file", "employee_id", "pay_date", "pay_year", "pay_code",
+                  "categorie_paie", "amount_cents", "employer_cents", "budget_post"]
+EMPLOYEE_COLUMNS = ["employee_id", "matricule_raw", "matricule_norm", "nom_complet", "statut", "categorie_emploi",
+                    "titre_emploi"]
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, cols: list[str]):
+    """The stored table ``name`` when the session names a warehouse built from ``sf_dir``."""
+    d = spark.conf.get(WAREHOUSE_DIR, None)
+    if d and spark.conf.get(WAREHOUSE_SOURCE, None) == sf_dir:
+        return spark.read.parquet(f"{d}/{name}").select(*cols)
+    return None
+
+
 def _case(col, mapping: dict, other):
     expr = None
     for k, v in mapping.items():
@@ -56,7 +73,10 @@ def _case(col, mapping: dict, other):
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean pay ledger, one line per lineitem row."""
-    li = read_table(spark, sf_dir, "lineitem")
+    stored = _stored(spark, sf_dir, "ledger", LEDGER_COLUMNS)
+    if stored is not None:
+        return stored
+    li = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
 
@@ -105,6 +125,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Employee table; every 23rd name upper-case, blank categories, accents."""
+    stored = _stored(spark, sf_dir, "employees", EMPLOYEE_COLUMNS)
+    if stored is not None:
+        return stored
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal",
                                                      "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -203,7 +226,13 @@ STG_COLUMNS = ["batch_id", "source_file", "source_row_no", "employee_id", "pay_d
 def stg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disturbed staging: unknown employees, null dates, blank codes, zero amounts,
     negative employer share, and a second batch that re-sends some lines."""
-    lg = ledger(spark, sf_dir)
+    stored = _stored(spark, sf_dir, "stg_lines", STG_COLUMNS)
+    if stored is not None:
+        return stored
+    return stg_from_ledger(ledger(spark, sf_dir))
+
+
+def stg_from_ledger(lg: DataFrame) -> DataFrame:
     r = F.col("source_row_no")
     first = lg.select(
         F.lit(1).cast("int").alias("batch_id"), "source_file", "source_row_no",
@@ -226,3 +255,20 @@ FIXTURES = {
 
 def union_all(dfs):
     return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
+def materialize(spark: SparkSession, sf_dir: str, out: str) -> None:
+    """Store the fixture ledger (by ``pay_year``), employees and staging as Parquet under
+    ``out`` and point the session at them; later fixture reads use the stored tables.
+
+    This is the production shape: KPI jobs read a stored, year-partitioned
+    ledger instead of re-deriving it. Staging is derived from the stored ledger,
+    so the ledger is computed once."""
+    for k in (WAREHOUSE_DIR, WAREHOUSE_SOURCE):
+        spark.conf.unset(k)
+    ledger(spark, sf_dir).write.mode("overwrite").partitionBy("pay_year").parquet(f"{out}/ledger")
+    stored = spark.read.parquet(f"{out}/ledger").select(*LEDGER_COLUMNS)
+    stg_from_ledger(stored).write.mode("overwrite").parquet(f"{out}/stg_lines")
+    employees(spark, sf_dir).write.mode("overwrite").parquet(f"{out}/employees")
+    spark.conf.set(WAREHOUSE_DIR, out)
+    spark.conf.set(WAREHOUSE_SOURCE, sf_dir)

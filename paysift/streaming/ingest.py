@@ -69,9 +69,9 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
 
 
 def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
-                 delay: str = "3650 days"):
+                 delay: str = "3650 days", max_files: int = 64):
     """M2: drop re-sent lines by business key across micro-batches (watermark-bounded state)."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     staged = validate_lines(s).filter("is_valid").withColumn("cle_metier", business_key(
         "pay_date", "employee_id", "pay_code", F.coalesce("budget_post", F.lit("N/A")), "amount_cents",
         "employer_cents"))
@@ -84,12 +84,12 @@ def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, out: st
 
 
 def stream_kpi(spark: SparkSession, source: str, schema: T.StructType, periods: DataFrame, out: str,
-               checkpoint: str, delay: str = "3650 days"):
+               checkpoint: str, delay: str = "3650 days", max_files: int = 64):
     """M3: daily tumbling-window totals of lines in open periods (update mode, epoch-keyed sink).
 
     ``min(pay_date)`` names each window, so the result does not depend on the
     session time zone."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     gated = s.filter(F.col("pay_date").isNotNull()).join(
         F.broadcast(periods.filter(F.col("status") == OPEN_STATUS).select("pay_date")), "pay_date", "left_semi")
     agg = (gated.withColumn("event_ts", F.col("pay_date").cast("timestamp")).withWatermark("event_ts", delay)
