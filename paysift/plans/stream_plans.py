@@ -9,7 +9,9 @@ from paysift.sources.sinks import work_dir
 from paysift.streaming import ingest as M
 
 from .catalog import query
+from .profile_plans import PAYFILE_CTE, q
 from .quality_plans import STAGED_CTE
+from .sqltext import amount_cents, parse_date
 
 
 def _staging_files(spark, sf):
@@ -21,7 +23,20 @@ def _staging_files(spark, sf):
     return path, schema
 
 
-@query("m01_stream_ingest")
+M1_SQL = f"""
+SELECT source_row_no, matricule, pay_date, pay_code, categorie_paie, budget_post, amount_cents, employer_cents,
+  CAST(year(pay_date) AS INT) AS pay_year
+FROM (SELECT TRY_CAST({q('N de ligne')} AS BIGINT) AS source_row_no, trim(matricule) AS matricule,
+        {parse_date(q('date de paie'), 1990, 2100)} AS pay_date, trim({q('code de paie')}) AS pay_code,
+        {q('catégorie de paie')} AS categorie_paie, {q('poste budgétaire')} AS budget_post,
+        {amount_cents(q('montant'))} AS amount_cents, {amount_cents(q('part employeur'))} AS employer_cents
+      FROM payfile) x
+WHERE pay_date IS NOT NULL AND matricule IS NOT NULL AND trim(matricule) <> '' AND pay_code IS NOT NULL
+  AND trim(pay_code) <> '' AND amount_cents IS NOT NULL AND coalesce(employer_cents, 0) >= 0
+"""
+
+
+@query("m01_stream_ingest", M1_SQL, ctes=PAYFILE_CTE)
 def m01(spark, sf):
     landing, out, ck = work_dir(spark, "m1-landing"), work_dir(spark, "m1-out"), work_dir(spark, "m1-ckpt")
     write_pay_files(raw_pay_file(spark, sf), landing)

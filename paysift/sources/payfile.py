@@ -53,29 +53,28 @@ def raw_pay_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*[c.alias(h) for c, h in zip(cols, FILE_HEADERS)], "source_file")
 
 
-def read_pay_csv(spark: SparkSession, path: str, encodings=("UTF-8", "ISO-8859-1"), seps=(";", ",", "\t")) -> DataFrame:
+def read_pay_csv(spark: SparkSession, path: str, fallback_encoding: str = "ISO-8859-1",
+                 seps=(";", ",", "\t")) -> DataFrame:
     """A1: read delimited pay files as text columns.
 
-    The encoding and delimiter are chosen from the first lines only (a small
-    ``read.text(...).limit(20)`` probe): the first encoding without U+FFFD
-    replacement characters, then the candidate separator with the most
-    occurrences in the header line. The full read is then one distributed CSV
-    scan with every column as STRING (never inferred).
+    Encoding and delimiter are chosen from the first lines only (a small
+    ``read.text(...).limit(20)`` probe): UTF-8 when those bytes are valid UTF-8
+    (``is_valid_utf8``), else the Latin-1 family; then the candidate separator
+    with the most occurrences in the header line. The full read is one
+    distributed CSV scan with every column as STRING (never inferred); a UTF-8
+    byte-order mark is removed from the first header name.
     """
-    enc_ok = encodings[-1]
-    for enc in encodings:
-        head = spark.read.option("encoding", enc).text(path).limit(20)
-        bad = head.filter(F.col("value").contains("�")).limit(1).count()
-        if bad == 0:
-            enc_ok = enc
-            break
-    first = spark.read.option("encoding", enc_ok).text(path).limit(1).collect()
+    head = spark.read.option("recursiveFileLookup", True).text(path).limit(20)
+    bad = head.filter(~F.is_valid_utf8("value")).limit(1).count()
+    enc = "UTF-8" if bad == 0 else fallback_encoding
+    first = head.limit(1).collect()
     header = first[0][0] if first else ""
     sep = max(seps, key=lambda s: header.count(s))
-    return (spark.read.option("header", True).option("sep", sep).option("encoding", enc_ok)
-            .option("inferSchema", False).option("quote", '"').option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-            .withColumn("file_path", F.col("_metadata.file_path")))
+    df = (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
+          .option("inferSchema", False).option("quote", '"').option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    return df.withColumn("file_path", F.col("_metadata.file_path"))
 
 
 def write_pay_files(df: DataFrame, path: str, sep: str = ";") -> None:
