@@ -74,7 +74,8 @@ def column_profile(vc: DataFrame, patterns: dict[str, str] | None = None,
     """C2-C9 (+C5, C6): one row per column with all value statistics.
 
     Per-value flags are computed on distinct values and weighted by their
-    count. Entropy and the most common value come from the same counts.
+    count. Entropy and the most common value come from the same counts, in the
+    same single aggregation.
     """
     v, cnt = F.col("value"), F.col("cnt")
     toks = F.regexp_extract_all(v, F.lit(TOKEN_RE), 0)
@@ -96,10 +97,10 @@ def column_profile(vc: DataFrame, patterns: dict[str, str] | None = None,
         F.sum(cnt * F.size(F.filter(toks, lambda t: t.rlike(ALPHA_TOKEN_RE)))).cast("long").alias("n_alpha_tokens"),
         F.sum(cnt * F.length(v)).cast("long").alias("n_chars"),
         F.sum(cnt * F.length(F.regexp_replace(v, r"[^\p{L}]", ""))).cast("long").alias("n_letters"),
+        F.sum(cnt * F.log2(cnt)).alias("_clogc"),
         *weighted)
-    ent = vc.join(agg.select("column", "n"), "column").groupBy("column").agg(
-        (-F.sum((F.col("cnt") / F.col("n")) * F.log2(F.col("cnt") / F.col("n")))).alias("entropy"))
-    out = agg.join(ent, "column")
+    # Shannon entropy from the same pass: H = log2(n) - sum(c * log2 c) / n
+    out = agg.withColumn("entropy", F.log2(F.col("n")) - F.col("_clogc") / F.col("n")).drop("_clogc")
     n = F.col("n")
     return out.select(
         "*",

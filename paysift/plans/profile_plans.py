@@ -60,12 +60,12 @@ prof0 AS (
     CAST(sum(CASE WHEN {amount_cents('value')} IS NOT NULL THEN cnt ELSE 0 END) AS BIGINT) AS n_number,
     CAST(sum(CASE WHEN regexp_matches(value, '^[\\pL ''\\-]+$') THEN cnt ELSE 0 END) AS BIGINT) AS n_alpha_only,
     {', '.join(f"CAST(sum(CASE WHEN regexp_matches(value, '^(?:{p})$') THEN cnt ELSE 0 END) AS BIGINT) AS p{i}"
-               for i, p in enumerate(DATE_PATTERNS))}
+               for i, p in enumerate(DATE_PATTERNS))},
+    sum(cnt * log2(cnt)) AS _clogc
   FROM vc GROUP BY 1),
-ent AS (SELECT v."column", round(-sum((cnt / n) * log2(cnt / n)), 6) AS entropy
-        FROM vc v JOIN prof0 p ON p."column" = v."column" GROUP BY 1),
+ent AS (SELECT "column", round(log2(n) - _clogc / n, 6) AS entropy FROM prof0),
 prof AS (
-  SELECT p.*, e.entropy, round(n_unique / n, 6) AS unique_ratio, round(most_common_count / n, 6) AS most_common_ratio,
+  SELECT p.* EXCLUDE (_clogc), e.entropy, round(n_unique / n, 6) AS unique_ratio, round(most_common_count / n, 6) AS most_common_ratio,
     round(n_numeric / n, 6) AS numeric_ratio, round(n_comma / n, 6) AS comma_ratio,
     round(CASE WHEN n_tokens > 0 THEN n_alpha_tokens / n_tokens ELSE 0.0 END, 6) AS alpha_token_ratio,
     round(n_date / n, 6) AS date_ratio, round(n_number / n, 6) AS number_ratio, round(n_chars / n, 6) AS avg_len,
