@@ -263,10 +263,12 @@ def anomaly_set(lines: DataFrame) -> DataFrame:
     neg = lp.groupBy("period", "matricule").agg(F.sum(_m()).alias("_n")).filter(F.col("_n") < -1) \
         .groupBy("period").agg(F.count(F.lit(1)).alias("nets_negatifs"))
     inactive = (F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")
-    inact = lp.filter(inactive & (F.lower("categorie_paie") == "gains") & (_m() > 0)) \
-        .groupBy("period").agg(F.countDistinct("nom_employe").alias("inactifs_avec_gains"))
-    sens = lp.filter(F.trim("code_paie").isin(*SENSITIVE_CODES)).groupBy("period") \
-        .agg(F.countDistinct("code_paie").alias("codes_sensibles"))
+    # one aggregate gives every month and both per-month distinct counts
+    months = lp.groupBy("period").agg(
+        F.countDistinct(F.when(inactive & (F.lower("categorie_paie") == "gains") & (_m() > 0),
+                               F.col("nom_employe"))).alias("inactifs_avec_gains"),
+        F.countDistinct(F.when(F.trim("code_paie").isin(*SENSITIVE_CODES), F.col("code_paie")))
+        .alias("codes_sensibles"))
     code_months = lp.select(F.trim("code_paie").alias("c"), "period").distinct()
     single = code_months.groupBy("c").agg(F.count(F.lit(1)).alias("_k"), F.first("period").alias("period")) \
         .filter(F.col("_k") == 1)
@@ -282,8 +284,7 @@ def anomaly_set(lines: DataFrame) -> DataFrame:
     other_last = F.when(F.col("_rk") == 1, F.col("_second")).otherwise(F.col("_top"))
     changes = ranked.filter(other_last.isNotNull() & (F.col("_first") != other_last)) \
         .groupBy("period").agg(F.count(F.lit(1)).alias("changements_poste"))
-    months = lp.select("period").distinct()
-    out = reduce(lambda a, b: a.join(b, "period", "left"), [months, neg, inact, sens, new_codes, changes])
+    out = reduce(lambda a, b: a.join(b, "period", "left"), [months, neg, new_codes, changes])
     return out.na.fill(0, ["nets_negatifs", "inactifs_avec_gains", "codes_sensibles", "nouveaux_codes",
                            "changements_poste"])
 
