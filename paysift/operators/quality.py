@@ -259,3 +259,30 @@ def preview(lines: DataFrame) -> DataFrame:
         F.countDistinct("employee_id").alias("nb_employes"))
     return agg.select("pay_date", dollars("_b").alias("brut"), dollars("_d").alias("deductions"),
                       dollars("_n").alias("net"), "nb_lignes", "nb_employes")
+
+
+def stage_fields(raw: DataFrame, specs: dict, id_col: str) -> DataFrame:
+    """Raw and parsed value side by side per mapped field, with the row's issues.
+
+    ``specs`` maps a field name to ``(raw column, parser)`` where the parser is a
+    Column builder; a parsed NULL or blank is an issue "<field>: valeur vide".
+    Output: id, one struct<raw, parsed> per field, ``issues`` array, ``is_clean``."""
+    fields, checks = [], []
+    for name, (src, parser) in specs.items():
+        parsed = parser(F.col(f"`{src}`"))
+        fields.append(F.struct(F.col(f"`{src}`").cast("string").alias("raw"),
+                               parsed.cast("string").alias("parsed")).alias(name))
+        checks.append(F.when(parsed.isNull() | (F.trim(parsed.cast("string")) == ""),
+                             F.lit(f"{name}: valeur vide")))
+    issues = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return raw.select(F.col(f"`{id_col}`").alias("row_id"), *fields, issues.alias("issues")) \
+        .withColumn("is_clean", F.size("issues") == 0)
+
+
+def stage_field_stats(staged: DataFrame) -> DataFrame:
+    """Total, clean and with-issue rows, and issue counts per field (one row per field)."""
+    per_field = staged.select(F.explode("issues").alias("issue")).select(
+        F.split("issue", ":")[0].alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n_issues"))
+    totals = staged.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("is_clean").alias("rows_clean"),
+                        F.count_if(~F.col("is_clean")).alias("rows_with_issues"))
+    return per_field.crossJoin(F.broadcast(totals))

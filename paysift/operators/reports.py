@@ -492,6 +492,16 @@ def batch_summary(tx: DataFrame, batches: DataFrame, stg: DataFrame) -> DataFram
         rej.agg(F.count(F.lit(1)).alias("n_rejected")))
 
 
+def file_summary(stg: DataFrame) -> DataFrame:
+    """per source file: lines, rejected lines, net total, distinct employees, pay dates."""
+    rejected = F.col("pay_date").isNull() | (F.col("amount_cents") == 0) | (F.col("employer_cents") < 0) \
+        | (F.trim("pay_code") == "")
+    return stg.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(rejected).alias("n_rejected"),
+        dollars(F.sum("amount_cents")).alias("total"), F.countDistinct("employee_id").alias("n_employees"),
+        F.min("pay_date").alias("date_min"), F.max("pay_date").alias("date_max"))
+
+
 def period_report(lines: DataFrame, at=None) -> DataFrame:
     """detail lines of a pay date (default the latest) with lineage."""
     d = lines.agg(F.max("date_paie")).scalar() if at is None else F.lit(at).cast("date")

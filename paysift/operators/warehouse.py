@@ -192,6 +192,13 @@ def ensure_periods(dates: DataFrame, old: DataFrame) -> DataFrame:
     return old.select("pay_date", "period_seq_in_year", "status").unionByName(added)
 
 
+def with_status(periods: DataFrame, changes: DataFrame) -> DataFrame:
+    """Apply status changes (pay_date, status) to the period table; unknown dates ignored,
+    periods without a change keep their status."""
+    ch = changes.select("pay_date", F.col("status").alias("_new"))
+    return periods.join(ch, "pay_date", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+
+
 def delete_period(tx: DataFrame, batches: DataFrame, emp: DataFrame, periods: DataFrame, pay_date) -> dict:
     """Remove one pay date: remaining tables and an audit row (counts, future orphans)."""
     d = pay_date if not isinstance(pay_date, str) else F.lit(pay_date).cast("date")

@@ -11,7 +11,8 @@ from paysift.operators.lines import canonical_lines
 from paysift.sources import fixtures as fx
 
 from .catalog import query
-from .sqltext import STAR_INNER
+from .profile_plans import PAYFILE_CTE, q
+from .sqltext import STAR_INNER, amount_cents, parse_date
 
 STAGED_CTE = """staged AS (
   SELECT *, len(validation_errors) = 0 AS is_valid FROM (
@@ -468,3 +469,36 @@ def e15(spark, sf):
     first = lg.agg(F.min("pay_date")).scalar()
     res = W.delete_period(lg, fx.batches(spark, sf), fx.employees(spark, sf), fx.periods(spark, sf), first)
     return res["audit"]
+
+
+@query("d02_stage_fields", f"""
+SELECT field, n_issues, total_rows, rows_clean, rows_with_issues FROM (
+  SELECT split_part(issue, ':', 1) AS field, count(*) AS n_issues
+  FROM (SELECT unnest(issues) AS issue FROM sf) u GROUP BY 1) f,
+  (SELECT count(*) AS total_rows, count(*) FILTER (WHERE len(issues) = 0) AS rows_clean,
+     count(*) FILTER (WHERE len(issues) > 0) AS rows_with_issues FROM sf) t
+""", ctes=PAYFILE_CTE + """,
+sf AS (SELECT list_filter([
+    CASE WHEN """ + parse_date(q('date de paie'), 1990, 2100) + """ IS NULL THEN 'date_paie: valeur vide' END,
+    CASE WHEN """ + amount_cents(q('montant')) + """ IS NULL THEN 'montant: valeur vide' END,
+    CASE WHEN trim(""" + q('employé') + """) IS NULL OR trim(""" + q('employé') + """) = '' THEN 'fullname: valeur vide' END],
+  lambda x: x IS NOT NULL) AS issues FROM payfile)""")
+def d02f(spark, sf):
+    from paysift.functions.amounts import amount_to_decimal
+    from paysift.functions.dates import WIDE_YEAR_HI, WIDE_YEAR_LO, parse_pay_date
+    from paysift.sources.payfile import raw_pay_file
+    specs = {"date_paie": ("date de paie", lambda c: parse_pay_date(c, WIDE_YEAR_LO, WIDE_YEAR_HI)),
+             "montant": ("montant", amount_to_decimal),
+             "fullname": ("employé", lambda c: F.trim(c))}
+    staged_ = Q.stage_fields(raw_pay_file(spark, sf), specs, "N de ligne")
+    return Q.stage_field_stats(staged_)
+
+
+@query("e13_period_status", """
+SELECT p.pay_date, p.period_seq_in_year, CASE WHEN year(p.pay_date) <= 1996 THEN 'archivée' ELSE p.status END AS status
+FROM periods p
+""")
+def e13s(spark, sf):
+    per = fx.periods(spark, sf)
+    changes = per.filter(F.year("pay_date") <= 1996).select("pay_date", F.lit("archivée").alias("status"))
+    return W.with_status(per, changes)

@@ -527,3 +527,14 @@ FROM (SELECT pay_date, employee_id, CAST(sum(amount_cents) AS BIGINT) AS _n, boo
 """)
 def f64(spark, sf):
     return R.employees_for_date(fx.ledger(spark, sf), fx.employees(spark, sf))
+
+
+@query("f62_file_summary", """
+SELECT source_file, count(*) AS n_lines,
+  count(*) FILTER (WHERE pay_date IS NULL OR amount_cents = 0 OR employer_cents < 0 OR trim(pay_code) = '') AS n_rejected,
+  CAST(sum(amount_cents) AS DOUBLE)/100.0 AS total, count(DISTINCT employee_id) AS n_employees,
+  min(pay_date) AS date_min, max(pay_date) AS date_max
+FROM stg_lines GROUP BY source_file
+""")
+def f62f(spark, sf):
+    return R.file_summary(fx.stg_lines(spark, sf))

@@ -107,8 +107,11 @@ def snapshot_upsert(new: DataFrame, path: str) -> None:
      .parquet(path))
 
 
-def snapshot_get(spark: SparkSession, path: str) -> DataFrame:
-    """Read snapshots back as typed columns (``from_json``)."""
+def snapshot_get(spark: SparkSession, path: str, max_age: str | None = None) -> DataFrame:
+    """Read snapshots back as typed columns (``from_json``); with ``max_age`` (e.g.
+    '1 hour', the archived optimiser's expiry) only fresher snapshots are returned."""
     s = spark.read.parquet(path)
+    if max_age:
+        s = s.filter(F.col("computed_at") >= F.current_timestamp() - F.expr(f"INTERVAL {max_age}"))
     return s.select("pay_date", F.from_json("snapshot", SNAPSHOT_SCHEMA).alias("doc")).select(
         "pay_date", "doc.cards.*", F.size("doc.tables.codes_top").alias("n_codes_top"))
