@@ -182,6 +182,16 @@ def kpi_month_category(tx: DataFrame, emp: DataFrame, rate: float = CONTRACT_EMP
 # Cards (F1) and parameter-driven rate
 # --------------------------------------------------------------------------------------
 
+def on_date(tx: DataFrame, target, date_col: str = "pay_date") -> DataFrame:
+    """Lines of one pay date. When the ledger carries ``pay_year`` (its storage
+    partition column), the same date is also stated on the year, so a stored
+    ledger prunes its year partitions (the target may be a scalar subquery)."""
+    cond = F.col(date_col) == target
+    if "pay_year" in tx.columns:
+        cond = cond & (F.col("pay_year") == F.year(target))
+    return tx.filter(cond)
+
+
 def kpi_cards(tx: DataFrame, pay_date=None) -> DataFrame:
     """KPI cards of one pay date (default: the latest pay date of the ledger).
 
@@ -191,7 +201,7 @@ def kpi_cards(tx: DataFrame, pay_date=None) -> DataFrame:
     A = F.col("amount_cents")
     target = F.lit(pay_date).cast("date") if pay_date is not None else \
         tx.agg(F.max("pay_date")).scalar()
-    day = tx.filter(F.col("pay_date") == target)
+    day = on_date(tx, target)
     agg = day.agg(F.sum(A).cast("long").alias("_net"), _sum_when(A > 0).alias("_pos"),
                   _sum_when(A < 0).alias("_neg"), F.countDistinct("employee_id").alias("nb_employes"),
                   F.count(F.lit(1)).alias("nb_transactions"), F.max("pay_date").alias("date_paie"))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kpi import dollars
+from .kpi import dollars, on_date
 
 # KPI-engine keywords, thresholds and codes.
 OVERTIME_KEYWORDS = ("heures sup", "overtime", "hs", "heure sup", "temps supp")
@@ -484,7 +484,7 @@ def rollup_series(lines: DataFrame, group: str | None = None) -> DataFrame:
 def batch_summary(tx: DataFrame, batches: DataFrame, stg: DataFrame) -> DataFrame:
     """latest completed batch: lines, rejected, total, employees."""
     last = batches.filter(F.col("status") == "completed").agg(F.max("pay_date")).scalar()
-    lines = tx.filter(F.col("pay_date") == last)
+    lines = on_date(tx, last)
     rej = stg.filter((F.col("pay_date") == last) & ((F.col("amount_cents") == 0) | (F.col("employer_cents") < 0)))
     return lines.agg(F.max("pay_date").alias("pay_date"), F.count(F.lit(1)).alias("n_lines"),
                      dollars(F.sum("amount_cents")).alias("total"),
