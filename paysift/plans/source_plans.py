@@ -152,18 +152,27 @@ def a13(spark, sf):
 
 
 @query("a14_params_upsert", """
-SELECT * FROM (VALUES ('use_sign_fallback', CAST(1 AS DOUBLE), CAST(NULL AS VARCHAR))) AS o(param_key, value_num, value_text)
+SELECT * FROM (VALUES ('part_employeur_taux', CAST(0.15 AS DOUBLE), CAST(NULL AS VARCHAR)),
+                      ('use_sign_fallback', CAST(1 AS DOUBLE), CAST(NULL AS VARCHAR))) AS o(param_key, value_num, value_text)
 UNION ALL
-SELECT 'part_employeur_taux', CAST(count(DISTINCT employee_id) AS DOUBLE) / CAST(count(DISTINCT employee_id) AS DOUBLE) * 0.15,
-  CAST(count(*) AS VARCHAR) FROM ledger
+SELECT 'nb_lignes_ledger', CAST(count(*) AS DOUBLE), CAST(NULL AS VARCHAR) FROM ledger
+UNION ALL
+SELECT 'taux_part_employeur_observe',
+  round(CAST(sum(employer_cents) AS DOUBLE) / CAST(sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS DOUBLE), 6),
+  CAST(NULL AS VARCHAR) FROM ledger
 """)
 def a14(spark, sf):
-    old = PR.params(spark)
+    """Observed parameters (line count, employer-share rate) upserted over the seeded table."""
     lg = fx.ledger(spark, sf)
-    new = lg.agg((F.countDistinct("employee_id").cast("double") / F.countDistinct("employee_id").cast("double")
-                  * 0.15).alias("value_num"), F.count(F.lit(1)).cast("string").alias("value_text")) \
-        .select(F.lit("part_employeur_taux").alias("param_key"), "value_num", "value_text")
-    return PR.upsert(old, new, ["param_key"])
+    a = F.col("amount_cents")
+    obs = lg.agg(F.count(F.lit(1)).cast("double").alias("n"),
+                 F.round(F.sum("employer_cents").cast("double")
+                         / F.sum(F.when(a > 0, a).otherwise(0)).cast("double"), 6).alias("r"))
+    new = obs.select(F.explode(F.array(
+        F.struct(F.lit("nb_lignes_ledger").alias("param_key"), F.col("n").alias("value_num")),
+        F.struct(F.lit("taux_part_employeur_observe").alias("param_key"), F.col("r").alias("value_num"))))
+        .alias("p")).select("p.*", F.lit(None).cast("string").alias("value_text"))
+    return PR.upsert(PR.params(spark), new, ["param_key"])
 
 
 CHUNK_SQL = """SELECT doc_id, CAST(doc_id AS VARCHAR) AS path,
