@@ -106,7 +106,7 @@ def kpi_by_employee(tx: DataFrame, rate: float = CONTRACT_EMPLOYER_RATE) -> Data
 
 
 def _per_employee_then_join(tx: DataFrame, emp: DataFrame, keys: list[Column],
-                            emp_attr: Column, rate: float) -> DataFrame:
+                            emp_attr: Column) -> tuple[DataFrame, list[str]]:
     """Contract KPI by ``keys`` + an employee attribute, aggregating before the join.
 
     Stage 1 reduces lines to one row per (keys, employee) with cents sums and a
@@ -129,7 +129,7 @@ def _per_employee_then_join(tx: DataFrame, emp: DataFrame, keys: list[Column],
 def kpi_by_category(tx: DataFrame, emp: DataFrame, rate: float = CONTRACT_EMPLOYER_RATE) -> DataFrame:
     """contract KPI per pay date and job category (NULL -> 'Non défini')."""
     agg, keys = _per_employee_then_join(tx, emp, [F.col("pay_date").alias("date_paie")],
-                                        F.col("categorie_emploi"), rate)
+                                        F.col("categorie_emploi"))
     return agg.select(*keys, F.coalesce("_attr", F.lit(UNDEFINED_LABEL)).alias("categorie_emploi"),
                       *contract_dollars(rate), "nb_employes")
 

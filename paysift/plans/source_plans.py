@@ -37,6 +37,7 @@ def a05(spark, sf):
     lg = fx.ledger(spark, sf)
     SK.append_lines(lg, path, "run-1")
     SK.append_lines(lg.filter(F.col("pay_year") == F.lit(1998)), path, "run-2")
+    SK.append_lines(lg.filter(F.col("pay_year") == F.lit(1998)), path, "run-2")  # a retried run replaces itself
     return spark.read.parquet(path).groupBy("import_run_id", "pay_year").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -21,9 +21,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def append_lines(df: DataFrame, path: str, run_id: str) -> None:
-    """A5: append canonical lines with lineage (run id, source file, row number), by pay year."""
+    """A5: add the lines of one import run, with lineage (run id, source file, row number).
+
+    Lines land under (import_run_id, pay_year) partitions written with dynamic
+    partition overwrite: other runs are untouched, and re-running the same run
+    after a failure replaces its own partitions instead of duplicating lines."""
     (df.withColumn("import_run_id", F.lit(run_id))
-     .write.mode("append").partitionBy("pay_year").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("import_run_id", "pay_year").parquet(path))
 
 
 def write_ledger(df: DataFrame, path: str, mode: str = "overwrite") -> None:
