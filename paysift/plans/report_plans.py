@@ -538,3 +538,26 @@ FROM stg_lines GROUP BY source_file
 """)
 def f62f(spark, sf):
     return R.file_summary(fx.stg_lines(spark, sf))
+
+
+@query("f47_report_summary_formatted", """
+SELECT date_paie, indicateur,
+  CASE WHEN indicateur = 'Nb employés' THEN replace(format('{:,}', CAST(valeur AS BIGINT)), ',', '\u202f')
+       ELSE (CASE WHEN valeur < 0 THEN '-' ELSE '' END) || replace(format('{:,.2f}', abs(valeur)), ',', ' ') || ' $'
+  END AS valeur_affichee
+FROM (SELECT date_paie, indicateur, valeur FROM (
+  SELECT date_paie, CAST(_n AS DOUBLE)/100.0 AS a, CAST(_n - _d AS DOUBLE)/100.0 AS b, CAST(_d AS DOUBLE)/100.0 AS c,
+    CAST(_e AS DOUBLE) AS d, (CAST(_n AS DOUBLE)/100.0) / nullif(_e, 0) AS e
+  FROM (SELECT date_paie, CAST(sum(montant_employe) AS BIGINT) AS _n,
+          CAST(sum(CASE WHEN montant_employe < 0 THEN montant_employe ELSE 0 END) AS BIGINT) AS _d,
+          count(DISTINCT matricule) AS _e FROM canon GROUP BY 1) x) y
+  UNPIVOT INCLUDE NULLS (valeur FOR indicateur IN (a AS 'Net total', b AS 'Brut total', c AS 'Déductions',
+    d AS 'Nb employés', e AS 'Net moyen'))) z
+""", ctes=CANON_CTE)
+def f47f(spark, sf):
+    from pyspark.sql import functions as F
+    from paysift.functions.formatting import money_fr, number_fr
+    s = R.report_summary(canon(spark, sf))
+    return s.select("date_paie", "indicateur",
+                    F.when(F.col("indicateur") == "Nb employés", number_fr("valeur"))
+                    .otherwise(money_fr("valeur")).alias("valeur_affichee"))

@@ -92,3 +92,10 @@ def test_business_key_matches_md5_of_parts(spark):
                                "d date, m string, c string, p string, a long, e long")
     got = df.select(business_key("d", "m", "c", F.coalesce("p", F.lit("N/A")), "a", "e")).first()[0]
     assert got == hashlib.md5(b"2025-08-28|1001|SAL|N/A|500000|75000").hexdigest()
+
+
+def test_display_formats(spark):
+    from paysift.functions.formatting import money_fr, number_fr, percent_fr
+    df = spark.createDataFrame([(1234.56, 1234567, 12.345), (-0.5, 12, 0.0)], "m double, n long, p double")
+    got = [tuple(r) for r in df.select(money_fr("m"), number_fr("n"), percent_fr("p")).collect()]
+    assert got == [("1 234.56 $", "1\u202f234\u202f567", "12.3%"), ("-0.50 $", "12", "0.0%")]
