@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paysift.session import checkpoint_dir
+from paysift.session import checkpoint_dir, shuffle_partitions
 
 INDEX_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
@@ -33,7 +33,7 @@ def with_row_no(df: DataFrame, order_cols: list[str], name: str = "row_no",
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or shuffle_partitions(spark)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()

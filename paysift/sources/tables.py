@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paysift.session import shuffle_partitions
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -20,7 +22,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_partitions(spark)
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
