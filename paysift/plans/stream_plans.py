@@ -63,3 +63,15 @@ def m03(spark, sf):
     M.stream_kpi(spark, src, schema, fx.periods(spark, sf), out, ck)
     return M.latest_kpi(spark, out)
 
+
+
+@query("m03_stream_kpi_month", """
+SELECT strftime(l.pay_date, '%Y-%m') AS mois, CAST(sum(l.amount_cents) AS BIGINT) AS net_cents, count(*) AS n_lines
+FROM stg_lines l JOIN periods p ON p.pay_date = l.pay_date AND p.status = 'ouverte'
+GROUP BY 1
+""")
+def m03m(spark, sf):
+    src, schema = _staging_files(spark, sf)
+    out, ck = work_dir(spark, "m3m-out"), work_dir(spark, "m3m-ckpt")
+    M.stream_kpi_month(spark, src, schema, fx.periods(spark, sf), out, ck)
+    return M.latest_kpi(spark, out).withColumnRenamed("pay_date", "mois")

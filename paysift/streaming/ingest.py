@@ -107,6 +107,31 @@ def stream_kpi(spark: SparkSession, source: str, schema: T.StructType, periods:
     return q
 
 
+def stream_kpi_month(spark: SparkSession, source: str, schema: T.StructType, periods: DataFrame, out: str,
+                     checkpoint: str, delay: str = "3650 days", max_files: int = 64):
+    """M3: calendar-month totals of lines in open periods (update mode, epoch-keyed sink).
+
+    The watermark is declared on the month-start column that is also the
+    grouping key, so state for months older than the watermark is evicted."""
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    gated = s.filter(F.col("pay_date").isNotNull()).join(
+        F.broadcast(periods.filter(F.col("status") == OPEN_STATUS).select("pay_date")), "pay_date", "left_semi")
+    agg = (gated.withColumn("month_start", F.date_trunc("month", F.col("pay_date").cast("timestamp")))
+           .withWatermark("month_start", delay)
+           .groupBy("month_start")
+           .agg(F.date_format(F.min("pay_date"), "yyyy-MM").alias("mois"), F.sum("amount_cents").alias("net_cents"),
+                F.count(F.lit(1)).alias("n_lines")))
+
+    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+        (batch.select(F.col("mois").alias("pay_date"), "net_cents", "n_lines", F.lit(epoch_id).alias("epoch"))
+         .write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}"))
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(write_epoch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
 def latest_kpi(spark: SparkSession, out: str) -> DataFrame:
     """M3 read side: the latest value of every window across epochs (``max_by`` on the epoch)."""
     r = spark.read.parquet(out)
