@@ -58,20 +58,30 @@ def with_file_row_no(df: DataFrame, file_col: str = "source_file", order_col: st
             .drop("_g", "_first"))
 
 
-def canonical_lines(tx: DataFrame, codes: DataFrame, emp: DataFrame) -> DataFrame:
-    """canonical lines (ledger + code label + employee attributes), cents kept."""
+EMPLOYEE_ATTRS = ["matricule", "nom_employe", "categorie_emploi", "titre_emploi", "statut"]
+
+
+def canonical_lines(tx: DataFrame, codes: DataFrame, emp: DataFrame | None) -> DataFrame:
+    """canonical lines (ledger + code label + employee attributes), cents kept.
+
+    With ``emp=None`` the employee attributes are left out and no join with the
+    employee table happens. Catalyst cannot drop an unused LEFT JOIN (it does not
+    know the employee key is unique), and at scale that join is a full shuffle
+    of the ledger, so views that never read employee attributes ask for the
+    employee-free lines."""
     c = F.broadcast(codes.select("pay_code", F.col("label").alias("description_code_paie")))
-    e = emp.select("employee_id", F.col("matricule_norm").alias("matricule"),
-                   F.col("nom_complet").alias("nom_employe"), "categorie_emploi", "titre_emploi",
-                   "statut")
-    return (tx.join(c, "pay_code", "left").join(e, "employee_id", "left")
-            .select("source_file", "source_row_no", F.col("pay_date").alias("date_paie"),
-                    "employee_id", "matricule", "nom_employe", "categorie_emploi", "titre_emploi",
-                    "statut", "categorie_paie", F.col("pay_code").alias("code_paie"),
-                    "description_code_paie", F.col("budget_post").alias("poste_budgetaire"),
-                    F.col("amount_cents").alias("montant_employe"),
-                    F.col("employer_cents").alias("part_employeur"),
-                    (F.col("amount_cents") + F.col("employer_cents")).alias("montant_combine")))
+    out = tx.join(c, "pay_code", "left")
+    attrs = []
+    if emp is not None:
+        e = emp.select("employee_id", F.col("matricule_norm").alias("matricule"),
+                       F.col("nom_complet").alias("nom_employe"), "categorie_emploi", "titre_emploi", "statut")
+        out = out.join(e, "employee_id", "left")
+        attrs = EMPLOYEE_ATTRS
+    return out.select("source_file", "source_row_no", F.col("pay_date").alias("date_paie"), "employee_id",
+                      *attrs, "categorie_paie", F.col("pay_code").alias("code_paie"), "description_code_paie",
+                      F.col("budget_post").alias("poste_budgetaire"), F.col("amount_cents").alias("montant_employe"),
+                      F.col("employer_cents").alias("part_employeur"),
+                      (F.col("amount_cents") + F.col("employer_cents")).alias("montant_combine"))
 
 
 def flag_lines(lines: DataFrame) -> DataFrame:

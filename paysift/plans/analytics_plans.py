@@ -30,6 +30,11 @@ def canon(spark, sf):
     return canonical_lines(fx.ledger(spark, sf), fx.codes(spark), fx.employees(spark, sf))
 
 
+def canon_lines(spark, sf):
+    """Canonical lines without employee attributes (no join with the employee table)."""
+    return canonical_lines(fx.ledger(spark, sf), fx.codes(spark), None)
+
+
 @query("f14_canonical_lines", """
 SELECT *, row_number() OVER (ORDER BY source_file, source_row_no) AS line_no FROM canon
 """, ctes=CANON_CTE)
@@ -45,7 +50,7 @@ SELECT date_paie, {usd('montant_combine')} AS total_combine,
 FROM canon GROUP BY date_paie
 """, ctes=CANON_CTE)
 def f15(spark, sf):
-    return an.pay_mass(canon(spark, sf))
+    return an.pay_mass(canon_lines(spark, sf))
 
 
 @query("f16_by_category_code", f"""
@@ -54,7 +59,7 @@ SELECT date_paie, categorie_paie, code_paie, {usd('montant_combine')} AS total_c
 FROM canon GROUP BY date_paie, categorie_paie, code_paie
 """, ctes=CANON_CTE)
 def f16(spark, sf):
-    return an.by_category_code(canon(spark, sf))
+    return an.by_category_code(canon_lines(spark, sf))
 
 
 @query("f17_by_post", f"""
@@ -65,7 +70,7 @@ SELECT date_paie, poste_budgetaire, {usd('montant_combine')} AS total_combine,
 FROM canon GROUP BY date_paie, poste_budgetaire
 """, ctes=CANON_CTE)
 def f17(spark, sf):
-    return an.by_post(canon(spark, sf))
+    return an.by_post(canon_lines(spark, sf))
 
 
 @query("f18_by_function", f"""
@@ -96,7 +101,7 @@ SELECT date_paie, code_paie, description_code_paie, categorie_paie, {usd('montan
 FROM canon GROUP BY date_paie, code_paie, description_code_paie, categorie_paie
 """, ctes=CANON_CTE)
 def f20(spark, sf):
-    return an.by_code(canon(spark, sf))
+    return an.by_code(canon_lines(spark, sf))
 
 
 @query("f21_overtime", f"""
@@ -106,7 +111,7 @@ WHERE r.famille = 'HS' OR (r.famille IS NULL AND l.categorie_paie ILIKE '%prime%
 GROUP BY date_paie, poste_budgetaire
 """, ctes=CANON_CTE + ",\n" + FAMILIES_CTE)
 def f21(spark, sf):
-    return an.overtime(canon(spark, sf), code_families(spark))
+    return an.overtime(canon_lines(spark, sf), code_families(spark))
 
 
 @query("f22_benefits", f"""
@@ -116,7 +121,7 @@ SELECT date_paie, code_paie, description_code_paie, {usd('part_employeur')} AS p
 FROM canon GROUP BY date_paie, code_paie, description_code_paie
 """, ctes=CANON_CTE)
 def f22(spark, sf):
-    return an.benefits(canon(spark, sf))
+    return an.benefits(canon_lines(spark, sf))
 
 
 @query("f23_turnover", """
@@ -142,7 +147,7 @@ SELECT date_paie,
 FROM canon GROUP BY date_paie
 """, ctes=CANON_CTE)
 def f24(spark, sf):
-    return an.contributions(canon(spark, sf))
+    return an.contributions(canon_lines(spark, sf))
 
 
 @query("f25_monthly_summary", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from paysift.operators import reports as R
 from paysift.sources import fixtures as fx
 
-from .analytics_plans import CANON_CTE, canon
+from .analytics_plans import CANON_CTE, canon, canon_lines
 from .catalog import query
 
 INACTIVE = "coalesce(nom_employe = upper(nom_employe) AND regexp_matches(nom_employe, '[A-Za-z]'), false)"
@@ -204,13 +204,13 @@ dl_{dim} AS (
 @query("f43_compare_periods_code", "SELECT * FROM dl_code_paie",
        ctes=CANON_CTE + ",\n" + _deltas_sql("code_paie"))
 def f43(spark, sf):
-    return R.period_deltas_by(canon(spark, sf), "code_paie")
+    return R.period_deltas_by(canon_lines(spark, sf), "code_paie")
 
 
 @query("f43_compare_periods_post", "SELECT * FROM dl_poste_budgetaire",
        ctes=CANON_CTE + ",\n" + _deltas_sql("poste_budgetaire"))
 def f43p(spark, sf):
-    return R.period_deltas_by(canon(spark, sf), "poste_budgetaire")
+    return R.period_deltas_by(canon_lines(spark, sf), "poste_budgetaire")
 
 
 @query("f43_top_movers", """
@@ -220,7 +220,7 @@ SELECT date_paie, code_paie, delta, ru <= 5 AS is_top_up, rd <= 5 AS is_top_down
 WHERE ru <= 5 OR rd <= 5
 """, ctes=CANON_CTE + ",\n" + _deltas_sql("code_paie"))
 def f43t(spark, sf):
-    return R.top_movers(R.period_deltas_by(canon(spark, sf), "code_paie"), "code_paie", 5)
+    return R.top_movers(R.period_deltas_by(canon_lines(spark, sf), "code_paie"), "code_paie", 5)
 
 
 @query("f44_period_stats", """
@@ -319,14 +319,14 @@ def f48(spark, sf):
 SELECT date_paie, code_paie, description_code_paie, CAST(sum(montant_employe) AS DOUBLE)/100.0 AS montant FROM canon GROUP BY 1, 2, 3
 """, ctes=CANON_CTE)
 def f49(spark, sf):
-    return R.report_by_code(canon(spark, sf))
+    return R.report_by_code(canon_lines(spark, sf))
 
 
 @query("f49_report_by_post", """
 SELECT date_paie, poste_budgetaire, CAST(sum(montant_employe) AS DOUBLE)/100.0 AS montant FROM canon GROUP BY 1, 2
 """, ctes=CANON_CTE)
 def f49p(spark, sf):
-    return R.report_by_post(canon(spark, sf))
+    return R.report_by_post(canon_lines(spark, sf))
 
 
 @query("f50_evolution", """
@@ -335,7 +335,7 @@ SELECT period, CAST(_n AS DOUBLE)/100.0 AS net_total FROM (
 ORDER BY period DESC LIMIT 12
 """, ctes=CANON_CTE)
 def f50(spark, sf):
-    return R.evolution(canon(spark, sf), 12)
+    return R.evolution(canon_lines(spark, sf), 12)
 
 
 @query("f51_dashboard_series", """
@@ -359,12 +359,12 @@ ORDER BY abs(_t) DESC, {d} LIMIT {n}"""
 
 @query("f52_top_codes", _top_sql(["code_paie", "description_code_paie"]), ctes=CANON_CTE)
 def f52c(spark, sf):
-    return R.top_by_abs(canon(spark, sf), ["code_paie", "description_code_paie"])
+    return R.top_by_abs(canon_lines(spark, sf), ["code_paie", "description_code_paie"])
 
 
 @query("f52_top_posts", _top_sql(["poste_budgetaire"]), ctes=CANON_CTE)
 def f52p(spark, sf):
-    return R.top_by_abs(canon(spark, sf), ["poste_budgetaire"])
+    return R.top_by_abs(canon_lines(spark, sf), ["poste_budgetaire"])
 
 
 @query("f52_top_employees", _top_sql(["matricule", "nom_employe"]), ctes=CANON_CTE)
@@ -378,7 +378,7 @@ SELECT categorie_paie, CAST(_t AS DOUBLE)/100.0 AS total FROM (
 ORDER BY _t DESC, categorie_paie LIMIT 8
 """, ctes=CANON_CTE)
 def f53(spark, sf):
-    return R.distribution(canon(spark, sf), "categorie_paie", 8)
+    return R.distribution(canon_lines(spark, sf), "categorie_paie", 8)
 
 
 @query("f53_distribution_description", """
@@ -387,7 +387,7 @@ SELECT description_code_paie, CAST(_t AS DOUBLE)/100.0 AS total FROM (
 ORDER BY _t DESC, description_code_paie NULLS FIRST LIMIT 10
 """, ctes=CANON_CTE)
 def f53d(spark, sf):
-    return R.distribution(canon(spark, sf), "description_code_paie", 10)
+    return R.distribution(canon_lines(spark, sf), "description_code_paie", 10)
 
 
 RET = "regexp_matches(lower(description_code_paie), 'retraite|rrq|reer|pension|401k|retirement')"
@@ -403,7 +403,7 @@ SELECT theme, coalesce(total, 0.0) AS total, round(coalesce(average, 0.0), 6) AS
   FROM canon WHERE {INV}) x
 """, ctes=CANON_CTE)
 def f54(spark, sf):
-    return R.keyword_totals(canon(spark, sf))
+    return R.keyword_totals(canon_lines(spark, sf))
 
 
 @query("f54_retirement_top_employees", f"""
@@ -422,7 +422,7 @@ FROM (SELECT poste_budgetaire, _s, CAST(round(_s * 110 / 100) AS BIGINT) AS _a F
   SELECT poste_budgetaire, CAST(abs(sum(montant_employe)) AS BIGINT) AS _s FROM canon GROUP BY 1) x) y
 """, ctes=CANON_CTE)
 def f55(spark, sf):
-    return R.budget_vs_actual(canon(spark, sf))
+    return R.budget_vs_actual(canon_lines(spark, sf))
 
 
 @query("f56_equity", """
@@ -494,7 +494,7 @@ FROM (SELECT CAST(date_paie AS VARCHAR) AS day, strftime(date_paie, '%Y-%m') AS
 GROUP BY GROUPING SETS ((day, categorie_paie), (month, categorie_paie), (year, categorie_paie))
 """, ctes=CANON_CTE)
 def f61(spark, sf):
-    return R.rollup_series(canon(spark, sf), "categorie_paie")
+    return R.rollup_series(canon_lines(spark, sf), "categorie_paie")
 
 
 @query("f62_batch_summary", """

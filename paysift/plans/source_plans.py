@@ -72,9 +72,9 @@ FROM canon GROUP BY date_paie
 """, ctes=CANON_CTE)
 def a08(spark, sf):
     from paysift.operators import analytics as an
-    from .analytics_plans import canon
+    from .analytics_plans import canon_lines
     path = SK.work_dir(spark, "report")
-    SK.write_report(an.pay_mass(canon(spark, sf)), path, "json")
+    SK.write_report(an.pay_mass(canon_lines(spark, sf)), path, "json")
     return spark.read.schema("date_paie date, total_combine double, gains double, deductions double, "
                              "part_employeur double").json(path)
 
@@ -228,6 +228,6 @@ FROM canon c LEFT JOIN (SELECT categorie, unnest(synonyms) AS syn FROM syn) s ON
 GROUP BY 1, 2, 3
 """, ctes=CANON_CTE + ",\n" + SYN_CTE)
 def a14s(spark, sf):
-    from .analytics_plans import canon
-    lines = PR.categorise(canon(spark, sf), "description_code_paie", PR.synonyms(spark))
+    from .analytics_plans import canon_lines
+    lines = PR.categorise(canon_lines(spark, sf), "description_code_paie", PR.synonyms(spark))
     return lines.groupBy("code_paie", "description_code_paie", "categorie").agg(F.count(F.lit(1)).alias("lignes"))
