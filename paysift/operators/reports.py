@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kpi import dollars, on_date
+from .topk import exact_quantiles
 
 # KPI-engine keywords, thresholds and codes.
 OVERTIME_KEYWORDS = ("heures sup", "overtime", "hs", "heure sup", "temps supp")
@@ -237,12 +238,15 @@ def top_movers(deltas: DataFrame, dim: str, n: int = 5) -> DataFrame:
 
 
 def period_stats(lines: DataFrame) -> DataFrame:
-    """per pay date: totals, headcount, mean and median net per employee (meta rows excluded)."""
+    """per pay date: totals, headcount, mean and median net per employee (meta rows excluded).
+
+    The median is exact and computed by ``exact_quantiles`` (no group in one task)."""
     tx = lines.filter(F.col("montant_combine") != 0)
     per_emp = tx.groupBy("date_paie", "matricule").agg(F.sum(_m()).alias("_net"))
-    emp_stats = per_emp.groupBy("date_paie").agg(
-        F.count(F.lit(1)).alias("nb_employes"), (F.avg("_net") / 100.0).alias("net_moyen"),
-        (F.percentile("_net", 0.5) / 100.0).alias("net_median"))
+    means = per_emp.groupBy("date_paie").agg((F.avg("_net") / 100.0).alias("net_moyen"))
+    med = exact_quantiles(per_emp, ["date_paie"], "_net", [0.5], tie="matricule")
+    emp_stats = means.join(med.select("date_paie", F.col("n").alias("nb_employes"),
+                                      (F.col("q_0") / 100.0).alias("net_median")), "date_paie")
     tot = tx.groupBy("date_paie").agg(F.sum(_m()).cast("long").alias("_n"),
                                       F.sum(F.when(_m() < 0, _m()).otherwise(0)).cast("long").alias("_d"))
     return tot.join(emp_stats, "date_paie").select(
@@ -412,9 +416,8 @@ def budget_vs_actual(lines: DataFrame, budget: DataFrame | None = None) -> DataF
 def equity(lines: DataFrame, by: str = "titre_emploi") -> DataFrame:
     """median, IQR and N of the per-employee net per ``by`` group."""
     per = lines.groupBy(by, "matricule").agg((F.sum(_m()) / 100.0).alias("_net"))
-    q = per.groupBy(by).agg(F.percentile("_net", [0.25, 0.5, 0.75]).alias("_q"), F.count(F.lit(1)).alias("n"))
-    return q.select(by, F.round(q["_q"][1], 6).alias("median"),
-                    F.round(q["_q"][2] - q["_q"][0], 6).alias("iqr"), "n")
+    q = exact_quantiles(per, [by], "_net", [0.25, 0.5, 0.75], tie="matricule")
+    return q.select(by, F.round("q_1", 6).alias("median"), F.round(F.col("q_2") - F.col("q_0"), 6).alias("iqr"), "n")
 
 
 def pay_frequency(dates: DataFrame, date_col: str = "pay_date") -> DataFrame:

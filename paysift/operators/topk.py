@@ -33,3 +33,37 @@ def bounded_list(df: DataFrame, keys: list[str], value: str, k: int, sep: str =
     if max_chars:
         agg = agg.withColumn(name or value, F.substring(name or value, 1, max_chars))
     return agg
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], tie: str | None = None) -> DataFrame:
+    """Exact quantiles per group with linear interpolation (``percentile`` / ``quantile_cont``),
+    without holding a group's values in one task.
+
+    Rows are numbered in (keys, value) order by the range-partitioned global
+    ordinal of ``with_row_no`` (a hot group is spread over many tasks); a small
+    per-group table gives each group's first ordinal and size, hence the two
+    ranks around ``q * (n - 1)``; the two bracketing values are fetched by an
+    equi join on (keys, rank). Output: keys..., ``q_<i>`` per quantile, ``n``."""
+    from .lines import with_row_no
+    order = [*keys, value] + ([tie] if tie else [])
+    if not tie:
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        order = [*keys, value, "_tie"]
+    numbered = with_row_no(df.select(*order), order, "_g")
+    bounds = numbered.groupBy(*keys).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("n"))
+    targets = []
+    for i, q in enumerate(qs):
+        pos = F.lit(q) * (F.col("n") - 1)
+        targets.append(F.struct(F.lit(i).alias("qi"), F.floor(pos).cast("long").alias("lo"),
+                                F.ceil(pos).cast("long").alias("hi"), (pos - F.floor(pos)).alias("frac")))
+    t = bounds.select(*keys, "_g0", "n", F.explode(F.array(*targets)).alias("t")).select(*keys, "_g0", "n", "t.*")
+    ranks = t.select(*keys, "qi", (F.col("_g0") + F.col("lo")).alias("_g")).unionByName(
+        t.select(*keys, "qi", (F.col("_g0") + F.col("hi")).alias("_g"))).distinct()
+    vals = ranks.join(numbered.select(*keys, "_g", F.col(value).alias("_v")), [*keys, "_g"])
+    lo = vals.withColumnRenamed("_g", "_glo").withColumnRenamed("_v", "_vlo")
+    hi = vals.withColumnRenamed("_g", "_ghi").withColumnRenamed("_v", "_vhi")
+    r = (t.withColumn("_glo", F.col("_g0") + F.col("lo")).withColumn("_ghi", F.col("_g0") + F.col("hi"))
+         .join(lo, [*keys, "qi", "_glo"]).join(hi, [*keys, "qi", "_ghi"]))
+    r = r.select(*keys, "n", "qi", (F.col("_vlo") + F.col("frac") * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
+    wide = r.groupBy(*keys, "n").pivot("qi", list(range(len(qs)))).agg(F.first("_q"))
+    return wide.select(*keys, "n", *[F.col(str(i)).alias(f"q_{i}") for i in range(len(qs))])

@@ -115,3 +115,20 @@ def test_stored_tables_give_same_results(spark, sf):
     finally:
         spark.conf.unset(WAREHOUSE_DIR)
         spark.conf.unset(WAREHOUSE_SOURCE)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(-1000, 1000)), min_size=1, max_size=60))
+def test_exact_quantiles_match_percentile(spark, pairs):
+    from paysift.operators.topk import exact_quantiles
+    rows = pairs + [(9, v) for v in range(200)]  # one hot group
+    df = spark.createDataFrame(rows, "g int, v long").withColumn("v", F.col("v").cast("double"))
+    ours = {r["g"]: (r["q_0"], r["q_1"], r["q_2"], r["n"]) for r in
+            exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75]).collect()}
+    ref = {r["g"]: (*r["p"], r["n"]) for r in
+           df.groupBy("g").agg(F.percentile("v", [0.25, 0.5, 0.75]).alias("p"), F.count("v").alias("n")).collect()}
+    assert ours.keys() == ref.keys()
+    for g in ref:
+        assert ours[g][3] == ref[g][3]
+        for a, b in zip(ours[g][:3], ref[g][:3]):
+            assert abs(a - b) <= 1e-9 * max(1.0, abs(b)), (g, ours[g], ref[g])
