@@ -61,19 +61,57 @@ def _alert(cur: Column, prev: Column, warn: float, crit: float) -> Column:
 
 # ---------------------------------------------------------------------------- F35-F40
 
-def monthly_kpis(lines: DataFrame) -> DataFrame:
-    """Per month: mass, net, deductions, active headcount, employer cost, mean cost, overtime."""
-    inactive = (F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")
+def attach_employee(per: DataFrame, emp: DataFrame) -> DataFrame:
+    """Employee number and name joined onto a per-employee aggregate (LEFT: unknown ids keep NULLs).
+
+    Report operators aggregate employee-free lines to (key, employee_id) first
+    and join the employee table only to that much smaller table."""
+    e = emp.select("employee_id", F.col("matricule_norm").alias("matricule"), F.col("nom_complet").alias("nom_employe"))
+    return per.join(e, "employee_id", "left")
+
+
+def _employee_counts(lines: DataFrame, emp: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Distinct employee numbers per ``keys`` (aggregate first when the lines carry no employee columns)."""
+    if emp is None:
+        return lines.groupBy(*keys).agg(F.countDistinct("matricule").alias("_e"))
+    per = lines.select(*keys, "employee_id").distinct()
+    return attach_employee(per, emp).groupBy(*keys).agg(F.countDistinct("matricule").alias("_e"))
+
+
+def _per_matricule(lines: DataFrame, emp: DataFrame | None, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` per (keys, employee number), aggregating per employee id before the join."""
+    if emp is None:
+        return lines.groupBy(*keys, "matricule").agg(F.sum(value).alias(name))
+    per = lines.groupBy(*keys, "employee_id").agg(F.sum(value).alias(name))
+    return attach_employee(per, emp).groupBy(*keys, "matricule").agg(F.sum(name).alias(name))
+
+
+
+def monthly_kpis(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
+    """Per month: mass, net, deductions, active headcount, employer cost, mean cost, overtime.
+
+    With ``emp``, ``lines`` carry no employee columns: sums are taken per
+    (month, employee id) first and the employee table is joined to that
+    aggregate, not to every line."""
     hs = _kw(F.col("code_paie"), OVERTIME_KEYWORDS)
-    return lines.groupBy(period_col().alias("period")).agg(
-        F.sum(F.when(_m() >= 0, _m()).otherwise(0)).cast("long").alias("masse_cents"),
-        F.sum(_m()).cast("long").alias("net_cents"),
-        F.sum(F.when(_m() < 0, _m()).otherwise(0)).cast("long").alias("ded_cents"),
-        F.sum("part_employeur").cast("long").alias("part_cents"),
+    sums = [F.sum(F.when(_m() >= 0, _m()).otherwise(0)).cast("long").alias("masse_cents"),
+            F.sum(_m()).cast("long").alias("net_cents"),
+            F.sum(F.when(_m() < 0, _m()).otherwise(0)).cast("long").alias("ded_cents"),
+            F.sum("part_employeur").cast("long").alias("part_cents"),
+            F.sum(F.when(hs, _m()).otherwise(0)).cast("long").alias("hs_cents"),
+            F.count_if(hs).alias("hs_lines")]
+    if emp is not None:
+        per = lines.groupBy(period_col().alias("period"), "employee_id").agg(*sums)
+        base, key = attach_employee(per, emp), F.col("period")
+        sums = [F.sum(c).cast("long").alias(c) for c in
+                ("masse_cents", "net_cents", "ded_cents", "part_cents", "hs_cents", "hs_lines")]
+    else:
+        base, key = lines, period_col().alias("period")
+    inactive = (F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")
+    return base.groupBy(key).agg(
+        *sums,
         F.countDistinct(F.when(~F.coalesce(inactive, F.lit(False)), F.col("matricule"))).alias("effectifs"),
-        F.countDistinct("matricule").alias("nb_employes"),
-        F.sum(F.when(hs, _m()).otherwise(0)).cast("long").alias("hs_cents"),
-        F.count_if(hs).alias("hs_lines"))
+        F.countDistinct("matricule").alias("nb_employes"))
 
 
 def _with_previous_month(m: DataFrame) -> DataFrame:
@@ -84,9 +122,9 @@ def _with_previous_month(m: DataFrame) -> DataFrame:
     return cur.join(F.broadcast(p), cur["_prev"] == p["p_period"], "left")
 
 
-def kpi_with_delta(lines: DataFrame) -> DataFrame:
+def kpi_with_delta(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """Each KPI per month with the previous calendar month, delta %, trend, alert."""
-    j = _with_previous_month(monthly_kpis(lines))
+    j = _with_previous_month(monthly_kpis(lines, emp))
 
     def usd(c):
         return F.col(c).cast("double") / 100.0
@@ -134,13 +172,17 @@ def kpi_with_delta(lines: DataFrame) -> DataFrame:
     return j.select("period", F.explode(rows).alias("k")).select("period", "k.*")
 
 
-def turnover_rate(lines: DataFrame) -> DataFrame:
+def turnover_rate(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """leavers / mean headcount vs the previous calendar month (10/15 % alerts).
 
     Employee presence is reduced to distinct (employee, month); a full outer
     join with the same set shifted by one month gives joiners and leavers.
     """
-    pres = lines.select(F.col("matricule").alias("emp"), period_col().alias("period")).distinct()
+    if emp is not None:  # distinct (employee id, month) first, then the employee number
+        ids = lines.select("employee_id", period_col().alias("period")).distinct()
+        pres = attach_employee(ids, emp).select(F.col("matricule").alias("emp"), "period").distinct()
+    else:
+        pres = lines.select(F.col("matricule").alias("emp"), period_col().alias("period")).distinct()
     shifted = pres.select("emp", F.date_format(F.add_months(F.to_date(F.concat("period", F.lit("-01"))), 1),
                                                "yyyy-MM").alias("period"), F.lit(True).alias("_was"))
     months = pres.select("period").distinct()
@@ -173,12 +215,12 @@ def kpi_alerts(deltas: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------- F41-F47
 
-def summary(lines: DataFrame) -> DataFrame:
+def summary(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """rows, employees, net without meta rows, % of employees with negative net."""
-    per_emp = lines.groupBy("matricule").agg(F.sum(_m()).alias("_net"))
+    per_emp = _per_matricule(lines, emp, [], _m(), "_net")
     neg = per_emp.agg(F.round(F.avg((F.col("_net") < NEG_NET_DOLLARS * 100).cast("double")) * 100.0, 6)
-                      .alias("neg_pct"))
-    tot = lines.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("matricule").alias("employees"),
+                      .alias("neg_pct"), F.countDistinct("matricule").alias("employees"))
+    tot = lines.agg(F.count(F.lit(1)).alias("rows"),
                     F.sum(F.when(F.col("montant_combine") != 0, _m()).otherwise(0)).cast("long").alias("_n"))
     return tot.crossJoin(neg).select("rows", "employees", dollars("_n").alias("net_total"), "neg_pct")
 
@@ -237,12 +279,12 @@ def top_movers(deltas: DataFrame, dim: str, n: int = 5) -> DataFrame:
         "date_paie", dim, "delta", (F.col("_u") <= n).alias("is_top_up"), (F.col("_d") <= n).alias("is_top_down"))
 
 
-def period_stats(lines: DataFrame) -> DataFrame:
+def period_stats(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """per pay date: totals, headcount, mean and median net per employee (meta rows excluded).
 
     The median is exact and computed by ``exact_quantiles`` (no group in one task)."""
     tx = lines.filter(F.col("montant_combine") != 0)
-    per_emp = tx.groupBy("date_paie", "matricule").agg(F.sum(_m()).alias("_net"))
+    per_emp = _per_matricule(tx, emp, ["date_paie"], _m(), "_net")
     means = per_emp.groupBy("date_paie").agg((F.avg("_net") / 100.0).alias("net_moyen"))
     med = exact_quantiles(per_emp, ["date_paie"], "_net", [0.5], tie="matricule")
     emp_stats = means.join(med.select("date_paie", F.col("n").alias("nb_employes"),
@@ -293,12 +335,12 @@ def anomaly_set(lines: DataFrame) -> DataFrame:
                            "changements_poste"])
 
 
-def period_tendency(lines: DataFrame) -> DataFrame:
+def period_tendency(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """each pay date vs the previous existing one: deltas, tendency (±100 $), %."""
     tx = lines.filter(F.col("montant_combine") != 0)
     per = tx.groupBy("date_paie").agg(F.sum(_m()).cast("long").alias("_n"),
-                                      F.sum(F.when(_m() < 0, _m()).otherwise(0)).cast("long").alias("_d"),
-                                      F.countDistinct("matricule").alias("_e"))
+                                      F.sum(F.when(_m() < 0, _m()).otherwise(0)).cast("long").alias("_d"))
+    per = per.join(_employee_counts(tx, emp, ["date_paie"]), "date_paie", "left")
     w = Window.orderBy("date_paie")
     p = per.select("date_paie", "_n", "_d", "_e", F.lag("date_paie").over(w).alias("period_precedente"),
                    F.lag("_n").over(w).alias("_pn"), F.lag("_d").over(w).alias("_pd"), F.lag("_e").over(w).alias("_pe"))
@@ -313,11 +355,11 @@ def period_tendency(lines: DataFrame) -> DataFrame:
         .otherwise(F.lit(0.0)).alias("pct_variation"))
 
 
-def report_summary(lines: DataFrame) -> DataFrame:
+def report_summary(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """month summary indicators per pay date, unpivoted (indicator, value)."""
     agg = lines.groupBy("date_paie").agg(F.sum(_m()).cast("long").alias("_n"),
-                                         F.sum(F.when(_m() < 0, _m()).otherwise(0)).cast("long").alias("_d"),
-                                         F.countDistinct("matricule").alias("_e"))
+                                         F.sum(F.when(_m() < 0, _m()).otherwise(0)).cast("long").alias("_d"))
+    agg = agg.join(_employee_counts(lines, emp, ["date_paie"]), "date_paie", "left")
     v = agg.select("date_paie", dollars("_n").alias("a"), dollars(F.col("_n") - F.col("_d")).alias("b"),
                    dollars("_d").alias("c"), F.col("_e").cast("double").alias("d"),
                    (dollars("_n") / F.nullif(F.col("_e"), F.lit(0))).alias("e"))

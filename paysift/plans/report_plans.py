@@ -84,7 +84,7 @@ DELTAS_CTE = MK_CTE + ",\ndeltas AS (\n" + DELTAS_SQL + ")"
 
 
 def deltas(spark, sf):
-    return R.kpi_with_delta(canon(spark, sf))
+    return R.kpi_with_delta(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f35_kpi_with_delta", "SELECT * FROM deltas", ctes=DELTAS_CTE)
@@ -134,7 +134,7 @@ FROM (
 WHERE n_previous > 0
 """, ctes=CANON_CTE)
 def f38(spark, sf):
-    return R.turnover_rate(canon(spark, sf))
+    return R.turnover_rate(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f40_kpi_history", """
@@ -158,7 +158,7 @@ SELECT rows, employees, CAST(_n AS DOUBLE)/100.0 AS net_total, neg_pct FROM
    FROM (SELECT matricule, sum(montant_employe) AS _net FROM canon GROUP BY matricule) e) n
 """, ctes=CANON_CTE)
 def f41(spark, sf):
-    return R.summary(canon(spark, sf))
+    return R.summary(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 NEG_SQL = """SELECT date_paie, matricule, CAST(_net AS DOUBLE)/100.0 AS net FROM (
@@ -235,7 +235,7 @@ JOIN (SELECT date_paie, count(*) AS nb_employes, avg(_net) / 100.0 AS net_moyen,
       GROUP BY 1) s ON s.date_paie = t.date_paie
 """, ctes=CANON_CTE)
 def f44(spark, sf):
-    return R.period_stats(canon(spark, sf))
+    return R.period_stats(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 ANOM_CTE = CANON_CTE + f""",
@@ -282,7 +282,7 @@ FROM (SELECT *, lag(date_paie) OVER w AS period_precedente, lag(_n) OVER w AS _p
 WHERE period_precedente IS NOT NULL
 """, ctes=CANON_CTE)
 def f46(spark, sf):
-    return R.period_tendency(canon(spark, sf))
+    return R.period_tendency(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f47_report_summary", """
@@ -296,7 +296,7 @@ UNPIVOT INCLUDE NULLS (valeur FOR indicateur IN (a AS 'Net total', b AS 'Brut to
   e AS 'Net moyen'))
 """, ctes=CANON_CTE)
 def f47(spark, sf):
-    return R.report_summary(canon(spark, sf))
+    return R.report_summary(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 def _cat_sum(c):
@@ -557,7 +557,7 @@ FROM (SELECT date_paie, indicateur, valeur FROM (
 def f47f(spark, sf):
     from pyspark.sql import functions as F
     from paysift.functions.formatting import money_fr, number_fr
-    s = R.report_summary(canon(spark, sf))
+    s = R.report_summary(canon_lines(spark, sf), fx.employees(spark, sf))
     return s.select("date_paie", "indicateur",
                     F.when(F.col("indicateur") == "Nb employés", number_fr("valeur"))
                     .otherwise(money_fr("valeur")).alias("valeur_affichee"))
