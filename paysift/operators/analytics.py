@@ -49,6 +49,16 @@ def _is_deduction() -> Column:
     return fold(F.col("categorie_paie")).like(DEDUCTION_PREFIX)
 
 
+EMPLOYEE_SOURCE = {"matricule": "matricule_norm", "nom_employe": "nom_complet", "categorie_emploi": "categorie_emploi",
+                   "titre_emploi": "titre_emploi", "statut": "statut"}
+
+
+def attach_attrs(per: DataFrame, emp: DataFrame, attrs: list[str]) -> DataFrame:
+    """Employee attributes (canonical-line names) joined onto a per-employee-id aggregate."""
+    e = emp.select("employee_id", *[F.col(EMPLOYEE_SOURCE[a]).alias(a) for a in attrs])
+    return per.join(e, "employee_id", "left")
+
+
 def pay_mass(lines: DataFrame) -> DataFrame:
     """pay mass per date: combined total, gains, deductions, employer share."""
     agg = lines.groupBy("date_paie").agg(
@@ -79,24 +89,40 @@ def by_post(lines: DataFrame) -> DataFrame:
                       dollars("_d").alias("deductions"))
 
 
-def by_function(lines: DataFrame) -> DataFrame:
-    """totals and headcount per date, job category and job title."""
+def by_function(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
+    """totals and headcount per date, job category and job title.
+
+    With ``emp`` (employee-free lines), sums are taken per (date, employee id)
+    before the employee attributes are joined."""
+    if emp is not None:
+        per = lines.groupBy("date_paie", "employee_id").agg(F.sum("montant_combine").cast("long").alias("_c"))
+        lines = attach_attrs(per, emp, ["matricule", "categorie_emploi", "titre_emploi"])
+        total = F.sum("_c")
+    else:
+        total = F.sum("montant_combine")
     agg = lines.groupBy("date_paie", "categorie_emploi", "titre_emploi").agg(
-        F.sum("montant_combine").cast("long").alias("_comb"),
-        F.countDistinct("matricule").alias("nb_employes"))
+        total.cast("long").alias("_comb"), F.countDistinct("matricule").alias("nb_employes"))
     return agg.select("date_paie", "categorie_emploi", "titre_emploi", dollars("_comb").alias("total_combine"),
                       "nb_employes")
 
 
-def by_employee(lines: DataFrame) -> DataFrame:
-    """totals per date and employee with representative attributes (max of non-blank)."""
+def by_employee(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
+    """totals per date and employee with representative attributes (max of non-blank).
+
+    With ``emp`` (employee-free lines), sums are taken per (date, employee id)
+    before the employee attributes are joined."""
     def rep(c):
         return F.max(F.nullif(F.trim(F.col(c)), F.lit(""))).alias(c)
+    parts = {"_comb": F.sum("montant_combine"), "_g": _s(_is_gain(), "montant_employe"),
+             "_d": _s(_is_deduction(), "montant_employe"), "_er": F.sum("part_employeur"),
+             "lignes": F.count(F.lit(1))}
+    if emp is not None:
+        per = lines.groupBy("date_paie", "employee_id").agg(*[e.cast("long").alias(k) for k, e in parts.items()])
+        lines = attach_attrs(per, emp, ["matricule", "nom_employe", "categorie_emploi", "titre_emploi"])
+        parts = {k: F.sum(k) for k in parts}
     agg = lines.groupBy("date_paie", "matricule").agg(
         rep("nom_employe"), rep("categorie_emploi"), rep("titre_emploi"),
-        F.sum("montant_combine").cast("long").alias("_comb"),
-        _s(_is_gain(), "montant_employe").alias("_g"), _s(_is_deduction(), "montant_employe").alias("_d"),
-        F.sum("part_employeur").cast("long").alias("_er"), F.count(F.lit(1)).alias("lignes"))
+        *[e.cast("long").alias(k) for k, e in parts.items()])
     return agg.select("date_paie", "matricule", "nom_employe", "categorie_emploi", "titre_emploi",
                       dollars("_comb").alias("total_combine"), dollars("_g").alias("gains"),
                       dollars("_d").alias("deductions"), dollars("_er").alias("part_employeur"), "lignes")

@@ -368,10 +368,18 @@ def report_summary(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
         "AS (indicateur, valeur)"))
 
 
-def report_employee_pivot(lines: DataFrame) -> DataFrame:
-    """employee x pay category pivot (fixed category list), deductions negative, net."""
-    p = lines.groupBy("date_paie", "matricule", "nom_employe").pivot("categorie_paie", list(PIVOT_CATEGORIES)) \
-        .agg(F.sum(_m()).cast("long"))
+def report_employee_pivot(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
+    """employee x pay category pivot (fixed category list), deductions negative, net.
+
+    With ``emp`` (employee-free lines), sums are taken per (date, employee id,
+    category) before the employee number and name are joined."""
+    if emp is not None:
+        per = lines.groupBy("date_paie", "employee_id", "categorie_paie").agg(F.sum(_m()).cast("long").alias("_s"))
+        base, val = attach_employee(per, emp), F.col("_s")
+    else:
+        base, val = lines, _m()
+    p = base.groupBy("date_paie", "matricule", "nom_employe").pivot("categorie_paie", list(PIVOT_CATEGORIES)) \
+        .agg(F.sum(val).cast("long"))
     p = p.na.fill(0, list(PIVOT_CATEGORIES))
     out = p.select("date_paie", "matricule", "nom_employe",
                    *[(dollars(F.col(c)) if c not in ("Deductions", "Assurances") else -F.abs(dollars(F.col(c))))
@@ -455,9 +463,18 @@ def budget_vs_actual(lines: DataFrame, budget: DataFrame | None = None) -> DataF
                         dollars(F.col("_a") - F.col("_s")).alias("variance"))
 
 
-def equity(lines: DataFrame, by: str = "titre_emploi") -> DataFrame:
-    """median, IQR and N of the per-employee net per ``by`` group."""
-    per = lines.groupBy(by, "matricule").agg((F.sum(_m()) / 100.0).alias("_net"))
+def equity(lines: DataFrame, by: str = "titre_emploi", emp: DataFrame | None = None) -> DataFrame:
+    """median, IQR and N of the per-employee net per ``by`` group (exact quantiles).
+
+    With ``emp`` (employee-free lines), nets are summed per employee id before
+    the employee attributes are joined."""
+    if emp is not None:
+        from .analytics import attach_attrs
+        per_id = lines.groupBy("employee_id").agg(F.sum(_m()).cast("long").alias("_c"))
+        per = attach_attrs(per_id, emp, ["matricule", by]).groupBy(by, "matricule").agg(
+            (F.sum("_c") / 100.0).alias("_net"))
+    else:
+        per = lines.groupBy(by, "matricule").agg((F.sum(_m()) / 100.0).alias("_net"))
     q = exact_quantiles(per, [by], "_net", [0.25, 0.5, 0.75], tie="matricule")
     return q.select(by, F.round("q_1", 6).alias("median"), F.round(F.col("q_2") - F.col("q_0"), 6).alias("iqr"), "n")
 

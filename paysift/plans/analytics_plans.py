@@ -79,7 +79,7 @@ SELECT date_paie, categorie_emploi, titre_emploi, {usd('montant_combine')} AS to
 FROM canon GROUP BY date_paie, categorie_emploi, titre_emploi
 """, ctes=CANON_CTE)
 def f18(spark, sf):
-    return an.by_function(canon(spark, sf))
+    return an.by_function(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f19_by_employee", f"""
@@ -92,7 +92,7 @@ SELECT date_paie, matricule, max(nullif(trim(nom_employe), '')) AS nom_employe,
 FROM canon GROUP BY date_paie, matricule
 """, ctes=CANON_CTE)
 def f19(spark, sf):
-    return an.by_employee(canon(spark, sf))
+    return an.by_employee(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f20_by_code", f"""

@@ -312,7 +312,7 @@ FROM (SELECT date_paie, matricule, nom_employe, {_cat_sum('Gains')} AS g, {_cat_
       FROM canon GROUP BY 1, 2, 3) x
 """, ctes=CANON_CTE)
 def f48(spark, sf):
-    return R.report_employee_pivot(canon(spark, sf))
+    return R.report_employee_pivot(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f49_report_by_code", """
@@ -431,7 +431,7 @@ SELECT titre_emploi, round(quantile_cont(_net, 0.5), 6) AS median,
 FROM (SELECT titre_emploi, matricule, sum(montant_employe) / 100.0 AS _net FROM canon GROUP BY 1, 2) x GROUP BY 1
 """, ctes=CANON_CTE)
 def f56(spark, sf):
-    return R.equity(canon(spark, sf))
+    return R.equity(canon_lines(spark, sf), emp=fx.employees(spark, sf))
 
 
 @query("f57_pay_frequency", """
