@@ -158,13 +158,16 @@ def benefits(lines: DataFrame) -> DataFrame:
                       dollars("_ret").alias("retenu_employe"), dollars("_comb").alias("total_combine"))
 
 
-def turnover(lines: DataFrame) -> DataFrame:
+def turnover(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """entry (first date) and exit (last date) rows per employee (X21: right-censored).
 
     Lines are reduced to distinct (employee, date, name, post); the bounds per
     employee are aggregated from that same set and joined back once on the
     employee (both sides share the employee partitioning; AQE splits a hot key);
     each row then yields an entry and/or an exit."""
+    if emp is not None:  # distinct (employee id, date, post) first, then number and name
+        ids = lines.select("employee_id", "date_paie", "poste_budgetaire").distinct()
+        lines = attach_attrs(ids, emp, ["matricule", "nom_employe"])
     d = lines.select("matricule", "date_paie", "nom_employe", "poste_budgetaire").distinct()
     bounds = d.groupBy("matricule").agg(F.min("date_paie").alias("first_date"),
                                         F.max("date_paie").alias("last_date"))

@@ -225,28 +225,38 @@ def summary(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     return tot.crossJoin(neg).select("rows", "employees", dollars("_n").alias("net_total"), "neg_pct")
 
 
-def negative_nets(lines: DataFrame, key: str = "date_paie") -> DataFrame:
+def negative_nets(lines: DataFrame, key: str = "date_paie", emp: DataFrame | None = None) -> DataFrame:
     """Per period and employee with net < -0.01 $ (X17 reading 1)."""
-    per = lines.groupBy(key, "matricule").agg(F.sum(_m()).cast("long").alias("_net"))
-    return per.filter(F.col("_net") < -1).select(key, "matricule", dollars("_net").alias("net"))
+    per = _per_matricule(lines, emp, [key], _m(), "_net")
+    return per.filter(F.col("_net") < -1).select(key, "matricule", dollars(F.col("_net").cast("long")).alias("net"))
 
 
-def audit_findings(lines: DataFrame) -> DataFrame:
+def _names_by_date(lines: DataFrame, emp: DataFrame | None) -> DataFrame:
+    """Distinct (date, employee name); per employee id first when the lines carry no employee columns."""
+    if emp is None:
+        return lines.select("date_paie", "nom_employe").distinct()
+    ids = lines.select("date_paie", "employee_id").distinct()
+    return attach_employee(ids, emp).select("date_paie", "nom_employe").distinct()
+
+
+def audit_findings(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """findings per pay date: negative nets, upper-case names, sensitive codes."""
-    neg = negative_nets(lines).groupBy("date_paie").agg(F.count(F.lit(1)).alias("n")) \
+    neg = negative_nets(lines, emp=emp).groupBy("date_paie").agg(F.count(F.lit(1)).alias("n")) \
         .withColumn("rule", F.lit("nets_negatifs"))
-    upper = lines.filter((F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")) \
+    upper = _names_by_date(lines, emp).filter(
+        (F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")) \
         .groupBy("date_paie").agg(F.countDistinct("nom_employe").alias("n")).withColumn("rule", F.lit("noms_majuscules"))
     sens = lines.filter(F.trim("code_paie").isin(*SENSITIVE_CODES)).groupBy("date_paie") \
         .agg(F.countDistinct("code_paie").alias("n")).withColumn("rule", F.lit("codes_sensibles"))
     return neg.unionByName(upper).unionByName(sens).select("date_paie", "rule", "n")
 
 
-def anomalies(lines: DataFrame) -> DataFrame:
+def anomalies(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """anomaly rows of the three detectors, one table (X18: always the union)."""
-    neg = negative_nets(lines).select("date_paie", F.lit("Net négatif").alias("type"),
+    neg = negative_nets(lines, emp=emp).select("date_paie", F.lit("Net négatif").alias("type"),
                                       F.col("matricule").alias("employe"), "net")
-    upper = lines.filter((F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")) \
+    upper = _names_by_date(lines, emp).filter(
+        (F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")) \
         .select("date_paie", F.lit("Nom en MAJUSCULES").alias("type"), F.col("nom_employe").alias("employe")).distinct()
     sens = lines.filter(F.trim("code_paie").isin(*SENSITIVE_CODES)) \
         .select("date_paie", F.lit("Code sensible").alias("type"), F.col("code_paie").alias("code")).distinct()

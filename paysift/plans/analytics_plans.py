@@ -137,7 +137,7 @@ SELECT * FROM (
   WHERE date_paie = last_date) u
 """, ctes=CANON_CTE)
 def f23(spark, sf):
-    return an.turnover(canon(spark, sf))
+    return an.turnover(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f24_contributions", f"""

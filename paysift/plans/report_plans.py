@@ -173,7 +173,7 @@ UNION ALL SELECT date_paie, 'noms_majuscules', count(DISTINCT nom_employe) FROM
 UNION ALL SELECT date_paie, 'codes_sensibles', count(DISTINCT code_paie) FROM canon WHERE {SENS_SQL} GROUP BY 1
 """, ctes=CANON_CTE)
 def f42(spark, sf):
-    return R.audit_findings(canon(spark, sf))
+    return R.audit_findings(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f42_anomalies", f"""
@@ -184,7 +184,7 @@ UNION ALL SELECT DISTINCT date_paie, 'Code sensible', CAST(NULL AS VARCHAR), CAS
   FROM canon WHERE {SENS_SQL}
 """, ctes=CANON_CTE)
 def f42a(spark, sf):
-    return R.anomalies(canon(spark, sf))
+    return R.anomalies(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 def _deltas_sql(dim):
