@@ -307,42 +307,51 @@ def period_stats(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
         F.round("net_median", 6).alias("net_median"))
 
 
-def anomaly_set(lines: DataFrame) -> DataFrame:
+def anomaly_set(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """per month: negative nets, inactive with gains, sensitive codes, new codes, post changes.
 
     New code = a code seen in this month and in no other month. Post change
     = the employee's first post this month differs from the last post of the
     other months (``min_by``/``max_by`` on the row order, not pandas order).
-    """
+    With ``emp`` (employee-free lines) every per-employee quantity is first
+    computed per (month, employee id) and merged per employee number after the
+    join with the employee table."""
     lp = lines.withColumn("period", period_col()).filter(F.col("montant_combine") != 0)
     order = F.struct("date_paie", "source_row_no")
-    neg = lp.groupBy("period", "matricule").agg(F.sum(_m()).alias("_n")).filter(F.col("_n") < -1) \
-        .groupBy("period").agg(F.count(F.lit(1)).alias("nets_negatifs"))
+    gain_line = (F.lower("categorie_paie") == "gains") & (_m() > 0)
+    per_aggs = [F.sum(_m()).alias("_n"), F.min(order).alias("_fk"), F.min_by("poste_budgetaire", order).alias("_first"),
+                F.max(order).alias("_lk"), F.max_by("poste_budgetaire", order).alias("_last"),
+                F.max(gain_line.cast("int")).alias("_gain")]
+    if emp is not None:
+        ids = lp.groupBy("period", "employee_id").agg(*per_aggs)
+        per = attach_employee(ids, emp).groupBy("period", "matricule").agg(
+            F.sum("_n").alias("_n"), F.min("_fk").alias("_fk"), F.min_by("_first", "_fk").alias("_first"),
+            F.max("_lk").alias("_lk"), F.max_by("_last", "_lk").alias("_last"))
+        gainers = attach_employee(ids.filter(F.col("_gain") == 1), emp).select("period", "nom_employe")
+    else:
+        per = lp.groupBy("period", "matricule").agg(*per_aggs)
+        gainers = lp.filter(gain_line).select("period", "nom_employe")
+    neg = per.filter(F.col("_n") < -1).groupBy("period").agg(F.count(F.lit(1)).alias("nets_negatifs"))
     inactive = (F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")
-    # one aggregate gives every month and both per-month distinct counts
+    inact = gainers.filter(inactive).groupBy("period").agg(F.countDistinct("nom_employe").alias("inactifs_avec_gains"))
+    # one aggregate gives every month and the distinct sensitive codes
     months = lp.groupBy("period").agg(
-        F.countDistinct(F.when(inactive & (F.lower("categorie_paie") == "gains") & (_m() > 0),
-                               F.col("nom_employe"))).alias("inactifs_avec_gains"),
         F.countDistinct(F.when(F.trim("code_paie").isin(*SENSITIVE_CODES), F.col("code_paie")))
         .alias("codes_sensibles"))
     code_months = lp.select(F.trim("code_paie").alias("c"), "period").distinct()
     single = code_months.groupBy("c").agg(F.count(F.lit(1)).alias("_k"), F.first("period").alias("period")) \
         .filter(F.col("_k") == 1)
     new_codes = single.groupBy("period").agg(F.count(F.lit(1)).alias("nouveaux_codes"))
-    per = lp.groupBy("matricule", "period").agg(
-        F.min_by("poste_budgetaire", order).alias("_first"), F.max_by("poste_budgetaire", order).alias("_last"),
-        F.max(order).alias("_lk"))
     w = Window.partitionBy("matricule").orderBy(F.desc("_lk"))
+    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = per.withColumn("_rk", F.row_number().over(w)) \
-        .withColumn("_top", F.first("_last").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) \
-        .withColumn("_second", F.nth_value("_last", 2).over(w.rowsBetween(Window.unboundedPreceding,
-                                                                            Window.unboundedFollowing)))
+        .withColumn("_top", F.first("_last").over(full)).withColumn("_second", F.nth_value("_last", 2).over(full))
     other_last = F.when(F.col("_rk") == 1, F.col("_second")).otherwise(F.col("_top"))
     changes = ranked.filter(other_last.isNotNull() & (F.col("_first") != other_last)) \
         .groupBy("period").agg(F.count(F.lit(1)).alias("changements_poste"))
-    out = reduce(lambda a, b: a.join(b, "period", "left"), [months, neg, new_codes, changes])
-    return out.na.fill(0, ["nets_negatifs", "inactifs_avec_gains", "codes_sensibles", "nouveaux_codes",
-                           "changements_poste"])
+    out = reduce(lambda a, b: a.join(b, "period", "left"), [months, neg, inact, new_codes, changes])
+    cols = ["period", "nets_negatifs", "inactifs_avec_gains", "codes_sensibles", "nouveaux_codes", "changements_poste"]
+    return out.na.fill(0, cols[1:]).select(*cols)
 
 
 def period_tendency(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:

@@ -266,7 +266,7 @@ FROM (SELECT DISTINCT period FROM lp) m LEFT JOIN a_neg USING (period) LEFT JOIN
   LEFT JOIN a_sens USING (period) LEFT JOIN a_new USING (period) LEFT JOIN a_chg USING (period)
 """, ctes=ANOM_CTE)
 def f45(spark, sf):
-    return R.anomaly_set(canon(spark, sf))
+    return R.anomaly_set(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
 @query("f46_period_tendency", """
