@@ -66,7 +66,7 @@ def mask_profile(vc: DataFrame, allow: tuple[str, ...] = ("A", "9")) -> DataFram
     dom = masks.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return dom.join(tot, "column").select(
         "column", "mask", "n_mask", "n", F.round(F.col("n_mask") / F.col("n"), 6).alias("coverage"),
-        F.round(1 - F.col("n_mask") / F.col("n"), 6).alias("noise"), F.length("mask").alias("mask_len"))
+        F.round(1 - F.col("n_mask") / F.col("n"), 6).alias("noise"), F.length("mask").cast("long").alias("mask_len"))
 
 
 def column_profile(vc: DataFrame, patterns: dict[str, str] | None = None,

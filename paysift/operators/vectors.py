@@ -35,7 +35,7 @@ def chunk(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     title = F.when(F.col("n_chunks") > 1, F.format_string("%s [part %d/%d]", F.col("_title"), F.col("_i") + 1,
                                                            F.col("n_chunks"))).otherwise(F.col("_title"))
     return ex.select("doc_id", F.col("_title").cast("string").alias("path"), title.alias("title"), "kind",
-                     (F.col("_i") + 1).alias("chunk_no"), "n_chunks",
+                     (F.col("_i") + 1).cast("long").alias("chunk_no"), F.col("n_chunks").cast("long").alias("n_chunks"),
                      F.substring("_t", F.col("_s") + 1, F.lit(size)).alias("content"))
 
 

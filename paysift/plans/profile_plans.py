@@ -91,7 +91,7 @@ def profile(spark, sf):
 
 
 @query("c01_mask_profile", f"""
-SELECT "column", mask, n_mask, n, round(n_mask / n, 6) AS coverage, round(1 - n_mask / n, 6) AS noise,
+SELECT "column", mask, CAST(n_mask AS BIGINT) AS n_mask, CAST(n AS BIGINT) AS n, round(n_mask / n, 6) AS coverage, round(1 - n_mask / n, 6) AS noise,
   length(mask) AS mask_len FROM (
   SELECT "column", mask, n_mask, sum(n_mask) OVER (PARTITION BY "column") AS n,
     row_number() OVER (PARTITION BY "column" ORDER BY n_mask DESC, mask) AS r
@@ -186,8 +186,8 @@ def c12(spark, sf):
 
 @query("c13_extra_detectors", """
 SELECT "column", alpha_only_ratio, alpha_ratio,
-  CASE WHEN entropy >= 2.0 AND entropy <= 4.0 THEN 1.0 ELSE 0.0 END AS medium_entropy,
-  CASE WHEN unique_ratio >= 0.02 AND unique_ratio <= 0.2 THEN 1.0 ELSE 0.0 END AS cardinality_in_range,
+  CAST(CASE WHEN entropy >= 2.0 AND entropy <= 4.0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS medium_entropy,
+  CAST(CASE WHEN unique_ratio >= 0.02 AND unique_ratio <= 0.2 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS cardinality_in_range,
   round(comma_ratio * -0.4, 6) AS comma_penalty
 FROM prof
 """, ctes=PROFILE_CTE)

@@ -119,4 +119,4 @@ def snapshot_get(spark: SparkSession, path: str, max_age: str | None = None) ->
     if max_age:
         s = s.filter(F.col("computed_at") >= F.current_timestamp() - F.expr(f"INTERVAL {max_age}"))
     return s.select("pay_date", F.from_json("snapshot", SNAPSHOT_SCHEMA).alias("doc")).select(
-        "pay_date", "doc.cards.*", F.size("doc.tables.codes_top").alias("n_codes_top"))
+        "pay_date", "doc.cards.*", F.size("doc.tables.codes_top").cast("long").alias("n_codes_top"))
