@@ -17,6 +17,7 @@ DEFAULT = [
     "f61_rollup_series", "b01_amount_to_cents", "b02_parse_pay_date", "b21_pseudonymise", "d01_validate_lines",
     "d14_overlaps", "e07_load_fact", "e08_dedup_report", "c06_cardinality_profile", "i01_ledger_page",
     "a13_row_numbers", "l01_chunk_documents", "l03_cosine_topk", "m02_stream_dedup",
+    "f18_by_function", "f44_period_stats", "f56_equity", "m03_stream_kpi_month",
 ]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("PAYSIFT_FULL_ORACLE") else DEFAULT
 
