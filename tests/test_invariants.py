@@ -132,3 +132,16 @@ def test_exact_quantiles_match_percentile(spark, pairs):
         assert ours[g][3] == ref[g][3]
         for a, b in zip(ours[g][:3], ref[g][:3]):
             assert abs(a - b) <= 1e-9 * max(1.0, abs(b)), (g, ours[g], ref[g])
+
+
+def test_row_no_splits_a_hot_file(spark):
+    """90 % of the rows in one file: the ordinal stays exact and the hot file is spread over partitions."""
+    rows = [("hot.csv", i) for i in range(9000)] + [(f"f{i % 50}.csv", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "source_file string, source_row_no long")
+    r = with_row_no(df, ["source_file", "source_row_no"], "k", num_partitions=8)
+    agg = r.agg(F.min("k"), F.max("k"), F.countDistinct("k")).first()
+    assert tuple(agg) == (1, 10000, 10000)
+    sizes = r.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(x["count"] for x in sizes) < 5000  # no single task holds the hot file
+    ordered = r.filter(F.col("source_file") == "hot.csv").orderBy("k").select("source_row_no").collect()
+    assert [x[0] for x in ordered] == list(range(9000))
