@@ -145,3 +145,13 @@ def test_row_no_splits_a_hot_file(spark):
     assert max(x["count"] for x in sizes) < 5000  # no single task holds the hot file
     ordered = r.filter(F.col("source_file") == "hot.csv").orderBy("k").select("source_row_no").collect()
     assert [x[0] for x in ordered] == list(range(9000))
+
+
+def test_bounded_list_hot_group_matches_brute_force(spark):
+    from paysift.operators.topk import bounded_list
+    rows = [(1, f"m{i:05d}") for i in range(20000)] + [(2, "b"), (2, "a"), (2, "a"), (3, None)]
+    df = spark.createDataFrame(rows, "g int, v string")
+    got = {r["g"]: r["v"] for r in bounded_list(df, ["g"], "v", 5).collect()}
+    assert got == {1: "m00000, m00001, m00002, m00003, m00004", 2: "a, b"}
+    cut = bounded_list(df, ["g"], "v", 100, max_chars=20).filter("g = 1").first()["v"]
+    assert cut == ", ".join(f"m{i:05d}" for i in range(100))[:20]
