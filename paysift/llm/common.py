@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,5 +61,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a no-op where it is installed)."""
+    import paysift
+    root = os.path.dirname(os.path.dirname(os.path.abspath(paysift.__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([x for x in known if x] + [root])
+
+
+def map_arrow(df: DataFrame, task: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with a task that needs this package."""
+    importable(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def widths(spark: SparkSession) -> int:
     return shuffle_partitions(spark)

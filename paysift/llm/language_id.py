@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, stored
+from .common import map_arrow, packed, stored
 
 BUCKET_BITS = 16
 MAX_LANGS = 256
@@ -80,7 +80,7 @@ def fit(labelled: DataFrame, bits: int = BUCKET_BITS, max_langs: int = MAX_LANGS
                 [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(n[at], docs[lang]))],
                 names=["lang", "bucket", "n"])
 
-    counts = stored(rows.mapInArrow(count, "lang string, bucket long, n long")
+    counts = stored(map_arrow(rows, count, "lang string, bucket long, n long")
                     .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "langid-counts")
     langs = sorted(r[0] for r in counts.filter("bucket = -1").select("lang").limit(max_langs + 1).collect())
     if len(langs) > max_langs:
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: dict, *keep: str, names: tuple[str, str] = (
                                              names=[*keep, *names])
 
     out = schema.add(names[0], "string").add(names[1], "double")
-    return docs.select(*cols, F.col("text")).mapInArrow(score, out)
+    return map_arrow(docs.select(*cols, F.col("text")), score, out)
 
 
 def accepted(docs: DataFrame, model: dict, min_score: float = 0.5) -> DataFrame:

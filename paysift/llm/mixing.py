@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, row_key, same_key, split_words, stored
+from .common import importable, packed, row_key, same_key, split_words, stored
 
 SEED = 20_011
 BLOCKS = 1024
@@ -107,6 +107,7 @@ def plan_mix(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed:
 
     ``shards`` lists the output shard of each copy."""
     spark = docs.sparkSession
+    importable(spark)
     sized = stored(docs.select("doc_id", "source", *row_key(), F.size(split_words(F.col("text"))).cast("long").alias("size"))
                    .withColumn("place", F.xxhash64(F.lit(seed), "_id", "_th"))
                    .withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.lit(blocks)).cast("int")), "mix-sizes")

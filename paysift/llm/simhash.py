@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_row_each, packed, row_key, same_key, stored, widths
+from .common import map_arrow, one_row_each, packed, row_key, same_key, stored, widths
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], names=["_id", "_th", "fp"])
 
     rows = docs.select(*row_key(), "text")
-    return rows.mapInArrow(run, rows.select("_id", "_th").schema.add("fp", "long"))
+    return map_arrow(rows, run, rows.select("_id", "_th").schema.add("fp", "long"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -218,7 +218,7 @@ def links(distinct: DataFrame, d: int = MAX_BITS, run: int = RUN) -> DataFrame:
         if held is not None and len(held[0]):
             yield solve(held)
 
-    return dealt.mapInArrow(search, "a long, b long").filter("a != b").distinct()
+    return map_arrow(dealt, search, "a long, b long").filter("a != b").distinct()
 
 
 def components(edges: DataFrame, checkpoint) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from paysift.sources.sinks import work_dir
 
-from .common import row_key, widths
+from .common import map_arrow, row_key, widths
 
 BITS = 18
 LANES = 512
@@ -306,7 +306,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     rows = (docs.select("doc_id", "text", *row_key()).repartitionByRange(widths(docs.sparkSession), "doc_id", "_th")
             .sortWithinPartitions("doc_id", "_th").select("doc_id", "text"))
-    rows.mapInArrow(run, schema).write.parquet(path)
+    map_arrow(rows, run, schema).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -328,7 +328,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(ends - lengths), pa.array([raw[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), lengths.tolist())], pa.binary())],
                     names=schema.names)
 
-    return files.select("part", "seg", "doc_ids", "lengths", "data").mapInArrow(run, schema)
+    return map_arrow(files.select("part", "seg", "doc_ids", "lengths", "data"), run, schema)
 
 
 def token_report(spark: SparkSession, path: str) -> DataFrame:
