@@ -7,7 +7,7 @@ earlier line - smaller (doc_id, hash of the text, line number) - matches it.
 
 1. Equal lines are one class, represented by its first line; copies never meet.
 2. Tokens are ordered by rarity: the frequency of each of 2^16 token buckets is
-   counted over all classes (a table of fixed size), ties by token. Any total
+   counted over all classes (64 KB in all, kept as a literal), ties by token. Any total
    order keeps the join exact; this one puts common tokens last.
 3. Prefix filter: sets that reach the threshold share one of their first
    n - ceil(0.8 n) + 1 tokens. Only these are posted and joined by token.
@@ -24,6 +24,8 @@ Empty tables give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,13 @@ SHINGLE = 5
 BUCKETS = 1 << 16
 
 
-def _tokens(norm: Column) -> Column:
-    """Distinct shingle hashes of a normalised line."""
-    w = F.split(norm, " ")
+def _with_words(classes: DataFrame) -> DataFrame:
+    """``w``, the words of ``norm``, as a column of its own: inside the shingle loop it must not be split anew."""
+    return classes.select("c1", "c2", F.split("norm", " ").alias("w"))
+
+
+def _tokens(w: Column) -> Column:
+    """Distinct shingle hashes of a line's words."""
     last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
     return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])))
 
@@ -56,17 +62,19 @@ def line_classes(docs: DataFrame) -> DataFrame:
 def similar(classes: DataFrame, tenths: int = 8) -> DataFrame:
     """(a1, a2, b1, b2): each link once, of classes whose token sets reach a Jaccard similarity of tenths / 10."""
     bucket = F.pmod(F.col("token"), F.lit(BUCKETS)).cast("int")
-    counts = classes.select(F.explode(_tokens(F.col("norm"))).alias("token")).groupBy(bucket.alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    every = classes.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("id")).join(counts, "id", "left")
-    pairs = F.array_sort(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).alias("n"))))
-    table = stored(every.agg(F.transform(pairs, lambda x: x["n"]).alias("n")), "lines-rarity").scalar()
+    counts = (_with_words(classes).select(F.explode(_tokens(F.col("w"))).alias("token"))
+              .groupBy(bucket.alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    table = bytearray(BUCKETS)  # one byte per bucket, whatever the corpus: its frequency on a log scale
+    for r in counts.collect():
+        table[r["id"]] = min(255, int(6 * math.log2(r["n"] + 1)))
+    rarity = F.lit(bytes(table))
 
     # rarity first, then the token itself
     ordered = F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(
-        F.get(F.col("rarity"), F.pmod(t, F.lit(BUCKETS)).cast("int")).alias("n"), t.alias("t")))), lambda x: x["t"])
+        F.substring(rarity, F.pmod(t, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).alias("n"), t.alias("t")))), lambda x: x["t"])
     n = F.col("n").cast("long")
     least = F.floor((n * tenths + 9) / 10)  # ceil(n * tenths / 10)
-    posted = classes.select("c1", "c2", _tokens(F.col("norm")).alias("tokens"), table.alias("rarity")).select(
+    posted = _with_words(classes).select("c1", "c2", _tokens(F.col("w")).alias("tokens")).select(
         "c1", "c2", F.size("tokens").alias("n"), ordered.alias("tokens"))
     posted = posted.select("c1", "c2", "n", F.posexplode(F.slice("tokens", F.lit(1), (n - least + 1).cast("int"))).alias("pos", "token"))
 
@@ -81,7 +89,7 @@ def similar(classes: DataFrame, tenths: int = 8) -> DataFrame:
 
     involved = candidates.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(
         candidates.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
-    sets = stored(classes.join(involved, ["c1", "c2"], "left_semi").select("c1", "c2", F.array_sort(_tokens(F.col("norm"))).alias("t")), "lines-sets")
+    sets = stored(_with_words(classes.join(involved, ["c1", "c2"], "left_semi")).select("c1", "c2", _tokens(F.col("w")).alias("t")), "lines-sets")
     left = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("t").alias("at"))
     right = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("t").alias("bt"))
     shared = F.size(F.array_intersect("at", "bt"))
