@@ -87,3 +87,74 @@ def repeated_words(words, k=5):
     grams = [tuple(words[i:i + k]) for i in range(len(words) - k + 1)]
     many = {g for g, n in Counter(grams).items() if n > 1}
     return len({i + j for i, g in enumerate(grams) if g in many for j in range(k)})
+
+
+def shared_passages(docs, size=50):
+    """[(doc_id, spans)]: maximal word spans whose windows of ``size`` words another text, or a copy, holds too."""
+    words = [(lower(t).encode("utf-8").split() if t else []) for _, t in docs]
+    texts = [t for _, t in docs]
+    copies = Counter(t for t in texts if t is not None)
+    holders = {}
+    for t, w in {t: w for t, w in zip(texts, words) if t is not None}.items():
+        for i in range(len(w) - size + 1):
+            holders.setdefault(tuple(w[i:i + size]), set()).add(t)
+    out = []
+    for (doc, t), w in zip(docs, words):
+        if t is None:
+            continue
+        if copies[t] > 1:
+            spans = [(0, len(w))] if len(w) >= size else []
+        else:
+            spans = []
+            for i in range(len(w) - size + 1):
+                if len(holders[tuple(w[i:i + size])]) > 1:
+                    if spans and i <= spans[-1][1]:
+                        spans[-1] = (spans[-1][0], i + size)
+                    else:
+                        spans.append((i, i + size))
+        if spans:
+            out.append((doc, sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans)))
+    return out
+
+
+def quality(docs, max_docs=20, share=0.001):
+    """Rows of op4 for docs (doc_id, text, source)."""
+    def norm(line):
+        return " ".join(WORD.findall(re.sub("[0-9]+", "0", lower(line))))
+
+    parsed = [(d, t or "", s, [x for x in (t or "").split("\n") if WORD.search(x)]) for d, t, s in docs]
+    holders, hosts = {}, {}
+    for d, t, s, lines in parsed:
+        for x in lines:
+            holders.setdefault((s, norm(x)), set()).add((d, t))
+            hosts.setdefault(s, set()).add((d, t))
+    out = []
+    for d, t, s, lines in parsed:
+        w = WORD.findall(t)
+        rep = repeated_words(w)
+        failed = len(w) < 10 or 100 * rep > 20 * len(w)
+        gone = sum(len(norm(x).split(" ")) for x in lines
+                   if len(holders[s, norm(x)]) > max_docs and len(holders[s, norm(x)]) > share * len(hosts[s]))
+        left = len(w) - gone
+        out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), rep, failed, gone,
+                    not failed and not (gone and (left < 10 or left < len(w) * 0.5))))
+    return out
+
+
+def line_links(docs, threshold=0.8):
+    """Rows of op1 for docs (doc_id, text) with distinct ids."""
+    first, per = {}, Counter()
+    for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0)):
+        for i, line in enumerate((t or "").split("\n")):
+            w = tuple(WORD.findall(lower(line)))
+            if w:
+                first.setdefault(w, (d, i))
+                per[d] += 1
+    sets = {w: {w[i:i + 5] for i in range(max(1, len(w) - 4))} for w in first}
+    order = lambda at: (at[0] is not None, at[0] or 0, at[1])
+    kept, links = Counter(), Counter()
+    for w, s in sets.items():
+        other = [v for v in sets if v != w and len(s & sets[v]) >= threshold * len(s | sets[v]) - 1e-9]
+        links[first[w][0]] += len(other)
+        kept[first[w][0]] += not any(order(first[v]) < order(first[w]) for v in other)
+    return [(d, per[d], kept[d], per[d] - kept[d], links[d]) for d, _ in docs]
