@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kpi import dollars
-from .topk import bounded_list
 
 # Category patterns of the screen views. The reference matches
 # 'Déduction%'; we compare on the accent-free lower-case form so 'Deductions'
@@ -25,7 +24,6 @@ PRIME_PATTERN = "%prime%"
 OVERTIME_FAMILY = "HS"
 UNCLASSED = "Non classé"
 UNDEFINED = "Non défini"
-LIST_MAX_CHARS = 255  # fixed value: VARCHAR(255) of the new-hire list
 
 # Accent folding (lower-case Latin-1 letters used by French names).
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
@@ -285,46 +283,39 @@ def new_hires(tx: DataFrame, emp: DataFrame, batches: DataFrame) -> DataFrame:
     e = emp.filter(F.col("matricule_norm").rlike("^[0-9]+$")).select(
         "employee_id", "matricule_norm", F.col("matricule_norm").cast("long").alias("matricule_int"))
     active = tx.filter(F.col("amount_cents") != 0).select("pay_date", "employee_id").distinct()
-    mp = active.join(F.broadcast(b), "pay_date").join(e, "employee_id")
+    mp = active.join(b, "pay_date").join(e, "employee_id")
     mx = mp.groupBy("batch_id", "pay_date").agg(F.max("matricule_int").alias("max_actuel"),
-                                                F.countDistinct("employee_id").alias("nb_employes"))
+                                                F.count(F.lit(1)).alias("nb_employes"))
     w = Window.orderBy("pay_date", "batch_id")
     prev = mx.select("batch_id", "max_actuel", "nb_employes",
                      F.lag("max_actuel").over(w).alias("max_precedent"),
                      F.lag("pay_date").over(w).alias("date_precedente"))
-    return mp.join(F.broadcast(prev), "batch_id").select(
+    return mp.join(prev, "batch_id").select(
         "batch_id", "pay_date", "source_file", "employee_id", "matricule_norm", "matricule_int",
         "max_precedent", "max_actuel", "date_precedente",
         (F.col("matricule_int") > F.coalesce("max_precedent", F.lit(0))).alias("est_nouveau"))
 
 
-def new_hire_stats(nh: DataFrame, list_chars: int = LIST_MAX_CHARS) -> DataFrame:
-    """F33 stats: totals, new, old, bounds and the sorted list of new numbers per batch.
+def new_hire_stats(nh: DataFrame) -> DataFrame:
+    """F33 stats: totals, new, old, bounds and the sorted list of all new numbers per batch.
 
-    The list is cut to ``list_chars`` characters as the reference's VARCHAR(255)
-    result; only the smallest numbers that can fit are gathered (salted top-k),
-    so a batch where everyone is new never becomes one huge value."""
-    stats = nh.groupBy("batch_id", "pay_date", "source_file").agg(
-        F.countDistinct("employee_id").alias("total_employes"),
-        F.countDistinct(F.when(F.col("est_nouveau"), F.col("employee_id"))).alias("nouveaux_employes"),
-        F.countDistinct(F.when(~F.col("est_nouveau"), F.col("employee_id"))).alias("anciens_employes"),
-        F.max("max_precedent").alias("max_precedent"), F.max("max_actuel").alias("max_actuel"),
-        F.max("date_precedente").alias("date_precedente"))
-    k = list_chars // 3 + 1  # every entry takes at least 3 characters with its separator
-    lst = bounded_list(nh.filter(F.col("est_nouveau")), ["batch_id"], "matricule_norm", k, ", ", list_chars,
-                       "liste_nouveaux")
-    return stats.join(lst, "batch_id", "left").withColumn(
-        "liste_nouveaux", F.coalesce("liste_nouveaux", F.lit("")))
+    ``nh`` has one row per batch and employee, so plain counts do."""
+    new = F.col("est_nouveau")
+    agg = nh.groupBy("batch_id", "pay_date", "source_file").agg(
+        F.count(F.lit(1)).alias("total_employes"), F.count_if(new).alias("nouveaux_employes"),
+        F.count_if(~new).alias("anciens_employes"), F.max("max_precedent").alias("max_precedent"),
+        F.max("max_actuel").alias("max_actuel"), F.max("date_precedente").alias("date_precedente"),
+        F.collect_list(F.when(new, F.col("matricule_norm"))).alias("_new"))
+    return agg.withColumn("liste_nouveaux", F.array_join(F.array_sort("_new"), ", ")).drop("_new")
 
 
 def churn(nh: DataFrame, emp: DataFrame) -> DataFrame:
     """per pay date: total, new, left (inactive), churn % (2 decimals), previous date."""
-    base = nh.join(emp.select("employee_id", "statut"), "employee_id")
+    per = nh.groupBy("pay_date", "employee_id").agg(F.max("est_nouveau").alias("est_nouveau"), F.max("date_precedente").alias("prev"))
+    base = per.join(emp.select("employee_id", "statut"), "employee_id")
     agg = base.groupBy("pay_date").agg(
-        F.countDistinct("employee_id").alias("total"),
-        F.countDistinct(F.when(F.col("est_nouveau"), F.col("employee_id"))).alias("nouveaux"),
-        F.countDistinct(F.when(F.col("statut") == "inactif", F.col("employee_id"))).alias("sorties"),
-        F.max("date_precedente").alias("prev_date"))
+        F.count(F.lit(1)).alias("total"), F.count_if("est_nouveau").alias("nouveaux"),
+        F.count_if(F.col("statut") == "inactif").alias("sorties"), F.max("prev").alias("prev_date"))
     bp = F.expr("(sorties * 20000 + total) div (2 * total)")  # half-up basis points
     return agg.select("pay_date", "total", "nouveaux", "sorties",
                       F.when(F.col("total") > 0, bp / 100.0).otherwise(F.lit(0.0)).alias("churn"), "prev_date")

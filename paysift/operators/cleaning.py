@@ -122,7 +122,7 @@ def pseudonymise(df: DataFrame, key: str, fmt: str = "E-%04d", name: str = "pseu
     ordinal of ``with_row_no`` (no single-partition window), then joined back.
     """
     keys = with_row_no(df.select(key).distinct().filter(F.col(key).isNotNull()), [key], "_rk")
-    ranked = keys.select(key, F.format_string(fmt, F.col("_rk").cast("int")).alias(name))
+    ranked = keys.select(key, F.format_string(fmt, F.col("_rk")).alias(name))
     return df.join(ranked, key, "left")
 
 

@@ -138,22 +138,29 @@ def _month_key(c: str = "pay_date") -> Column:
     return F.date_format(c, "yyyy-MM")
 
 
+def _per_date_employee(tx: DataFrame) -> DataFrame:
+    """One row per (pay date, employee): distinct counts over longer periods start from it, not from raw lines."""
+    return tx.groupBy("pay_date", "employee_id").agg(
+        *contract_cents_aggs(), F.max(F.when(F.col("amount_cents") != 0, 1).otherwise(0)).alias("_nz"), F.count(F.lit(1)).alias("_n"))
+
+
+def _finish() -> list[Column]:
+    return [*[F.sum(c).cast("long").alias(c) for c in ("_pos", "_neg", "_net", "_adj", "_ref")],
+            F.countDistinct(F.when(F.col("_nz") == 1, F.col("employee_id"))).alias("nb_employes"),
+            F.countDistinct("pay_date").alias("nb_dates_paie"), F.sum("_n").cast("long").alias("nb_transactions")]
+
+
 def kpi_month(tx: DataFrame, rate: float = CONTRACT_EMPLOYER_RATE) -> DataFrame:
     """monthly contract KPI with distinct pay dates and transaction count."""
-    agg = tx.groupBy(_month_key().alias("mois"), F.date_format("pay_date", "yyyy").alias("annee")).agg(
-        *contract_cents_aggs(), nb_employes_nonzero(),
-        F.countDistinct("pay_date").alias("nb_dates_paie"), F.count(F.lit(1)).alias("nb_transactions"))
+    agg = _per_date_employee(tx).groupBy(_month_key().alias("mois"), F.date_format("pay_date", "yyyy").alias("annee")).agg(*_finish())
     return agg.select("mois", "annee", *contract_dollars(rate), "nb_employes", "nb_dates_paie",
                       "nb_transactions")
 
 
 def kpi_year(tx: DataFrame, rate: float = CONTRACT_EMPLOYER_RATE) -> DataFrame:
     """F8: annual contract KPI with distinct pay dates and months."""
-    agg = tx.groupBy(F.date_format("pay_date", "yyyy").alias("annee")).agg(
-        *contract_cents_aggs(), nb_employes_nonzero(),
-        F.countDistinct("pay_date").alias("nb_dates_paie"),
-        F.countDistinct(_month_key()).alias("nb_mois"),
-        F.count(F.lit(1)).alias("nb_transactions"))
+    agg = _per_date_employee(tx).groupBy(F.date_format("pay_date", "yyyy").alias("annee")).agg(
+        *_finish(), F.countDistinct(_month_key()).alias("nb_mois"))
     return agg.select("annee", *contract_dollars(rate), "nb_employes", "nb_dates_paie", "nb_mois",
                       "nb_transactions")
 
@@ -215,15 +222,17 @@ def kpi_cards(tx: DataFrame, pay_date=None) -> DataFrame:
         "nb_employes", "nb_transactions")
 
 
-def kpi_param_rate(tx: DataFrame, params: DataFrame, key: str = "taux_part_employeur",
-                   default: float = CONTRACT_EMPLOYER_RATE) -> DataFrame:
+def kpi_param_rate(tx: DataFrame, params: DataFrame, key: str = "part_employeur_taux",
+                   default: float | None = None) -> DataFrame:
     """contract KPI per date with the employer rate read from a parameter table.
 
     ``params`` is (param_key, value_num); the one matching row is a scalar
-    subquery (1 row), joined to every group as a constant.
+    subquery (1 row), joined to every group as a constant. A missing key is an
+    error unless the caller gives a ``default``.
     """
     rate = params.filter(F.col("param_key") == key).agg(F.max("value_num").alias("r")).scalar()
-    rate = F.coalesce(rate, F.lit(default))
+    missing = F.raise_error(F.lit(f"no parameter {key!r}")).cast("double") if default is None else F.lit(default)
+    rate = F.coalesce(rate, missing)
     agg = tx.groupBy(F.col("pay_date").alias("date_paie")).agg(*contract_cents_aggs(),
                                                              nb_employes_nonzero())
     pos = F.col("_pos").cast("double")

@@ -4,7 +4,8 @@
 broadcast) and the employee table (large: a shuffle join on ``employee_id``,
 sized by AQE). Money stays in cents.
 
-``with_row_no`` numbers rows in a total order without a single-partition
+``number_lines`` numbers the lines of files lazily, by ranges of each file.
+``with_row_no`` numbers the rows of a narrow key frame in any total order without a single-partition
 window: a range-partitioned sort spreads even one hot file over many tasks,
 each task numbers its rows locally (``monotonically_increasing_id`` on a sorted
 partition is the local index), and a small per-partition count table gives the
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from paysift.session import checkpoint_dir, shuffle_partitions
 
+RANGE_ROWS = 250_000
 INDEX_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
 
@@ -48,14 +50,32 @@ def with_row_no(df: DataFrame, order_cols: list[str], name: str = "row_no",
             .drop("_pid", "_local", "_off"))
 
 
-def with_file_row_no(df: DataFrame, file_col: str = "source_file", order_col: str = "source_row_no",
-                     header_offset: int = 2) -> DataFrame:
-    """Row number inside each file (+ header offset, as a spreadsheet row number)."""
-    g = with_row_no(df, [file_col, order_col], "_g")
-    first = g.groupBy(file_col).agg(F.min("_g").alias("_first"))
-    return (g.join(first, file_col)
-            .withColumn("file_row_no", F.col("_g") - F.col("_first") + header_offset)
-            .drop("_g", "_first"))
+def number_lines(df: DataFrame, file_col: str = "source_file", order_col: str = "source_row_no",
+                 line: str | None = "line_no", in_file: str | None = None, header_offset: int = 2) -> DataFrame:
+    """Global 1-based ordinal by (file, row) and the row number inside each file (+ header offset).
+
+    Nothing runs until the result is used. Each file's row numbers are cut into
+    equal ranges of about ``RANGE_ROWS`` rows, so one hot file is many groups; rows
+    are numbered inside their range by a window, and offsets come from the counts
+    per range (two columns of the input) and per file."""
+    keys = df.select(F.col(file_col).alias("_f"), F.col(order_col).alias("_o"))
+    files = keys.groupBy("_f").agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    part = F.floor((F.col("_o") - F.col("_lo")) * F.ceil(F.col("_n") / RANGE_ROWS) / (F.col("_hi") - F.col("_lo") + 1)).cast("long")
+    ranges = keys.join(files, "_f").groupBy("_f", part.alias("_r")).agg(F.count(F.lit(1)).alias("_c"))
+    ahead = Window.partitionBy("_f").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = files.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = ranges.select("_f", "_r", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_off")).join(starts, "_f")
+    rows = df.withColumns({"_f": F.col(file_col), "_o": F.col(order_col)})
+    rows = rows.join(files, "_f").withColumn("_r", part).drop("_lo", "_hi", "_n")
+    rank = F.row_number().over(Window.partitionBy("_f", "_r").orderBy("_o"))
+    out = rows.withColumn("_k", rank).join(offsets.select("_f", "_r", "_off", "_start"), ["_f", "_r"])
+    new = {}
+    if line:
+        new[line] = F.col("_start") + F.col("_off") + F.col("_k")
+    if in_file:
+        new[in_file] = F.col("_off") + F.col("_k") - 1 + header_offset
+    return out.withColumns(new).select(*df.columns, *new)
 
 
 EMPLOYEE_ATTRS = ["matricule", "nom_employe", "categorie_emploi", "titre_emploi", "statut"]

@@ -136,19 +136,22 @@ def compare_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 def ledger_checks(src: DataFrame, tx: DataFrame) -> DataFrame:
     """Migration checks as (check, value) rows from two one-pass aggregates."""
     s = src.agg(F.count(F.lit(1)).alias("src_rows"), F.sum("amount_cents").cast("long").alias("src_cents"))
-    t = tx.agg(F.count(F.lit(1)).alias("tx_rows"), F.sum("amount_cents").cast("long").alias("tx_cents"),
-               F.countDistinct("employee_id").alias("tx_employees"),
-               F.countDistinct(F.when(F.col("amount_cents") != 0, F.col("employee_id"))).alias("tx_employees_nonzero"),
-               F.count_if(F.col("amount_cents") == 0).alias("tx_zero_amounts"),
-               F.count_if(F.col("pay_year") != F.year("pay_date")).alias("tx_year_mismatch"))
+    zero, nonzero = F.col("amount_cents") == 0, F.col("amount_cents") != 0
+    per = tx.groupBy("pay_year", "employee_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount_cents").cast("long").alias("cents"), F.max(nonzero).alias("nonzero"),
+        F.count_if(zero).alias("zeros"), F.count_if(F.col("pay_year") != F.year("pay_date")).alias("mismatch"))
+    t = per.agg(F.sum("n").alias("tx_rows"), F.sum("cents").cast("long").alias("tx_cents"),
+                F.countDistinct("employee_id").alias("tx_employees"),
+                F.countDistinct(F.when(F.col("nonzero"), F.col("employee_id"))).alias("tx_employees_nonzero"),
+                F.sum("zeros").alias("tx_zero_amounts"), F.sum("mismatch").alias("tx_year_mismatch"))
     both = s.crossJoin(t)
     names = ["src_rows", "src_cents", "tx_rows", "tx_cents", "tx_employees", "tx_employees_nonzero",
              "tx_zero_amounts", "tx_year_mismatch"]
     stack = "stack({}, {}) AS (check, value)".format(
         len(names), ", ".join(f"'{n}', CAST({n} AS BIGINT)" for n in names))
     totals = both.select(F.expr(stack))
-    parts = tx.groupBy(F.concat(F.lit("partition_"), F.col("pay_year").cast("string")).alias("check")).agg(
-        F.count(F.lit(1)).alias("value"))
+    parts = per.groupBy(F.concat(F.lit("partition_"), F.col("pay_year").cast("string")).alias("check")).agg(
+        F.sum("n").alias("value"))
     return totals.unionByName(parts)
 
 

@@ -31,6 +31,8 @@ TREND_NEUTRAL_PCT = 1.0
 STABLE_NET_DOLLARS = 100.0
 NEG_NET_DOLLARS = -0.01
 PIVOT_CATEGORIES = ("Gains", "Deductions", "Deductions_legales", "Assurances", "Syndicats")
+MAX_CATEGORIES = 1000
+SALT_BUCKETS = 64
 BUDGET_ALLOCATION_FACTOR = 1.10
 
 
@@ -281,12 +283,21 @@ def period_deltas_by(lines: DataFrame, dim: str) -> DataFrame:
 
 
 def top_movers(deltas: DataFrame, dim: str, n: int = 5) -> DataFrame:
-    """top n up and down movers per pay date (window over the small delta table)."""
-    up = Window.partitionBy("date_paie").orderBy(F.desc("delta"), dim)
-    down = Window.partitionBy("date_paie").orderBy(F.asc("delta"), dim)
-    d = deltas.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down))
-    return d.filter((F.col("_u") <= n) | (F.col("_d") <= n)).select(
-        "date_paie", dim, "delta", (F.col("_u") <= n).alias("is_top_up"), (F.col("_d") <= n).alias("is_top_down"))
+    """top n up and down movers per pay date.
+
+    The n best are kept per (date, salt bucket) and then per date, for each
+    direction by itself, so no task ranks all keys of a date."""
+    salted = deltas.select("date_paie", dim, "delta", F.pmod(F.xxhash64(dim), F.lit(SALT_BUCKETS)).alias("_b"))
+
+    def best(order: Column, up: bool) -> DataFrame:
+        d = salted
+        for parts in (["date_paie", "_b"], ["date_paie"]):
+            w = Window.partitionBy(*parts).orderBy(order, dim)
+            d = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+        return d.select("date_paie", dim, "delta", F.lit(up).alias("is_top_up"), F.lit(not up).alias("is_top_down"))
+
+    return best(F.desc("delta"), True).unionByName(best(F.asc("delta"), False)).groupBy("date_paie", dim, "delta").agg(
+        F.max("is_top_up").alias("is_top_up"), F.max("is_top_down").alias("is_top_down"))
 
 
 def period_stats(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
@@ -388,21 +399,29 @@ def report_summary(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
 
 
 def report_employee_pivot(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
-    """employee x pay category pivot (fixed category list), deductions negative, net.
-
-    With ``emp`` (employee-free lines), sums are taken per (date, employee id,
-    category) before the employee number and name are joined."""
+    """employee x pay category pivot over every category of the data, deductions negative, net.
+
+    The categories are the column names, so they are read first (their number is
+    bounded by ``MAX_CATEGORIES``, else an error); the usual ones are always
+    present and a null category is 'N/A'. With ``emp`` (employee-free lines), sums
+    are taken per (date, employee id, category) before the employee number and
+    name are joined."""
+    category = F.coalesce("categorie_paie", F.lit("N/A"))
+    found = [r[0] for r in lines.select(category.alias("c")).distinct().limit(MAX_CATEGORIES + 1).collect()]
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} pay categories")
+    cats = [*PIVOT_CATEGORIES, *sorted(set(found) - set(PIVOT_CATEGORIES))]
     if emp is not None:
-        per = lines.groupBy("date_paie", "employee_id", "categorie_paie").agg(F.sum(_m()).cast("long").alias("_s"))
+        per = lines.groupBy("date_paie", "employee_id", category.alias("categorie_paie")).agg(F.sum(_m()).cast("long").alias("_s"))
         base, val = attach_employee(per, emp), F.col("_s")
     else:
-        base, val = lines, _m()
-    p = base.groupBy("date_paie", "matricule", "nom_employe").pivot("categorie_paie", list(PIVOT_CATEGORIES)) \
-        .agg(F.sum(val).cast("long"))
-    p = p.na.fill(0, list(PIVOT_CATEGORIES))
+        base, val = lines.withColumn("categorie_paie", category), _m()
+    p = base.groupBy("date_paie", "matricule", "nom_employe").pivot("categorie_paie", cats).agg(F.sum(val).cast("long"))
+    def zero(c):
+        return F.coalesce(F.col(f"`{c}`"), F.lit(0))
+
     out = p.select("date_paie", "matricule", "nom_employe",
-                   *[(dollars(F.col(c)) if c not in ("Deductions", "Assurances") else -F.abs(dollars(F.col(c))))
-                     .alias(c) for c in PIVOT_CATEGORIES])
+                   *[(dollars(zero(c)) if c not in ("Deductions", "Assurances") else -F.abs(dollars(zero(c)))).alias(c) for c in cats])
     return out.withColumn("Net", F.col("Gains") + F.col("Deductions"))
 
 
@@ -539,8 +558,9 @@ def period_list(periods: DataFrame, tx: DataFrame, ipm: DataFrame) -> DataFrame:
 
 def ledger_stats(tx: DataFrame, periods: DataFrame, emp: DataFrame) -> DataFrame:
     """one-row statistics: lines, total, open periods, active employees, files."""
-    a = tx.agg(F.count(F.lit(1)).alias("n_lines"), dollars(F.sum("amount_cents")).alias("total"),
-               F.countDistinct("source_file").alias("n_files"), F.countDistinct("employee_id").alias("n_employees"))
+    per = tx.groupBy("source_file", "employee_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("amount_cents").alias("_c"))
+    a = per.agg(F.sum("_n").alias("n_lines"), dollars(F.sum("_c")).alias("total"),
+                F.countDistinct("source_file").alias("n_files"), F.countDistinct("employee_id").alias("n_employees"))
     p = periods.agg(F.count_if(F.col("status") == "ouverte").alias("open_periods"))
     e = emp.agg(F.count_if(F.col("statut") == "actif").alias("active_employees"))
     return a.crossJoin(p).crossJoin(e)

@@ -15,8 +15,6 @@ from paysift.functions.names import norm_text
 
 from .kpi import dollars
 
-PAGE_CAP = 100  # fixed value: maximum page size of the provider
-
 
 def _ledger_filter(tx: DataFrame, emp: DataFrame, pay_date=None, matricule: str = "", categorie: str = ""):
     j = tx.join(emp.select("employee_id", "matricule_norm", "nom_complet"), "employee_id")
@@ -31,10 +29,10 @@ def _ledger_filter(tx: DataFrame, emp: DataFrame, pay_date=None, matricule: str
 
 def ledger_page(tx: DataFrame, emp: DataFrame, pay_date=None, matricule: str = "", categorie: str = "",
                 limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of ledger lines, newest first (limit capped at 100)."""
+    """One page of ledger lines, newest first; ``limit`` rows as the caller asks."""
     j = _ledger_filter(tx, emp, pay_date, matricule, categorie)
     page = j.orderBy(F.desc("pay_date"), "matricule_norm", "source_row_no") \
-        .offset(max(0, offset)).limit(min(limit, PAGE_CAP))
+        .offset(max(0, offset)).limit(limit)
     return page.select("matricule_norm", F.col("nom_complet").alias("nom"), F.col("pay_date").alias("date_paie"),
                        F.col("pay_code").alias("categorie"), dollars("amount_cents").alias("montant"), "source_row_no")
 
@@ -73,8 +71,8 @@ def search_employees(emp: DataFrame, tx: DataFrame, q: str, status: str | None =
 
 
 def list_employees(emp: DataFrame, status: str | None = None, text: str = "", categorie: str | None = None,
-                   titre: str | None = None, limit: int = PAGE_CAP) -> DataFrame:
-    """I4: employees by status, text, category and title, ordered, one page."""
+                   titre: str | None = None) -> DataFrame:
+    """I4: all employees by status, text, category and title, ordered."""
     e = emp
     if status:
         e = e.filter(F.col("statut") == status)
@@ -84,7 +82,7 @@ def list_employees(emp: DataFrame, status: str | None = None, text: str = "", ca
         e = e.filter(F.col("categorie_emploi") == categorie)
     if titre:
         e = e.filter(F.col("titre_emploi") == titre)
-    return e.orderBy("nom_complet", "employee_id").limit(min(limit, PAGE_CAP))
+    return e.orderBy("nom_complet", "employee_id")
 
 
 def employee_detail(tx: DataFrame, emp: DataFrame, employee_id, n: int = 10) -> DataFrame:

@@ -1,39 +1,10 @@
-"""Bounded sorted lists per group without pulling a group into one task.
-
-``listagg(DISTINCT x ORDER BY x)`` over a hot group would build one huge value
-in one task. ``smallest_k`` keeps the k smallest distinct values per group in
-two stages: first per (group, salt bucket) — the salt spreads a hot group over
-many tasks — then per group over at most k x buckets rows.
-"""
+"""Exact quantiles per group without pulling a group into one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALT_BUCKETS = 64
-
-
-def smallest_k(df: DataFrame, keys: list[str], value: str, k: int, buckets: int = SALT_BUCKETS) -> DataFrame:
-    """(keys..., value) rows: the k smallest distinct non-null values of each group."""
-    d = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
-    salted = d.withColumn("_b", F.abs(F.xxhash64(F.col(value))) % buckets)
-    w1 = Window.partitionBy(*keys, "_b").orderBy(value)
-    local = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_r", "_b")
-    w2 = Window.partitionBy(*keys).orderBy(value)
-    return local.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k).drop("_r")
-
-
-def bounded_list(df: DataFrame, keys: list[str], value: str, k: int, sep: str = ", ",
-                 max_chars: int | None = None, name: str | None = None) -> DataFrame:
-    """(keys..., list): the k smallest distinct values joined by ``sep`` (optionally cut
-    to ``max_chars``); the collected array has at most k elements."""
-    top = smallest_k(df, keys, value, k)
-    agg = top.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), sep).alias(name or value))
-    if max_chars:
-        agg = agg.withColumn(name or value, F.substring(name or value, 1, max_chars))
-    return agg
-
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], tie: str | None = None) -> DataFrame:
     """Exact quantiles per group with linear interpolation (``percentile`` / ``quantile_cont``),

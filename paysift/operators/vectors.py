@@ -2,15 +2,18 @@
 
 Chunking explodes a ``sequence`` of start offsets per document and takes
 substrings: whole texts, every chunk, no Python. Cosine similarity uses
-higher-order array functions on ``ARRAY<FLOAT>``; the query vector is a 1-row
-DataFrame broadcast to the scan (bounded size), and top-k is a TakeOrdered.
+higher-order array functions on ``ARRAY<FLOAT>``; the query vectors are
+broadcast to the scan (their number is checked), and top-k is a TakeOrdered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_QUERIES = 4096
+SALT_BUCKETS = 64
+
 # Chunk size and overlap of the knowledge index.
 CHUNK_CHARS, CHUNK_OVERLAP = 1800, 200
 
@@ -58,12 +61,26 @@ def _norm(a: Column) -> Column:
 
 def cosine_topk(emb: DataFrame, query: DataFrame, k: int = 8, vec_col: str = "embedding",
                 id_col: str = "vec_id") -> DataFrame:
-    """L3: exact cosine top-k of one query vector over the whole table.
-
-    ``query`` is a one-row DataFrame with column ``q`` (its size is the vector
-    length, independent of the table), joined to every row by broadcast."""
-    q = F.broadcast(query.select(F.col("q")).limit(1))
-    j = emb.crossJoin(q)
+    """L3: exact cosine top-k of each query vector over the whole table.
+
+    ``query`` has the vectors in ``q`` and, for several of them, a ``query_id``
+    that the result carries; two rows without one are an error. At most
+    ``MAX_QUERIES`` rows are taken at once (they are broadcast; more queries are
+    run block by block). Each query's best rows are kept per salt bucket first,
+    so no task ranks the whole table."""
+    several = "query_id" in query.columns
+    n = query.limit(MAX_QUERIES + 1).count()
+    if n > (MAX_QUERIES if several else 1):
+        raise ValueError("several query vectors need a query_id" if not several else f"more than {MAX_QUERIES} query vectors; run them in blocks")
+    keys = ["query_id"] if several else []
+    j = emb.crossJoin(F.broadcast(query.select(*keys, "q")))
     score = _dot(F.col(vec_col), F.col("q")) / (_norm(F.col(vec_col)) * _norm(F.col("q")))
-    return j.select(id_col, *[c for c in emb.columns if c not in (id_col, vec_col)],
-                    F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(max(1, k))
+    scored = j.select(*keys, id_col, *[c for c in emb.columns if c not in (id_col, vec_col)], F.round(score, 6).alias("score"))
+    best = [F.desc("score"), F.col(id_col)]
+    if not several:
+        return scored.orderBy(*best).limit(max(1, k))
+    salted = scored.withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(SALT_BUCKETS)))
+    for parts in (["query_id", "_b"], ["query_id"]):
+        w = Window.partitionBy(*parts).orderBy(*best)
+        salted = salted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(1, k)).drop("_r")
+    return salted.drop("_b")

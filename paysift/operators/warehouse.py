@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from paysift.functions.keys import POST_DEFAULT, business_key
 
 from .quality import validate_lines
-from .topk import bounded_list
-
-REPORT_LIST_SIZE = 100
 
 DEDUCTION_DEFAULT = "Deductions"
 GAINS = "Gains"
@@ -123,29 +120,23 @@ def dedup_log(staged: DataFrame) -> DataFrame:
         F.col("_f.batch_id").alias("first_seen_batch_id"))
 
 
-def dedup_report(log: DataFrame, list_size: int = REPORT_LIST_SIZE) -> DataFrame:
-    """Duplicates per batch and date, ignored amount, codes and numbers listed.
+def dedup_report(log: DataFrame) -> DataFrame:
+    """Duplicates per batch and date, ignored amount, all codes and numbers listed.
 
-    Codes and numbers are stacked as (kind, value) rows so one distinct + one
-    salted top-k pass gives both lists (the ``list_size`` smallest distinct
-    values, never a whole group in one task) and their exact distinct counts
-    (``nb_codes``, ``nb_matricules``)."""
-    keys = ["batch_id", "pay_date"]
-    agg = log.groupBy(*keys).agg(
+    One aggregate over the log. The sets are combined map-side, so what reaches a
+    group's task is its distinct values, which are the lists themselves."""
+    mats = F.collect_set(F.col("employee_id").cast("string"))
+    agg = log.groupBy("batch_id", "pay_date").agg(
         F.count(F.lit(1)).alias("nb_doublons"),
-        (F.sum(F.abs("amount_cents")).cast("double") / 100.0).alias("montant_total_ignore"))
-    vals = log.select(*keys, F.explode(F.array(
-        F.struct(F.lit("codes").alias("kind"), F.col("pay_code").alias("value")),
-        F.struct(F.lit("mats").alias("kind"), F.col("employee_id").cast("string").alias("value")))).alias("v")) \
-        .select(*keys, "v.kind", "v.value").filter(F.col("value").isNotNull()).distinct()
-    counts = vals.groupBy(*keys).pivot("kind", ["codes", "mats"]).agg(F.count(F.lit(1)))
-    lists = bounded_list(vals, keys + ["kind"], "value", list_size, name="lst") \
-        .groupBy(*keys).pivot("kind", ["codes", "mats"]).agg(F.first("lst"))
-    return (agg.join(counts.select(*keys, F.col("codes").alias("nb_codes"), F.col("mats").alias("nb_matricules")),
-                     keys, "left")
-            .join(lists.select(*keys, F.col("codes").alias("codes_paie_concernes"),
-                               F.col("mats").alias("matricules_concernes")), keys, "left")
-            .na.fill(0, ["nb_codes", "nb_matricules"]))
+        (F.sum(F.abs("amount_cents")).cast("double") / 100.0).alias("montant_total_ignore"),
+        F.array_sort(F.collect_set("pay_code")).alias("_codes"), F.array_sort(mats).alias("_mats"))
+
+    def text(c):
+        return F.when(F.size(c) > 0, F.array_join(c, ", "))
+
+    return agg.select("batch_id", "pay_date", "nb_doublons", "montant_total_ignore",
+                      F.size("_codes").cast("long").alias("nb_codes"), F.size("_mats").cast("long").alias("nb_matricules"),
+                      text("_codes").alias("codes_paie_concernes"), text("_mats").alias("matricules_concernes"))
 
 
 def extract_employees(stg: DataFrame, key: str = "employee_id", row_col: str = "source_row_no") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from paysift.operators import analytics as an
-from paysift.operators.lines import canonical_lines, with_row_no
+from paysift.operators.lines import canonical_lines, number_lines
 from paysift.sources import fixtures as fx
 from paysift.sources.reference import code_families
 
@@ -39,7 +39,7 @@ def canon_lines(spark, sf):
 SELECT *, row_number() OVER (ORDER BY source_file, source_row_no) AS line_no FROM canon
 """, ctes=CANON_CTE)
 def f14(spark, sf):
-    return with_row_no(canon(spark, sf), ["source_file", "source_row_no"], "line_no")
+    return number_lines(canon(spark, sf))
 
 
 @query("f15_pay_mass", f"""
@@ -211,16 +211,16 @@ def f29(spark, sf):
 
 
 PROFILE_CTE = """prof AS (
-  SELECT employee_id, categorie_paie, poste_budgetaire, nb AS occurrences FROM (
-    SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY nb DESC, categorie_paie, poste_budgetaire) AS rn
-    FROM (SELECT employee_id, coalesce(nullif(trim(categorie_paie), ''), 'Non défini') AS categorie_paie,
-            coalesce(nullif(trim(poste_budgetaire), ''), 'Non défini') AS poste_budgetaire, COUNT(*) AS nb
+  SELECT employee_id, categorie_emploi, titre_emploi, nb AS occurrences FROM (
+    SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY nb DESC, categorie_emploi, titre_emploi) AS rn
+    FROM (SELECT employee_id, coalesce(nullif(trim(categorie_emploi), ''), 'Non défini') AS categorie_emploi,
+            coalesce(nullif(trim(titre_emploi), ''), 'Non défini') AS titre_emploi, COUNT(*) AS nb
           FROM canon GROUP BY 1, 2, 3) b) r
   WHERE rn = 1)"""
 
 
 def profile(spark, sf):
-    return an.dominant_profile(canon(spark, sf), "employee_id", ["categorie_paie", "poste_budgetaire"])
+    return an.dominant_profile(canon(spark, sf), "employee_id", ["categorie_emploi", "titre_emploi"])
 
 
 @query("f31_dominant_profile", "SELECT * FROM prof", ctes=CANON_CTE + ",\n" + PROFILE_CTE)
@@ -229,22 +229,22 @@ def f31(spark, sf):
 
 
 @query("f30_category_headcount", """
-SELECT t.pay_date AS date_paie, coalesce(nullif(p.categorie_paie, ''), 'Non classé') AS categorie,
+SELECT t.pay_date AS date_paie, coalesce(nullif(p.categorie_emploi, ''), 'Non classé') AS categorie,
   COUNT(DISTINCT t.employee_id) AS nb_employes
 FROM ledger t JOIN prof p ON p.employee_id = t.employee_id
 GROUP BY 1, 2
 """, ctes=CANON_CTE + ",\n" + PROFILE_CTE)
 def f30(spark, sf):
-    return an.category_headcount(fx.ledger(spark, sf), profile(spark, sf), "categorie_paie")
+    return an.category_headcount(fx.ledger(spark, sf), profile(spark, sf), "categorie_emploi")
 
 
 @query("f32_employee_groups", """
-SELECT categorie_paie, nb_employes, CAST((nb_employes * 20000 + t) // (2 * t) AS DOUBLE)/100.0 AS pct
-FROM (SELECT categorie_paie, COUNT(DISTINCT employee_id) AS nb_employes FROM prof GROUP BY 1) g,
+SELECT categorie_emploi, titre_emploi, nb_employes, CAST((nb_employes * 20000 + t) // (2 * t) AS DOUBLE)/100.0 AS pct
+FROM (SELECT categorie_emploi, titre_emploi, COUNT(DISTINCT employee_id) AS nb_employes FROM prof GROUP BY 1, 2) g,
      (SELECT COUNT(DISTINCT employee_id) AS t FROM prof) tt
 """, ctes=CANON_CTE + ",\n" + PROFILE_CTE)
 def f32(spark, sf):
-    return an.employee_groups(profile(spark, sf), ["categorie_paie"])
+    return an.employee_groups(profile(spark, sf), ["categorie_emploi", "titre_emploi"])
 
 
 NEW_HIRES_CTE = """mp AS (
@@ -278,7 +278,7 @@ SELECT batch_id, pay_date, source_file, COUNT(DISTINCT employee_id) AS total_emp
   COUNT(DISTINCT employee_id) FILTER (WHERE est_nouveau) AS nouveaux_employes,
   COUNT(DISTINCT employee_id) FILTER (WHERE NOT est_nouveau) AS anciens_employes,
   max(max_precedent) AS max_precedent, max(max_actuel) AS max_actuel, max(date_precedente) AS date_precedente,
-  coalesce(left(string_agg(DISTINCT matricule_norm, ', ' ORDER BY matricule_norm) FILTER (WHERE est_nouveau), 255), '')
+  coalesce(string_agg(DISTINCT matricule_norm, ', ' ORDER BY matricule_norm) FILTER (WHERE est_nouveau), '')
     AS liste_nouveaux
 FROM nh GROUP BY batch_id, pay_date, source_file
 """, ctes=NEW_HIRES_CTE)

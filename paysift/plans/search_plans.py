@@ -50,7 +50,6 @@ def i03(spark, sf):
 
 @query("i04_list_employees", """
 SELECT * FROM employees WHERE statut = 'actif' AND categorie_emploi = 'BUILDING'
-ORDER BY nom_complet, employee_id LIMIT 100
 """)
 def i04(spark, sf):
     return S.list_employees(fx.employees(spark, sf), status="actif", categorie="BUILDING")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paysift.operators import kpi
 from paysift.operators import vectors as V
-from paysift.operators.lines import with_file_row_no, with_row_no
+from paysift.operators.lines import number_lines
 from paysift.sources import fixtures as fx
 from paysift.sources import params as PR
 from paysift.sources import sinks as SK
@@ -148,8 +148,7 @@ FROM ledger
 """)
 def a13(spark, sf):
     lg = fx.ledger(spark, sf).select("source_file", "source_row_no")
-    g = with_row_no(lg, ["source_file", "source_row_no"], "line_no")
-    return with_file_row_no(g)
+    return number_lines(lg, in_file="file_row_no")
 
 
 @query("a14_params_upsert", """

@@ -7,7 +7,9 @@ in values that are unset (local tests, bench).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,11 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
     On a cluster this must be a shared file system path and is read from the
-    session. Only when it is unset (local tests) a scratch folder is created.
-    """
+    session; without it an error is raised, because executors do not share a
+    local folder. Only a local master (tests, bench) gets a scratch folder, one
+    per session, removed when the process ends."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="paysift-ckpt-", dir="/tmp")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        d = tempfile.mkdtemp(prefix="paysift-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d

@@ -4,28 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paysift.session import shuffle_partitions
-
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition a scan that has fewer partitions than the cluster has cores.
-
-    A table stored as one Parquet row group is read by one task. When that
-    happens, the rows are spread on the key the next operator clusters on (so
-    the following join/window reuses this exchange instead of adding one).
-    On large inputs the scan already has more splits than cores and nothing
-    changes."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    n = shuffle_partitions(spark)
-    return df.repartition(n, *keys) if keys else df.repartition(n)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; Catalyst prunes columns and pushes filters into the scan."""
     if name not in TABLES:

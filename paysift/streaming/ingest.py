@@ -5,8 +5,8 @@
   ``foreachBatch`` to a folder keyed by the epoch id, so a retried epoch
   overwrites its own output (idempotent sink) and a restart resumes from the
   checkpoint.
-* M2 ``stream_dedup``: ``withWatermark`` + ``dropDuplicatesWithinWatermark`` on
-  the business key; state is bounded by the watermark.
+* M2 ``stream_dedup``: micro-batches anti joined on the business keys of the
+  lines already stored; nothing is dropped for its age.
 * M3 ``stream_kpi``: tumbling daily windows in update mode; lines of closed
   periods are refused by a stream-static join with the period table (D17).
 
@@ -68,31 +68,45 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     return q
 
 
-def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
-                 delay: str = "3650 days", max_files: int = 64):
-    """M2: drop re-sent lines by business key across micro-batches (watermark-bounded state)."""
+def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, max_files: int = 64):
+    """M2: drop re-sent lines by business key, however late they come.
+
+    Each micro-batch keeps one line per key (the first batch and row) and is anti
+    joined with the keys stored by earlier epochs. The stored lines are the state:
+    no event-time limit drops a back-dated line or lets an old duplicate through,
+    and a retried epoch overwrites its own output."""
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    staged = validate_lines(s).filter("is_valid").withColumn("cle_metier", business_key(
+    staged = validate_lines(s).filter("is_valid").drop("validation_errors").withColumn("cle_metier", business_key(
         "pay_date", "employee_id", "pay_code", F.coalesce("budget_post", F.lit("N/A")), "amount_cents",
         "employer_cents"))
-    dedup = (staged.withColumn("event_ts", F.col("pay_date").cast("timestamp"))
-             .withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["cle_metier"]))
-    q = (dedup.drop("validation_errors").writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    names = staged.columns
+    empty = spark.createDataFrame([], T.StructType([f for f in staged.schema if f.name != "cle_metier"] + [T.StructField("cle_metier", T.StringType())]))
+    empty.select(*names).write.mode("overwrite").parquet(f"{out}/epoch=-1")
+
+    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+        others = [c for c in names if c != "cle_metier"]
+        once = batch.groupBy("cle_metier").agg(F.min_by(F.struct(*others), F.struct("batch_id", "source_row_no")).alias("r")).select("r.*", "cle_metier")
+        seen = batch.sparkSession.read.parquet(out).filter(F.col("epoch") < epoch_id).select("cle_metier")
+        (once.join(seen, "cle_metier", "left_anti").select(*names)
+         .write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}"))
+
+    q = (staged.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
 def stream_kpi(spark: SparkSession, source: str, schema: T.StructType, periods: DataFrame, out: str,
-               checkpoint: str, delay: str = "3650 days", max_files: int = 64):
+               checkpoint: str, max_files: int = 64):
     """M3: daily tumbling-window totals of lines in open periods (update mode, epoch-keyed sink).
 
-    ``min(pay_date)`` names each window, so the result does not depend on the
-    session time zone."""
+    State is one row per pay date of an open period, so no event-time limit is
+    needed and a line of any age still reaches its day. ``min(pay_date)`` names
+    each window, so the result does not depend on the session time zone."""
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     gated = s.filter(F.col("pay_date").isNotNull()).join(
         F.broadcast(periods.filter(F.col("status") == OPEN_STATUS).select("pay_date")), "pay_date", "left_semi")
-    agg = (gated.withColumn("event_ts", F.col("pay_date").cast("timestamp")).withWatermark("event_ts", delay)
+    agg = (gated.withColumn("event_ts", F.col("pay_date").cast("timestamp"))
            .groupBy(F.window("event_ts", "1 day"))
            .agg(F.min("pay_date").alias("pay_date"), F.sum("amount_cents").alias("net_cents"),
                 F.count(F.lit(1)).alias("n_lines")))
@@ -108,16 +122,12 @@ def stream_kpi(spark: SparkSession, source: str, schema: T.StructType, periods:
 
 
 def stream_kpi_month(spark: SparkSession, source: str, schema: T.StructType, periods: DataFrame, out: str,
-                     checkpoint: str, delay: str = "3650 days", max_files: int = 64):
-    """M3: calendar-month totals of lines in open periods (update mode, epoch-keyed sink).
-
-    The watermark is declared on the month-start column that is also the
-    grouping key, so state for months older than the watermark is evicted."""
+                     checkpoint: str, max_files: int = 64):
+    """M3: calendar-month totals of lines in open periods (update mode, epoch-keyed sink); state is one row per month."""
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     gated = s.filter(F.col("pay_date").isNotNull()).join(
         F.broadcast(periods.filter(F.col("status") == OPEN_STATUS).select("pay_date")), "pay_date", "left_semi")
     agg = (gated.withColumn("month_start", F.date_trunc("month", F.col("pay_date").cast("timestamp")))
-           .withWatermark("month_start", delay)
            .groupBy("month_start")
            .agg(F.date_format(F.min("pay_date"), "yyyy-MM").alias("mois"), F.sum("amount_cents").alias("net_cents"),
                 F.count(F.lit(1)).alias("n_lines")))
