@@ -429,10 +429,14 @@ def header_signatures(first: DataFrame, sep: str = ";") -> DataFrame:
 
 
 def match_profiles(signatures: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Latest saved mapping profile per (client, signature) matched to each file; unmatched kept."""
-    w = Window.partitionBy("signature").orderBy(F.desc("updated_at"), F.desc("profile_id"))
+    """Latest saved mapping profile per (client, signature) matched to each file; unmatched kept.
+
+    Files that name their ``client`` only match profiles of that client; without
+    a client column a file gets the latest profile of every client."""
+    w = Window.partitionBy("client", "signature").orderBy(F.desc("updated_at"), F.desc("profile_id"))
     latest = profiles.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    return signatures.join(latest, "signature", "left").withColumn("matched", F.col("profile_id").isNotNull())
+    keys = ["client", "signature"] if "client" in signatures.columns else ["signature"]
+    return signatures.join(latest, keys, "left").withColumn("matched", F.col("profile_id").isNotNull())
 
 
 def code_sign_profile(lines: DataFrame, code: str = "pay_code", amount: str = "amount_cents") -> DataFrame:

@@ -298,7 +298,7 @@ PROFILES_CTE = "saved AS (SELECT profile_id, client, " + _sig_sql("header") + ""
 SELECT f.source_file, f.signature, s.profile_id, s.client, s.updated_at, s.profile_id IS NOT NULL AS matched
 FROM (SELECT DISTINCT source_file, {_sig_sql("'" + ";".join(FILE_HEADERS).replace("'", "''") + "'")} AS signature
       FROM payfile) f
-LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY updated_at DESC, profile_id DESC) AS r
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client, signature ORDER BY updated_at DESC, profile_id DESC) AS r
                           FROM saved) x WHERE r = 1) s ON s.signature = f.signature
 """, ctes=PAYFILE_CTE + ",\n" + PROFILES_CTE)
 def c16(spark, sf):

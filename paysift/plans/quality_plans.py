@@ -14,7 +14,7 @@ from .catalog import query
 from .profile_plans import PAYFILE_CTE, q
 from .sqltext import STAR_INNER, amount_cents, parse_date
 
-STAGED_CTE = """staged AS (
+STAGED_CTE = """staged AS MATERIALIZED (
   SELECT *, len(validation_errors) = 0 AS is_valid FROM (
     SELECT s.*, list_filter([
         CASE WHEN pay_date IS NULL THEN 'DATE_PAIE_MANQUANTE' END,
@@ -35,13 +35,15 @@ CODEDIM_CTE = """codedim AS (
   FROM staged WHERE is_valid AND pay_code IS NOT NULL AND pay_code <> ''
     AND pay_code NOT IN (SELECT pay_code FROM codes) GROUP BY pay_code)"""
 
-LEDGER2_CTE = """ledger2 AS (
-  SELECT s.*, p.period_seq_in_year, CAST(year(s.pay_date) AS INT) AS pay_year FROM (
-    SELECT * FROM staged WHERE is_valid AND amount_cents <> 0 AND pay_date IS NOT NULL
-      AND employee_id IN (SELECT employee_id FROM employees)) s
-  JOIN (SELECT pay_date, CAST(dense_rank() OVER (PARTITION BY year(pay_date) ORDER BY pay_date) AS INT) AS period_seq_in_year
-        FROM (SELECT DISTINCT pay_date FROM staged WHERE is_valid AND amount_cents <> 0 AND pay_date IS NOT NULL
-                AND employee_id IN (SELECT employee_id FROM employees)) d) p ON p.pay_date = s.pay_date)"""
+LEDGER2_CTE = """known AS MATERIALIZED (
+  SELECT s.* FROM staged s SEMI JOIN employees e ON e.employee_id = s.employee_id
+  WHERE s.is_valid AND s.amount_cents <> 0 AND s.pay_date IS NOT NULL),
+seq AS MATERIALIZED (
+  SELECT pay_date, CAST(dense_rank() OVER (PARTITION BY year(pay_date) ORDER BY pay_date) AS INT) AS period_seq_in_year
+  FROM (SELECT DISTINCT pay_date FROM known) d),
+ledger2 AS MATERIALIZED (
+  SELECT s.*, p.period_seq_in_year, CAST(year(s.pay_date) AS INT) AS pay_year
+  FROM known s JOIN seq p ON p.pay_date = s.pay_date)"""
 
 
 def staged(spark, sf):
@@ -426,9 +428,8 @@ def e11(spark, sf):
 
 @query("e12_incremental_ledger", """
 SELECT i.batch_id, i.source_file, i.source_row_no, i.pay_date, i.employee_id, i.amount_cents
-FROM stg_lines i JOIN employees e ON e.employee_id = i.employee_id
-WHERE NOT EXISTS (SELECT 1 FROM ledger2 t WHERE t.pay_date = i.pay_date AND t.source_file = i.source_file
-                  AND t.source_row_no = i.source_row_no)
+FROM (SELECT s.* FROM stg_lines s SEMI JOIN employees e ON e.employee_id = s.employee_id) i
+ANTI JOIN ledger2 t ON t.pay_date = i.pay_date AND t.source_file = i.source_file AND t.source_row_no = i.source_row_no
 """, ctes=STAGED_CTE + ",\n" + LEDGER2_CTE)
 def e12(spark, sf):
     out = W.incremental_ledger(fx.stg_lines(spark, sf), fx.employees(spark, sf), built_ledger(spark, sf))

@@ -52,14 +52,25 @@ def a06(spark, sf):
     return SK.batch_log(staged(spark, sf))
 
 
-@query("a07_file_checksums")
+@query("a07_file_checksums", """
+SELECT source_file, count(*) AS n_lines, false AS seen_before FROM ledger
+WHERE source_file > (SELECT min(source_file) FROM ledger) GROUP BY source_file
+""")
 def a07(spark, sf):
+    """Landing folder with every file twice, the first file imported before: each other file is new once."""
     path = SK.work_dir(spark, "checksums")
-    write_pay_files(raw_pay_file(spark, sf), path)
-    cur = SK.file_checksums(spark, f"{path}/*/*.csv")
-    seen = cur.limit(0)
-    return SK.new_files(cur, seen).select(F.regexp_extract("file_path", r"source_file=([^/]+)", 1)
-                                          .alias("source_file"), "checksum", "n_bytes")
+    for copy in ("a", "b"):
+        (raw_pay_file(spark, sf).repartition("source_file").sortWithinPartitions("source_file", F.col("`N de ligne`").cast("long"))
+         .write.option("header", True).option("sep", ";").partitionBy("source_file").csv(f"{path}/{copy}"))
+    period = F.regexp_extract("file_path", r"source_file=([^/]+)", 1)
+    cur = SK.file_checksums(spark, f"{path}/*/*/*.csv").withColumn("period", period)
+    seen = cur.filter(F.col("period") == cur.agg(F.min("period")).scalar())
+    new = SK.new_files(cur, seen).select("period", "file_path")
+    lines = spark.read.option("header", True).option("sep", ";").csv(f"{path}/*/*").select(F.col("_metadata.file_path").alias("_p"))
+    name = F.regexp_extract(F.col("_p"), r"([^/]+/source_file=[^/]+)/", 1)
+    counts = lines.groupBy(name.alias("_k")).agg(F.count(F.lit(1)).alias("n_lines"))
+    j = new.withColumn("_k", F.regexp_extract("file_path", r"([^/]+/source_file=[^/]+)/", 1)).join(counts, "_k")
+    return j.select(F.col("period").alias("source_file"), "n_lines", F.lit(False).alias("seen_before"))
 
 
 @query("a08_write_report", """

@@ -33,6 +33,7 @@ FROM (SELECT TRY_CAST({q('N de ligne')} AS BIGINT) AS source_row_no, trim(matric
       FROM payfile) x
 WHERE pay_date IS NOT NULL AND matricule IS NOT NULL AND trim(matricule) <> '' AND pay_code IS NOT NULL
   AND trim(pay_code) <> '' AND amount_cents IS NOT NULL AND coalesce(employer_cents, 0) >= 0
+  AND pay_date IN (SELECT pay_date FROM periods WHERE status = 'ouverte')
 """
 
 
@@ -40,7 +41,7 @@ WHERE pay_date IS NOT NULL AND matricule IS NOT NULL AND trim(matricule) <> '' A
 def m01(spark, sf):
     landing, out, ck = work_dir(spark, "m1-landing"), work_dir(spark, "m1-out"), work_dir(spark, "m1-ckpt")
     write_pay_files(raw_pay_file(spark, sf), landing)
-    M.stream_ingest(spark, landing, out, ck)
+    M.stream_ingest(spark, landing, out, ck, periods=fx.periods(spark, sf))
     return spark.read.parquet(f"{out}/lines").drop("epoch", "file_path")
 
 

@@ -7,8 +7,13 @@ data that grows with the driver tables.
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixtures as fx
 
@@ -53,28 +58,71 @@ def raw_pay_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*[c.alias(h) for c, h in zip(cols, FILE_HEADERS)], "source_file")
 
 
-def read_pay_csv(spark: SparkSession, path: str, fallback_encoding: str = "ISO-8859-1",
-                 seps=(";", ",", "\t")) -> DataFrame:
-    """A1: read delimited pay files as text columns.
-
-    Encoding and delimiter are chosen from the first lines only (a small
-    ``read.text(...).limit(20)`` probe): UTF-8 when those bytes are valid UTF-8
-    (``is_valid_utf8``), else the Latin-1 family; then the candidate separator
-    with the most occurrences in the header line. The full read is one
-    distributed CSV scan with every column as STRING (never inferred); a UTF-8
-    byte-order mark is removed from the first header name.
-    """
-    head = spark.read.option("recursiveFileLookup", True).text(path).limit(20)
-    bad = head.filter(~F.is_valid_utf8("value")).limit(1).count()
-    enc = "UTF-8" if bad == 0 else fallback_encoding
-    first = head.limit(1).collect()
-    header = first[0][0] if first else ""
-    sep = max(seps, key=lambda s: header.count(s))
-    df = (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
-          .option("inferSchema", False).option("quote", '"').option("escape", '"')
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
-    return df.withColumn("file_path", F.col("_metadata.file_path"))
+# windows-1252 differs from ISO-8859-1 in the C1 control range only
+_C1 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def file_formats(lines: DataFrame, seps=(";", ",", "\t")) -> DataFrame:
+    """One row per file of ``lines`` (:func:`text_lines`): utf8 (all of its bytes are UTF-8), header line, separator.
+
+    Decided from every line of each file. Inside a split the running id follows
+    the line order, so the smallest (offset, id) is the first line. The separator
+    is the candidate that the header line holds most often."""
+    lines = lines.withColumn("_o", F.struct("_at", F.monotonically_increasing_id()))
+    per = lines.groupBy("file_path").agg(F.min(F.is_valid_utf8("value")).alias("utf8"), F.min_by("value", "_o").alias("_h"))
+    raw = F.col("_h").cast("binary")
+    header = F.when(F.col("utf8"), F.col("_h")).otherwise(F.translate(F.decode(raw, "ISO-8859-1"), "".join(_C1), "".join(_C1.values())))
+    header = F.regexp_replace(header, "^\ufeff", "")
+    best = F.array_max(F.array(*[F.struct((F.length("header") - F.length(F.replace("header", F.lit(x)))).alias("n"),
+                                          F.lit(-i).alias("first"), F.lit(x).alias("sep")) for i, x in enumerate(seps)]))
+    return per.select("file_path", "utf8", header.alias("header")).withColumn("sep", best["sep"])
+
+
+def text_lines(reader) -> DataFrame:
+    """(value, file_path, _at): lines of a text scan or text stream with file and split offset."""
+    return reader.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_at"))
+
+
+def read_files(spark: SparkSession, formats: DataFrame, base: str | None = None, canonical: bool = False) -> DataFrame:
+    """All files of ``formats`` as text columns, each read with its own encoding, separator and header.
+
+    Files are listed on the driver, as every Spark scan lists its files, and read
+    in one scan per distinct layout (encoding, separator, header). With
+    ``canonical`` every layout's headers are mapped to canonical names first, so
+    files with other column orders or spellings land in the same columns."""
+    from .mapping import canonicalise_columns
+    layouts: dict[tuple, list[str]] = {}
+    for r in formats.collect():
+        layouts.setdefault((r["utf8"], r["sep"], r["header"] or ""), []).append(unquote(r["file_path"]))
+    parts = []
+    for (utf8, sep, header), files in sorted(layouts.items()):
+        names, seen = [], {}
+        for h in next(csv.reader([header], delimiter=sep), []):
+            seen[h] = seen.get(h, 0) + 1
+            names.append(h if seen[h] == 1 else f"{h}_{seen[h]}")
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        reader = (spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", True)
+                  .option("encoding", "UTF-8" if utf8 else "ISO-8859-1").option("quote", '"').option("escape", '"')
+                  .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+        df = (reader.option("basePath", base) if base else reader).csv(files)
+        df = df.select("*", F.col("_metadata.file_path").alias("file_path"))
+        if not utf8:
+            df = df.withColumns({c: F.translate(c, "".join(_C1), "".join(_C1.values())) for c in schema.names})
+        df = df.withColumnsRenamed(dict(zip(schema.names, names)))
+        parts.append(canonicalise_columns(df) if canonical else df)
+    if not parts:
+        return spark.createDataFrame([], "file_path string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_pay_csv(spark: SparkSession, path: str, seps=(";", ",", "\t"), canonical: bool = False) -> DataFrame:
+    """A1: read delimited pay files as text columns, each file in its own format.
+
+    UTF-8 (with or without byte-order mark) where all bytes of the file are valid
+    UTF-8, else windows-1252; the separator and the headers of each file's first
+    line. Columns are never inferred; ``file_path`` tells the file."""
+    lines = text_lines(spark.read.option("recursiveFileLookup", True).text(path))
+    return read_files(spark, file_formats(lines, seps), None if any(c in path for c in "*?[{") else path, canonical)
 
 
 def write_pay_files(df: DataFrame, path: str, sep: str = ";") -> None:

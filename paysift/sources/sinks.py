@@ -56,15 +56,19 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def file_checksums(spark: SparkSession, glob: str) -> DataFrame:
-    """SHA-256 of every file in a landing folder (binaryFile source, one task per file)."""
+    """SHA-256 of every file in a landing folder (binaryFile source, one task per file).
+
+    A file is one value here, so its size is bounded by Spark's 2 GB per value."""
     return spark.read.format("binaryFile").load(glob).select(
         F.col("path").alias("file_path"), F.sha2(F.col("content"), 256).alias("checksum"),
         F.col("length").alias("n_bytes"))
 
 
-def new_files(current: DataFrame, seen: DataFrame, keys=("checksum",)) -> DataFrame:
-    """Files whose checksum (optionally per period) was not imported before."""
-    return current.join(seen.select(*keys), list(keys), "left_anti")
+def new_files(current: DataFrame, seen: DataFrame, keys=("period", "checksum")) -> DataFrame:
+    """Files whose (period, checksum) was not imported before; of equal new files of a period the first path."""
+    keys = list(keys)
+    once = current.groupBy(*keys).agg(F.min(F.struct("file_path", *[c for c in current.columns if c not in ("file_path", *keys)])).alias("_f"))
+    return once.select(*keys, "_f.*").join(seen.select(*keys), keys, "left_anti").select(*current.columns)
 
 
 def batch_log(staged: DataFrame) -> DataFrame:

@@ -24,18 +24,17 @@ from paysift.functions.dates import WIDE_YEAR_HI, WIDE_YEAR_LO, parse_pay_date
 from paysift.functions.keys import business_key
 from paysift.operators.quality import validate_lines
 from paysift.sources.mapping import canonicalise_columns
-from paysift.sources.payfile import FILE_HEADERS
+from paysift.sources.payfile import file_formats, read_files, text_lines
 
 OPEN_STATUS = "ouverte"
 
 
-def pay_file_schema() -> T.StructType:
-    return T.StructType([T.StructField(h, T.StringType()) for h in FILE_HEADERS])
-
-
-def stage_batch(raw: DataFrame) -> DataFrame:
+def stage_batch(raw: DataFrame, canonical: bool = False) -> DataFrame:
     """Canonical, typed and validated lines of one micro-batch (batch operators reused)."""
-    c = canonicalise_columns(raw)
+    c = raw if canonical else canonicalise_columns(raw)
+    for name in ("categorie_paie", "poste_budgetaire", "part_employeur", "numero_ligne"):  # columns a file may lack
+        if name not in c.columns:
+            c = c.withColumn(name, F.lit(None).cast("string"))
     typed = c.select(
         "file_path", F.col("numero_ligne").try_cast("long").alias("source_row_no"),
         F.trim("matricule").alias("matricule"),
@@ -46,17 +45,30 @@ def stage_batch(raw: DataFrame) -> DataFrame:
     return validate_lines(typed, mat_col="matricule")
 
 
-def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, max_files: int = 50):
-    """M1: ingest every file arriving in ``landing``; returns the finished query (availableNow)."""
-    src = (spark.readStream.schema(pay_file_schema()).option("header", True).option("sep", ";")
-           .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(landing).withColumn("file_path", F.col("_metadata.file_path")))
+def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, max_files: int = 50,
+                  periods: DataFrame | None = None):
+    """M1: ingest every file arriving in ``landing``; returns the finished query (availableNow).
+
+    The stream tells which files have arrived; each is read with its own
+    encoding, separator and header (A1), so column order and spelling may differ
+    from file to file. With ``periods``, valid lines outside open periods are
+    refused with the alert ``PERIODE_FERMEE`` (D17)."""
+    src = text_lines(spark.readStream.format("text").option("recursiveFileLookup", True)
+                     .option("maxFilesPerTrigger", max_files).load(landing))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        staged = stage_batch(batch)
+        raw = read_files(batch.sparkSession, file_formats(batch), canonical=True)
+        if raw.columns == ["file_path"]:
+            return
+        staged = stage_batch(raw, canonical=True)
+        if periods is not None:
+            opened = periods.filter(F.col("status") == OPEN_STATUS).select("pay_date", F.lit(True).alias("_open"))
+            closed = F.col("is_valid") & F.col("_open").isNull()
+            staged = staged.join(opened, "pay_date", "left").withColumn(
+                "validation_errors", F.when(closed, F.array(F.lit("PERIODE_FERMEE"))).otherwise(F.col("validation_errors"))) \
+                .withColumn("is_valid", F.col("is_valid") & ~closed).drop("_open")
         (staged.filter("is_valid").drop("validation_errors", "is_valid")
-         .withColumn("pay_year", F.year("pay_date")).withColumn("epoch", F.lit(epoch_id))
+         .withColumn("pay_year", F.year("pay_date"))
          .write.mode("overwrite").partitionBy("pay_year").parquet(f"{out}/lines/epoch={epoch_id}"))
         (staged.filter(~F.col("is_valid")).select("file_path", "source_row_no",
                                                    F.explode("validation_errors").alias("alert_type"))
@@ -112,7 +124,7 @@ def stream_kpi(spark: SparkSession, source: str, schema: T.StructType, periods:
                 F.count(F.lit(1)).alias("n_lines")))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        (batch.select("pay_date", "net_cents", "n_lines", F.lit(epoch_id).alias("epoch"))
+        (batch.select("pay_date", "net_cents", "n_lines")
          .write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}"))
 
     q = (agg.writeStream.outputMode("update").foreachBatch(write_epoch).option("checkpointLocation", checkpoint)
@@ -133,7 +145,7 @@ def stream_kpi_month(spark: SparkSession, source: str, schema: T.StructType, per
                 F.count(F.lit(1)).alias("n_lines")))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        (batch.select(F.col("mois").alias("pay_date"), "net_cents", "n_lines", F.lit(epoch_id).alias("epoch"))
+        (batch.select(F.col("mois").alias("pay_date"), "net_cents", "n_lines")
          .write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}"))
 
     q = (agg.writeStream.outputMode("update").foreachBatch(write_epoch).option("checkpointLocation", checkpoint)

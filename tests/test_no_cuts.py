@@ -94,3 +94,53 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Fake)
+
+
+HEAD = ["matricule", "code de paie", "date de paie", "montant", "employé"]
+
+
+def _landing(tmp_path):
+    files = {
+        "a.csv": (";", "utf-8-sig", HEAD, [["1", "101", "2025-08-28", "10,00", "Zoé"]]),
+        "b.csv": (",", "cp1252", HEAD[::-1], [["plain", "20.50", "2025-08-28", "105", str(1000 + i)] for i in range(500)] + [["Noël €", "30.00", "2025-08-28", "450", "999"]]),
+        "c c.csv": ("\t", "utf-8", [HEAD[1], HEAD[0], *HEAD[2:]], [["520", "3", "28/08/2025", "-4,00", "ß中"]]),
+    }
+    for name, (sep, enc, head, rows) in files.items():
+        (tmp_path / name).write_bytes("".join(sep.join(r) + "\n" for r in [head, *rows]).encode(enc))
+    return str(tmp_path)
+
+
+def test_each_file_has_its_own_format(spark, tmp_path):
+    from paysift.sources.payfile import read_pay_csv
+    df = read_pay_csv(spark, _landing(tmp_path), canonical=True)
+    rows = {r["matricule"]: r for r in df.collect()}
+    assert len(rows) == 503
+    assert (rows["1"]["nom_employe"], rows["1"]["code_paie"]) == ("Zoé", "101")
+    assert (rows["999"]["nom_employe"], rows["999"]["montant_employe"]) == ("Noël €", "30.00")
+    assert (rows["3"]["code_paie"], rows["3"]["nom_employe"]) == ("520", "ß中")
+
+
+def test_stream_reads_each_file_by_its_headers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    landing = _landing(tmp_path / "in")
+    periods = spark.createDataFrame([(dt.date(2025, 8, 28), "ouverte")], "pay_date date, status string")
+    ingest.stream_ingest(spark, landing, f"{tmp_path}/out", f"{tmp_path}/ck", max_files=2, periods=periods)
+    rows = {r["matricule"]: r for r in spark.read.parquet(f"{tmp_path}/out/lines").collect()}
+    assert len(rows) == 503 and rows["3"]["pay_code"] == "520" and rows["3"]["amount_cents"] == -400 and rows["999"]["amount_cents"] == 3000
+    closed = periods.withColumn("status", F.lit("fermée"))
+    ingest.stream_ingest(spark, landing, f"{tmp_path}/out2", f"{tmp_path}/ck2", periods=closed)
+    assert {r["alert_type"] for r in spark.read.parquet(f"{tmp_path}/out2/alerts").collect()} == {"PERIODE_FERMEE"}
+
+
+def test_profiles_match_per_client(spark):
+    from paysift.operators.profile import match_profiles
+    sig = spark.createDataFrame([("f", "x", "A"), ("g", "x", "B"), ("h", "x", "C")], "file string, signature string, client string")
+    prof = spark.createDataFrame([(1, "A", "x", 1), (2, "A", "x", 2), (3, "B", "x", 9)], "profile_id int, client string, signature string, updated_at int")
+    assert {r["file"]: r["profile_id"] for r in match_profiles(sig, prof).collect()} == {"f": 2, "g": 3, "h": None}
+
+
+def test_equal_file_of_a_period_is_imported_once(spark):
+    from paysift.sources.sinks import new_files
+    cur = spark.createDataFrame([("p1/a", "c", 1, "p1"), ("p1/b", "c", 1, "p1"), ("p2/a", "c", 1, "p2"), ("p3/a", "d", 1, "p3")], "file_path string, checksum string, n_bytes int, period string")
+    seen = spark.createDataFrame([("p3", "d"), ("p9", "c")], "period string, checksum string")
+    assert sorted(r["file_path"] for r in new_files(cur, seen).collect()) == ["p1/a", "p2/a"]
