@@ -246,11 +246,13 @@ def kpi_param_rate(tx: DataFrame, params: DataFrame, key: str = "part_employeur_
 # Star family (F10-F11): categories from the code dimension, algebraic deductions.
 # --------------------------------------------------------------------------------------
 
-def star_cents_aggs(cat: Column | None = None) -> list[Column]:
-    cat = F.col("categorie_paie") if cat is None else cat
+def star_cents_aggs(columns: list[str]) -> list[Column]:
+    cat = F.col("categorie_paie")
     A = F.col("amount_cents")
     ded = cat.isin(*DEDUCTION_CATEGORIES)
     gains = cat == "Gains"
+    adjusted = F.col("is_adjustment") if "is_adjustment" in columns else gains & (A < 0)
+    refunded = F.col("is_refund") if "is_refund" in columns else ded & (A > 0)
     return [
         F.count(F.lit(1)).alias("nb_transactions"),
         _sum_when(gains & (A >= 0)).alias("_gains"),
@@ -264,8 +266,8 @@ def star_cents_aggs(cat: Column | None = None) -> list[Column]:
         F.sum(A).cast("long").alias("_net"),
         F.sum("employer_cents").cast("long").alias("_er"),
         _sum_when(gains).alias("_gains_all"),
-        F.count_if(gains & (A < 0)).alias("nb_ajustements"),
-        F.count_if(ded & (A > 0)).alias("nb_remboursements"),
+        F.count_if(adjusted).alias("nb_ajustements"),
+        F.count_if(refunded).alias("nb_remboursements"),
         F.countDistinct("employee_id").alias("nb_employes"),
     ]
 
@@ -292,10 +294,10 @@ def star_dollars() -> list[Column]:
 def kpi_star(fact: DataFrame) -> DataFrame:
     """star KPI per pay date (algebraic deductions, refunds, P&L cost, cash-out, tags).
 
-    Tags follow the fact load: ``is_adjustment`` = negative gain, ``is_refund`` =
-    positive deduction; counted here from the same predicates.
+    Counts the tags stored by the fact load (``is_adjustment`` = negative gain,
+    ``is_refund`` = positive deduction), or their definition on untagged lines.
     """
-    agg = fact.groupBy("pay_date").agg(*star_cents_aggs())
+    agg = fact.groupBy("pay_date").agg(*star_cents_aggs(fact.columns))
     return agg.select(
         F.col("pay_date").alias("date_paie"), F.date_format("pay_date", "yyyy-MM").alias("mois_paie"),
         F.year("pay_date").cast("int").alias("annee_paie"),
@@ -307,7 +309,7 @@ def kpi_star_month(fact: DataFrame) -> DataFrame:
     """star KPI per month, with the last refresh (max ``loaded_at`` if present)."""
     extra = [F.max("loaded_at").alias("derniere_mise_a_jour")] if "loaded_at" in fact.columns else []
     agg = fact.groupBy(F.date_format("pay_date", "yyyy-MM").alias("mois_paie")).agg(
-        *star_cents_aggs(), *extra)
+        *star_cents_aggs(fact.columns), *extra)
     return agg.select("mois_paie", F.substring("mois_paie", 1, 4).cast("int").alias("annee_paie"),
                       "nb_employes", "nb_transactions", *star_dollars(), "nb_ajustements",
                       "nb_remboursements", *[e for e in ["derniere_mise_a_jour"] if extra])

@@ -3,8 +3,8 @@
 Upserts on plain Parquet are expressed as DataFrame algebra: insert-if-absent
 is a ``left_anti`` join; SCD type 1 is a full outer join with ``coalesce(new,
 old)``; first-row-wins is ``min_by(struct, row_no)`` (DISTINCT ON without a
-sort of the whole table). Dimensions are small and broadcast; the fact and
-ledger are joined on their business keys with shuffles sized by AQE.
+sort of the whole table). Dimensions, fact and ledger are joined on their keys
+with joins sized by AQE.
 """
 
 from __future__ import annotations
@@ -84,30 +84,39 @@ def stage(stg: DataFrame) -> DataFrame:
         "amount_cents", "employer_cents"))
 
 
-def load_fact(staged: DataFrame, codes_dim: DataFrame, fact: DataFrame | None = None) -> DataFrame:
-    """Valid staged lines -> fact rows with tags; conflict-free on the business key.
+def load_fact(staged: DataFrame, codes_dim: DataFrame, fact: DataFrame | None = None, time_dim: DataFrame | None = None,
+              employees_dim: DataFrame | None = None, posts_dim: DataFrame | None = None, loaded_at=None) -> DataFrame:
+    """Valid staged lines -> new fact rows with tags; conflict-free on the business key.
 
     Within the load, the first (batch, row) per key wins (``min_by``); keys
-    already in ``fact`` are dropped by anti join. The code dimension (a
-    catalogue + inferred codes) is broadcast.
+    already in ``fact`` are dropped by anti join. The category comes from the code
+    dimension; the other dimensions given must know the line's date, employee and
+    budget post. They are joined after the reduction to one row per key, and
+    their size alone decides how (no hint: they grow with the data).
+    ``loaded_at`` stamps the rows of this load.
     """
-    codes = F.broadcast(codes_dim.select("pay_code", F.col("categorie_paie").alias("_cat")))
+    codes = codes_dim.select("pay_code", F.col("categorie_paie").alias("_cat"))
     v = staged.filter("is_valid").join(codes, "pay_code", "inner")
     firsts = v.groupBy("cle_metier").agg(F.min_by(
         F.struct("batch_id", "source_file", "source_row_no", "employee_id", "pay_date", "pay_code", "_cat",
                  "budget_post", "amount_cents", "employer_cents"),
         F.struct("batch_id", "source_row_no")).alias("r"))
-    rows = firsts.select("cle_metier", "r.*")
+    rows = firsts.select("cle_metier", "r.*").withColumn("poste_budgetaire", F.coalesce("budget_post", F.lit(POST_DEFAULT)))
     if fact is not None:
         rows = rows.join(fact.select("cle_metier"), "cle_metier", "left_anti")
+    for dim, key in ((time_dim.withColumnRenamed("date_paie", "pay_date") if time_dim is not None else None, "pay_date"),
+                     (employees_dim, "employee_id"), (posts_dim, "poste_budgetaire")):
+        if dim is not None:
+            rows = rows.join(dim.select(key), key, "left_semi")
     cat = F.col("_cat")
+    stamp = [] if loaded_at is None else [F.lit(loaded_at).cast("timestamp_ntz").alias("loaded_at")]
     return rows.select(
         "cle_metier", "pay_date", "employee_id", "pay_code", cat.alias("categorie_paie"),
-        F.coalesce("budget_post", F.lit(POST_DEFAULT)).alias("poste_budgetaire"), "amount_cents",
+        "poste_budgetaire", "amount_cents",
         "employer_cents", F.col("batch_id").alias("source_batch_id"), "source_file", "source_row_no",
         ((cat == GAINS) & (F.col("amount_cents") < 0)).alias("is_adjustment"),
         (cat.isin(*DEDUCTION_CATEGORIES) & (F.col("amount_cents") > 0)).alias("is_refund"),
-        F.col("batch_id").alias("first_seen_batch_id"))
+        F.col("batch_id").alias("first_seen_batch_id"), *stamp)
 
 
 def dedup_log(staged: DataFrame) -> DataFrame:

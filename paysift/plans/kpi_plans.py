@@ -7,6 +7,7 @@ from paysift.sources import fixtures as fx
 from paysift.sources.params import params
 
 from .catalog import query
+from .quality_plans import CODEDIM_CTE, STAGED_CTE, STAMPED_FACT_CTE, loaded_fact
 from .sqltext import CONTRACT_INNER, NB_EMP_NONZERO, STAR_INNER, STAR_OUTER, contract_outer
 
 PARAMS_CTE = """params AS (
@@ -118,21 +119,24 @@ def f09(spark, sf):
     return kpi.kpi_month_category(fx.ledger(spark, sf), fx.employees(spark, sf))
 
 
+STAR_CTES = STAGED_CTE + ",\n" + CODEDIM_CTE + ",\n" + STAMPED_FACT_CTE
+
+
 @query("f10_kpi_star", f"""
 SELECT date_paie, strftime(date_paie, '%Y-%m') AS mois_paie, CAST(year(date_paie) AS INT) AS annee_paie,
   CAST(quarter(date_paie) AS INT) AS trimestre, {STAR_OUTER} FROM (
-  SELECT pay_date AS date_paie, {STAR_INNER} FROM ledger GROUP BY pay_date) t
-""")
+  SELECT pay_date AS date_paie, {STAR_INNER} FROM stamped GROUP BY pay_date) t
+""", ctes=STAR_CTES)
 def f10(spark, sf):
-    return kpi.kpi_star(fx.ledger(spark, sf))
+    return kpi.kpi_star(loaded_fact(spark, sf))
 
 
 @query("f11_kpi_star_month", f"""
-SELECT mois_paie, CAST(substr(mois_paie, 1, 4) AS INT) AS annee_paie, {STAR_OUTER} FROM (
-  SELECT strftime(pay_date, '%Y-%m') AS mois_paie, {STAR_INNER} FROM ledger GROUP BY 1) t
-""")
+SELECT mois_paie, CAST(substr(mois_paie, 1, 4) AS INT) AS annee_paie, derniere_mise_a_jour, {STAR_OUTER} FROM (
+  SELECT strftime(pay_date, '%Y-%m') AS mois_paie, max(loaded_at) AS derniere_mise_a_jour, {STAR_INNER} FROM stamped GROUP BY 1) t
+""", ctes=STAR_CTES)
 def f11(spark, sf):
-    return kpi.kpi_star_month(fx.ledger(spark, sf))
+    return kpi.kpi_star_month(loaded_fact(spark, sf))
 
 
 @query("f12_kpi_param_rate", f"""

@@ -9,6 +9,7 @@ from paysift.operators import quality as Q
 from paysift.operators import warehouse as W
 from paysift.operators.lines import canonical_lines
 from paysift.sources import fixtures as fx
+from paysift.sources.sinks import work_dir
 
 from .catalog import query
 from .profile_plans import PAYFILE_CTE, q
@@ -376,10 +377,28 @@ FACT_CTE = """fact AS (
   WHERE s.is_valid ORDER BY s.cle_metier, s.batch_id, s.source_row_no)"""
 
 
-@query("e07_load_fact", "SELECT * FROM fact", ctes=STAGED_CTE + ",\n" + CODEDIM_CTE + ",\n" + FACT_CTE)
-def e07(spark, sf):
+LOADS = ("2025-01-31 06:00:00", "2025-02-28 06:00:00")
+
+
+def loaded_fact(spark, sf):
+    """The fact after two loads: batch 1 into an empty fact, then all batches into the stored one."""
     st = staged(spark, sf)
-    return W.load_fact(st, code_dim(spark, sf, st))
+    valid = st.filter("is_valid")
+    dims = {"codes_dim": code_dim(spark, sf, st), "time_dim": W.dim_time(valid), "employees_dim": W.dim_employee(valid, attrs=("pay_code",)),
+            "posts_dim": W.dim_budget_post(valid)}
+    path = work_dir(spark, "fact")
+    W.load_fact(st.filter("batch_id = 1"), **dims, loaded_at=LOADS[0]).write.parquet(f"{path}/load=1")
+    first = spark.read.parquet(f"{path}/load=1")
+    return first.unionByName(W.load_fact(st, **dims, fact=first, loaded_at=LOADS[1]))
+
+
+STAMPED_FACT_CTE = FACT_CTE + f""",
+stamped AS (SELECT *, CASE WHEN source_batch_id = 1 THEN TIMESTAMP '{LOADS[0]}' ELSE TIMESTAMP '{LOADS[1]}' END AS loaded_at FROM fact)"""
+
+
+@query("e07_load_fact", "SELECT * FROM stamped", ctes=STAGED_CTE + ",\n" + CODEDIM_CTE + ",\n" + STAMPED_FACT_CTE)
+def e07(spark, sf):
+    return loaded_fact(spark, sf)
 
 
 DEDUP_CTE = """dlog AS (
