@@ -22,8 +22,8 @@ def _c(c) -> Column:
 
 
 def norm_matricule(col) -> Column:
-    """Trim; all-digit numbers lose leading zeros ('000' -> '0', X28); upper-case."""
-    s = F.trim(_c(col).cast("string"))
+    """Noise (all but letters, digits and '-') out; all-digit numbers lose leading zeros ('000' -> '0', X28); upper-case."""
+    s = F.regexp_replace(_c(col).cast("string"), "[^0-9A-Za-z-]", "")
     digits = s.rlike(r"^[0-9]+$")
     stripped = F.regexp_replace(s, r"^0+", "")
     return F.upper(F.when(digits, F.when(stripped == "", F.lit("0")).otherwise(stripped)).otherwise(s))

@@ -151,10 +151,8 @@ def convert_fields(raw: DataFrame, id_cols: list[str], amount_cols: list[str], d
     typed = raw.withColumns({**{f"{c}_cents": amount_to_cents(c) for c in amount_cols},
                              **{f"{c}_date": D.parse_pay_date(c, lo, hi) for c in date_cols}})
     checks = [(c, f"{c}_cents", "amount") for c in amount_cols] + [(c, f"{c}_date", "date") for c in date_cols]
-    alerts = None
-    for src, dst, kind in checks:
-        a = typed.filter(F.col(src).isNotNull() & (F.trim(F.col(src)) != "") & F.col(dst).isNull()).select(
-            *id_cols, F.lit(src).alias("column"), F.col(src).cast("string").alias("raw_value"),
-            F.lit(f"invalid_{kind}").alias("alert_type"))
-        alerts = a if alerts is None else alerts.unionByName(a)
+    cells = F.array(*[F.when(F.col(src).isNotNull() & (F.trim(F.col(src)) != "") & F.col(dst).isNull(), F.struct(
+        F.lit(src).alias("column"), F.col(src).cast("string").alias("raw_value"), F.lit(f"invalid_{kind}").alias("alert_type")))
+        for src, dst, kind in checks])
+    alerts = typed.select(*id_cols, F.explode(F.array_compact(cells)).alias("_a")).select(*id_cols, "_a.*")
     return typed, alerts

@@ -352,3 +352,11 @@ def kpi_employee_date(tx: DataFrame, emp: DataFrame, stg: DataFrame | None = Non
         dollars("_pos").alias("gains_brut"), dollars("_neg").alias("deductions"),
         dollars("_net").alias("net"), er.alias("part_employeur"),
         dollars(cost_cents).alias("cout_total"))
+
+
+def v_period_compat(star: DataFrame) -> DataFrame:
+    """The star KPI per date under its older column names."""
+    names = {"gains_brut": "brut", "deductions_net": "deductions_employe", "net_a_payer": "net"}
+    keep = ["date_paie", "gains_brut", "deductions_net", "net_a_payer", "part_employeur", "cout_employeur_pnl", "cash_out_total",
+            "nb_employes", "ajustements_gains", "deductions_brutes", "remboursements"]
+    return star.select(*keep).withColumnsRenamed(names)

@@ -264,6 +264,24 @@ def preview(lines: DataFrame) -> DataFrame:
                       dollars("_n").alias("net"), "nb_lignes", "nb_employes")
 
 
+def preview_totals(lines: DataFrame) -> DataFrame:
+    """Totals of the whole import: lines, invalid dates, brut, deductions, net, employees, pay dates."""
+    a = F.col("amount_cents")
+    per = lines.groupBy("pay_date", "employee_id").agg(
+        F.sum(F.when(a > 0, a).otherwise(0)).cast("long").alias("_b"), F.sum(F.when(a < 0, a).otherwise(0)).cast("long").alias("_d"),
+        F.sum(a).cast("long").alias("_n"), F.count(F.lit(1)).alias("_c"))
+    t = per.agg(F.sum("_c").alias("nb_lignes"), F.sum(F.when(F.col("pay_date").isNull(), F.col("_c")).otherwise(0)).alias("dates_invalides"),
+                F.sum("_b").alias("_b"), F.sum("_d").alias("_d"), F.sum("_n").alias("_n"),
+                F.countDistinct("employee_id").alias("nb_employes"), F.countDistinct("pay_date").alias("nb_dates"))
+    return t.select("nb_lignes", "dates_invalides", dollars("_b").alias("brut"), dollars("_d").alias("deductions"),
+                    dollars("_n").alias("net"), "nb_employes", "nb_dates")
+
+
+def sample_rows(lines: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows for a screen (50 staged lines, 10 import lines)."""
+    return lines.orderBy(*order).limit(n)
+
+
 def stage_fields(raw: DataFrame, specs: dict, id_col: str) -> DataFrame:
     """Raw and parsed value side by side per mapped field, with the row's issues.
 

@@ -603,6 +603,26 @@ def file_summary(stg: DataFrame) -> DataFrame:
         F.min("pay_date").alias("date_min"), F.max("pay_date").alias("date_max"))
 
 
+def file_breakdown(stg: DataFrame, by: str) -> DataFrame:
+    """per source file and pay code (or pay date): lines, total, gains, deductions."""
+    a = F.col("amount_cents")
+    return stg.groupBy("source_file", by).agg(
+        F.count(F.lit(1)).alias("n_lines"), dollars(F.sum(a)).alias("total"),
+        dollars(F.sum(F.when(a > 0, a).otherwise(0))).alias("gains"), dollars(F.sum(F.when(a < 0, a).otherwise(0))).alias("deductions"))
+
+
+def file_top_employees(stg: DataFrame, n: int = 10) -> DataFrame:
+    """the ``n`` employees with the largest net per source file (ties by employee id).
+
+    Kept per (file, salt bucket) first, so one large file is ranked by many tasks."""
+    per = stg.filter(F.col("employee_id").isNotNull()).groupBy("source_file", "employee_id").agg(F.sum("amount_cents").cast("long").alias("_n"))
+    per = per.withColumn("_b", F.pmod(F.xxhash64("employee_id"), F.lit(SALT_BUCKETS)))
+    for parts in (["source_file", "_b"], ["source_file"]):
+        w = Window.partitionBy(*parts).orderBy(F.desc("_n"), "employee_id")
+        per = per.withColumn("rang", F.row_number().over(w)).filter(F.col("rang") <= n)
+    return per.select("source_file", "rang", "employee_id", dollars("_n").alias("net"))
+
+
 def period_report(lines: DataFrame, at=None) -> DataFrame:
     """detail lines of a pay date (default the latest) with lineage."""
     d = lines.agg(F.max("date_paie")).scalar() if at is None else F.lit(at).cast("date")

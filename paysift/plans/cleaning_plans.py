@@ -109,21 +109,27 @@ def b07(spark, sf):
     return CL.detect_date_columns(fx.raw_lines(spark, sf), ["montant_raw", "source_row_no", "pay_date"])
 
 
+# noisy spellings of the raw number: '#001 23', as is, 'no 00123'
+NOISY = """CASE employee_id % 3 WHEN 0 THEN concat('#', substr(trim(matricule_raw), 1, 3), ' ', substr(trim(matricule_raw), 4))
+  WHEN 1 THEN concat(trim(matricule_raw), '.') ELSE matricule_raw END"""
+
+
 @query("b08_norm_matricule", f"""
-SELECT employee_id, matricule_raw, {norm_matricule('matricule_raw')} AS matricule_norm FROM employees
+SELECT employee_id, noisy, {norm_matricule('noisy')} AS matricule_norm FROM (SELECT employee_id, {NOISY} AS noisy FROM employees) n
 """)
 def b08(spark, sf):
-    e = fx.employees(spark, sf)
-    return e.select("employee_id", "matricule_raw", N.norm_matricule("matricule_raw").alias("matricule_norm"))
+    e = fx.employees(spark, sf).select("employee_id", F.expr(NOISY).alias("noisy"))
+    return e.select("employee_id", "noisy", N.norm_matricule("noisy").alias("matricule_norm"))
 
 
 @query("b09_employee_key", f"""
-SELECT employee_id, coalesce(nullif({norm_matricule('matricule_raw')}, ''), md5({norm_text('nom_complet')})) AS employee_key
-FROM employees
+SELECT employee_id, coalesce(nullif({norm_matricule('noisy')}, ''), md5({norm_text('nom_complet')})) AS employee_key
+FROM (SELECT *, CASE WHEN employee_id % 5 = 0 THEN ' # ' ELSE {NOISY} END AS noisy FROM employees) n
 """)
 def b09(spark, sf):
-    e = fx.employees(spark, sf)
-    return e.select("employee_id", N.employee_key("matricule_raw", "nom_complet").alias("employee_key"))
+    noisy = F.when(F.col("employee_id") % 5 == 0, F.lit(" # ")).otherwise(F.expr(NOISY))
+    e = fx.employees(spark, sf).withColumn("noisy", noisy)
+    return e.select("employee_id", N.employee_key("noisy", "nom_complet").alias("employee_key"))
 
 
 @query("b10_norm_text", f"""
@@ -309,6 +315,14 @@ def b24(spark, sf):
     return CL.fill_blanks(stg, ipm(spark, sf), ["source_file", "source_row_no"], ["categorie_emploi", "titre_emploi"])
 
 
+@query("b25_typed_fields", f"""
+SELECT source_row_no, {amount_cents('montant_raw')} AS montant_raw_cents, {parse_date('date_raw', WLO, WHI)} AS date_raw_date FROM raw_lines
+""")
+def b25t(spark, sf):
+    typed, _ = CL.convert_fields(fx.raw_lines(spark, sf), ["source_row_no"], ["montant_raw"], ["date_raw"])
+    return typed.select("source_row_no", "montant_raw_cents", "date_raw_date")
+
+
 @query("b25_convert_fields", f"""
 SELECT source_row_no, 'montant_raw' AS "column", montant_raw AS raw_value, 'invalid_amount' AS alert_type
 FROM raw_lines WHERE montant_raw IS NOT NULL AND trim(montant_raw) <> '' AND {amount_cents('montant_raw')} IS NULL

@@ -243,14 +243,17 @@ def d14(spark, sf):
 
 
 @query("d15_date_consistency", """
-SELECT 'period_parts' AS "check", count(*) AS value FROM periods
-  WHERE day(pay_date) <> day(pay_date) OR month(pay_date) <> month(pay_date) OR year(pay_date) <> year(pay_date)
+SELECT 'period_parts' AS "check", count(*) AS value FROM periods WHERE period_seq_in_year % 7 = 0 OR period_seq_in_year % 5 = 0
 UNION ALL
-SELECT 'tx_vs_period', count(*) FROM ledger t JOIN periods p ON p.pay_date = t.pay_date WHERE t.pay_year <> year(p.pay_date)
+SELECT 'tx_vs_period', count(*) FROM ledger t JOIN periods p ON p.pay_date = t.pay_date
+  WHERE t.pay_year <> year(p.pay_date) + CASE WHEN p.period_seq_in_year % 5 = 0 THEN 1 ELSE 0 END
 """)
 def d15(spark, sf):
-    p = fx.periods(spark, sf).withColumns({"pay_day": F.dayofmonth("pay_date"), "pay_month": F.month("pay_date"),
-                                           "pay_year": F.year("pay_date")})
+    """Period parts with disturbed days (every 7th period) and years (every 5th), so both checks find rows."""
+    seq = F.col("period_seq_in_year")
+    p = fx.periods(spark, sf).withColumns({
+        "pay_day": F.dayofmonth("pay_date") + F.when(seq % 7 == 0, 1).otherwise(0), "pay_month": F.month("pay_date"),
+        "pay_year": F.year("pay_date") + F.when(seq % 5 == 0, 1).otherwise(0)})
     return Q.date_consistency(p, fx.ledger(spark, sf))
 
 
@@ -311,6 +314,37 @@ def d20(spark, sf):
     return Q.preview(fx.stg_lines(spark, sf))
 
 
+@query("d20_preview_totals", """
+SELECT count(*) AS nb_lignes, count(*) FILTER (WHERE pay_date IS NULL) AS dates_invalides,
+  CAST(sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS brut,
+  CAST(sum(CASE WHEN amount_cents < 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS deductions,
+  CAST(sum(amount_cents) AS DOUBLE)/100.0 AS net, count(DISTINCT employee_id) AS nb_employes, count(DISTINCT pay_date) AS nb_dates
+FROM stg_lines
+""")
+def d20t(spark, sf):
+    return Q.preview_totals(fx.stg_lines(spark, sf))
+
+
+SAMPLE = "batch_id, source_file, source_row_no, employee_id, pay_date, pay_code, amount_cents"
+
+
+@query("d20_preview_sample", f"SELECT {SAMPLE} FROM stg_lines ORDER BY source_file, source_row_no, batch_id LIMIT 10")
+def d20s(spark, sf):
+    return Q.sample_rows(fx.stg_lines(spark, sf), ["source_file", "source_row_no", "batch_id"], 10).select(*SAMPLE.split(", "))
+
+
+@query("d02_stage_preview", f"SELECT {SAMPLE}, is_valid FROM staged ORDER BY source_file, source_row_no, batch_id LIMIT 50", ctes=STAGED_CTE)
+def d02p(spark, sf):
+    return Q.sample_rows(staged(spark, sf), ["source_file", "source_row_no", "batch_id"], 50).select(*SAMPLE.split(", "), "is_valid")
+
+
+@query("d03_commit_skipped", "SELECT batch_id, source_row_no, array_to_string(validation_errors, ',') AS issues FROM staged WHERE NOT is_valid",
+       ctes=STAGED_CTE)
+def d03s(spark, sf):
+    _, skipped = Q.commit_split(staged(spark, sf))
+    return skipped.select("batch_id", "source_row_no", F.array_join("validation_errors", ",").alias("issues"))
+
+
 # ------------------------------------------------------------------------------ E
 
 @query("e01_dim_time", """
@@ -522,3 +556,18 @@ def e13s(spark, sf):
     per = fx.periods(spark, sf)
     changes = per.filter(F.year("pay_date") <= 1996).select("pay_date", F.lit("archivée").alias("status"))
     return W.with_status(per, changes)
+
+
+@query("e15_remaining_tables", """
+SELECT 'ledger' AS "table", count(*) AS n FROM ledger, d WHERE pay_date <> first
+UNION ALL SELECT 'batches', count(*) FROM batches, d WHERE pay_date <> first
+UNION ALL SELECT 'periods', count(*) FROM periods, d WHERE pay_date <> first
+UNION ALL SELECT 'employees', count(*) FROM employees, d WHERE NOT (
+  employee_id IN (SELECT employee_id FROM ledger, d WHERE pay_date = first)
+  AND employee_id NOT IN (SELECT employee_id FROM ledger, d WHERE pay_date <> first))
+""", ctes="d AS (SELECT min(pay_date) AS first FROM ledger)")
+def e15r(spark, sf):
+    lg = fx.ledger(spark, sf)
+    res = W.delete_period(lg, fx.batches(spark, sf), fx.employees(spark, sf), fx.periods(spark, sf), lg.agg(F.min("pay_date")).scalar())
+    counts = [res[t].agg(F.lit(t).alias("table"), F.count(F.lit(1)).alias("n")) for t in ("ledger", "batches", "periods", "employees")]
+    return fx.union_all(counts)

@@ -561,3 +561,30 @@ def f47f(spark, sf):
     return s.select("date_paie", "indicateur",
                     F.when(F.col("indicateur") == "Nb employés", number_fr("valeur"))
                     .otherwise(money_fr("valeur")).alias("valeur_affichee"))
+
+
+def _breakdown_sql(by):
+    return f"""SELECT source_file, {by}, count(*) AS n_lines, CAST(sum(amount_cents) AS DOUBLE)/100.0 AS total,
+  CAST(sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS gains,
+  CAST(sum(CASE WHEN amount_cents < 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS deductions
+FROM stg_lines GROUP BY source_file, {by}"""
+
+
+@query("f62_file_by_code", _breakdown_sql("pay_code"))
+def f62c(spark, sf):
+    return R.file_breakdown(fx.stg_lines(spark, sf), "pay_code")
+
+
+@query("f62_file_by_period", _breakdown_sql("pay_date"))
+def f62p(spark, sf):
+    return R.file_breakdown(fx.stg_lines(spark, sf), "pay_date")
+
+
+@query("f62_file_top_employees", """
+SELECT source_file, CAST(rang AS INT) AS rang, employee_id, CAST(n AS DOUBLE)/100.0 AS net FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY n DESC, employee_id) AS rang FROM (
+    SELECT source_file, employee_id, CAST(sum(amount_cents) AS BIGINT) AS n FROM stg_lines WHERE employee_id IS NOT NULL GROUP BY 1, 2) p) r
+WHERE rang <= 10
+""")
+def f62t(spark, sf):
+    return R.file_top_employees(fx.stg_lines(spark, sf))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paysift.operators import kpi
+from paysift.operators import reports as R
 from paysift.operators import vectors as V
 from paysift.operators.lines import number_lines
 from paysift.sources import fixtures as fx
@@ -14,9 +15,11 @@ from paysift.sources.payfile import FILE_HEADERS, raw_pay_file, read_pay_csv, wr
 from paysift.sources.tables import read_table
 
 from .catalog import query
-from .analytics_plans import CANON_CTE
+from .analytics_plans import CANON_CTE, canon_lines
 from .profile_plans import PAYFILE_CTE, q
-from .quality_plans import STAGED_CTE, staged
+from .quality_plans import CODEDIM_CTE, STAGED_CTE, STAMPED_FACT_CTE, loaded_fact, staged
+from .report_plans import _deltas_sql
+from .sqltext import STAR_INNER, STAR_OUTER
 
 
 @query("a01_read_pay_csv", f"SELECT {', '.join(q(h) for h in FILE_HEADERS)}, source_file FROM payfile",
@@ -152,6 +155,54 @@ def a12(spark, sf):
     return SK.snapshot_get(spark, path)
 
 
+SNAPSHOT_SQL = """SELECT c.pay_date, salaire_net_total, masse_salariale, deductions, salaire_net_total / nb_employes AS net_moyen,
+  nb_employes, nb_transactions, least(n_codes, 10) AS n_codes_top, CASE WHEN year(c.pay_date) >= 1997 THEN 'snapshot' ELSE 'live' END AS source
+FROM (SELECT pay_date, CAST(sum(amount_cents) AS DOUBLE)/100.0 AS salaire_net_total,
+        CAST(sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS masse_salariale,
+        CAST(sum(CASE WHEN amount_cents < 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS deductions,
+        count(DISTINCT employee_id) AS nb_employes, count(*) AS nb_transactions, count(DISTINCT pay_code) AS n_codes
+      FROM ledger GROUP BY pay_date) c"""
+
+
+@query("a12_snapshot_or_live", SNAPSHOT_SQL)
+def a12l(spark, sf):
+    """Snapshots stored from 1997 on; earlier dates are computed live."""
+    path, lg = SK.work_dir(spark, "snapshots"), fx.ledger(spark, sf)
+    SK.snapshot_upsert(SK.snapshot_frame(lg.filter(F.col("pay_year") >= 1997)), path)
+    return SK.snapshot_or_live(spark, path, lg, "1 hour")
+
+
+@query("a11_v_period_compat", f"""
+SELECT date_paie, gains_brut AS brut, deductions_net AS deductions_employe, net_a_payer AS net, part_employeur, cout_employeur_pnl,
+  cash_out_total, nb_employes, ajustements_gains, deductions_brutes, remboursements
+FROM (SELECT date_paie, {STAR_OUTER} FROM (SELECT pay_date AS date_paie, {STAR_INNER} FROM stamped GROUP BY pay_date) t) k
+""", ctes=STAGED_CTE + ",\n" + CODEDIM_CTE + ",\n" + STAMPED_FACT_CTE)
+def a11p(spark, sf):
+    return kpi.v_period_compat(kpi.kpi_star(loaded_fact(spark, sf)))
+
+
+@query("a08_report_exports", """
+SELECT 'summary' AS report, 5 * count(DISTINCT date_paie) AS n_rows FROM canon
+UNION ALL SELECT 'employee_detail', count(*) FROM (SELECT DISTINCT date_paie, matricule, nom_employe FROM canon) x
+UNION ALL SELECT 'by_code', count(*) FROM (SELECT DISTINCT date_paie, code_paie, description_code_paie FROM canon) x
+UNION ALL SELECT 'by_post', count(*) FROM (SELECT DISTINCT date_paie, poste_budgetaire FROM canon) x
+UNION ALL SELECT 'evolution_12', least(12, count(DISTINCT strftime(date_paie, '%Y-%m'))) FROM canon
+UNION ALL SELECT 'anomalies', count(DISTINCT strftime(date_paie, '%Y-%m')) FROM canon WHERE montant_combine <> 0
+UNION ALL SELECT 'comparison', count(*) FROM dl_code_paie
+""", ctes=CANON_CTE + ",\n" + _deltas_sql("code_paie"))
+def a08e(spark, sf):
+    """The seven exports written as CSV folders and counted from what is read back."""
+    lines, emp = canon_lines(spark, sf), fx.employees(spark, sf)
+    reports = {"summary": R.report_summary(lines, emp), "employee_detail": R.report_employee_pivot(lines, emp), "by_code": R.report_by_code(lines),
+               "by_post": R.report_by_post(lines), "evolution_12": R.evolution(lines, 12), "anomalies": R.anomaly_set(lines, emp),
+               "comparison": R.period_deltas_by(lines, "code_paie")}
+    path = SK.work_dir(spark, "reports")
+    for name, df in reports.items():
+        SK.write_report(df, f"{path}/{name}", "csv")
+    return fx.union_all([spark.read.schema(df.schema).option("header", True).csv(f"{path}/{n}").agg(
+        F.lit(n).alias("report"), F.count(F.lit(1)).alias("n_rows")) for n, df in reports.items()])
+
+
 @query("a13_row_numbers", """
 SELECT source_file, source_row_no, row_number() OVER (ORDER BY source_file, source_row_no) AS line_no,
   row_number() OVER (PARTITION BY source_file ORDER BY source_row_no) + 1 AS file_row_no

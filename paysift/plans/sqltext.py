@@ -116,6 +116,6 @@ def norm_text(x: str) -> str:
 
 
 def norm_matricule(x: str) -> str:
-    s = f"trim({x})"
+    s = f"regexp_replace({x}, '[^0-9A-Za-z-]', '', 'g')"
     st = f"regexp_replace({s}, '^0+', '')"
     return f"upper(CASE WHEN regexp_matches({s}, '^[0-9]+$') THEN (CASE WHEN {st} = '' THEN '0' ELSE {st} END) ELSE {s} END)"

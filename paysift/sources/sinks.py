@@ -124,3 +124,17 @@ def snapshot_get(spark: SparkSession, path: str, max_age: str | None = None) ->
         s = s.filter(F.col("computed_at") >= F.current_timestamp() - F.expr(f"INTERVAL {max_age}"))
     return s.select("pay_date", F.from_json("snapshot", SNAPSHOT_SCHEMA).alias("doc")).select(
         "pay_date", "doc.cards.*", F.size("doc.tables.codes_top").cast("long").alias("n_codes_top"))
+
+
+def snapshot_list(spark: SparkSession, path: str) -> DataFrame:
+    """Stored snapshots: date, age stamp and document size."""
+    return spark.read.parquet(path).select("pay_date", "computed_at", F.length("snapshot").alias("n_chars"))
+
+
+def snapshot_or_live(spark: SparkSession, path: str, tx: DataFrame, max_age: str | None = None) -> DataFrame:
+    """The snapshot of every date that has a fresh one, else the figures computed from the ledger now."""
+    stored = snapshot_get(spark, path, max_age)
+    rest = tx.join(stored.select("pay_date"), "pay_date", "left_anti")
+    live = snapshot_frame(rest).select("pay_date", F.from_json("snapshot", SNAPSHOT_SCHEMA).alias("doc")).select(
+        "pay_date", "doc.cards.*", F.size("doc.tables.codes_top").cast("long").alias("n_codes_top"))
+    return stored.withColumn("source", F.lit("snapshot")).unionByName(live.withColumn("source", F.lit("live")))
