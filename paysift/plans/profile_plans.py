@@ -11,7 +11,7 @@ from paysift.sources.mapping import canonicalise_columns, preflight
 from paysift.sources.payfile import FILE_HEADERS, OPTIONAL_FIELDS, REQUIRED_FIELDS, raw_pay_file
 
 from .catalog import query
-from .sqltext import amount_cents, parse_date
+from .sqltext import amount_cents, parse_date, norm_text
 
 PROFILED = [h for h in FILE_HEADERS]
 
@@ -184,6 +184,28 @@ def c12(spark, sf):
                            warn=VALUE_FIRST["thresholds"]["warn"])
 
 
+SET_DETECTORS = [{"kind": "value_in_set", "values": ["101", "450"], "min_match_ratio": 0.5},
+                 {"kind": "value_in_set_fuzzy", "values": ["GAINS", "Syndicàts"], "min_match_ratio": 0.8},
+                 {"kind": "number_range_hint", "min_val": 0, "max_val": 500, "expected_ratio": 0.9},
+                 {"kind": "entropy_range", "min_entropy": 1.0, "max_entropy": 3.0}]
+
+
+def _share(cond, ratio):
+    return f"round(least(1.0, CAST(sum(CASE WHEN {cond} THEN cnt ELSE 0 END) AS DOUBLE) / max(p.n) / {ratio}), 6)"
+
+
+@query("c13_set_detectors", f"""
+SELECT vc."column", {_share("upper(vc.value) IN ('101', '450')", 0.5)} AS value_in_set,
+  {_share(f"{norm_text('vc.value')} IN ('gains', 'syndicats')", 0.8)} AS value_in_set_fuzzy,
+  {_share(f"coalesce({amount_cents('vc.value')} BETWEEN 0 AND 50000, false)", 0.9)} AS number_range_hint,
+  CAST(CASE WHEN max(p.entropy) >= 1.0 AND max(p.entropy) <= 3.0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS entropy_range
+FROM vc JOIN prof p ON p."column" = vc."column" GROUP BY vc."column"
+""", ctes=PROFILE_CTE)
+def c13s(spark, sf):
+    p = P.registry_profile(payfile(spark, sf), PROFILED, {"types": {"x": {"detectors": SET_DETECTORS}}})
+    return p.select("column", *[F.round(P.extra_detector(d).cast("double"), 6).alias(d["kind"]) for d in SET_DETECTORS])
+
+
 @query("c13_extra_detectors", """
 SELECT "column", alpha_only_ratio, alpha_ratio,
   CAST(CASE WHEN entropy >= 2.0 AND entropy <= 4.0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS medium_entropy,
