@@ -106,10 +106,21 @@ def _decode(x: np.ndarray, words: np.ndarray, at: np.ndarray, steps: int, lookup
     return out
 
 
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, their place in that list for every id, and their counts."""
+    if not len(ids) or int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids)  # vocabularies are small: a table instead of a sort
+    symbols = np.flatnonzero(every)
+    place = np.zeros(len(every), dtype=np.int32)
+    place[symbols] = np.arange(len(symbols), dtype=np.int32)
+    return symbols.astype(ids.dtype), place[ids], every[symbols]
+
+
 def encode_segment(ids: np.ndarray, bits: int = BITS) -> bytes:
     """One segment: header, shared frequency table, block index, checkpoints, words."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    symbols, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, dense, counts = _dense(ids)
     freq = quantise(counts, bits) if len(counts) else counts
     start = np.cumsum(freq) - freq
     block = LANES * STEPS
