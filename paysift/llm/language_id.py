@@ -38,7 +38,9 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def _normal(text: str | None) -> str | None:
     """Lower-cased letters, every run of anything else one space; None without a letter."""
-    if text is None or not _LETTER.search(text):
+    first = _LETTER.search(text) if text else None
+    # the class also holds number signs such as superscripts, which are no letters
+    if first is None or not first[0].isalpha() and not any(map(str.isalpha, text)):
         return None
     return " " + _NOT_LETTERS.sub(" ", text.lower()).strip() + " "
 

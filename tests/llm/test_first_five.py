@@ -201,6 +201,11 @@ def test_language_accuracy_on_held_out_rows(docs):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("text, letters", [("²½ Ⅷ 12", False), ("² x", True), ("ß", True), ("中", True), ("_", False), ("", False), (None, False)])
+def test_letters(text, letters):
+    assert (language_id._normal(text) is not None) == letters
+
+
 def test_language_odd_rows(odd, nothing):
     rows = language_id.op10_language_id(odd.sparkSession, odd).collect()
     assert len(rows) == odd.count()
@@ -226,3 +231,13 @@ def test_pipeline_stages(spark, sf, docs):
     assert kept and not kept & bad
     assert p.run(spark, sf).count() == rows.count()
     rows.unpersist()
+
+
+def test_pipeline_stages_odd_rows(spark, sf, odd, nothing):
+    import corpus_pipeline as p
+    for rows in (odd, nothing):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, rows, sf)
+            assert out.columns == rows.columns, name
+            assert out.count() <= 2 * rows.count(), name
+        assert p.STAGES[-1][1](spark, rows, sf).count() == rows.count()
