@@ -41,6 +41,8 @@ STRIDE = 26
 PASSAGE = LEAD + STRIDE - 1
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 1_000_000
+#: Rows of an output batch.
+ROWS = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -117,6 +119,7 @@ def retained_suffixes(texts: DataFrame) -> DataFrame:
 def passages_around(candidates: DataFrame) -> DataFrame:
     """(c1, c2, start, g): hash of PASSAGE words at every start around the places of ``candidates(c1, c2, text, places)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for c1, c2, text, places in zip(*(batch.column(k) for k in range(4))):
                 r = Rolling(text.as_py())
@@ -125,10 +128,20 @@ def passages_around(candidates: DataFrame) -> DataFrame:
                 at = np.asarray(places.values.to_numpy(), dtype=np.int64)
                 starts = np.unique((at[:, None] - np.arange(STRIDE)[None, :]).ravel())
                 starts = starts[(starts >= 0) & (starts <= r.n - PASSAGE)]
-                g = r.at(starts, PASSAGE).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(starts), c1.as_py())), pa.array(np.full(len(starts), c2.as_py())),
-                     pa.array(starts.astype(np.int32)), pa.array(g)], names=["c1", "c2", "start", "g"])
+                held.append((c1.as_py(), c2.as_py(), starts, r.at(starts, PASSAGE)))
+                rows += len(starts)
+                if rows >= ROWS:
+                    yield pack(held)
+                    held, rows = [], 0
+        if held:
+            yield pack(held)
+
+    def pack(held):
+        sizes = [len(h[2]) for h in held]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array([h[0] for h in held]), sizes)), pa.array(np.repeat(np.array([h[1] for h in held]), sizes)),
+             pa.array(np.concatenate([h[2] for h in held]).astype(np.int32)), pa.array(np.concatenate([h[3] for h in held]).view(np.int64))],
+            names=["c1", "c2", "start", "g"])
 
     return map_arrow(candidates, run, "c1 long, c2 long, start int, g long")
 
