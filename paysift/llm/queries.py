@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from paysift.sources.tables import read_table
 
-from . import chat_format, line_dedup, quality_rules
+from . import chat_format, decontaminate, line_dedup, quality_rules
 from .decontaminate import op2_decontaminate
 from .language_id import op10_language_id
 from .mixing import op3_mix_sources
@@ -41,4 +41,5 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_decontaminate": decontaminate.ORACLE,
+            "op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE}
