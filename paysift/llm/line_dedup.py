@@ -1,20 +1,22 @@
 """Operator 1 - line dedup by an exact set-similarity join.
 
-A line's tokens are its five-word shingles (words lower-cased A-Z; a shorter
+A line's tokens are its five-word shingles (of the lower-cased line; a shorter
 line is one token), as for all near-duplicate work on shingles in this library;
 lines match at a Jaccard similarity of 0.8 or more. A line is removed if an
 earlier line - smaller (doc_id, hash of the text, line number) - matches it.
 
 1. Equal lines are one class, represented by its first line; copies never meet.
 2. Tokens are ordered by rarity: the frequency of each of 2^16 token buckets is
-   counted over all classes (64 KB in all, kept as a literal), ties by token. Any total
+   counted over all lines (a literal of fixed size), ties by token. Any total
    order keeps the join exact; this one puts common tokens last.
 3. Prefix filter: sets that reach the threshold share one of their first
    n - ceil(0.8 n) + 1 tokens. Only these are posted and joined by token.
 4. Length filter (the smaller set has at least 0.8 of the larger one's tokens)
    and positional filter (tokens left behind both positions must still suffice)
    act inside that join.
-5. Candidates are verified on the full token sets.
+5. Candidates are verified on the full token sets, read again for these lines alone.
+
+No line text is shuffled but that of candidates: a line is known by 128 bits and its place.
 
 Cases: lines without a word are no lines here (kept, not counted). Null text has
 no lines. A null doc_id comes first in the order. Repeated rows of one doc_id and
@@ -29,54 +31,69 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, packed, row_key, same_key, split_words, stored
+from .common import packed, row_key, same_key, split_words, stored
 
 SHINGLE = 5
+#: Token buckets whose frequency is counted, and class buckets of the flag table.
 BUCKETS = 1 << 16
+FLAGS = 1 << 20
 
-
-def _with_words(classes: DataFrame) -> DataFrame:
-    """``w``, the words of ``norm``, as a column of its own: inside the shingle loop it must not be split anew."""
-    return classes.select("c1", "c2", F.split("norm", " ").alias("w"))
+# ``explode_outer`` below: a plain ``explode`` makes the optimiser add a filter
+# that evaluates the exploded expression a second time.
 
 
 def _tokens(w: Column) -> Column:
-    """Distinct shingle hashes of a line's words."""
+    """Distinct shingle hashes of a line's words (55 bits, so that a rarity fits above them)."""
     last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), 9))
+    return F.array_distinct(hashes)
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(_id, _th, line_no, norm): lines with a word; norm has single spaces."""
-    rows = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("_id", "_th", "line_no", F.array_join(split_words(lower_ascii(F.col("line"))), " ").alias("norm")).filter("norm != ''")
+    """(_id, _th, line_no, line, c1, c2): lines with a word, lower-cased, and the 128 bits that name them."""
+    rows = docs.select(*row_key(), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("_id", "_th", "line_no", F.lower("line").alias("line"))
+    return rows.select("*", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit("second"), "line").alias("c2"))
+
+
+def _with_words(rows: DataFrame, *keep: str) -> DataFrame:
+    """``w``, the words of ``line``, as a column of its own: inside the shingle loop it must not be split anew."""
+    return rows.select(*keep, split_words(F.col("line")).alias("w"))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """(c1, c2, first, norm): distinct lines with the place of their first occurrence."""
-    rows = lines(docs).select(F.xxhash64("norm").alias("c1"), F.xxhash64(F.lit("second"), "norm").alias("c2"), "norm",
-                              F.struct("_id", "_th", "line_no").alias("at"))
-    return rows.groupBy("c1", "c2").agg(F.min("at").alias("first"), F.min("norm").alias("norm"))
+    """(c1, c2, first): distinct lines with the place of their first occurrence."""
+    return lines(docs).groupBy("c1", "c2").agg(F.min(F.struct("_id", "_th", "line_no")).alias("first"))
+
+
+def _first_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of ``rows`` that are the first of their class. The key holds the place, so a frequent line is no hot key."""
+    f = classes.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first._id").alias("f_id"), F.col("first._th").alias("f_th"),
+                       F.col("first.line_no").alias("f_no"))
+    return rows.join(f, (rows["c1"] == f["f1"]) & (rows["c2"] == f["f2"]) & rows["_id"].eqNullSafe(f["f_id"])
+                     & (rows["_th"] == f["f_th"]) & (rows["line_no"] == f["f_no"]), "left_semi")
 
 
-def similar(classes: DataFrame, tenths: int = 8) -> DataFrame:
+def similar(docs: DataFrame, classes: DataFrame, tenths: int = 8) -> DataFrame:
     """(a1, a2, b1, b2): each link once, of classes whose token sets reach a Jaccard similarity of tenths / 10."""
+    spark = docs.sparkSession
     bucket = F.pmod(F.col("token"), F.lit(BUCKETS)).cast("int")
-    counts = (_with_words(classes).select(F.explode(_tokens(F.col("w"))).alias("token"))
+    counts = (_with_words(lines(docs)).select(F.explode_outer(_tokens(F.col("w"))).alias("token"))
               .groupBy(bucket.alias("id")).agg(F.count(F.lit(1)).alias("n")))
-    table = bytearray(BUCKETS)  # one byte per bucket, whatever the corpus: its frequency on a log scale
+    table = [0] * BUCKETS  # 0..255 per bucket, whatever the corpus: its frequency on a log scale
     for r in counts.collect():
         table[r["id"]] = min(255, int(6 * math.log2(r["n"] + 1)))
-    rarity = F.lit(bytes(table))
+    rarity = F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)")  # folded to one literal
 
-    # rarity first, then the token itself
-    ordered = F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(
-        F.substring(rarity, F.pmod(t, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    # rarity in the upper bits, the token below: sorted as plain numbers
+    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(rarity, F.pmod(t, F.lit(BUCKETS)).cast("int")), 55).bitwiseOR(t)))
     n = F.col("n").cast("long")
     least = F.floor((n * tenths + 9) / 10)  # ceil(n * tenths / 10)
-    posted = _with_words(classes).select("c1", "c2", _tokens(F.col("w")).alias("tokens")).select(
-        "c1", "c2", F.size("tokens").alias("n"), ordered.alias("tokens"))
-    posted = posted.select("c1", "c2", "n", F.posexplode(F.slice("tokens", F.lit(1), (n - least + 1).cast("int"))).alias("pos", "token"))
+    keys = ["_id", "_th", "line_no", "c1", "c2"]
+    sets = _with_words(lines(docs), *keys).select(*keys, _tokens(F.col("w")).alias("tokens"))
+    sets = sets.select(*keys, F.size("tokens").alias("n"), ordered.alias("tokens"))
+    prefixes = sets.select(*keys, "n", F.slice("tokens", F.lit(1), (n - least + 1).cast("int")).alias("prefix"))
+    posted = _first_lines(prefixes, classes).select("c1", "c2", "n", F.posexplode_outer("prefix").alias("pos", "token"))
 
     a = posted.select("token", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("n").alias("an"), F.col("pos").alias("ap"))
     b = posted.select("token", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
@@ -87,20 +104,27 @@ def similar(classes: DataFrame, tenths: int = 8) -> DataFrame:
                  & (most * (10 + tenths) >= (F.col("an") + F.col("bn")) * tenths))
     candidates = stored(met.select("a1", "a2", "b1", "b2").distinct(), "lines-candidates")
 
-    involved = candidates.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(
-        candidates.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
-    sets = stored(_with_words(classes.join(involved, ["c1", "c2"], "left_semi")).select("c1", "c2", _tokens(F.col("w")).alias("t")), "lines-sets")
+    # token sets of the classes involved: a flag per class bucket keeps most other lines out before the join
+    involved = stored(candidates.select(F.explode(F.array(
+        F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")))).alias("c"))
+        .select("c.*").distinct().join(classes, ["c1", "c2"]), "lines-involved")
+    slot = F.pmod(F.col("c1"), F.lit(FLAGS)).cast("int")
+    taken = involved.select(slot.alias("id")).distinct().withColumn("on", F.lit(True))
+    every = spark.range(FLAGS).select(F.col("id").cast("int").alias("id")).join(taken, "id", "left")
+    flags = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("on", F.lit(False)).alias("on")))).getField("on").alias("f")).scalar()
+    firsts = _first_lines(lines(docs).filter(F.get(flags, slot)), involved)
+    sets = stored(_with_words(firsts, "c1", "c2").select("c1", "c2", _tokens(F.col("w")).alias("t")), "lines-sets")
     left = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("t").alias("at"))
     right = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("t").alias("bt"))
     shared = F.size(F.array_intersect("at", "bt"))
     return (candidates.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-            .filter(shared * (10 + tenths) >= (F.size("at") + F.size("bt")) * tenths).select("a1", "a2", "b1", "b2"))
+            .filter(shared * (10 + tenths) >= (F.size("at") + F.size("bt")) * tenths).select("a1", "a2", "b1", "b2").distinct())
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(c1, c2, first, n_links, kept): every class; a class is kept if no linked class starts earlier."""
     classes = stored(line_classes(docs), "lines-classes")
-    links = stored(similar(classes), "lines-links")
+    links = stored(similar(docs, classes), "lines-links")
     ends = links.select(F.col("a1").alias("c1"), F.col("a2").alias("c2"), F.col("b1").alias("o1"), F.col("b2").alias("o2")).unionByName(
         links.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("a1").alias("o1"), F.col("a2").alias("o2")))
     other = classes.select(F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.col("first").alias("their"))
@@ -142,8 +166,7 @@ def op1_line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH l AS (
-  SELECT doc_id, line_no, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^\x20\x09-\x0D]+'), ' ') AS norm
+  SELECT doc_id, line_no, lower(line) AS norm
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
         FROM documents WHERE text IS NOT NULL)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -151,7 +174,7 @@ c AS (
   SELECT norm, min((doc_id, line_no)) AS first, row_number() OVER (ORDER BY norm) AS id FROM l GROUP BY norm),
 t AS (
   SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS token
-  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT id, string_split(norm, ' ') AS w FROM c))),
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT id, regexp_extract_all(norm, '[^\x20\x09-\x0D]+') AS w FROM c))),
 n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
 o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM t a JOIN t b ON a.token = b.token AND a.id != b.id GROUP BY 1, 2),
 links AS (SELECT a, b FROM o JOIN n x ON x.id = o.a JOIN n y ON y.id = o.b WHERE 18 * o.o >= 8 * (x.n + y.n)),

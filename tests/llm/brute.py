@@ -146,11 +146,11 @@ def line_links(docs, threshold=0.8):
     first, per = {}, Counter()
     for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0)):
         for i, line in enumerate((t or "").split("\n")):
-            w = tuple(WORD.findall(lower(line)))
-            if w:
-                first.setdefault(w, (d, i))
+            if WORD.search(line):
+                first.setdefault(line.lower(), (d, i))
                 per[d] += 1
-    sets = {w: {w[i:i + 5] for i in range(max(1, len(w) - 4))} for w in first}
+    words = {x: tuple(WORD.findall(x)) for x in first}
+    sets = {x: {w[i:i + 5] for i in range(max(1, len(w) - 4))} for x, w in words.items()}
     order = lambda at: (at[0] is not None, at[0] or 0, at[1])
     kept, links = Counter(), Counter()
     for w, s in sets.items():
