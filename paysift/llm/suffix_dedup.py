@@ -174,10 +174,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
              .groupBy("c1", "c2", "span").agg(F.min("start").alias("start"), (F.max("start") + PASSAGE).alias("end"), F.min("first").alias("first"))
              .select("c1", "c2", "start", "end", "first"))
     copied = texts.filter("copies > 1")
-    c, d = rows.alias("c"), copied.alias("d")
-    whole = (c.join(d, (F.col("c.c1") == F.col("d.c1")) & (F.col("c.c2") == F.col("d.c2")) & F.col("c.doc_id").eqNullSafe(F.col("d.low")))
-             .select("c.c1", "c.c2", F.lit(0).alias("start"), F.size(split_words(F.col("c.text"))).alias("end"), F.col("d.low").alias("first"))
-             .filter(F.col("end") >= PASSAGE).distinct())
+    # lengths are taken before the join: it moves no text
+    lengths = rows.select(F.col("c1").alias("l1"), F.col("c2").alias("l2"), "doc_id", F.size(split_words(F.col("text"))).alias("end"))
+    whole = (copied.join(lengths.filter(F.col("end") >= PASSAGE), (F.col("c1") == F.col("l1")) & (F.col("c2") == F.col("l2"))
+                         & F.col("doc_id").eqNullSafe(F.col("low")))
+             .select("c1", "c2", F.lit(0).alias("start"), "end", F.col("low").alias("first")).distinct())
     return spans.join(copied.select("c1", "c2"), ["c1", "c2"], "left_anti").unionByName(whole)
 
 
