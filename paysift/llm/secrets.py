@@ -3,7 +3,8 @@
 The text is scanned for three kinds of secrets. Then a worklist unwraps encoded
 runs - percent-encoding, Unicode and character escapes, base64, and gzip, zlib,
 bzip2, xz or zstd data inside base64 - into new layers, which are scanned and
-unwrapped in turn until nothing new appears. Layers already seen are not entered
+unwrapped in turn until nothing new appears. Escapes are decoded in the whole
+text, so that key, separator and value stay together, blanks between them too. Layers already seen are not entered
 again (cycle detection). Findings of a layer are mapped back to spans of the
 text: character by character through escapes, to the whole run through base64.
 
@@ -25,8 +26,9 @@ import io
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -45,8 +47,7 @@ KINDS = ("assign", "access", "hex", "oversize")
 
 Span = tuple[str, int, int]
 
-_TOKEN = re.compile(r"\S+")
-_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&(?:quot|amp|apos|lt|gt|equals|colon);")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
@@ -59,6 +60,18 @@ def scan(text: str) -> list[Span]:
     return out
 
 
+def scan_layer(text: str) -> list[Span]:
+    """As :func:`scan`, and the assignments whose key is the end of another one's value: in a layer that
+    value may be words that only stand before an escaped key."""
+    out = [s for s in scan(text) if s[0] != "assign"]
+    m = ASSIGN.search(text)
+    while m:
+        if m.end(2) - m.start(2) >= 8:
+            out.append(("assign", m.start(), m.end()))
+        m = ASSIGN.search(text, max(m.start() + 1, m.end() - len("password=")))
+    return out
+
+
 def _unpack(data: bytes) -> tuple[bytes, bool]:
     """Decompressed bytes (or the bytes themselves) and whether they were cut at MAX_LAYER."""
     try:
@@ -88,34 +101,44 @@ def _readable(data: bytes) -> str | None:
 
 
 class Layer:
-    """A text whose characters lie at ``starts[i]:ends[i]`` of the document, or all in the span ``whole``."""
+    """A text; ``up`` turns a span of it into one of ``parent``, until the document (no parent) is reached."""
 
-    def __init__(self, text: str, starts=None, ends=None, whole=None):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, parent: "Layer | None" = None, up: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.parent, self.up = text, parent, up
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.whole:
-            return self.whole
-        return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
-
-
-def _escaped(layer: Layer, start: int, token: str, pattern: re.Pattern, decode) -> Layer:
-    """The token with every match of ``pattern`` decoded, with the place of each character."""
-    out, starts, ends, at = [], [], [], 0
+        layer = self
+        while layer.parent is not None:
+            start, end = layer.up(start, end)
+            layer = layer.parent
+        return start, end
+
+
+def _escaped(layer: Layer, pattern: re.Pattern, decode) -> Layer:
+    """The whole text with every match of ``pattern`` decoded; characters of a match lie at all of it."""
+    text, out, at, size = layer.text, [], 0, 0
+    places, pieces = [], []  # first character of each piece; its span in ``text`` and whether it is plain
+
+    def put(piece: str, a: int, b: int, plain: bool):
+        nonlocal size
+        if piece:
+            out.append(piece)
+            places.append(size)
+            pieces.append((a, b, plain))
+            size += len(piece)
+
+    for m in pattern.finditer(text):
+        put(text[at:m.start()], at, m.start(), True)
+        put(decode(m[0]), m.start(), m.end(), False)
+        at = m.end()
+    put(text[at:], at, len(text), True)
 
-    def put(text: str, a: int, b: int | None = None):
-        for i, c in enumerate(text):
-            s, e = layer.span(start + a + (i if b is None else 0), start + (a + i + 1 if b is None else b))
-            out.append(c)
-            starts.append(s)
-            ends.append(e)
+    def up(start: int, end: int) -> tuple[int, int]:
+        i, j = bisect_right(places, start) - 1, bisect_right(places, end - 1) - 1
+        first, last = pieces[i], pieces[j]
+        return (first[0] + start - places[i] if first[2] else first[0], last[0] + end - places[j] if last[2] else last[1])
 
-    for m in pattern.finditer(token):
-        put(token[at:m.start()], at)
-        put(decode(m[0]), m.start(), m.end())
-        at = m.end()
-    put(token[at:], at)
-    return Layer("".join(out), starts, ends)
+    return Layer("".join(out), layer, up)
 
 
 def _percent(run: str) -> str:
@@ -129,19 +152,13 @@ def _char(escape: str) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
 
-_PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-
-
 def unwrap(layer: Layer) -> Iterator[Layer | Span]:
     """Layers one step below, and ``oversize`` spans."""
     text = layer.text
-    percent, escape = _PERCENT.search(text), _ESCAPE.search(text) if "\\" in text or "&" in text else None
-    if percent or escape:
-        for m in _TOKEN.finditer(text, min(text.rfind(" ", 0, x.start()) + 1 for x in (percent, escape) if x)):
-            if percent and _PERCENT.search(m[0]):
-                yield _escaped(layer, m.start(), m[0], _PERCENT_RUN, _percent)
-            if escape and _ESCAPE.search(m[0]):
-                yield _escaped(layer, m.start(), m[0], _ESCAPE, _char)
+    if "%" in text and _PERCENT_RUN.search(text):
+        yield _escaped(layer, _PERCENT_RUN, _percent)
+    if ("\\" in text or "&" in text) and _ESCAPE.search(text):
+        yield _escaped(layer, _ESCAPE, _char)
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -151,13 +168,12 @@ def unwrap(layer: Layer) -> Iterator[Layer | Span]:
         except binascii.Error:
             continue
         data, cut = _unpack(data)
-        span = layer.span(m.start(), m.end())
         if cut:
-            yield ("oversize", *span)
+            yield ("oversize", *layer.span(m.start(), m.end()))
             data = data[:MAX_LAYER - 3].decode("utf-8", "ignore").encode()
         found = _readable(data)
         if found is not None:
-            yield Layer(found, whole=span)
+            yield Layer(found, layer, lambda a, b, m=m: m.span())
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -170,7 +186,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     base = sorted(scan(text), key=order)
     every, seen, work = set(base), set(), deque([Layer(text)])
     while work:
-        for x in unwrap(work.popleft()):
+        layer = work.popleft()
+        for x in unwrap(layer):
             if isinstance(x, tuple):
                 every.add(x)
                 continue
@@ -178,8 +195,9 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
             if mark in seen:
                 continue
             seen.add(mark)
-            every.update((kind, *x.span(a, b)) for kind, a, b in scan(x.text))
+            every.update((kind, *x.span(a, b)) for kind, a, b in scan_layer(x.text))
             work.append(x)
+        layer.text = ""  # layers below need its map only
     return base, sorted(every, key=order)
 
 

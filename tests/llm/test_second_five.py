@@ -192,6 +192,19 @@ def test_spans_through_escapes_are_exact():
     assert [text[a:b] for k, a, b in every] == ["token%3Dabcdefgh12", "api%5Fkey:%20%22ABCDEFGH"]
 
 
+@pytest.mark.parametrize("text", [
+    "password: hunter%32hunter2", "token = s%33cretvalue1", "pass%77ord: hunter2hunter2", '"password": "\\u0068unter2hunter2"',
+    "pass%77ord = \\x68unter2hunter2", "pass%2577ord : hunter2hunter2", "api&#95;key = &quot;abcdefgh"])
+def test_blanks_around_an_escaped_assignment(text):
+    base, every = secrets.find(f"words {text} more")
+    assert base == [] and [f"words {text} more"[a:b] for _, a, b in every] == [text.strip('"')]
+
+
+def test_escaped_key_after_another_value():
+    _, every = secrets.find("secret: %70assword:hunter2hunter2")
+    assert ("assign", 8, 33) in every
+
+
 def test_base_spans_of_the_contract():
     text = f"Password: 'abcdefgh' x TOKEN=short secret==12345678 AKIA{'B' * 12} AKIA1 {'0a' * 16} {'f' * 31} apikey=\"zzzzzzzz"
     base, every = secrets.find(text)
