@@ -4,9 +4,11 @@ The text is scanned for three kinds of secrets. Then a worklist unwraps encoded
 runs - percent-encoding, Unicode and character escapes, base64, and gzip, zlib,
 bzip2, xz or zstd data inside base64 - into new layers, which are scanned and
 unwrapped in turn until nothing new appears. Escapes are decoded in the whole
-text, so that key, separator and value stay together, blanks between them too. Layers already seen are not entered
+text, so that key, separator and value stay together, blanks between them too.
+Base64 may go over several lines and start anywhere in a run; its bytes are a
+layer whatever they are, and compressed data is looked for at every place of them. Layers already seen are not entered
 again (cycle detection). Findings of a layer are mapped back to spans of the
-text: character by character through escapes, to the whole run through base64.
+text: character by character through escapes, to whole lines of the run through base64.
 
 A layer that unpacks to more than ``MAX_LAYER`` bytes (a decompression bomb) is
 scanned that far and reported as a span of kind ``oversize``.
@@ -17,18 +19,17 @@ reported once. Every row gets its own result; extra columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import html
-import io
 import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -38,6 +39,8 @@ from pyspark.sql import types as T
 from .common import map_arrow
 
 MAX_LAYER = 64 << 20
+#: Compressed bytes taken at a time, and the most that bzip2 and xz make of them at a time.
+STEP, BLOCK = 1 << 10, 1 << 20
 
 # The base patterns and least lengths of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -49,7 +52,16 @@ Span = tuple[str, int, int]
 
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&(?:quot|amp|apos|lt|gt|equals|colon);")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# A base64 run: one line of at least 16 characters, or lines that a break (also one written as \\n) parts.
+_64, _LINE = "[A-Za-z0-9+/_-]", r"[\x20\t]*+(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+"
+_BASE64 = re.compile(rf"(?<!{_64})(?:{_64}{{16,}}+(?:{_LINE}{_64}++)*+|{_64}++(?:{_LINE}{_64}++)++)={{0,2}}")
+_BREAK = re.compile(_LINE)
+_STANDARD = str.maketrans("-_", "+/")
+# gzip, bzip2, xz, zstd and (window sizes of 256 to 32 768 bytes, no dictionary) zlib
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\x1f\x40-\x5f\x80-\x9f\xc0-\xdf]")
+_PADDING = re.compile(rb"\0*")
+# Bytes without this hold no finding and nothing to unwrap: findings, escaped or not, are ASCII and have 14 characters or more.
+_WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14}|" + _MAGIC.pattern)
 
 
 def scan(text: str) -> list[Span]:
@@ -72,39 +84,79 @@ def scan_layer(text: str) -> list[Span]:
     return out
 
 
-def _unpack(data: bytes) -> tuple[bytes, bool]:
-    """Decompressed bytes (or the bytes themselves) and whether they were cut at MAX_LAYER."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            d = zlib.decompressobj(47)
-            return d.decompress(data, MAX_LAYER), bool(d.unconsumed_tail)
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            return d.decompress(data, MAX_LAYER), not d.eof and not d.needs_input
-        if data[:6] == b"\xfd7zXZ\0":
-            d = lzma.LZMADecompressor()
-            return d.decompress(data, MAX_LAYER), not d.eof and not d.needs_input
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            got = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(MAX_LAYER + 1)
-            return got[:MAX_LAYER], len(got) > MAX_LAYER
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        pass  # no compressed data after all
-    return data, False
+def _opened(head: bytes):
+    """A decompressor for data that starts with ``head``, which :data:`_MAGIC` matches."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:1] == b"\xfd":
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    if head[:2] == b"\x28\xb5":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return zlib.decompressobj(15) if int.from_bytes(head[:2], "big") % 31 == 0 else None
 
 
-def _readable(data: bytes) -> str | None:
+def _blocks(d, data: bytes, start: int) -> Iterator[bytes]:
+    """What ``d`` makes of ``data[start:]``, as far as it is sound; the place behind it is returned."""
+    at, bounded, step = start, isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)), STEP
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+        while not d.eof and at < len(data):
+            chunk = data[at:at + step]
+            at += len(chunk)
+            if bounded:
+                yield d.decompress(chunk, BLOCK)
+                while not d.eof and not d.needs_input:
+                    yield d.decompress(b"", BLOCK)
+                continue
+            before = d.copy() if step > 1 and hasattr(d, "copy") else None
+            try:
+                yield d.decompress(chunk)
+            except zlib.error:
+                if before is None:
+                    raise
+                d, at, step = before, at - len(chunk), 1  # byte by byte up to the break
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text[:4096]) else None
+    return at - len(d.unused_data) if d.eof else None
+
+
+def _unpacked(data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(start, end, content, cut) of all compressed data in ``data``, wherever it starts. Members that follow one
+    another are one content; broken data gives what comes before the break. ``cut``: longer than MAX_LAYER."""
+    m = _MAGIC.search(data)
+    while m:
+        start, out, size, cut, end, reached = m.start(), [], 0, False, None, None
+        while m and (d := _opened(m[0])) is not None:
+            blocks = _blocks(d, data, m.start())
+            while True:
+                try:
+                    got = next(blocks)
+                except StopIteration as stop:
+                    reached = stop.value
+                    break
+                out.append(got[:MAX_LAYER - size])
+                size += len(out[-1])
+                if len(out[-1]) < len(got):
+                    cut, reached = True, None
+                    break
+            if reached is None:
+                break
+            end = reached
+            m = _MAGIC.match(data, _PADDING.match(data, end).end())
+        if size:
+            yield start, len(data) if reached is None else end, b"".join(out), cut
+        m = _MAGIC.search(data, max(start + 1, end or 0))
 
 
 class Layer:
-    """A text; ``up`` turns a span of it into one of ``parent``, until the document (no parent) is reached."""
+    """A text; ``up`` turns a span of it into one of ``parent``, until the document (no parent) is reached.
+
+    ``data`` are the bytes of a decoded layer, its text has one character for each: all that is looked for is ASCII."""
 
-    def __init__(self, text: str, parent: "Layer | None" = None, up: Callable[[int, int], tuple[int, int]] | None = None):
-        self.text, self.parent, self.up = text, parent, up
+    def __init__(self, text: str, parent: "Layer | None" = None, up: Callable[[int, int], tuple[int, int]] | None = None,
+                 data: bytes | None = None):
+        self.text, self.parent, self.up, self.data = text, parent, up, data
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         layer = self
@@ -141,6 +193,28 @@ def _escaped(layer: Layer, pattern: re.Pattern, decode) -> Layer:
     return Layer("".join(out), layer, up)
 
 
+def _decoded(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """The bytes of a base64 run from each of its first four characters on, so that whatever stands before
+    the encoded data (a word, a path, a line) shifts only some of them. Spans are whole lines of the run."""
+    breaks = [m.span() for m in _BREAK.finditer(layer.text, *m.span())] if "\n" in m[0] or "\\n" in m[0] else []
+    lines = list(zip([m.start(), *[b for _, b in breaks]], [*[a for a, _ in breaks], m.end()]))
+    run = "".join([layer.text[a:b] for a, b in lines]).rstrip("=").translate(_STANDARD)
+    places = list(accumulate([b - a for a, b in lines], initial=0))
+    for k in range(4):
+        n = len(run) - k
+        if n < 2:
+            continue
+        data = binascii.a2b_base64(run[k:len(run) - (n % 4 == 1)] + "=" * (-n % 4 if n % 4 > 1 else 0))
+        if not _WORTH.search(data):
+            continue
+
+        def up(start: int, end: int, k=k) -> tuple[int, int]:
+            first, last = k + start * 4 // 3, min(k + (end - 1) * 4 // 3 + 1, len(run) - 1)
+            return lines[bisect_right(places, first) - 1][0], lines[min(bisect_right(places, last), len(lines)) - 1][1]
+
+        yield Layer(data.decode("latin-1"), layer, up, data)
+
+
 def _percent(run: str) -> str:
     return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
@@ -160,20 +234,13 @@ def unwrap(layer: Layer) -> Iterator[Layer | Span]:
     if ("\\" in text or "&" in text) and _ESCAPE.search(text):
         yield _escaped(layer, _ESCAPE, _char)
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        data, cut = _unpack(data)
-        if cut:
-            yield ("oversize", *layer.span(m.start(), m.end()))
-            data = data[:MAX_LAYER - 3].decode("utf-8", "ignore").encode()
-        found = _readable(data)
-        if found is not None:
-            yield Layer(found, layer, lambda a, b, m=m: m.span())
+        yield from _decoded(layer, m)
+    if layer.data is not None:
+        for start, end, data, cut in _unpacked(layer.data):
+            if cut:
+                yield ("oversize", *layer.span(start, end))
+            if _WORTH.search(data):
+                yield Layer(data.decode("latin-1"), layer, lambda a, b, at=(start, end): at, data)
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -197,7 +264,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
             seen.add(mark)
             every.update((kind, *x.span(a, b)) for kind, a, b in scan_layer(x.text))
             work.append(x)
-        layer.text = ""  # layers below need its map only
+        layer.text, layer.data = "", None  # layers below need its map only
     return base, sorted(every, key=order)
 
 

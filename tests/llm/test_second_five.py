@@ -1,13 +1,16 @@
 """Operators 1, 4, 5, 7 and 9 against DuckDB twins and plain versions."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -200,6 +203,34 @@ def test_blanks_around_an_escaped_assignment(text):
     assert base == [] and [f"words {text} more"[a:b] for _, a, b in every] == [text.strip('"')]
 
 
+def wrapped(s, n=64, brk="\n"):
+    s = b64(s)
+    return brk.join(s[i:i + n] for i in range(0, len(s), n))
+
+
+FILL = "plain words before it, " * 9
+
+
+@pytest.mark.parametrize("hidden", [
+    b64(gzip.compress(gzip.compress(KEY.encode()))), b64(gzip.compress(zstandard.compress(KEY.encode()))), b64(bz2.compress(lzma.compress(KEY.encode()))),
+    b64(gzip.compress(b"first ") + gzip.compress(KEY.encode())), b64(gzip.compress(b"pass") + gzip.compress(b"word=hunter2hunter2")),
+    b64(bz2.compress(b"first ") + bz2.compress(KEY.encode())), b64(lzma.compress(b"first ") + lzma.compress(KEY.encode())),
+    b64(gzip.compress(b"first ") + KEY.encode()), b64(b"header" + zlib.compress(KEY.encode())), b64(gzip.compress(KEY.encode())[:-6] + b"broken"),
+    *[b64(f"a{c}b {KEY}") for c in "\u00a0\u200b\0\x1b"], b64(b"a\xffb " + KEY.encode()), b64(("\0" * 9 + " " + KEY).encode("utf-8")),
+    wrapped(FILL + KEY), wrapped(FILL + KEY, 76, "\r\n"), wrapped(FILL + KEY, 76, "\n    "), wrapped(FILL + KEY, 64, "\\n"), wrapped(gzip.compress((FILL + KEY).encode()), 10),
+    *[f"path{c}{b64('x' + KEY)}" for c in "/-_"], "word\n" + b64(KEY)])
+def test_no_layer_is_lost(hidden):
+    text = f"plain words {hidden} more"
+    at = text.index(hidden)
+    assert any(k == "assign" and at <= a < b <= at + len(hidden) for k, a, b in secrets.find(text)[1])
+
+
+def test_spans_of_wrapped_base64_are_its_lines():
+    lines = [b64(FILL[:48]), b64(("x " + KEY).ljust(48)), b64(FILL[:48])]
+    text = "\n".join(lines)
+    assert [text[a:b] for _, a, b in secrets.find(text)[1]] == [lines[1]]
+
+
 def test_escaped_key_after_another_value():
     _, every = secrets.find("secret: %70assword:hunter2hunter2")
     assert ("assign", 8, 33) in every
