@@ -14,6 +14,7 @@ a control string afterwards, and taking one backslash away restores it.
 
 Cases: null text or a missing field is an empty text, a null role an empty role.
 A record of unknown layout, null or no JSON object has layout null and no turns.
+A conversation of the query that cannot be read back is an error, not an empty one.
 Turns with equal numbers are ordered by role and text; a null number comes first.
 Repeated rows stay repeated turns. An empty table gives no rows.
 """
@@ -67,6 +68,9 @@ LAYOUTS = (
 START, END = "<|im_start|>", "<|im_end|>"
 TAIL = r"/?s>|/?INST\]|/?SYS>|\|[A-Za-z0-9_]+\|>"
 
+# Spark's reader stops at 20 million characters, 1 000 levels and 1 000 digits by default and then gives null.
+UNBOUNDED = {name: str((1 << 31) - 1) for name in ("maxStringLen", "maxNestingDepth", "maxNumLen")}
+
 TURN = "array<struct<role:string,text:string>>"
 
 
@@ -84,10 +88,10 @@ def _known(layouts) -> tuple[list[str], list[str]]:
 def fingerprint(record: Column, layouts=LAYOUTS) -> Column:
     """Hash of the record's known nested field paths."""
     paths, lists = _known(layouts)
-    top = F.from_json(record, "map<string,string>")
+    top = F.from_json(record, "map<string,string>", UNBOUNDED)
     found = [F.map_keys(top)]
     for name in lists:
-        entries = F.from_json(F.try_element_at(top, F.lit(name)), "array<map<string,string>>")
+        entries = F.from_json(F.try_element_at(top, F.lit(name)), "array<map<string,string>>", UNBOUNDED)
         inner = F.array_distinct(F.flatten(F.transform(F.coalesce(entries, F.array().cast("array<map<string,string>>")),
                                                       lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>")))))
         found.append(F.split(F.concat(F.lit(f"{name}[]."), F.array_join(inner, f"\n{name}[].")), "\n"))
@@ -106,7 +110,7 @@ def _turns(lay: Layout, top: Column) -> Column:
         # a system turn only where there is one
         parts.append(F.when((F.lit(role) != "system") | (F.size(given) > 0), one).otherwise(F.array().cast(TURN)))
     if lay.items:
-        entries = F.from_json(value(lay.items), "array<map<string,string>>")
+        entries = F.from_json(value(lay.items), "array<map<string,string>>", UNBOUNDED)
 
         def turn(m: Column) -> Column:
             role = F.coalesce(F.try_element_at(m, F.lit(lay.role)), F.lit(""))
@@ -132,7 +136,7 @@ def canonical(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
         mine = F.col("fingerprint").isin(prints)
         name, turns = F.when(mine, lay.name).otherwise(name), F.when(mine, _turns(lay, top)).otherwise(turns)
     rows = records.withColumn("fingerprint", fingerprint(F.col("record"), layouts)).withColumn(
-        "_top", F.from_json("record", "map<string,string>"))
+        "_top", F.from_json("record", "map<string,string>", UNBOUNDED))
     return rows.withColumn("layout", name).withColumn("turns", turns).drop("_top")
 
 
@@ -195,7 +199,10 @@ def op5_chat_format(spark: SparkSession, turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
     out = read_back(formatted(canonical(turn_records(rows))))
     digest = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select("conv_id", F.size("read_turns").cast("long").alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+    # every record is of layout ``turns``: one without a layout was not read
+    n_turns = F.when(F.col("layout").isNotNull(), F.size("read_turns").cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("conversation not read: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("long"))
+    return out.select("conv_id", n_turns.alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
                       F.length("formatted").cast("long").alias("formatted_chars"))
 

@@ -13,6 +13,7 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from paysift.llm import chat_format, line_dedup, quality_rules, secrets, suffix_dedup
 from paysift.llm.queries import oracle_sql, queries
@@ -133,6 +134,19 @@ def test_chat_odd_rows(spark):
     assert chat_format.op5_chat_format(spark, df.limit(0)).count() == 1
 
 
+def test_turn_longer_than_the_json_limit(spark):
+    long = F.concat(F.lit('{"prompt": "p", "completion": "'), F.repeat(F.lit("long "), 4_000_001), F.lit('"}'))
+    row = chat_format.canonical(spark.range(1).select(long.alias("record"))).select("layout", F.length(F.col("turns")[1]["text"])).first()
+    assert tuple(row) == ("prompt", 20_000_005)
+
+
+def test_conversation_that_cannot_be_read_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "UNBOUNDED", {"maxStringLen": "1000"})
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "long " * 300)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="conversation not read: 1"):
+        chat_format.op5_chat_format(spark, df).collect()
+
+
 # ---- 7 ----------------------------------------------------------------------------------------------------
 
 def check_passages(df):
