@@ -10,8 +10,8 @@ the shared folder: Spark's committer keeps the files whole when executors are lo
 
 Cases: null text is encoded as empty (the end id alone). Rows with equal doc_id
 are ordered by a hash of their text; each gets its own result. Null doc_ids
-come first. Strings of special tokens in a text are ordinary text. An empty
-table gives an empty file set. Extra columns are ignored.
+come first. The string of an added token in a text is that token, as the library
+has it by default. An empty table gives an empty file set. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -221,23 +221,23 @@ _BEYOND = re.compile("[^\0-ɏ]")
 
 class Encoder:
     """Token ids as little-endian bytes. Pretokens of byte-level BPE are encoded once and remembered
-    (the library keeps few of them); texts beyond U+024F go to the library whole."""
+    (the library keeps few of them); texts beyond U+024F or with the string of an added token go to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                          and not spec.get("normalizer"))
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or _BEYOND.search(t)]
+        whole = [i for i, t in enumerate(texts) if not self.by_piece or _BEYOND.search(t) or any(a in t for a in self.added)]
         pieces = [_PIECES.findall(t) for t in texts] if len(whole) < len(texts) else []
         out: list[bytes] = [b""] * len(texts)
         if pieces:

@@ -190,6 +190,20 @@ def test_pretokens_equal_the_library():
     assert enc.encode(texts) == enc._library(texts)
 
 
+def test_strings_of_added_tokens_equal_an_untouched_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|> \u4e2d", "<|endoftext", "no token"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [50256]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.Encoder(path).encode(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.op8_token_files(spark, df).collect()}
+    assert got == {i: (len(w) + 1, zlib.crc32(np.array([*w, 2], dtype="<u4").tobytes())) for i, w in enumerate(want)}
+
+
 # ---- 10 ---------------------------------------------------------------------------------------------------
 
 def test_language_accuracy_on_held_out_rows(docs):
