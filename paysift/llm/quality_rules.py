@@ -8,7 +8,8 @@ limit are removed; a document that loses more than half of its words, or keeps
 fewer than ``MIN_WORDS``, is depleted and rejected.
 
 The limit of a host is the larger of ``MAX_DOCS`` documents and ``MAX_SHARE`` of
-its documents, so it means the same at every size.
+its documents: fixed up to 20 000 documents of a host, growing with the host
+above. The same line can be removed from a small host and stay in a large one.
 
 Cases: null text has no words and fails the base rules. A null source is a host
 of its own. Repeated rows of one doc_id and text count as one document and get
