@@ -6,10 +6,10 @@ words in a window of ``STRIDE`` places. Any ``PASSAGE`` = LEAD + STRIDE - 1 word
 contain a retained suffix with LEAD of these words to its right, so equal
 passages retain suffixes at equal places.
 
-1. Retained suffixes are sorted by the hash of their first LEAD words; suffixes
-   with an equal neighbour from another text are candidates. About one word in
-   STRIDE / 2 takes part in this sort.
-2. Around a candidate the match is extended left and right: it can start up to
+1. Retained suffixes are grouped by the hash of their first LEAD words, not
+   sorted; suffixes whose group has another text are candidates. About one word
+   in STRIDE / 2 takes part.
+2. No neighbours are compared. A passage around a candidate can start up to
    STRIDE - 1 words before the suffix, so the hash of the PASSAGE words is taken
    at each of these starts, and passages that two different texts share stay.
 3. Overlapping passages are merged into maximal spans.
