@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from paysift.sources.tables import read_table
 
-from . import chat_format, decontaminate, line_dedup, quality_rules
+from . import chat_format, collocations, decontaminate, line_dedup, quality_rules
 from .decontaminate import op2_decontaminate
 from .language_id import op10_language_id
 from .mixing import op3_mix_sources
@@ -36,10 +36,12 @@ def queries() -> dict[str, QueryFn]:
         "op8_token_files": lambda s, d: op8_token_files(s, docs(s, d)),
         "op9_secret_scan": lambda s, d: op9_secret_scan(s, docs(s, d)),
         "op10_language_id": lambda s, d: op10_language_id(s, docs(s, d)),
+        "op11_collocations": lambda s, d: collocations.op11_collocations(s, docs(s, d)),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": line_dedup.ORACLE, "op2_decontaminate": decontaminate.ORACLE,
-            "op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE}
+            "op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE,
+            "op11_collocations": collocations.ORACLE}
