@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from paysift.sources.tables import read_table
 
-from . import chat_format, collocations, decontaminate, line_dedup, quality_rules
+from . import chat_format, collocations, decontaminate, line_dedup, multiset_hash, quality_rules
 from .decontaminate import op2_decontaminate
 from .language_id import op10_language_id
 from .mixing import op3_mix_sources
@@ -37,6 +37,7 @@ def queries() -> dict[str, QueryFn]:
         "op9_secret_scan": lambda s, d: op9_secret_scan(s, docs(s, d)),
         "op10_language_id": lambda s, d: op10_language_id(s, docs(s, d)),
         "op11_collocations": lambda s, d: collocations.op11_collocations(s, docs(s, d)),
+        "op12_document_fingerprints": lambda s, d: multiset_hash.op12_document_fingerprints(s, docs(s, d)),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -44,4 +45,4 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": line_dedup.ORACLE, "op2_decontaminate": decontaminate.ORACLE,
             "op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE,
-            "op11_collocations": collocations.ORACLE}
+            "op11_collocations": collocations.ORACLE, "op12_document_fingerprints": multiset_hash.ORACLE}
