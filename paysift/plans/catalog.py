@@ -29,6 +29,7 @@ PLAN_MODULES = [
     "paysift.plans.profile_plans",
     "paysift.plans.source_plans",
     "paysift.plans.stream_plans",
+    "paysift.plans.refresh_plans",
 ]
 
 

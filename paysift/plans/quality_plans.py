@@ -9,7 +9,7 @@ from paysift.operators import quality as Q
 from paysift.operators import warehouse as W
 from paysift.operators.lines import canonical_lines
 from paysift.sources import fixtures as fx
-from paysift.sources.sinks import work_dir
+from paysift.sources.sinks import stored, work_dir
 
 from .catalog import query
 from .profile_plans import PAYFILE_CTE, q
@@ -57,8 +57,8 @@ def code_dim(spark, sf, st=None):
     return base.unionByName(W.infer_codes(st.filter("is_valid"), base))
 
 
-def built_ledger(spark, sf):
-    return W.build_ledger(staged(spark, sf).filter("is_valid"), fx.employees(spark, sf))
+def built_ledger(spark, sf, st=None):
+    return W.build_ledger((staged(spark, sf) if st is None else st).filter("is_valid"), fx.employees(spark, sf))
 
 
 # ------------------------------------------------------------------------------ D
@@ -415,15 +415,17 @@ LOADS = ("2025-01-31 06:00:00", "2025-02-28 06:00:00")
 
 
 def loaded_fact(spark, sf):
-    """The fact after two loads: batch 1 into an empty fact, then all batches into the stored one."""
-    st = staged(spark, sf)
+    """The fact after two loads: batch 1 into an empty fact, then the later batches into the stored one.
+
+    Staging is derived and written once, by batch; the dimensions and both loads read its columns."""
+    st = stored(staged(spark, sf), "staging", "batch_id")
     valid = st.filter("is_valid")
     dims = {"codes_dim": code_dim(spark, sf, st), "time_dim": W.dim_time(valid), "employees_dim": W.dim_employee(valid, attrs=("pay_code",)),
             "posts_dim": W.dim_budget_post(valid)}
     path = work_dir(spark, "fact")
     W.load_fact(st.filter("batch_id = 1"), **dims, loaded_at=LOADS[0]).write.parquet(f"{path}/load=1")
     first = spark.read.parquet(f"{path}/load=1")
-    return first.unionByName(W.load_fact(st, **dims, fact=first, loaded_at=LOADS[1]))
+    return first.unionByName(W.load_fact(st.filter("batch_id > 1"), **dims, fact=first, loaded_at=LOADS[1]))
 
 
 STAMPED_FACT_CTE = FACT_CTE + f""",
@@ -485,7 +487,8 @@ FROM (SELECT s.* FROM stg_lines s SEMI JOIN employees e ON e.employee_id = s.emp
 ANTI JOIN ledger2 t ON t.pay_date = i.pay_date AND t.source_file = i.source_file AND t.source_row_no = i.source_row_no
 """, ctes=STAGED_CTE + ",\n" + LEDGER2_CTE)
 def e12(spark, sf):
-    out = W.incremental_ledger(fx.stg_lines(spark, sf), fx.employees(spark, sf), built_ledger(spark, sf))
+    st = stored(staged(spark, sf), "staging")
+    out = W.incremental_ledger(st, fx.employees(spark, sf), built_ledger(spark, sf, st))
     return out.select("batch_id", "source_file", "source_row_no", "pay_date", "employee_id", "amount_cents")
 
 

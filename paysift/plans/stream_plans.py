@@ -3,6 +3,7 @@ from the driver tables, then the sink is read back as a DataFrame."""
 
 from __future__ import annotations
 
+from paysift.operators import warehouse as W
 from paysift.sources import fixtures as fx
 from paysift.sources.payfile import raw_pay_file, write_pay_files
 from paysift.sources.sinks import work_dir
@@ -42,7 +43,26 @@ def m01(spark, sf):
     landing, out, ck = work_dir(spark, "m1-landing"), work_dir(spark, "m1-out"), work_dir(spark, "m1-ckpt")
     write_pay_files(raw_pay_file(spark, sf), landing)
     M.stream_ingest(spark, landing, out, ck, periods=fx.periods(spark, sf))
-    return spark.read.parquet(f"{out}/lines").drop("epoch", "file_path")
+    return M.published(spark, out, "lines").drop("epoch", "attempt", "file_path")
+
+
+@query("m01_stream_fact", f"""
+SELECT DISTINCT md5(concat_ws('|', CAST(pay_date AS VARCHAR), mat, pay_code, coalesce(budget_post, 'N/A'),
+    CAST(amount_cents AS VARCHAR), coalesce(CAST(employer_cents AS VARCHAR), '0'))) AS cle_metier,
+  pay_date, mat AS employee_id, pay_code, c.categorie AS categorie_paie, coalesce(budget_post, 'N/A') AS poste_budgetaire, amount_cents, employer_cents,
+  c.categorie = 'Gains' AND amount_cents < 0 AS is_adjustment,
+  c.categorie IN ('Deductions', 'Deductions_legales', 'Assurances', 'Syndicats') AND amount_cents > 0 AS is_refund
+FROM (SELECT *, upper(CASE WHEN regexp_full_match(m, '[0-9]+') THEN CASE WHEN ltrim(m, '0') = '' THEN '0' ELSE ltrim(m, '0') END ELSE m END) AS mat
+      FROM (SELECT *, regexp_replace(matricule, '[^0-9A-Za-z-]', '', 'g') AS m FROM ({M1_SQL}) a) b) l
+JOIN codes c USING (pay_code)
+""", ctes=PAYFILE_CTE)
+def m01f(spark, sf):
+    """Arriving files through to the fact, a few files an epoch, so that later epochs meet stored keys of their dates."""
+    landing, out, ck = work_dir(spark, "m1f-landing"), work_dir(spark, "m1f-out"), work_dir(spark, "m1f-ckpt")
+    write_pay_files(raw_pay_file(spark, sf), landing)
+    M.stream_ingest(spark, landing, out, ck, max_files=500, periods=fx.periods(spark, sf), codes_dim=W.dim_code(fx.codes(spark)))
+    return M.published(spark, out, "fact").select(
+        "cle_metier", "pay_date", "employee_id", "pay_code", "categorie_paie", "poste_budgetaire", "amount_cents", "employer_cents", "is_adjustment", "is_refund")
 
 
 @query("m02_stream_dedup", "SELECT DISTINCT cle_metier FROM staged WHERE is_valid", ctes=STAGED_CTE)

@@ -20,6 +20,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/paysift-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """``df`` written once to a fresh table in the shared folder and read back: one derivation for
+    several uses, whose files survive lost executors and prune by ``partition_by``."""
+    path = work_dir(df.sparkSession, name)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_lines(df: DataFrame, path: str, run_id: str) -> None:
     """A5: add the lines of one import run, with lineage (run id, source file, row number).
 

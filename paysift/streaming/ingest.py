@@ -1,12 +1,13 @@
 """Streaming ingestion, dedup and KPI.
 
 * M1 ``stream_ingest``: a file-source stream of pay files; each micro-batch is
-  canonicalised, parsed and validated with the batch operators and written by
-  ``foreachBatch`` to a folder keyed by the epoch id, so a retried epoch
-  overwrites its own output (idempotent sink) and a restart resumes from the
-  checkpoint.
-* M2 ``stream_dedup``: micro-batches anti joined on the business keys of the
-  lines already stored; nothing is dropped for its age.
+  canonicalised, parsed and validated with the batch operators and written as
+  lines, alerts and (with a code dimension) fact rows. All three become visible
+  with one small file per epoch (``publish``) that names the attempt that wrote
+  them; readers (``published``) see whole epochs only, a retried epoch that was
+  published is skipped and one that was not leaves nothing visible.
+* M2 ``stream_dedup``: keyed state, one entry per business key in RocksDB;
+  nothing is dropped for its age and no micro-batch reads stored lines.
 * M3 ``stream_kpi``: tumbling daily windows in update mode; lines of closed
   periods are refused by a stream-static join with the period table (D17).
 
@@ -15,14 +16,20 @@ Checkpoints and outputs live under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paysift.functions.amounts import amount_to_cents
 from paysift.functions.dates import WIDE_YEAR_HI, WIDE_YEAR_LO, parse_pay_date
-from paysift.functions.keys import business_key
+from paysift.functions.keys import POST_DEFAULT, business_key
+from paysift.functions.names import norm_matricule
 from paysift.operators.quality import validate_lines
+from paysift.operators.warehouse import load_fact
 from paysift.sources.mapping import canonicalise_columns
 from paysift.sources.payfile import file_formats, read_files, text_lines
 
@@ -45,19 +52,72 @@ def stage_batch(raw: DataFrame, canonical: bool = False) -> DataFrame:
     return validate_lines(typed, mat_col="matricule")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def publish(spark: SparkSession, out: str, epoch_id: int, attempt: str) -> None:
+    """Make the rows that ``attempt`` wrote for ``epoch_id`` visible, in all tables at once.
+
+    The name of the attempt is one file, written aside and renamed into place, so it is there or not."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = path(f"{out}/_publishing/{attempt}")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(f'{{"epoch": {epoch_id}, "attempt": "{attempt}"}}\n', "utf-8"))
+    stream.close()
+    fs.mkdirs(path(f"{out}/published"))
+    fs.rename(aside, path(f"{out}/published/epoch-{epoch_id}.json"))
+
+
+def published(spark: SparkSession, out: str, table: str, dates: list | None = None) -> DataFrame | None:
+    """Rows of ``table`` (``lines``, ``alerts`` or ``fact``) of all published epochs; None before the first.
+
+    With ``dates`` only the folders of these pay dates of the fact are listed and read."""
+    paths = [f"{out}/{table}"] if dates is None else [f"{out}/{table}/pay_date={d}" for d in dates]
+    paths = [p for p in paths if _exists(spark, p)]
+    if not paths or not _exists(spark, f"{out}/published"):
+        return None
+    marks = spark.read.schema("epoch bigint, attempt string").json(f"{out}/published")
+    rows = spark.read.option("basePath", f"{out}/{table}").parquet(*paths)
+    return rows.withColumn("epoch", F.col("epoch").cast("long")).join(marks, ["epoch", "attempt"], "left_semi")
+
+
+def fact_lines(staged: DataFrame, epoch_id: int) -> DataFrame:
+    """Lines of one epoch in the shape of the fact load (E7): employee key, batch = epoch, business key."""
+    key = norm_matricule(F.col("matricule"))
+    return (staged.withColumn("employee_id", key).withColumn("batch_id", F.lit(epoch_id)).withColumnRenamed("file_path", "source_file")
+            .withColumn("cle_metier", business_key("pay_date", "employee_id", "pay_code", F.coalesce("budget_post", F.lit(POST_DEFAULT)),
+                                                   "amount_cents", "employer_cents")))
+
+
 def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, max_files: int = 50,
-                  periods: DataFrame | None = None):
+                  periods: DataFrame | None = None, codes_dim: DataFrame | None = None, after_epoch=None):
     """M1: ingest every file arriving in ``landing``; returns the finished query (availableNow).
 
     The stream tells which files have arrived; each is read with its own
     encoding, separator and header (A1), so column order and spelling may differ
     from file to file. With ``periods``, valid lines outside open periods are
-    refused with the alert ``PERIODE_FERMEE`` (D17)."""
+    refused with the alert ``PERIODE_FERMEE`` (D17).
+
+    With ``codes_dim`` the fact load (E7) follows in the same epoch. The business
+    key holds the pay date, so a line can only repeat one of its own date: the
+    epoch reads the stored keys of its dates and of no other. ``after_epoch(dates)``
+    is called with the epoch's pay dates once it is published, also when a
+    published epoch is retried, so what follows (a refresh) must bear repeats."""
     src = text_lines(spark.readStream.format("text").option("recursiveFileLookup", True)
                      .option("maxFilesPerTrigger", max_files).load(landing))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        raw = read_files(batch.sparkSession, file_formats(batch), canonical=True)
+        session = batch.sparkSession
+        if _exists(session, f"{out}/published/epoch-{epoch_id}.json"):  # a retry of a whole epoch
+            if after_epoch:
+                mine = published(session, out, "lines").filter(F.col("epoch") == epoch_id)
+                after_epoch([r[0] for r in mine.select("pay_date").distinct().collect()])
+            return
+        raw = read_files(session, file_formats(batch), canonical=True)
         if raw.columns == ["file_path"]:
             return
         staged = stage_batch(raw, canonical=True)
@@ -67,12 +127,23 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
             staged = staged.join(opened, "pay_date", "left").withColumn(
                 "validation_errors", F.when(closed, F.array(F.lit("PERIODE_FERMEE"))).otherwise(F.col("validation_errors"))) \
                 .withColumn("is_valid", F.col("is_valid") & ~closed).drop("_open")
-        (staged.filter("is_valid").drop("validation_errors", "is_valid")
-         .withColumn("pay_year", F.year("pay_date"))
-         .write.mode("overwrite").partitionBy("pay_year").parquet(f"{out}/lines/epoch={epoch_id}"))
-        (staged.filter(~F.col("is_valid")).select("file_path", "source_row_no",
-                                                   F.explode("validation_errors").alias("alert_type"))
-         .write.mode("overwrite").parquet(f"{out}/alerts/epoch={epoch_id}"))
+        staged = staged.persist(StorageLevel.DISK_ONLY)  # three tables from one reading of the files
+        attempt = f"a{uuid.uuid4().hex}"  # a letter first: no partition value that looks like a number
+        mark = [F.lit(epoch_id).alias("epoch"), F.lit(attempt).alias("attempt")]
+        valid = staged.filter("is_valid")
+        (valid.drop("validation_errors", "is_valid").select("*", F.year("pay_date").alias("pay_year"), *mark)
+         .write.mode("append").partitionBy("epoch", "attempt", "pay_year").parquet(f"{out}/lines"))
+        (staged.filter(~F.col("is_valid")).select("file_path", "source_row_no", F.explode("validation_errors").alias("alert_type"), *mark)
+         .write.mode("append").partitionBy("epoch", "attempt").parquet(f"{out}/alerts"))
+        dates = [r[0] for r in valid.select("pay_date").distinct().collect()]  # the calendar bounds them
+        if codes_dim is not None:
+            before = published(session, out, "fact", dates)
+            (load_fact(fact_lines(staged, epoch_id), codes_dim, before).select("*", *mark)
+             .write.mode("append").partitionBy("pay_date", "epoch", "attempt").parquet(f"{out}/fact"))
+        publish(session, out, epoch_id, attempt)
+        staged.unpersist()
+        if after_epoch:
+            after_epoch(dates)
 
     q = (src.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -80,31 +151,47 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     return q
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """State of the queries started inside lives in RocksDB (local disk, checkpointed), not on the heap."""
+    old = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, old)
+
+
 def stream_dedup(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, max_files: int = 64):
     """M2: drop re-sent lines by business key, however late they come.
 
-    Each micro-batch keeps one line per key (the first batch and row) and is anti
-    joined with the keys stored by earlier epochs. The stored lines are the state:
-    no event-time limit drops a back-dated line or lets an old duplicate through,
-    and a retried epoch overwrites its own output."""
+    The state has one entry per business key: its first line, and the first and
+    last time a micro-batch brought it. ``current_timestamp()`` is one value for a
+    micro-batch, kept in the checkpoint's offset log, so a retry sees it again: a key
+    is new exactly if both times are equal, and then its first line of the batch
+    (smallest batch and row) is written. A key's work does not depend on how much is
+    stored, no event-time limit drops a back-dated line or lets an old duplicate
+    through, and a retried epoch overwrites its own output."""
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     staged = validate_lines(s).filter("is_valid").drop("validation_errors").withColumn("cle_metier", business_key(
         "pay_date", "employee_id", "pay_code", F.coalesce("budget_post", F.lit("N/A")), "amount_cents",
         "employer_cents"))
-    names = staged.columns
-    empty = spark.createDataFrame([], T.StructType([f for f in staged.schema if f.name != "cle_metier"] + [T.StructField("cle_metier", T.StringType())]))
-    empty.select(*names).write.mode("overwrite").parquet(f"{out}/epoch=-1")
+    line = F.struct(*[c for c in staged.columns if c != "cle_metier"])
+    keyed = (staged.withColumn("_at", F.current_timestamp()).groupBy("cle_metier")
+             .agg(F.min_by(line, F.struct("batch_id", "source_row_no")).alias("_line"), F.min("_at").alias("_first"), F.max("_at").alias("_last")))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        others = [c for c in names if c != "cle_metier"]
-        once = batch.groupBy("cle_metier").agg(F.min_by(F.struct(*others), F.struct("batch_id", "source_row_no")).alias("r")).select("r.*", "cle_metier")
-        seen = batch.sparkSession.read.parquet(out).filter(F.col("epoch") < epoch_id).select("cle_metier")
-        (once.join(seen, "cle_metier", "left_anti").select(*names)
+        (batch.filter(F.col("_first") == F.col("_last")).select("_line.*", "cle_metier")
          .write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}"))
 
-    q = (staged.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocksdb_state(spark):
+        q = (keyed.writeStream.outputMode("update").foreachBatch(write_epoch).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return q
 
 
