@@ -30,6 +30,7 @@ PLAN_MODULES = [
     "paysift.plans.source_plans",
     "paysift.plans.stream_plans",
     "paysift.plans.refresh_plans",
+    "paysift.plans.store_plans",
 ]
 
 
