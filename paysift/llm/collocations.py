@@ -47,7 +47,7 @@ THRESHOLD = 10
 #: A phrase goes if a longer one that holds it comes at least this often, in percent of it.
 ABSORB = 50
 TOP = 2000
-BITS = 22
+BITS = 21
 #: Bytes of text that a task takes at once.
 CHUNK = 8 << 20
 #: First ranks are taken in this many parts of a language.
@@ -57,7 +57,8 @@ COUNTS = "lang string, phrase string, n_words int, bucket int, c long"
 
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_NEVER = np.iinfo(np.int32).max
+#: Stops are kept in a byte.
+_NEVER = 255
 
 
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes]]]:
@@ -120,7 +121,7 @@ def _count(docs: list[tuple[str, bytes]], scan: int, shards: int, max_words: int
     hashes = single
     for length in range(2, max_words + 1):
         since = ready[length - 2][(hashes >> top).astype(np.int64)]  # the stop of the shorter phrase from each word on
-        since = np.maximum(since[:-1], since[1:])
+        since = np.maximum(since[:-1], since[1:]).astype(np.int32)
         whole = piece[: len(piece) - length + 1] == piece[length - 1:]
         hashes = _mixed(hashes[:-1], single[length - 1:])
         at = np.flatnonzero(whole & (since <= scan) & (since > scan - shards))
@@ -145,6 +146,8 @@ def _scan(shard: DataFrame, scan: int, shards: int, max_words: int, ready, bits:
 
 def phrase_counts(docs: DataFrame, max_words: int = WORDS, threshold: int = THRESHOLD, shards: int = SHARDS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, n_words, f`` of all words and phrases with f >= threshold, and ``lang, n`` of all words."""
+    if shards * max_words >= _NEVER:
+        raise ValueError(f"{shards} shards for phrases of {max_words} words make too many stops")
     spark = docs.sparkSession
     cut = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text"), (F.monotonically_increasing_id() % shards).alias("_shard"))
     path = work_dir(spark, "shards")
@@ -152,7 +155,7 @@ def phrase_counts(docs: DataFrame, max_words: int = WORDS, threshold: int = THRE
     shard = spark.read.schema("lang string, text string, _shard int").parquet(path)
     table = f"paysift_phrases_{uuid.uuid4().hex}"
     place = work_dir(spark, "phrases")
-    ready = [np.full(1 << bits, _NEVER, dtype=np.int32) for _ in range(max_words - 1)]
+    ready = [np.full(1 << bits, _NEVER, dtype=np.uint8) for _ in range(max_words - 1)]
     scan, until = 0, shards
     try:
         while scan < until:
@@ -161,7 +164,7 @@ def phrase_counts(docs: DataFrame, max_words: int = WORDS, threshold: int = THRE
             (counts.groupBy("lang", "phrase").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"), F.first("n_words").alias("n_words"))
              .select("lang", "phrase", "bucket", "c", F.lit(scan).alias("scan"), "n_words")
              .write.partitionBy("n_words").bucketBy(widths(spark), "lang", "phrase").option("path", place).mode("append").saveAsTable(table))
-            known.unpersist()
+            known.destroy()
             scan += 1
             before = F.coalesce(F.sum(F.when(F.col("scan") < scan - 1, F.col("c"))), F.lit(0))
             new = (spark.table(table).filter(F.col("n_words") < max_words).groupBy("lang", "phrase")
