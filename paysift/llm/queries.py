@@ -16,6 +16,7 @@ from .mixing import op3_mix_sources
 from .secrets import op9_secret_scan
 from .simhash import op6_simhash_near_dedup
 from .suffix_dedup import op7_suffix_dedup
+from .token_alignment import op13_token_alignment
 from .token_files import op8_token_files
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,7 @@ def queries() -> dict[str, QueryFn]:
         "op10_language_id": lambda s, d: op10_language_id(s, docs(s, d)),
         "op11_collocations": lambda s, d: collocations.op11_collocations(s, docs(s, d)),
         "op12_document_fingerprints": lambda s, d: multiset_hash.op12_document_fingerprints(s, docs(s, d)),
+        "op13_token_alignment": lambda s, d: op13_token_alignment(s, docs(s, d)),
         "pipeline": corpus_pipeline.run,
     }
 

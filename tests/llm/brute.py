@@ -158,3 +158,71 @@ def line_links(docs, threshold=0.8):
         links[first[w][0]] += len(other)
         kept[first[w][0]] += not any(order(first[v]) < order(first[w]) for v in other)
     return [(d, per[d], kept[d], per[d] - kept[d], links[d]) for d, _ in docs]
+
+
+def collocations(docs, max_words=3, threshold=10, absorb=50, top=2000):
+    """Rows (lang, rank, phrase, a, l, r, n, score) from (lang, text) pairs."""
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for m in range(1, max_words + 1):
+                for i in range(len(w) - m + 1):
+                    f[lang, tuple(w[i:i + m])] += 1
+    cand = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= threshold}
+    gone = set()
+    for (lang, w), a in cand.items():
+        for m in range(2, len(w)):
+            for i in range(len(w) - m + 1):
+                if 100 * a >= absorb * f[lang, w[i:i + m]]:
+                    gone.add((lang, w[i:i + m]))
+    out = {}
+    for (lang, w), a in cand.items():
+        if (lang, w) not in gone:
+            cuts = [(1000000 * a * a // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, rank, p.decode(), -a, left, right, n[lang], -s)
+                  for lang, rows in out.items() for rank, (s, a, p, left, right) in enumerate(sorted(rows)[:top], 1))
+
+
+def alignment(texts, encode_a, encode_b, bytes_a, bytes_b):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per text, token by token."""
+    every, held = [], Counter()
+    for text in texts:
+        whole = (" " + (text or "")).encode()
+        a, b = (encode_a(" " + text), encode_b(text)) if text else ([], [])
+        if not text or b"".join(bytes_a[i] for i in a) != whole or b"".join(bytes_b[i] for i in b) != whole:
+            every.append(None)
+            continue
+
+        def spans(ids, size):
+            at, out = 0, []
+            for i in ids:
+                out.append((at, at + len(size[i]), i))
+                at += len(size[i])
+            return out
+        sa, sb = spans(a, bytes_a), spans(b, bytes_b)
+        common = sorted({e for _, e, _ in sa} & {e for _, e, _ in sb})
+        links, j = [], 0
+        for s, e, i in sa:
+            while sb[j][1] <= s:
+                j += 1
+            k = j
+            while k < len(sb) and sb[k][0] < e:
+                links.append((i, sb[k][2]))
+                k += 1
+        held.update(set(links))
+        at, groups = 0, []
+        for end in common:
+            groups.append(",".join(str(i) for s, e, i in sa if at <= s < end) + "|" + ",".join(str(i) for s, e, i in sb if at <= s < end))
+            at = end
+        every.append((len(a), len(b), groups, links))
+    best = {}
+    for (i, _), c in held.items():
+        best[i] = max(best.get(i, 0), c)
+    return [(0, 0, 0, 0, 0, 0, "") if x is None else
+            (x[0], x[1], len(x[2]), len(x[3]), sum(held[p] == best[p[0]] for p in x[3]), sum(held[p] for p in x[3]),
+             hashlib.sha256(";".join(x[2]).encode()).hexdigest()) for x in every]
