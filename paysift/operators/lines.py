@@ -4,12 +4,10 @@
 broadcast) and the employee table (large: a shuffle join on ``employee_id``,
 sized by AQE). Money stays in cents.
 
-``number_lines`` numbers the lines of files lazily, by ranges of each file.
 ``with_row_no`` numbers the rows of a narrow key frame in any total order without a single-partition
-window: a range-partitioned sort spreads even one hot file over many tasks,
-each task numbers its rows locally (``monotonically_increasing_id`` on a sorted
-partition is the local index), and a small per-partition count table gives the
-offsets (one row per shuffle partition, broadcast back).
+window: Spark's range partitioner cuts the keys at sampled quantiles, so ranges are even whatever the
+values are, the sorted keys are written once, and a table with one row per range gives the offsets.
+``number_lines`` numbers the lines of files by joining them with such numbered keys.
 """
 
 from __future__ import annotations
@@ -17,64 +15,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paysift.session import checkpoint_dir, shuffle_partitions
+from paysift.session import shuffle_partitions
+from paysift.sources.sinks import stored
 
-RANGE_ROWS = 250_000
-INDEX_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
+
+def _ranges(df: DataFrame, order_cols: list[str], num_partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_range`` and ``_ahead`` (sum of ``_c`` of the rows before it in its range), and the offsets by range.
+
+    The keys are dealt by range and written to a table first, so that numbers and
+    offsets come from one and the same cut, also when an executor is lost."""
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    cut = stored(df.repartitionByRange(n, *order_cols).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = cut.groupBy("_range").agg(F.sum("_c").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return cut.withColumn("_ahead", F.coalesce(F.sum("_c").over(inside), F.lit(0))), offsets
 
 
 def with_row_no(df: DataFrame, order_cols: list[str], name: str = "row_no",
                 num_partitions: int | None = None) -> DataFrame:
-    """Global 1-based ordinal by ``order_cols`` (which must be unique together).
-
-    The rows are range-partitioned and sorted, each task numbers its rows
-    locally, and the range-sorted frame is checkpointed (reliable,
-    ``spark.checkpoint.dir``) so the local indexes and the per-partition counts
-    come from one materialisation even if an executor is lost. The offsets (one
-    row per partition) are broadcast back; no join on the data keys is needed.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = num_partitions or shuffle_partitions(spark)
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_local", F.monotonically_increasing_id()
-                          .bitwiseAND(F.lit((1 << INDEX_BITS) - 1))))
-    ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1)
-            .drop("_pid", "_local", "_off"))
+    """Global 1-based ordinal by ``order_cols`` (which must be unique together)."""
+    cut, offsets = _ranges(df.withColumn("_c", F.lit(1)), order_cols, num_partitions)
+    return (cut.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_off") + F.col("_ahead") + 1)
+            .drop("_range", "_ahead", "_off", "_c"))
 
 
 def number_lines(df: DataFrame, file_col: str = "source_file", order_col: str = "source_row_no",
-                 line: str | None = "line_no", in_file: str | None = None, header_offset: int = 2) -> DataFrame:
+                 line: str | None = "line_no", in_file: str | None = None, header_offset: int = 2,
+                 num_partitions: int | None = None) -> DataFrame:
     """Global 1-based ordinal by (file, row) and the row number inside each file (+ header offset).
 
-    Nothing runs until the result is used. Each file's row numbers are cut into
-    equal ranges of about ``RANGE_ROWS`` rows, so one hot file is many groups; rows
-    are numbered inside their range by a window, and offsets come from the counts
-    per range (two columns of the input) and per file."""
-    keys = df.select(F.col(file_col).alias("_f"), F.col(order_col).alias("_o"))
-    files = keys.groupBy("_f").agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    part = F.floor((F.col("_o") - F.col("_lo")) * F.ceil(F.col("_n") / RANGE_ROWS) / (F.col("_hi") - F.col("_lo") + 1)).cast("long")
-    ranges = keys.join(files, "_f").groupBy("_f", part.alias("_r")).agg(F.count(F.lit(1)).alias("_c"))
-    ahead = Window.partitionBy("_f").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    starts = files.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offsets = ranges.select("_f", "_r", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_off")).join(starts, "_f")
-    rows = df.withColumns({"_f": F.col(file_col), "_o": F.col(order_col)})
-    rows = rows.join(files, "_f").withColumn("_r", part).drop("_lo", "_hi", "_n")
-    rank = F.row_number().over(Window.partitionBy("_f", "_r").orderBy("_o"))
-    out = rows.withColumn("_k", rank).join(offsets.select("_f", "_r", "_off", "_start"), ["_f", "_r"])
+    The (file, row) keys are numbered on their own (``with_row_no``'s ranges, so
+    neither a hot file nor far-off row numbers make a large group) and joined with
+    the lines, which are shuffled once. Lines that share a key follow each other in any order."""
+    key = ["_f1", "_f", "_o1", "_o"]  # plain equality on values that are not null; null files and rows come first
+    rows = df.withColumns({"_f1": F.isnotnull(file_col), "_f": F.coalesce(F.col(file_col), F.lit("")),
+                           "_o1": F.isnotnull(order_col), "_o": F.coalesce(F.col(order_col), F.lit(0))})
+    cut, offsets = _ranges(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")), key, num_partitions)
+    numbered = cut.join(F.broadcast(offsets), "_range").select(*key, (F.col("_off") + F.col("_ahead")).alias("_b"))
+    if in_file:
+        numbered = numbered.join(numbered.groupBy("_f1", "_f").agg(F.min("_b").alias("_start")), ["_f1", "_f"])
+    # the join has dealt and sorted the lines by their key already
+    out = rows.join(numbered, key).withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("_b")))
     new = {}
     if line:
-        new[line] = F.col("_start") + F.col("_off") + F.col("_k")
+        new[line] = F.col("_b") + F.col("_i")
     if in_file:
-        new[in_file] = F.col("_off") + F.col("_k") - 1 + header_offset
+        new[in_file] = F.col("_b") + F.col("_i") - 1 - F.col("_start") + header_offset
     return out.withColumns(new).select(*df.columns, *new)
 
 

@@ -307,7 +307,7 @@ def period_stats(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     tx = lines.filter(F.col("montant_combine") != 0)
     per_emp = _per_matricule(tx, emp, ["date_paie"], _m(), "_net")
     means = per_emp.groupBy("date_paie").agg((F.avg("_net") / 100.0).alias("net_moyen"))
-    med = exact_quantiles(per_emp, ["date_paie"], "_net", [0.5], tie="matricule")
+    med = exact_quantiles(per_emp, ["date_paie"], "_net", [0.5])
     emp_stats = means.join(med.select("date_paie", F.col("n").alias("nb_employes"),
                                       (F.col("q_0") / 100.0).alias("net_median")), "date_paie")
     tot = tx.groupBy("date_paie").agg(F.sum(_m()).cast("long").alias("_n"),
@@ -513,7 +513,7 @@ def equity(lines: DataFrame, by: str = "titre_emploi", emp: DataFrame | None = N
             (F.sum("_c") / 100.0).alias("_net"))
     else:
         per = lines.groupBy(by, "matricule").agg((F.sum(_m()) / 100.0).alias("_net"))
-    q = exact_quantiles(per, [by], "_net", [0.25, 0.5, 0.75], tie="matricule")
+    q = exact_quantiles(per, [by], "_net", [0.25, 0.5, 0.75])
     return q.select(by, F.round("q_1", 6).alias("median"), F.round(F.col("q_2") - F.col("q_0"), 6).alias("iqr"), "n")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paysift import session
 from paysift.operators import analytics, reports, search, vectors, warehouse
 from paysift.operators.lines import number_lines
+from paysift.operators.topk import exact_quantiles
 from paysift.streaming import ingest
 
 
@@ -72,8 +73,7 @@ def test_stream_dedup_keeps_late_lines_and_drops_old_duplicates(spark, tmp_path)
     assert got == [dt.date(2009, 1, 15), old, new]
 
 
-def test_numbered_lines_split_a_hot_file(spark, monkeypatch):
-    monkeypatch.setattr("paysift.operators.lines.RANGE_ROWS", 500)
+def test_numbered_lines_split_a_hot_file(spark):
     rows = [("hot.csv", 3 * i) for i in range(9000)] + [(f"f{i % 50}.csv", i) for i in range(1000)]
     df = spark.createDataFrame(rows, "source_file string, source_row_no long").repartition(5)
     got = number_lines(df, in_file="n").orderBy("line_no").collect()
@@ -82,6 +82,37 @@ def test_numbered_lines_split_a_hot_file(spark, monkeypatch):
     assert [r["n"] for r in got if r["source_file"] == "hot.csv"] == list(range(2, 9002))
 
 
+def test_numbered_lines_with_far_off_and_huge_row_numbers(spark):
+    """One row number far from the others, and numbers near the end of LONG, make neither a large range nor an overflow."""
+    far = [("a", i) for i in range(6000)] + [("a", 10 ** 14)]
+    huge = [("b", 9 * 10 ** 18 + i) for i in range(3000)] + [("b", -9 * 10 ** 18), (None, 1), ("c", None), ("c", 5), ("c", 5)]
+    df = spark.createDataFrame(far + huge, "source_file string, source_row_no long").repartition(7)
+    got = number_lines(df, in_file="n").orderBy("line_no").collect()
+    want = sorted(far + huge, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0))
+    assert [(r["source_file"], r["source_row_no"]) for r in got] == want
+    assert [r["line_no"] for r in got] == list(range(1, len(want) + 1))
+    assert [r["n"] for r in got if r["source_file"] == "b"] == list(range(2, 3003))
+    assert [r["n"] for r in got if r["source_file"] == "c"] == [2, 3, 4]
+    from paysift.operators.lines import _ranges
+    sizes = [r["count"] for r in _ranges(df.filter("source_file = 'a'").withColumn("_c", F.lit(1)), ["source_row_no"], 8)[0].groupBy("_range").count().collect()]
+    assert max(sizes) < 2 * 6001 / 8
+
+
+def test_exact_quantiles_in_two_lazy_passes(spark):
+    """Hot group, outliers, ties, one value, nulls; a coarse sketch is refined to the exact value."""
+    rows = ([("hot", float(i * i % 99991)) for i in range(20000)] + [("hot", 1e15), ("one", 7.0), ("two", 1.0), ("two", None), ("none", None), (None, 3.0), (None, 4.0)]
+            + [("tie", 5.0)] * 500 + [("tie", 6.0)] * 500)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(9)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    ref = {r["g"]: (*r["p"], r["n"]) for r in df.groupBy("g").agg(F.percentile("v", qs).alias("p"), F.count("v").alias("n")).collect() if r["n"]}
+    for accuracy in (50, 10_000):
+        lazy = exact_quantiles(df, ["g"], "v", qs, accuracy)
+        got = {r["g"]: (*(r[f"q_{i}"] for i in range(len(qs))), r["n"]) for r in lazy.collect()}
+        assert got.keys() == ref.keys()
+        for g in ref:
+            assert got[g] == pytest.approx(ref[g], rel=1e-9), g
+
+
 def test_cluster_needs_a_shared_folder():
     class Conf(dict):
         def set(self, k, v):
