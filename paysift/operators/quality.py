@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kpi import dollars
+from .kpi import DEDUCTION_CATEGORIES, dollars
+
+GAINS = "Gains"
 
 # Validation error codes.
 ERR_DATE, ERR_MAT, ERR_CODE, ERR_AMOUNT, ERR_EMPLOYER = (
@@ -67,16 +69,21 @@ def alert_log(staged: DataFrame, run_id_col: str = "batch_id", row_col: str = "s
     return staged.select(run_id_col, row_col, F.explode("validation_errors").alias("alert_type"))
 
 
-def quality_suite(fact: DataFrame) -> DataFrame:
-    """Informative quality tests on the fact table, unpivoted to (test, n, status)."""
-    per_date = fact.groupBy("pay_date").agg(
-        F.sum("amount_cents").alias("_net"),
-        F.sum(F.when(F.col("categorie_paie") == "Gains", F.col("amount_cents")).otherwise(0)).alias("_g"),
-        F.sum(F.when(F.col("categorie_paie") != "Gains", F.col("amount_cents")).otherwise(0)).alias("_d"))
-    net_gaps = per_date.agg(F.count_if(F.abs(F.col("_g") + F.col("_d") - F.col("_net")) > 1).alias("n"))
+def quality_suite(fact: DataFrame, kpi_month: DataFrame) -> DataFrame:
+    """Informative quality tests, unpivoted to (test, n, status).
+
+    ``net_identity`` counts the months whose stored KPI net (F11) is not the sum of
+    gains and deductions of the fact's lines: a KPI that is out of date, a line of
+    no known category, or a month on one side only. The other tests count lines."""
+    known = F.col("categorie_paie").isin(GAINS, *DEDUCTION_CATEGORIES)
+    per_month = fact.filter(F.col("pay_date").isNotNull() & known).groupBy(F.date_format("pay_date", "yyyy-MM").alias("mois_paie")).agg(
+        F.sum("amount_cents").alias("_c"))
+    stored = kpi_month.select("mois_paie", F.round(F.col("net_a_payer") * 100).cast("long").alias("_k"))
+    gap = F.col("_c").isNull() | F.col("_k").isNull() | (F.abs(F.col("_c") - F.col("_k")) > 1)
+    net_gaps = per_month.join(stored, "mois_paie", "full_outer").agg(F.count_if(gap).alias("n"))
     lines = fact.agg(
-        F.count_if((F.col("categorie_paie") == "Gains") & (F.col("amount_cents") < 0)).alias("neg_gains"),
-        F.count_if((F.col("categorie_paie") != "Gains") & (F.col("amount_cents") > 0)).alias("pos_ded"),
+        F.count_if((F.col("categorie_paie") == GAINS) & (F.col("amount_cents") < 0)).alias("neg_gains"),
+        F.count_if(F.col("categorie_paie").isin(*DEDUCTION_CATEGORIES) & (F.col("amount_cents") > 0)).alias("pos_ded"),
         F.count_if(F.col("employer_cents") < 0).alias("neg_employer"))
     both = net_gaps.crossJoin(lines)
     out = both.select(F.expr(

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paysift.functions.names import norm_text
+
 from .kpi import dollars, on_date
 from .topk import exact_quantiles
 
@@ -32,6 +34,9 @@ STABLE_NET_DOLLARS = 100.0
 NEG_NET_DOLLARS = -0.01
 PIVOT_CATEGORIES = ("Gains", "Deductions", "Deductions_legales", "Assurances", "Syndicats")
 MAX_CATEGORIES = 1000
+# Categories shown as negative amounts, by accent-free lower-case name.
+DEDUCTION_NAME = "deductions"
+NEGATED_CATEGORIES = (DEDUCTION_NAME, "assurances")
 SALT_BUCKETS = 64
 BUDGET_ALLOCATION_FACTOR = 1.10
 
@@ -398,31 +403,50 @@ def report_summary(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
         "AS (indicateur, valeur)"))
 
 
+def _in_net(category: Column) -> Column:
+    return (category == "Gains") | (norm_text(category) == DEDUCTION_NAME)
+
+
+def report_employee_rows(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
+    """F48 as rows: (date, employee, category, amount, net of the employee on that date), for any number of categories.
+
+    Deductions and insurance are negative; the net is gains plus deductions, in every spelling of
+    their name (``Déductions``, ``DEDUCTIONS``). A null category is 'N/A'. With ``emp``
+    (employee-free lines), sums are taken per (date, employee id, category) before
+    the employee number and name are joined."""
+    category = F.coalesce("categorie_paie", F.lit("N/A"))
+    if emp is not None:
+        per = lines.groupBy("date_paie", "employee_id", category.alias("categorie")).agg(F.sum(_m()).cast("long").alias("_s"))
+        base, val = attach_employee(per, emp), F.col("_s")
+    else:
+        base, val = lines.withColumn("categorie", category), _m()
+    keys = ["date_paie", "matricule", "nom_employe"]
+    per = base.groupBy(*keys, "categorie").agg(F.sum(val).cast("long").alias("_c"))
+    signed = per.withColumn("_c", F.when(norm_text(F.col("categorie")).isin(*NEGATED_CATEGORIES), -F.abs("_c")).otherwise(F.col("_c")))
+    net = F.sum(F.when(_in_net(F.col("categorie")), F.col("_c")).otherwise(0)).over(Window.partitionBy(*keys))
+    return signed.select(*keys, "categorie", dollars("_c").alias("montant"), dollars(net).alias("Net"))
+
+
 def report_employee_pivot(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     """employee x pay category pivot over every category of the data, deductions negative, net.
 
-    The categories are the column names, so they are read first (their number is
-    bounded by ``MAX_CATEGORIES``, else an error); the usual ones are always
-    present and a null category is 'N/A'. With ``emp`` (employee-free lines), sums
-    are taken per (date, employee id, category) before the employee number and
-    name are joined."""
+    The rows of ``report_employee_rows`` with a column for each category (one for
+    names that differ in case only, as columns do); the usual ones are always
+    present. Column names have to be known first: the distinct categories are read,
+    and if there are more than ``MAX_CATEGORIES`` the unusual ones come as one map
+    column ``autres`` (category to amount), none is left out."""
     category = F.coalesce("categorie_paie", F.lit("N/A"))
     found = [r[0] for r in lines.select(category.alias("c")).distinct().limit(MAX_CATEGORIES + 1).collect()]
+    columns = {c.lower(): c for c in PIVOT_CATEGORIES}
+    unusual = ~F.lower("categorie").isin(*columns)
+    if len(found) <= MAX_CATEGORIES:
+        for c in sorted(found):
+            columns.setdefault(c.lower(), c)
+    cents = F.round(F.col("montant") * 100).cast("long")
+    cells = [dollars(F.coalesce(F.sum(F.when(F.lower("categorie") == k, cents)), F.lit(0))).alias(c) for k, c in columns.items()]
     if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} pay categories")
-    cats = [*PIVOT_CATEGORIES, *sorted(set(found) - set(PIVOT_CATEGORIES))]
-    if emp is not None:
-        per = lines.groupBy("date_paie", "employee_id", category.alias("categorie_paie")).agg(F.sum(_m()).cast("long").alias("_s"))
-        base, val = attach_employee(per, emp), F.col("_s")
-    else:
-        base, val = lines.withColumn("categorie_paie", category), _m()
-    p = base.groupBy("date_paie", "matricule", "nom_employe").pivot("categorie_paie", cats).agg(F.sum(val).cast("long"))
-    def zero(c):
-        return F.coalesce(F.col(f"`{c}`"), F.lit(0))
-
-    out = p.select("date_paie", "matricule", "nom_employe",
-                   *[(dollars(zero(c)) if c not in ("Deductions", "Assurances") else -F.abs(dollars(zero(c)))).alias(c) for c in cats])
-    return out.withColumn("Net", F.col("Gains") + F.col("Deductions"))
+        cells.append(F.map_from_entries(F.array_sort(F.collect_list(F.when(unusual, F.struct("categorie", "montant"))))).alias("autres"))
+    return report_employee_rows(lines, emp).groupBy("date_paie", "matricule", "nom_employe").agg(*cells, F.max("Net").alias("Net"))
 
 
 def report_by_code(lines: DataFrame) -> DataFrame:

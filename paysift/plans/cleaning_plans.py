@@ -211,7 +211,10 @@ def b15(spark, sf):
 
 @query("b16_drop_empty", "SELECT * FROM employees")
 def b16(spark, sf):
-    return CL.drop_empty(fx.employees(spark, sf))
+    """The employees with a column that is always null and, between them, rows that are null throughout."""
+    emp = fx.employees(spark, sf).withColumn("vide", F.lit(None).cast("string"))
+    blank = emp.filter("employee_id % 50 = 0").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in emp.schema])
+    return CL.drop_empty(emp.unionByName(blank))
 
 
 @query("b17_strict_decimal", """

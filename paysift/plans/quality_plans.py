@@ -98,16 +98,19 @@ def d04(spark, sf):
 
 @query("d05_quality_suite", """
 SELECT test, n, CASE WHEN n = 0 THEN 'OK' ELSE 'WARNING' END AS status FROM (
-  SELECT 'net_identity' AS test, (SELECT count(*) FROM (SELECT sum(amount_cents) AS _net,
-      sum(CASE WHEN categorie_paie = 'Gains' THEN amount_cents ELSE 0 END) AS _g,
-      sum(CASE WHEN categorie_paie <> 'Gains' THEN amount_cents ELSE 0 END) AS _d FROM ledger GROUP BY pay_date) x
-      WHERE abs(_g + _d - _net) > 1) AS n
-  UNION ALL SELECT 'negative_gains', count(*) FILTER (WHERE categorie_paie = 'Gains' AND amount_cents < 0) FROM ledger
-  UNION ALL SELECT 'positive_deductions', count(*) FILTER (WHERE categorie_paie <> 'Gains' AND amount_cents > 0) FROM ledger
-  UNION ALL SELECT 'negative_employer_share', count(*) FILTER (WHERE employer_cents < 0) FROM ledger) t
+  SELECT 'net_identity' AS test, (SELECT count(*) FROM (
+      SELECT strftime(pay_date, '%Y-%m') AS m, sum(amount_cents) AS c FROM stg_lines WHERE pay_date IS NOT NULL
+        AND categorie_paie IN ('Gains', 'Deductions', 'Deductions_legales', 'Assurances', 'Syndicats') GROUP BY 1) f
+    FULL OUTER JOIN (SELECT strftime(pay_date, '%Y-%m') AS m, sum(amount_cents) AS net FROM ledger GROUP BY 1) k USING (m)
+    WHERE f.c IS NULL OR k.net IS NULL OR abs(f.c - k.net) > 1) AS n
+  UNION ALL SELECT 'negative_gains', count(*) FILTER (WHERE categorie_paie = 'Gains' AND amount_cents < 0) FROM stg_lines
+  UNION ALL SELECT 'positive_deductions', count(*) FILTER (WHERE categorie_paie IN ('Deductions', 'Deductions_legales', 'Assurances', 'Syndicats')
+    AND amount_cents > 0) FROM stg_lines
+  UNION ALL SELECT 'negative_employer_share', count(*) FILTER (WHERE employer_cents < 0) FROM stg_lines) t
 """)
 def d05(spark, sf):
-    return Q.quality_suite(fx.ledger(spark, sf))
+    """Disturbed lines against the monthly KPI of the clean ledger: every test finds something."""
+    return Q.quality_suite(fx.stg_lines(spark, sf), kpi.kpi_star_month(fx.ledger(spark, sf)))
 
 
 @query("d06_kpi_identity_tests", f"""
@@ -131,13 +134,12 @@ def d06(spark, sf):
 SELECT coalesce(a.pay_date, b.pay_date) AS pay_date, a.c AS detail, b.c AS summary,
   coalesce(a.c, 0) - coalesce(b.c, 0) AS gap, (abs(coalesce(a.c, 0) - coalesce(b.c, 0)) <= 0 AND a.c IS NOT NULL AND b.c IS NOT NULL) AS ok
 FROM (SELECT pay_date, CAST(sum(amount_cents) AS BIGINT) AS c FROM ledger GROUP BY pay_date) a
-FULL OUTER JOIN (SELECT pay_date, CAST(sum(amount_cents) AS BIGINT) AS c FROM stg_lines WHERE batch_id = 1 GROUP BY pay_date) b
+FULL OUTER JOIN (SELECT pay_date, CAST(sum(amount_cents) AS BIGINT) AS c FROM stg_lines GROUP BY pay_date) b
   ON a.pay_date IS NOT DISTINCT FROM b.pay_date
 """)
 def d07(spark, sf):
     a = fx.ledger(spark, sf).groupBy("pay_date").agg(F.sum("amount_cents").cast("long").alias("c"))
-    b = fx.stg_lines(spark, sf).filter("batch_id = 1").groupBy("pay_date").agg(
-        F.sum("amount_cents").cast("long").alias("c"))
+    b = fx.stg_lines(spark, sf).groupBy("pay_date").agg(F.sum("amount_cents").cast("long").alias("c"))
     return Q.reconcile(a, b, "pay_date", "c", "c")
 
 
@@ -145,12 +147,12 @@ def d07(spark, sf):
 SELECT coalesce(o.pay_date, n.pay_date) AS pay_date, old_cents, new_cents,
   coalesce(new_cents, 0) - coalesce(old_cents, 0) AS gap_cents,
   CASE WHEN old_cents <> 0 THEN round(CAST(coalesce(new_cents, 0) - coalesce(old_cents, 0) AS DOUBLE) * 100.0 / old_cents, 6) END AS gap_pct
-FROM (SELECT pay_date, CAST(sum(amount_cents) AS BIGINT) AS old_cents FROM stg_lines WHERE batch_id = 1 GROUP BY pay_date) o
+FROM (SELECT pay_date, CAST(sum(amount_cents) AS BIGINT) AS old_cents FROM stg_lines GROUP BY pay_date) o
 FULL OUTER JOIN (SELECT pay_date, CAST(sum(amount_cents) AS BIGINT) AS new_cents FROM ledger GROUP BY pay_date) n
   ON o.pay_date = n.pay_date
 """)
 def d08(spark, sf):
-    return Q.compare_amounts(fx.stg_lines(spark, sf).filter("batch_id = 1"), fx.ledger(spark, sf))
+    return Q.compare_amounts(fx.stg_lines(spark, sf), fx.ledger(spark, sf))
 
 
 @query("d08_compare_counts", """

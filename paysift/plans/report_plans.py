@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from paysift.operators import reports as R
 from paysift.sources import fixtures as fx
 
@@ -304,9 +306,9 @@ def _cat_sum(c):
 
 
 @query("f48_report_employee_pivot", f"""
-SELECT date_paie, matricule, nom_employe, CAST(g AS DOUBLE)/100.0 AS "Gains", -abs(CAST(d AS DOUBLE)/100.0) AS "Deductions",
-  CAST(dl AS DOUBLE)/100.0 AS "Deductions_legales", -abs(CAST(a AS DOUBLE)/100.0) AS "Assurances",
-  CAST(s AS DOUBLE)/100.0 AS "Syndicats", CAST(g AS DOUBLE)/100.0 + -abs(CAST(d AS DOUBLE)/100.0) AS "Net"
+SELECT date_paie, matricule, nom_employe, CAST(g AS DOUBLE)/100.0 AS "Gains", CAST(-abs(d) AS DOUBLE)/100.0 AS "Deductions",
+  CAST(dl AS DOUBLE)/100.0 AS "Deductions_legales", CAST(-abs(a) AS DOUBLE)/100.0 AS "Assurances",
+  CAST(s AS DOUBLE)/100.0 AS "Syndicats", CAST(g - abs(d) AS DOUBLE)/100.0 AS "Net"
 FROM (SELECT date_paie, matricule, nom_employe, {_cat_sum('Gains')} AS g, {_cat_sum('Deductions')} AS d,
         {_cat_sum('Deductions_legales')} AS dl, {_cat_sum('Assurances')} AS a, {_cat_sum('Syndicats')} AS s
       FROM canon GROUP BY 1, 2, 3) x
@@ -315,6 +317,46 @@ def f48(spark, sf):
     return R.report_employee_pivot(canon_lines(spark, sf), fx.employees(spark, sf))
 
 
+SPELLED_CTE = """spelled AS (
+  SELECT date_paie, matricule, nom_employe, montant_employe, CASE WHEN categorie_paie = 'Deductions' AND source_row_no % 3 = 0 THEN 'Déductions'
+    WHEN categorie_paie = 'Deductions' AND source_row_no % 3 = 1 THEN 'DÉDUCTIONS' WHEN source_row_no % 41 = 0 THEN 'N/A' ELSE categorie_paie END AS categorie
+  FROM canon),
+signed AS (
+  SELECT date_paie, matricule, nom_employe, categorie,
+    CASE WHEN categorie IN ('Deductions', 'Déductions', 'DÉDUCTIONS', 'Assurances') THEN -abs(c) ELSE c END AS c
+  FROM (SELECT date_paie, matricule, nom_employe, categorie, CAST(sum(montant_employe) AS BIGINT) AS c FROM spelled GROUP BY ALL) x)"""
+
+
+def _spelled(spark, sf):
+    """Canonical lines whose deductions are spelled in three ways, some without category."""
+    c, r = F.col("categorie_paie"), F.col("source_row_no")
+    return canon_lines(spark, sf).withColumn("categorie_paie", F.when((c == "Deductions") & (r % 3 == 0), "Déductions")
+                                             .when((c == "Deductions") & (r % 3 == 1), "DÉDUCTIONS").when(r % 41 == 0, F.lit(None)).otherwise(c))
+
+
+@query("f48_report_employee_rows", """
+SELECT date_paie, matricule, nom_employe, categorie, CAST(c AS DOUBLE)/100.0 AS montant,
+  CAST(sum(CASE WHEN categorie IN ('Gains', 'Deductions', 'Déductions', 'DÉDUCTIONS') THEN c ELSE 0 END)
+    OVER (PARTITION BY date_paie, matricule, nom_employe) AS DOUBLE)/100.0 AS "Net"
+FROM signed
+""", ctes=CANON_CTE + ",\n" + SPELLED_CTE)
+def f48r(spark, sf):
+    return R.report_employee_rows(_spelled(spark, sf), fx.employees(spark, sf))
+
+
+def _spelled_col(c):
+    return f"coalesce(CAST(sum(CASE WHEN lower(categorie) = '{c.lower()}' THEN c END) AS DOUBLE)/100.0, 0.0) AS \"{c}\""
+
+
+@query("f48_report_accented_pivot", f"""
+SELECT date_paie, matricule, nom_employe, {", ".join(map(_spelled_col, ["Gains", "Deductions", "Deductions_legales", "Assurances", "Syndicats", "N/A", "DÉDUCTIONS"]))},
+  CAST(sum(CASE WHEN categorie IN ('Gains', 'Deductions', 'Déductions', 'DÉDUCTIONS') THEN c ELSE 0 END) AS DOUBLE)/100.0 AS "Net"
+FROM signed GROUP BY date_paie, matricule, nom_employe
+""", ctes=CANON_CTE + ",\n" + SPELLED_CTE)
+def f48a(spark, sf):
+    return R.report_employee_pivot(_spelled(spark, sf), fx.employees(spark, sf))
+
+
 @query("f49_report_by_code", """
 SELECT date_paie, code_paie, description_code_paie, CAST(sum(montant_employe) AS DOUBLE)/100.0 AS montant FROM canon GROUP BY 1, 2, 3
 """, ctes=CANON_CTE)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paysift import session
-from paysift.operators import analytics, reports, search, vectors, warehouse
+from paysift.operators import analytics, cleaning, reports, search, vectors, warehouse
 from paysift.operators.lines import number_lines
 from paysift.operators.topk import exact_quantiles
 from paysift.streaming import ingest
@@ -42,7 +42,7 @@ def test_pivot_keeps_every_category(spark):
     rows = [(dt.date(2025, 1, 15), "1", "A", c, 100 * (i + 1)) for i, c in enumerate(["Gains", "Déductions", "Avantages", None, "a.b"])]
     df = spark.createDataFrame(rows, "date_paie date, matricule string, nom_employe string, categorie_paie string, montant_employe long")
     r = reports.report_employee_pivot(df).first().asDict()
-    assert (r["Gains"], r["Déductions"], r["Avantages"], r["N/A"], r["a.b"], r["Syndicats"]) == (1.0, 2.0, 3.0, 4.0, 5.0, 0.0)
+    assert (r["Gains"], r["Déductions"], r["Avantages"], r["N/A"], r["a.b"], r["Syndicats"]) == (1.0, -2.0, 3.0, 4.0, 5.0, 0.0)
 
 
 def test_several_query_vectors(spark):
@@ -175,3 +175,49 @@ def test_equal_file_of_a_period_is_imported_once(spark):
     cur = spark.createDataFrame([("p1/a", "c", 1, "p1"), ("p1/b", "c", 1, "p1"), ("p2/a", "c", 1, "p2"), ("p3/a", "d", 1, "p3")], "file_path string, checksum string, n_bytes int, period string")
     seen = spark.createDataFrame([("p3", "d"), ("p9", "c")], "period string, checksum string")
     assert sorted(r["file_path"] for r in new_files(cur, seen).collect()) == ["p1/a", "p2/a"]
+
+
+def _pay(rows):
+    return [(dt.date(2025, 1, 15), m, f"n{m}", c, cents) for m, c, cents in rows]
+
+
+PAY = "date_paie date, matricule string, nom_employe string, categorie_paie string, montant_employe long"
+
+
+def test_pivot_negates_deductions_in_every_spelling(spark):
+    df = spark.createDataFrame(_pay([("1", "Gains", 10000), ("1", "Déductions", 3000), ("2", "Gains", 10000), ("2", "DEDUCTIONS", -2000), ("2", "deductions", 500),
+                                     ("2", "ASSURANCES", 100), ("3", None, 700)]), PAY)
+    got = {r["matricule"]: r for r in reports.report_employee_pivot(df).collect()}
+    assert (got["1"]["Déductions"], got["1"]["Net"]) == (-30.0, 70.0)
+    assert (got["2"]["Deductions"], got["2"]["Assurances"], got["2"]["Net"]) == (-25.0, -1.0, 75.0)  # one column for all cases
+    assert (got["3"]["N/A"], got["3"]["Gains"], got["3"]["Net"]) == (7.0, 0.0, 0.0)
+
+
+def test_pivot_keeps_categories_beyond_the_columns(spark, monkeypatch):
+    monkeypatch.setattr(reports, "MAX_CATEGORIES", 4)
+    df = spark.createDataFrame(_pay([("1", f"c{i}", i) for i in range(9)] + [("1", "Gains", 100), ("2", "Déductions", 100)]), PAY)
+    got = {r["matricule"]: r for r in reports.report_employee_pivot(df).collect()}
+    assert got["1"]["autres"] == {f"c{i}": i / 100 for i in range(9)} and got["1"]["Net"] == 1.0
+    assert got["2"]["autres"] == {"Déductions": -1.0} and got["2"]["Net"] == -1.0
+    assert reports.report_employee_rows(df).count() == 11
+
+
+def test_quality_suite_finds_what_it_tests(spark):
+    from paysift.operators import kpi, quality
+    cols = "pay_date date, employee_id long, pay_code string, categorie_paie string, amount_cents long, employer_cents long"
+    day = dt.date(2025, 1, 15)
+    good = spark.createDataFrame([(day, 1, "a", "Gains", 1000, 0), (day, 1, "b", "Deductions", -300, 5)], cols)
+    bad = good.unionByName(spark.createDataFrame([(day, 1, "x", "Autre", 50, -1), (day, 1, "a", "Gains", -10, 0), (day, 1, "b", "Syndicats", 10, 0)], cols))
+    stored = kpi.kpi_star_month(good)
+    assert {r.test: r.n for r in quality.quality_suite(good, stored).collect()} == dict.fromkeys(
+        ("net_identity", "negative_gains", "positive_deductions", "negative_employer_share"), 0)
+    assert {r.test: r.n for r in quality.quality_suite(bad, stored).collect()} == {
+        "net_identity": 0, "negative_gains": 1, "positive_deductions": 1, "negative_employer_share": 1}  # -10 and +10 cancel out
+    assert quality.quality_suite(bad, kpi.kpi_star_month(bad)).filter("test = 'net_identity'").first().n == 1  # a line of no known category
+    assert quality.quality_suite(good.limit(0), stored).filter("test = 'net_identity'").first().n == 1
+
+
+def test_drop_empty_drops_rows_and_columns(spark):
+    df = spark.createDataFrame([(1, None, None), (None, None, None), (None, "x", None)], "a int, b string, c double")
+    got = cleaning.drop_empty(df)
+    assert got.columns == ["a", "b"] and got.count() == 2
