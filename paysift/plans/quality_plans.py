@@ -485,8 +485,10 @@ def e11(spark, sf):
 
 @query("e12_incremental_ledger", """
 SELECT i.batch_id, i.source_file, i.source_row_no, i.pay_date, i.employee_id, i.amount_cents
-FROM (SELECT s.* FROM stg_lines s SEMI JOIN employees e ON e.employee_id = s.employee_id) i
-ANTI JOIN ledger2 t ON t.pay_date = i.pay_date AND t.source_file = i.source_file AND t.source_row_no = i.source_row_no
+FROM stg_lines i JOIN (SELECT employee_id AS known_id FROM employees) e ON e.known_id = i.employee_id
+LEFT JOIN (SELECT DISTINCT pay_date, source_file, source_row_no, true AS done FROM ledger2) d
+  ON d.pay_date = i.pay_date AND d.source_file = i.source_file AND d.source_row_no = i.source_row_no
+WHERE d.done IS NULL
 """, ctes=STAGED_CTE + ",\n" + LEDGER2_CTE)
 def e12(spark, sf):
     st = stored(staged(spark, sf), "staging")
