@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paysift.operators import profile as P
+from paysift.operators import sketches as SKETCH
 from paysift.operators.registry import REGISTRY, VALUE_FIRST
 from paysift.sources import fixtures as fx
 from paysift.sources.mapping import canonicalise_columns, preflight
 from paysift.sources.payfile import FILE_HEADERS, OPTIONAL_FIELDS, REQUIRED_FIELDS, raw_pay_file
+from paysift.sources.sinks import work_dir
 
 from .catalog import query
 from .sqltext import amount_cents, parse_date, norm_text
@@ -135,6 +137,18 @@ def c06(spark, sf):
                                      "most_common_count", "most_common_ratio")
 
 
+@query("c06_sketch_profile", """
+SELECT "column", n, true AS unique_within_4pct, true AS top_count_within_half_pct, true AS entropy_within_quarter_bit FROM prof
+""", ctes=PROFILE_CTE)
+def c06_sketches(spark, sf):
+    """Sketches of every file stored, merged, and measured against the exact profile."""
+    df, path = payfile(spark, sf), work_dir(spark, "sketches")
+    SKETCH.add_files(df, PROFILED, path)
+    e = SKETCH.sketch_error(SKETCH.stored_profile(spark, path), profile(spark, sf))
+    return e.select("column", "n", (F.col("unique_error") <= 0.04).alias("unique_within_4pct"),
+                    (F.col("top_error") <= 0.005).alias("top_count_within_half_pct"), (F.col("entropy_error") <= 0.25).alias("entropy_within_quarter_bit"))
+
+
 @query("c07_parse_ratio", 'SELECT "column", date_ratio, number_ratio FROM prof', ctes=PROFILE_CTE)
 def c07(spark, sf):
     return profile(spark, sf).select("column", "date_ratio", "number_ratio")
