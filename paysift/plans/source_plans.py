@@ -278,6 +278,24 @@ def l03(spark, sf):
     return V.cosine_topk(emb, query_vec, k=8)
 
 
+_UNIT = "sqrt(list_reduce(list_transform({v}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda a, b: a + b, 0.0))"
+
+
+@query("l03_cosine_topk_many", f"""
+SELECT query_id, vec_id, label, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (
+    SELECT query_id, vec_id, label, round(
+      list_reduce(list_transform(list_zip(embedding, q), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)), lambda a, b: a + b, 0.0) / (nv * nq), 6) AS score
+    FROM (SELECT vec_id, label, embedding, coalesce(nullif({_UNIT.format(v='embedding')}, 0), 1.0) AS nv FROM embeddings) e,
+         (SELECT vec_id AS query_id, embedding AS q, coalesce(nullif({_UNIT.format(v='embedding')}, 0), 1.0) AS nq FROM embeddings WHERE vec_id % 20 = 0) s) x) y
+WHERE r <= 8
+""")
+def l03_many(spark, sf):
+    """Every vector whose id is divisible by 20 against all vectors."""
+    emb = read_table(spark, sf, "embeddings")
+    return V.cosine_topk(emb, emb.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k=8)
+
+
 SYN_CTE = """syn AS (SELECT * FROM (VALUES ('Gains', ['gains', 'revenu', 'salaire', 'brut', 'base']),
     ('Deductions', ['deductions', 'retenues', 'retenue', 'debit'])) AS v(categorie, synonyms))"""
 
