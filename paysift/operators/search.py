@@ -8,7 +8,7 @@ deterministic; the top-n is a TakeOrdered, never a full sort to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysift.functions.names import norm_text
@@ -37,6 +37,74 @@ def ledger_page(tx: DataFrame, emp: DataFrame, pay_date=None, matricule: str = "
                        F.col("pay_code").alias("categorie"), dollars("amount_cents").alias("montant"), "source_row_no")
 
 
+#: Order of seek pages: unique, as a (file, row) is one line.
+SEEK_ORDER = ("pay_date", "matricule_norm", "source_row_no", "source_file")
+
+
+def ledger_page_after(tx: DataFrame, emp: DataFrame, after=None, limit: int = 50, per_date: DataFrame | None = None,
+                      matricule: str = "", categorie: str = "") -> DataFrame:
+    """I1 by cursor: the ``limit`` lines that follow the line ``after``, newest date first.
+
+    ``after`` is the last row of the page before (its ``SEEK_ORDER`` values); None is the first
+    page. The cursor's date is a plain filter that prunes and is pushed down, so no page reads
+    what earlier pages have shown, unlike an offset, which sorts it again. With
+    ``per_date`` (pay_date, n: lines per date, e.g. from a stored KPI) and no other filter the page is
+    bounded from below too: only the dates that fill it are read. Null dates come last, null numbers first."""
+    j = tx
+    if after is not None:
+        day = F.lit(after[0]).cast("date")
+        j = j.filter(F.col("pay_date").isNull() if after[0] is None else (F.col("pay_date") <= day) | F.col("pay_date").isNull())
+        if "pay_year" in tx.columns and after[0] is not None:
+            j = j.filter((F.col("pay_year") <= F.year(day)) | F.col("pay_year").isNull())
+    if per_date is not None and not (matricule or categorie):
+        lowest = _page_end(per_date, after, limit)
+        if lowest is not None:
+            j = j.filter(F.col("pay_date") >= F.lit(lowest))
+            if "pay_year" in tx.columns:
+                j = j.filter(F.col("pay_year") >= lowest.year)
+    j = _ledger_filter(j, emp, None, matricule, categorie)
+    if after is not None:
+        j = j.filter(_follows(after))
+    page = j.orderBy(F.desc_nulls_last("pay_date"), *[F.asc_nulls_first(c) for c in SEEK_ORDER[1:]]).limit(limit)
+    return page.select("matricule_norm", F.col("nom_complet").alias("nom"), "pay_date", F.col("pay_code").alias("categorie"),
+                       dollars("amount_cents").alias("montant"), "source_row_no", "source_file")
+
+
+def _follows(after) -> Column:
+    """Whether a line comes after the cursor in SEEK_ORDER."""
+    later = F.lit(False)
+    for name, value in reversed(list(zip(SEEK_ORDER, after))):
+        c = F.col(name)
+        if name == "pay_date":
+            beyond = c.isNull() | (c < F.lit(value).cast("date")) if value is not None else F.lit(False)
+        else:
+            beyond = c.isNotNull() if value is None else c > F.lit(value)
+        equal = c.isNull() if value is None else c == (F.lit(value).cast("date") if name == "pay_date" else F.lit(value))
+        later = F.coalesce(beyond, F.lit(False)) | (F.coalesce(equal, F.lit(False)) & later)
+    return later
+
+
+def _page_end(per_date: DataFrame, after, limit: int):
+    """Earliest date a page can reach: the dates behind the cursor's hold ``limit`` lines. None: no bound."""
+    days = per_date.filter("pay_date IS NOT NULL")
+    if after is not None:
+        if after[0] is None:
+            return None
+        days = days.filter(F.col("pay_date") < F.lit(after[0]).cast("date"))
+    held = 0
+    for r in days.orderBy(F.desc("pay_date")).limit(limit).collect():  # every date has a line: limit dates are enough
+        held += r["n"]
+        if held >= limit:
+            return r["pay_date"]
+    return None
+
+
+def cursor_of(page: DataFrame):
+    """Cursor behind a page: the SEEK_ORDER values of its last row, None if it is empty."""
+    last = page.orderBy(F.asc_nulls_first("pay_date"), *[F.desc_nulls_last(c) for c in SEEK_ORDER[1:]]).limit(1).collect()
+    return tuple(last[0][c] for c in SEEK_ORDER) if last else None
+
+
 def ledger_count(tx: DataFrame, emp: DataFrame, **filters) -> DataFrame:
     """Total lines matching the page filters."""
     return _ledger_filter(tx, emp, **filters).agg(F.count(F.lit(1)).alias("total"))

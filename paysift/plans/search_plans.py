@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paysift.operators import name_index as NI
 from paysift.operators import search as S
 from paysift.sources import fixtures as fx
+from paysift.sources.sinks import stored, work_dir
 
 from .analytics_plans import CANON_CTE, canon
 from .catalog import query
@@ -48,6 +50,46 @@ def i03(spark, sf):
     return S.search_employees(fx.employees(spark, sf), fx.ledger(spark, sf), "NOËL")
 
 
+@query("i03_indexed_search", f"""
+SELECT e.employee_id, e.matricule_norm, e.nom_complet, e.statut, l.derniere_paie
+FROM employees e LEFT JOIN (SELECT employee_id, max(pay_date) AS derniere_paie FROM ledger GROUP BY 1) l
+  ON l.employee_id = e.employee_id
+WHERE contains({norm_text('e.nom_complet')}, {norm_text("'NOËL'")}) OR contains(e.matricule_norm, 'NOËL')
+""")
+def i03_indexed(spark, sf):
+    path = work_dir(spark, "names")
+    NI.build_index(fx.employees(spark, sf), path)
+    return NI.search_indexed(spark, path, fx.ledger(spark, sf), "NOËL")
+
+
+@query("i04_indexed_list", f"""
+SELECT * FROM employees WHERE statut = 'actif' AND contains({norm_text('nom_complet')}, {norm_text("'élo'")})
+""")
+def i04_indexed(spark, sf):
+    path = work_dir(spark, "names")
+    NI.build_index(fx.employees(spark, sf), path)
+    return NI.list_indexed(spark, path, "élo", status="actif")
+
+
+@query("i01_seek_pages", """
+SELECT e.matricule_norm, e.nom_complet AS nom, t.pay_date, t.pay_code AS categorie, CAST(t.amount_cents AS DOUBLE)/100.0 AS montant,
+  t.source_row_no, t.source_file
+FROM ledger t JOIN employees e ON t.employee_id = e.employee_id
+ORDER BY t.pay_date DESC, e.matricule_norm, t.source_row_no, t.source_file LIMIT 500
+""")
+def i01_seek(spark, sf):
+    """Five pages of 100 lines, each from the cursor of the one before, over the stored ledger."""
+    lg, emp = stored(fx.ledger(spark, sf), "seek", "pay_year"), fx.employees(spark, sf)
+    per_date = stored(lg.groupBy("pay_date").agg(F.count(F.lit(1)).alias("n")), "per-date")
+    pages, after = [], None
+    for _ in range(5):
+        pages.append(stored(S.ledger_page_after(lg, emp, after, 100, per_date), "page"))
+        after = S.cursor_of(pages[-1])
+        if after is None:
+            break
+    return fx.union_all(pages)
+
+
 @query("i04_list_employees", """
 SELECT * FROM employees WHERE statut = 'actif' AND categorie_emploi = 'BUILDING'
 """)
