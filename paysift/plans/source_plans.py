@@ -8,6 +8,7 @@ from paysift.operators import kpi
 from paysift.operators import reports as R
 from paysift.operators import vectors as V
 from paysift.operators.lines import number_lines
+from paysift.sources import documents as DOC
 from paysift.sources import fixtures as fx
 from paysift.sources import params as PR
 from paysift.sources import sinks as SK
@@ -154,6 +155,41 @@ def a12(spark, sf):
     return SK.snapshot_get(spark, path)
 
 
+@query("a12_snapshot_documents", """
+SELECT c.pay_date, salaire_net_total, masse_salariale, deductions, salaire_net_total / nb_employes AS net_moyen,
+  nb_employes, nb_transactions, least(n_codes, 10) AS n_codes_top
+FROM (SELECT pay_date, CAST(sum(amount_cents) AS DOUBLE)/100.0 AS salaire_net_total,
+        CAST(sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS masse_salariale,
+        CAST(sum(CASE WHEN amount_cents < 0 THEN amount_cents ELSE 0 END) AS DOUBLE)/100.0 AS deductions,
+        count(DISTINCT employee_id) AS nb_employes, count(*) AS nb_transactions, count(DISTINCT pay_code) AS n_codes
+      FROM ledger GROUP BY pay_date) c
+""")
+def a12d(spark, sf):
+    """Snapshots stored as VARIANT documents and read back by path."""
+    out = SK.work_dir(spark, "snapshot-docs")
+    DOC.store_documents(DOC.snapshot_documents(fx.ledger(spark, sf)), out)
+    return DOC.snapshot_figures(DOC.read_documents(spark, out))
+
+
+@query("e15_audit_documents", """
+SELECT d AS pay_date, 'ledger' AS "table", (SELECT count(*) FROM ledger) AS rows_before, (SELECT count(*) FROM ledger WHERE pay_date <> d) AS rows_after,
+  (SELECT CAST(sum(amount_cents) AS BIGINT) FROM ledger) AS cents_before, (SELECT CAST(sum(amount_cents) AS BIGINT) FROM ledger WHERE pay_date <> d) AS cents_after
+FROM (SELECT min(pay_date) AS d FROM ledger) x
+UNION ALL SELECT d, 'batches', (SELECT count(*) FROM batches), (SELECT count(*) FROM batches WHERE pay_date <> d), NULL, NULL
+FROM (SELECT min(pay_date) AS d FROM ledger) x
+""")
+def e15_docs(spark, sf):
+    """Audit of the first pay date's deletion with before and after documents."""
+    lg, batches = fx.ledger(spark, sf), fx.batches(spark, sf)
+    first = lg.agg(F.min("pay_date")).first()[0]
+    of = {"ledger": lg, "batches": batches}
+    out = SK.work_dir(spark, "audit")
+    DOC.audit_documents({n: t.filter(F.col("pay_date") == first) for n, t in of.items()},
+                        {n: t.filter(F.col("pay_date") != first) for n, t in of.items()}, first).write.parquet(out)
+    a = spark.read.parquet(out)
+    return a.select("pay_date", "table", *[DOC.path(w, f"$.{c}", "bigint").alias(f"{c}_{w}") for c in ("rows", "cents") for w in ("before", "after")])
+
+
 SNAPSHOT_SQL = """SELECT c.pay_date, salaire_net_total, masse_salariale, deductions, salaire_net_total / nb_employes AS net_moyen,
   nb_employes, nb_transactions, least(n_codes, 10) AS n_codes_top, CASE WHEN year(c.pay_date) >= 1997 THEN 'snapshot' ELSE 'live' END AS source
 FROM (SELECT pay_date, CAST(sum(amount_cents) AS DOUBLE)/100.0 AS salaire_net_total,
