@@ -216,14 +216,20 @@ def _allow_key(allow) -> str:
     return "".join({"A": "a", "9": "d", "-": "h", "_": "u", ".": "p"}.get(c, "x") for c in allow)
 
 
+_NUMBERS: dict[str, int] = {}
+
+
+def _number(setting: str) -> int:
+    """Number of a pattern or detector, by first use: the registry's order."""
+    return _NUMBERS.setdefault(setting, len(_NUMBERS))
+
+
 def _pat_name(p: str) -> str:
-    import hashlib
-    return hashlib.md5(p.encode()).hexdigest()[:10]
+    return f"pattern_{_number(p)}"
 
 
 def _set_name(d: dict) -> str:
-    import hashlib
-    return hashlib.md5(repr(sorted(d.items())).encode()).hexdigest()[:10]
+    return f"set_{_number(repr(sorted(d.items())))}"
 
 
 def registry_profile(df: DataFrame, cols: list[str], registry: dict) -> DataFrame:

@@ -8,7 +8,6 @@ value-first configuration files (natural order kept).
 # Column-type registry.
 REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
  'types': {'matricule': {'priority': 90,
-                         'target_field': 'matricule',
                          'detectors': [{'kind': 'mask_dominance',
                                         'allow': ['A', '9', '-', '_'],
                                         'min_len': 3,
@@ -21,7 +20,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                          'validators': [{'kind': 'uniqueness_hint', 'min_uniques_ratio': 0.3},
                                         {'kind': 'reject_constant', 'max_const_ratio': 0.1}]},
            'fullname': {'priority': 80,
-                        'target_field': 'nom_prenom',
                         'detectors': [{'kind': 'contains_comma_ratio', 'min_ratio': 0.45, 'weight': 0.5},
                                       {'kind': 'alpha_token_ratio', 'min_ratio': 0.8, 'weight': 0.3},
                                       {'kind': 'avg_length_range',
@@ -31,7 +29,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                         'validators': [{'kind': 'high_entropy', 'min_entropy': 2.5},
                                        {'kind': 'reject_constant', 'max_const_ratio': 0.1}]},
            'nom': {'priority': 70,
-                   'target_field': 'nom',
                    'detectors': [{'kind': 'high_entropy_alpha',
                                   'min_entropy': 2.5,
                                   'max_const_ratio': 0.25,
@@ -40,7 +37,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                  {'kind': 'avg_length_range', 'min_len': 3, 'max_len': 40, 'weight': 0.2}],
                    'validators': [{'kind': 'reject_constant', 'max_const_ratio': 0.25}]},
            'prenom': {'priority': 70,
-                      'target_field': 'prenom',
                       'detectors': [{'kind': 'high_entropy_alpha',
                                      'min_entropy': 2.5,
                                      'max_const_ratio': 0.25,
@@ -49,7 +45,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                     {'kind': 'avg_length_range', 'min_len': 2, 'max_len': 30, 'weight': 0.2}],
                       'validators': [{'kind': 'reject_constant', 'max_const_ratio': 0.25}]},
            'date_paie': {'priority': 85,
-                         'target_field': 'pay_date',
                          'detectors': [{'kind': 'date_parse_ratio',
                                         'fr_ca': True,
                                         'excel_1900_1904': True,
@@ -63,12 +58,7 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                         'weight': 0.3}],
                          'validators': []},
            'montant': {'priority': 85,
-                       'target_field': 'amount',
                        'detectors': [{'kind': 'number_parse_ratio',
-                                      'locale': 'fr-CA',
-                                      'allow_parentheses_neg': True,
-                                      'allow_trailing_minus': True,
-                                      'allow_currency_symbol': True,
                                       'min_ratio': 0.7,
                                       'weight': 0.7},
                                      {'kind': 'pattern_any',
@@ -78,9 +68,7 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                       'weight': 0.3}],
                        'validators': []},
            'heures': {'priority': 55,
-                      'target_field': 'hours',
                       'detectors': [{'kind': 'number_parse_ratio',
-                                     'locale': 'fr-CA',
                                      'min_ratio': 0.6,
                                      'weight': 0.6},
                                     {'kind': 'number_range_hint',
@@ -90,9 +78,7 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                      'weight': 0.4}],
                       'validators': []},
            'taux_horaire': {'priority': 55,
-                            'target_field': 'hourly_rate',
                             'detectors': [{'kind': 'number_parse_ratio',
-                                           'locale': 'fr-CA',
                                            'min_ratio': 0.6,
                                            'weight': 0.6},
                                           {'kind': 'number_range_hint',
@@ -102,12 +88,7 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                            'weight': 0.4}],
                             'validators': []},
            'part_employeur': {'priority': 75,
-                              'target_field': 'amount_employer',
                               'detectors': [{'kind': 'number_parse_ratio',
-                                             'locale': 'fr-CA',
-                                             'allow_parentheses_neg': True,
-                                             'allow_trailing_minus': True,
-                                             'allow_currency_symbol': True,
                                              'min_ratio': 0.7,
                                              'weight': 0.7},
                                             {'kind': 'pattern_any',
@@ -117,12 +98,7 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                              'weight': 0.3}],
                               'validators': [{'kind': 'reject_constant', 'max_const_ratio': 0.8}]},
            'mnt_cmb': {'priority': 70,
-                       'target_field': 'amount_combined',
                        'detectors': [{'kind': 'number_parse_ratio',
-                                      'locale': 'fr-CA',
-                                      'allow_parentheses_neg': True,
-                                      'allow_trailing_minus': True,
-                                      'allow_currency_symbol': True,
                                       'min_ratio': 0.6,
                                       'weight': 0.5},
                                      {'kind': 'pattern_any',
@@ -136,7 +112,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                       'weight': 0.2}],
                        'validators': [{'kind': 'reject_constant', 'max_const_ratio': 0.7}]},
            'code_paie': {'priority': 60,
-                         'target_field': 'pay_code',
                          'detectors': [{'kind': 'pattern_any',
                                         'patterns': ['^[A-Z]\\d{2,}$',
                                                      '^\\d{2,}[A-Z]{1,2}$',
@@ -148,7 +123,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                         'weight': 0.4}],
                          'validators': []},
            'poste_budgetaire': {'priority': 60,
-                                'target_field': 'budget_post',
                                 'detectors': [{'kind': 'pattern_any',
                                                'patterns': ['^\\d{2}\\.\\d{2}\\.\\d{2}$',
                                                             '^\\d{2}-\\d{2}-\\d{2}$',
@@ -161,7 +135,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                                'weight': 0.3}],
                                 'validators': []},
            'description_poste': {'priority': 50,
-                                 'target_field': 'budget_post_desc',
                                  'detectors': [{'kind': 'avg_length_range',
                                                 'min_len': 15,
                                                 'max_len': 200,
@@ -173,7 +146,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                                {'kind': 'alpha_ratio', 'min_ratio': 0.7, 'weight': 0.2}],
                                  'validators': []},
            'type_paie': {'priority': 40,
-                         'target_field': 'pay_type',
                          'detectors': [{'kind': 'low_cardinality_hint',
                                         'max_uniques_ratio': 0.05,
                                         'weight': 0.6},
@@ -187,7 +159,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                         'weight': 0.4}],
                          'validators': []},
            'service': {'priority': 40,
-                       'target_field': 'service',
                        'detectors': [{'kind': 'medium_entropy_alpha',
                                       'min_entropy': 2.0,
                                       'max_entropy': 4.0,
@@ -198,7 +169,6 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                       'weight': 0.4}],
                        'validators': []},
            'departement': {'priority': 40,
-                           'target_field': 'department',
                            'detectors': [{'kind': 'medium_entropy_alpha',
                                           'min_entropy': 2.0,
                                           'max_entropy': 4.0,
@@ -209,17 +179,14 @@ REGISTRY = {'ui': {'min_confidence_accept': 0.7, 'min_confidence_warn': 0.5},
                                           'weight': 0.4}],
                            'validators': []},
            'devise': {'priority': 30,
-                      'target_field': 'currency',
                       'detectors': [{'kind': 'value_in_set',
                                      'values': ['CAD', 'USD', 'EUR', '$', 'C$', 'CA$'],
-                                     'case_insensitive': True,
                                      'weight': 0.8},
                                     {'kind': 'low_cardinality_hint',
                                      'max_uniques_ratio': 0.01,
                                      'weight': 0.2}],
                       'validators': []},
            'emploi': {'priority': 45,
-                      'target_field': 'job_title',
                       'detectors': [{'kind': 'medium_entropy_alpha',
                                      'min_entropy': 2.5,
                                      'max_entropy': 4.5,

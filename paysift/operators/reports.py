@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.functions.names import norm_text
+from paysift.sources.sinks import stored
 
 from .kpi import dollars, on_date
 from .topk import exact_quantiles
@@ -329,33 +330,31 @@ def anomaly_set(lines: DataFrame, emp: DataFrame | None = None) -> DataFrame:
     New code = a code seen in this month and in no other month. Post change
     = the employee's first post this month differs from the last post of the
     other months (``min_by``/``max_by`` on the row order, not pandas order).
-    With ``emp`` (employee-free lines) every per-employee quantity is first
-    computed per (month, employee id) and merged per employee number after the
-    join with the employee table."""
+    The lines are read once: one aggregate per (month, employee) with its sums, first
+    and last post and set of codes is written, and all five figures come from it.
+    With ``emp`` (employee-free lines) the employee is the id, whose numbers and names
+    are joined to that aggregate."""
     lp = lines.withColumn("period", period_col()).filter(F.col("montant_combine") != 0)
     order = F.struct("date_paie", "source_row_no")
     gain_line = (F.lower("categorie_paie") == "gains") & (_m() > 0)
-    per_aggs = [F.sum(_m()).alias("_n"), F.min(order).alias("_fk"), F.min_by("poste_budgetaire", order).alias("_first"),
-                F.max(order).alias("_lk"), F.max_by("poste_budgetaire", order).alias("_last"),
-                F.max(gain_line.cast("int")).alias("_gain")]
-    if emp is not None:
-        ids = lp.groupBy("period", "employee_id").agg(*per_aggs)
-        per = attach_employee(ids, emp).groupBy("period", "matricule").agg(
-            F.sum("_n").alias("_n"), F.min("_fk").alias("_fk"), F.min_by("_first", "_fk").alias("_first"),
-            F.max("_lk").alias("_lk"), F.max_by("_last", "_lk").alias("_last"))
-        gainers = attach_employee(ids.filter(F.col("_gain") == 1), emp).select("period", "nom_employe")
-    else:
-        per = lp.groupBy("period", "matricule").agg(*per_aggs)
-        gainers = lp.filter(gain_line).select("period", "nom_employe")
+    code = F.trim("code_paie")
+    who = ["employee_id"] if emp is not None else ["matricule", "nom_employe"]
+    ids = stored(lp.groupBy("period", *who).agg(
+        F.sum(_m()).alias("_n"), F.min(order).alias("_fk"), F.min_by("poste_budgetaire", order).alias("_first"),
+        F.max(order).alias("_lk"), F.max_by("poste_budgetaire", order).alias("_last"), F.max(gain_line.cast("int")).alias("_gain"),
+        F.collect_set(F.struct(code.alias("c"), F.when(code.isin(*SENSITIVE_CODES), F.col("code_paie")).alias("s"))).alias("_codes")), "anomaly-ids")
+    named = attach_employee(ids, emp) if emp is not None else ids
+    per = named.groupBy("period", "matricule").agg(
+        F.sum("_n").alias("_n"), F.min("_fk").alias("_fk"), F.min_by("_first", "_fk").alias("_first"),
+        F.max("_lk").alias("_lk"), F.max_by("_last", "_lk").alias("_last"))
+    gainers = named.filter(F.col("_gain") == 1).select("period", "nom_employe")
+    codes = ids.select("period", F.explode("_codes").alias("_c")).select("period", "_c.*").distinct()
     neg = per.filter(F.col("_n") < -1).groupBy("period").agg(F.count(F.lit(1)).alias("nets_negatifs"))
     inactive = (F.col("nom_employe") == F.upper("nom_employe")) & F.col("nom_employe").rlike("[A-Za-z]")
     inact = gainers.filter(inactive).groupBy("period").agg(F.countDistinct("nom_employe").alias("inactifs_avec_gains"))
-    # one aggregate gives every month and the distinct sensitive codes
-    months = lp.groupBy("period").agg(
-        F.countDistinct(F.when(F.trim("code_paie").isin(*SENSITIVE_CODES), F.col("code_paie")))
-        .alias("codes_sensibles"))
-    code_months = lp.select(F.trim("code_paie").alias("c"), "period").distinct()
-    single = code_months.groupBy("c").agg(F.count(F.lit(1)).alias("_k"), F.first("period").alias("period")) \
+    # every line has a code entry, null codes too, so this is every month
+    months = codes.groupBy("period").agg(F.countDistinct("s").alias("codes_sensibles"))
+    single = codes.select("c", "period").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("_k"), F.first("period").alias("period")) \
         .filter(F.col("_k") == 1)
     new_codes = single.groupBy("period").agg(F.count(F.lit(1)).alias("nouveaux_codes"))
     w = Window.partitionBy("matricule").orderBy(F.desc("_lk"))

@@ -148,6 +148,16 @@ def dedup_report(log: DataFrame) -> DataFrame:
                       text("_codes").alias("codes_paie_concernes"), text("_mats").alias("matricules_concernes"))
 
 
+def dedup_values(log: DataFrame) -> DataFrame:
+    """E8 as rows: every code and every number that the duplicates of a batch and date concern, with their count.
+
+    The same content as the lists of ``dedup_report`` without a row that grows with a batch."""
+    kinds = F.array(F.struct(F.lit("code_paie").alias("kind"), F.col("pay_code").alias("value")),
+                    F.struct(F.lit("matricule").alias("kind"), F.col("employee_id").cast("string").alias("value")))
+    return (log.select("batch_id", "pay_date", F.explode(kinds).alias("v")).select("batch_id", "pay_date", "v.*").filter("value IS NOT NULL")
+            .groupBy("batch_id", "pay_date", "kind", "value").agg(F.count(F.lit(1)).alias("nb_doublons")))
+
+
 def extract_employees(stg: DataFrame, key: str = "employee_id", row_col: str = "source_row_no") -> DataFrame:
     """One row per employee key with the attributes of its earliest source row."""
     cols = [c for c in stg.columns if c != key]

@@ -135,4 +135,5 @@ def with_fixtures(sql: str, extra_ctes: str = "") -> str:
         parts.append(extra_ctes)
     if not parts:
         return sql
-    return "WITH " + ",\n".join(parts) + "\n" + sql
+    recursive = "RECURSIVE " if "FROM steps s WHERE" in extra_ctes else ""
+    return f"WITH {recursive}" + ",\n".join(parts) + "\n" + sql

@@ -12,6 +12,7 @@ from paysift.sources.mapping import canonicalise_columns, preflight
 from paysift.sources.payfile import FILE_HEADERS, OPTIONAL_FIELDS, REQUIRED_FIELDS, raw_pay_file
 from paysift.sources.sinks import work_dir
 
+from . import mapping_sql as MS
 from .catalog import query
 from .sqltext import amount_cents, parse_date, norm_text
 
@@ -178,7 +179,13 @@ def c10(spark, sf):
     return P.validate_scores(profile(spark, sf))
 
 
-@query("c11_propose_mapping")
+C11_CTE = PROFILE_CTE + ",\n" + MS.registry_ctes() + ",\nscores AS MATERIALIZED (" + MS.registry_scores() + ")"
+C11_STEPS, C11_SQL = MS.greedy("scores", REGISTRY["ui"]["min_confidence_accept"], REGISTRY["ui"]["min_confidence_warn"])
+C12_CTE = PAYFILE_CTE + ",\n" + MS.value_first_ctes(PROFILED) + ",\nscores AS MATERIALIZED (" + MS.value_first_scores() + ")"
+C12_STEPS, C12_SQL = MS.greedy("scores", VALUE_FIRST["thresholds"]["accept"], VALUE_FIRST["thresholds"]["warn"])
+
+
+@query("c11_propose_mapping", C11_SQL, ctes=C11_CTE + ",\n" + C11_STEPS)
 def c11(spark, sf):
     df = payfile(spark, sf)
     prof = P.registry_profile(df, PROFILED, REGISTRY)
@@ -186,12 +193,12 @@ def c11(spark, sf):
                            warn=REGISTRY["ui"]["min_confidence_warn"])
 
 
-@query("c11_score_matrix")
+@query("c11_score_matrix", "SELECT * FROM scores", ctes=C11_CTE)
 def c11m(spark, sf):
     return P.score_matrix(P.registry_profile(payfile(spark, sf), PROFILED, REGISTRY), REGISTRY)
 
 
-@query("c12_propose_mapping_value_first")
+@query("c12_propose_mapping_value_first", C12_SQL, ctes=C12_CTE + ",\n" + C12_STEPS)
 def c12(spark, sf):
     scores = P.value_first_scores(payfile(spark, sf), PROFILED, VALUE_FIRST)
     return P.greedy_assign(scores, accept=VALUE_FIRST["thresholds"]["accept"],

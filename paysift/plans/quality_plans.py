@@ -462,6 +462,16 @@ def e08r(spark, sf):
     return W.dedup_report(W.dedup_log(staged(spark, sf)))
 
 
+@query("e08_dedup_values", """
+SELECT batch_id, pay_date, kind, value, count(*) AS nb_doublons FROM (
+  SELECT batch_id, pay_date, 'code_paie' AS kind, pay_code AS value FROM dlog
+  UNION ALL SELECT batch_id, pay_date, 'matricule', CAST(employee_id AS VARCHAR) FROM dlog) v
+WHERE value IS NOT NULL GROUP BY ALL
+""", ctes=STAGED_CTE + ",\n" + DEDUP_CTE)
+def e08v(spark, sf):
+    return W.dedup_values(W.dedup_log(staged(spark, sf)))
+
+
 @query("e10_extract_employees", """
 SELECT DISTINCT ON (employee_id) employee_id, batch_id, source_file, source_row_no, pay_date, pay_code, categorie_paie,
   amount_cents, employer_cents, budget_post

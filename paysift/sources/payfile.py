@@ -7,13 +7,12 @@ data that grows with the driver tables.
 
 from __future__ import annotations
 
-import csv
-from functools import reduce
-from urllib.parse import unquote
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from paysift.functions.names import norm_text
 
 from . import fixtures as fx
 
@@ -83,36 +82,70 @@ def text_lines(reader) -> DataFrame:
     return reader.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_at"))
 
 
-def read_files(spark: SparkSession, formats: DataFrame, base: str | None = None, canonical: bool = False) -> DataFrame:
-    """All files of ``formats`` as text columns, each read with its own encoding, separator and header.
-
-    Files are listed on the driver, as every Spark scan lists its files, and read
-    in one scan per distinct layout (encoding, separator, header). With
-    ``canonical`` every layout's headers are mapped to canonical names first, so
-    files with other column orders or spellings land in the same columns."""
-    from .mapping import canonicalise_columns
-    layouts: dict[tuple, list[str]] = {}
-    for r in formats.collect():
-        layouts.setdefault((r["utf8"], r["sep"], r["header"] or ""), []).append(unquote(r["file_path"]))
-    parts = []
-    for (utf8, sep, header), files in sorted(layouts.items()):
-        names, seen = [], {}
-        for h in next(csv.reader([header], delimiter=sep), []):
-            seen[h] = seen.get(h, 0) + 1
-            names.append(h if seen[h] == 1 else f"{h}_{seen[h]}")
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        reader = (spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", True)
-                  .option("encoding", "UTF-8" if utf8 else "ISO-8859-1").option("quote", '"').option("escape", '"')
-                  .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-        df = (reader.option("basePath", base) if base else reader).csv(files)
-        df = df.select("*", F.col("_metadata.file_path").alias("file_path"))
-        if not utf8:
-            df = df.withColumns({c: F.translate(c, "".join(_C1), "".join(_C1.values())) for c in schema.names})
-        df = df.withColumnsRenamed(dict(zip(schema.names, names)))
-        parts.append(canonicalise_columns(df) if canonical else df)
-    if not parts:
-        return spark.createDataFrame([], "file_path string")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def _fields(line, sep) -> F.Column:
+    """Fields of a delimited line: quoted ones without their quotes (a doubled quote is one), empty ones null."""
+    def cut(x):
+        raw = F.regexp_extract_all(F.concat(F.lit(x), line), F.lit(f'{x}("(?:[^"]|"")*"|[^{x}]*)'), 1)
+        inner = lambda v: F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))
+        return F.transform(raw, lambda v: F.when(v.startswith('"') & v.endswith('"') & (F.length(v) >= 2), inner(v)).when(v != "", v))
+    return F.when(sep == ";", cut(";")).when(sep == ",", cut(",")).otherwise(cut("\t"))
+
+
+def _decoded(value, utf8) -> F.Column:
+    return F.when(utf8, value).otherwise(F.translate(F.decode(value.cast("binary"), "ISO-8859-1"), "".join(_C1), "".join(_C1.values())))
+
+
+def _names(formats: DataFrame) -> DataFrame:
+    """``formats`` with the header names of each file; a repeated name gets a number."""
+    names = F.transform(_fields(F.col("header"), F.col("sep")), lambda x: F.coalesce(x, F.lit("")))
+    f = formats.withColumn("_raw", names)
+    before = lambda i, x: F.size(F.filter(F.slice("_raw", F.lit(1), i), lambda y: y == x))
+    return f.withColumn("names", F.transform("_raw", lambda x, i: F.when(before(i, x) > 0, F.concat(x, F.lit("_"), before(i, x) + 1)).otherwise(x))).drop("_raw")
+
+
+def _data_lines(lines: DataFrame, formats: DataFrame, *keep: str) -> DataFrame:
+    """Fields (``_v``) of every line but the headers and empty lines, with ``keep`` columns of the file's format.
+
+    A line that repeats its file's header is a header. One join by file: a large file is
+    split like any other data, and no file is known to the driver."""
+    f = formats.select("file_path", "utf8", "sep", F.col("header").alias("_header"), *keep)
+    j = lines.select("value", "file_path").filter("value <> ''").join(f, "file_path")
+    j = j.withColumn("_line", F.regexp_replace(_decoded(F.col("value"), F.col("utf8")), "^\ufeff", "")).filter(F.col("_line") != F.col("_header"))
+    return j.select("file_path", *keep, _fields(F.col("_line"), F.col("sep")).alias("_v"))
+
+
+def read_files(lines: DataFrame, formats: DataFrame) -> DataFrame:
+    """All files of ``formats`` as text columns in one plan, each with its own encoding, separator and header.
+
+    The distinct header names become the columns, so the distinct layouts (not the files) are
+    read first. Folders named ``key=value`` above a file are columns too, as in any Spark source."""
+    named = _names(formats)
+    keys = F.array_distinct(F.regexp_extract_all("file_path", F.lit("/([^/=]+)=[^/]*(?=/)"), 1))
+    layouts = named.select("names", keys.alias("keys")).distinct().collect()
+    columns = list(dict.fromkeys(n for r in sorted(layouts, key=lambda r: r["names"]) for n in r["names"]))
+    folders = [k for k in dict.fromkeys(k for r in layouts for k in r["keys"]) if k not in columns]
+    rows = _data_lines(lines, named, "names")
+    value = {c: F.get(F.col("_v"), F.array_position("names", F.lit(c)).cast("int") - 1) for c in columns}
+    folder = {k: F.url_decode(F.nullif(F.regexp_extract("file_path", f"/{re.escape(k)}=([^/]*)/", 1), F.lit(""))) for k in folders}
+    return rows.select(*[F.when(F.array_contains("names", c), v).alias(c) for c, v in value.items()],
+                       *[v.alias(k) for k, v in folder.items()], "file_path")
+
+
+def read_canonical(lines: DataFrame, formats: DataFrame) -> DataFrame:
+    """All files of ``formats`` as the 15 canonical text columns and ``file_path``; nothing runs at plan time.
+
+    Header names are mapped in the plan (the rules of ``mapping.header_map``): the first header
+    that is a synonym of a column, else, in a file of 15 columns, the header at the column's place
+    if it is no other column's. A column without a header is null."""
+    from .mapping import HEADER_SYNONYMS
+    known = F.create_map(*[F.lit(x) for canon, names in HEADER_SYNONYMS.items() for n in names for x in (n, canon)])
+    plain = lambda h: norm_text(F.translate(h, "\xa0\u202f", "  "))
+    mapped = _names(formats).withColumn("_c", F.transform("names", lambda h: known[plain(h)]))
+    taken = lambda at: F.array_position("_c", F.get("_c", at)) == at + 1
+    place = [F.when(F.array_contains("_c", c), F.array_position("_c", F.lit(c)).cast("int"))
+             .when((F.size("names") == len(CANONICAL)) & ~F.coalesce(taken(F.lit(i)), F.lit(False)), F.lit(i + 1)) for i, c in enumerate(CANONICAL)]
+    rows = _data_lines(lines, mapped.withColumn("_place", F.array(*place)), "_place")
+    return rows.select(*[F.get(F.col("_v"), F.col("_place")[i] - 1).alias(c) for i, c in enumerate(CANONICAL)], "file_path")
 
 
 def read_pay_csv(spark: SparkSession, path: str, seps=(";", ",", "\t"), canonical: bool = False) -> DataFrame:
@@ -122,7 +155,8 @@ def read_pay_csv(spark: SparkSession, path: str, seps=(";", ",", "\t"), canonica
     UTF-8, else windows-1252; the separator and the headers of each file's first
     line. Columns are never inferred; ``file_path`` tells the file."""
     lines = text_lines(spark.read.option("recursiveFileLookup", True).text(path))
-    return read_files(spark, file_formats(lines, seps), None if any(c in path for c in "*?[{") else path, canonical)
+    formats = file_formats(lines, seps)
+    return read_canonical(lines, formats) if canonical else read_files(lines, formats)
 
 
 def write_pay_files(df: DataFrame, path: str, sep: str = ";") -> None:

@@ -31,7 +31,7 @@ from paysift.functions.names import norm_matricule
 from paysift.operators.quality import validate_lines
 from paysift.operators.warehouse import load_fact
 from paysift.sources.mapping import canonicalise_columns
-from paysift.sources.payfile import file_formats, read_files, text_lines
+from paysift.sources.payfile import file_formats, read_canonical, text_lines
 
 OPEN_STATUS = "ouverte"
 
@@ -117,10 +117,7 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
                 mine = published(session, out, "lines").filter(F.col("epoch") == epoch_id)
                 after_epoch([r[0] for r in mine.select("pay_date").distinct().collect()])
             return
-        raw = read_files(session, file_formats(batch), canonical=True)
-        if raw.columns == ["file_path"]:
-            return
-        staged = stage_batch(raw, canonical=True)
+        staged = stage_batch(read_canonical(batch, file_formats(batch)), canonical=True)
         if periods is not None:
             opened = periods.filter(F.col("status") == OPEN_STATUS).select("pay_date", F.lit(True).alias("_open"))
             closed = F.col("is_valid") & F.col("_open").isNull()
