@@ -61,3 +61,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SCRATCH: list[tuple] = []
+
+
+def scratch(spark: SparkSession, path: str) -> str:
+    """Name a scratch table of this session: it is removed when the driver process ends.
+
+    Results are lazy, so a table may be read as long as the process lives. A driver that dies
+    leaves its tables in the checkpoint folder, which the cluster cleans by age."""
+    if not _SCRATCH:
+        atexit.register(remove_scratch)
+    _SCRATCH.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
+    return path
+
+
+def remove_scratch() -> None:
+    """Remove all scratch tables named so far."""
+    while _SCRATCH:
+        jvm, conf, path = _SCRATCH.pop()
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit; nothing depends on this
+            return

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paysift.session import checkpoint_dir
+from paysift.session import checkpoint_dir, scratch
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -23,7 +23,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written once to a fresh table in the shared folder and read back: one derivation for
     several uses, whose files survive lost executors and prune by ``partition_by``."""
-    path = work_dir(df.sparkSession, name)
+    path = scratch(df.sparkSession, work_dir(df.sparkSession, name))
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

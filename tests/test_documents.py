@@ -58,3 +58,19 @@ def test_audit_documents(spark, empty):
     gone, kept = lines.filter(F.col("pay_date") == (C if empty else A)), lines.filter(F.col("pay_date") != (C if empty else A))
     r = D.audit_documents({"ledger": gone}, {"ledger": kept}, A).select(F.to_json("before").alias("b"), F.to_json("after").alias("a")).first()
     assert json.loads(r.b) == {"rows": 3, "cents": 22} and json.loads(r.a) == ({"rows": 3, "cents": 22} if empty else {"rows": 1, "cents": 7})
+
+
+def test_scratch_tables_go_when_the_session_ends(spark):
+    import os
+
+    from paysift import session
+    from paysift.sources.sinks import stored
+    others = list(session._SCRATCH)
+    session._SCRATCH.clear()
+    try:
+        path = stored(spark.range(3), "scratch").inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("//", "/")
+        assert os.path.exists(path)
+        session.remove_scratch()
+        assert not os.path.exists(path) and not session._SCRATCH
+    finally:
+        session._SCRATCH.extend(others)

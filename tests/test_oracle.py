@@ -18,6 +18,9 @@ DEFAULT = [
     "d14_overlaps", "e07_load_fact", "e08_dedup_report", "c06_cardinality_profile", "i01_ledger_page",
     "a13_row_numbers", "l01_chunk_documents", "l03_cosine_topk", "m02_stream_dedup",
     "f18_by_function", "f44_period_stats", "f56_equity", "m03_stream_kpi_month",
+    "a09_ledger_store", "a12_snapshot_documents", "c11_propose_mapping", "c12_propose_mapping_value_first", "d10_stored_orphans",
+    "e12_stored_incremental", "f48_report_accented_pivot", "i01_seek_pages", "i03_indexed_search", "l03_cosine_topk_many",
+    "m01_stream_fact", "m04_refresh_kpi_star",
 ]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("PAYSIFT_FULL_ORACLE") else DEFAULT
 
