@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paysift.session import shuffle_partitions
+from paysift.session import scratch, shuffle_partitions
 from paysift.sources.sinks import work_dir
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+`` (Java regex class).
@@ -56,7 +59,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage with files every executor can read, so a lost executor
     costs its running tasks only."""
     spark = df.sparkSession
-    path = work_dir(spark, name)
+    path = scratch(spark, work_dir(spark, name))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,10 +74,21 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([x for x in known if x] + [root])
 
 
+def release_memory() -> None:
+    """Give what a finished task has freed back to the system: an idle worker keeps it otherwise, next to a full heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, task: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with a task that needs this package."""
     importable(df.sparkSession)
-    return df.mapInArrow(task, schema)
+
+    def run(batches):
+        yield from task(batches)
+        release_memory()
+    return df.mapInArrow(run, schema)
 
 
 def widths(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, packed, stored
+from .common import importable, map_arrow, packed, release_memory, stored
 
 BUCKET_BITS = 16
 MAX_LANGS = 256
@@ -101,6 +101,47 @@ def fit(labelled: DataFrame, bits: int = BUCKET_BITS, max_langs: int = MAX_LANGS
             "logp": np.log(matrix / matrix.sum(axis=0)).astype(np.float32)}
 
 
+def _score_texts(texts: pa.Array, m: dict) -> tuple[pa.Array, pa.Array]:
+    """Prediction and score of every text."""
+    langs, bits, prior, logp = m["langs"], m["bits"], m["prior"], m["logp"]
+    sums, sizes = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
+
+    def flush(parts, owners):
+        if not parts:
+            return
+        index = np.concatenate(parts)
+        starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+        part = np.add.reduceat(logp[index], starts, axis=0)
+        np.add.at(sums, owners, part)
+        np.add.at(sizes, owners, [len(p) for p in parts])
+
+    # a gathered n-gram is as wide as the number of languages, so more languages gather fewer at once
+    most = max(1, 8 * CHUNK // max(8, len(langs)))
+    parts, owners, held = [], [], 0
+    for i, value in enumerate(texts):
+        t = _normal(value.as_py())
+        for whole in _buckets(t, bits) if t is not None and langs else ():
+            for at in range(0, len(whole), most):
+                b = whole[at:at + most]
+                parts.append(b)
+                owners.append(i)
+                held += len(b)
+                if held >= most:
+                    flush(parts, owners)
+                    parts, owners, held = [], [], 0
+    flush(parts, owners)
+    pred, conf = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    seen = np.flatnonzero(sizes)
+    if len(seen):
+        logs = sums[seen] + prior
+        best = logs.argmax(axis=1)
+        z = (logs - logs.max(axis=1, keepdims=True)) / np.sqrt(sizes[seen])[:, None]
+        conf[seen] = 1 / np.exp(z).sum(axis=1)
+        for i, k in zip(seen, best):
+            pred[i] = langs[k]
+    return pa.array(pred, pa.string()), pa.array(conf)
+
+
 def predict(docs: DataFrame, model: dict, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns plus the prediction and its score (``names``) for every row of ``docs`` (text).
 
@@ -113,52 +154,28 @@ def predict(docs: DataFrame, model: dict, *keep: str, names: tuple[str, str] = (
     schema = docs.select(*cols).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        langs, bits, prior, logp = m["langs"], m["bits"], m["prior"], m["logp"]
-
-        def flush(parts, owners, sums, sizes):
-            if not parts:
-                return
-            index = np.concatenate(parts)
-            starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-            part = np.add.reduceat(logp[index], starts, axis=0)
-            np.add.at(sums, owners, part)
-            np.add.at(sizes, owners, [len(p) for p in parts])
-
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            sums, sizes = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
-            parts, owners, held = [], [], 0
-            for i, value in enumerate(texts):
-                t = _normal(value.as_py())
-                for b in _buckets(t, bits) if t is not None and langs else ():
-                    parts.append(b)
-                    owners.append(i)
-                    held += len(b)
-                    if held >= CHUNK:
-                        flush(parts, owners, sums, sizes)
-                        parts, owners, held = [], [], 0
-            flush(parts, owners, sums, sizes)
-            pred, conf = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            seen = np.flatnonzero(sizes)
-            if len(seen):
-                logs = sums[seen] + prior
-                best = logs.argmax(axis=1)
-                z = (logs - logs.max(axis=1, keepdims=True)) / np.sqrt(sizes[seen])[:, None]
-                conf[seen] = 1 / np.exp(z).sum(axis=1)
-                for i, k in zip(seen, best):
-                    pred[i] = langs[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred), pa.array(conf)],
-                                             names=[*keep, *names])
+            pred, conf = _score_texts(batch.column(batch.num_columns - 1), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pred, conf], names=[*keep, *names])
 
     out = schema.add(names[0], "string").add(names[1], "double")
     return map_arrow(docs.select(*cols, F.col("text")), score, out)
 
 
 def accepted(docs: DataFrame, model: dict, min_score: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is determined with ``min_score`` or more."""
-    out = predict(packed(docs).select("_row", F.col("_row.text").alias("text")), model, "_row", names=("_pred", "_score"))
-    return out.filter((F.col("_pred") != UNDETERMINED) & (F.col("_score") >= min_score)).select("_row.*")
+    """Rows of ``docs``, all columns, whose language is determined with ``min_score`` or more.
+
+    Only the texts go to the Python workers; the rows wait in Spark."""
+    importable(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def verdict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.StructArray.from_arrays(_score_texts(batch, shared.value), names=["pred", "score"])
+        release_memory()
+    verdict.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    judged = packed(docs).select("_row", F.arrow_udf(verdict, "pred string, score double")(F.col("_row.text")).alias("_v"))
+    return judged.filter((F.col("_v.pred") != UNDETERMINED) & (F.col("_v.score") >= min_score)).select("_row.*")
 
 
 def op10_language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
