@@ -1 +1 @@
-"""Training-data operators (numbered 1-10). Nothing else in the library imports this subpackage."""
+"""Training-data operators (numbered 1-13). Nothing else in the library imports this subpackage."""

@@ -1,8 +1,8 @@
 """Operator 9 - secret scans with a recursive decoding worklist.
 
 The text is scanned for three kinds of secrets. Then a worklist unwraps encoded
-runs - percent-encoding, Unicode and character escapes, base64, and gzip, zlib,
-bzip2, xz or zstd data inside base64 - into new layers, which are scanned and
+runs - percent-encoding, Unicode, octal and character escapes, base64, and UTF-16 text or
+gzip, zlib, bzip2, xz or zstd data inside base64 - into new layers, which are scanned and
 unwrapped in turn until nothing new appears. Escapes are decoded in the whole
 text, so that key, separator and value stay together, blanks between them too.
 Base64 may go over several lines and start anywhere in a run; its bytes are a
@@ -51,7 +51,8 @@ KINDS = ("assign", "access", "hex", "oversize")
 Span = tuple[str, int, int]
 
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&(?:quot|amp|apos|lt|gt|equals|colon);")
+_ESCAPE = re.compile(r"\\u\{0*[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}|%u[0-9A-Fa-f]{4}|"
+                     r"&#[xX]0*[0-9A-Fa-f]{1,6};|&#0*[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]{1,31};")
 # A base64 run: one line of at least 16 characters, or lines that a break (also one written as \\n) parts.
 _64, _LINE = "[A-Za-z0-9+/_-]", r"[\x20\t]*+(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+"
 _BASE64 = re.compile(rf"(?<!{_64})(?:{_64}{{16,}}+(?:{_LINE}{_64}++)*+|{_64}++(?:{_LINE}{_64}++)++)={{0,2}}")
@@ -61,7 +62,11 @@ _STANDARD = str.maketrans("-_", "+/")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\x1f\x40-\x5f\x80-\x9f\xc0-\xdf]")
 _PADDING = re.compile(rb"\0*")
 # Bytes without this hold no finding and nothing to unwrap: findings, escaped or not, are ASCII and have 14 characters or more.
-_WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14}|" + _MAGIC.pattern)
+_WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14}|(?:[\t\n\r\x20-\x7e]\0){14}|" + _MAGIC.pattern)
+# ASCII characters in UTF-16, either byte first; the zero bytes are what the layer leaves out.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){14,}|(?:\0[\t\n\r\x20-\x7e]){14,}")
+#: Content from which on a stream is one beyond doubt: what lies in its bytes is looked for in its content only.
+SOUND = 1 << 10
 
 
 def scan(text: str) -> list[Span]:
@@ -98,7 +103,7 @@ def _opened(head: bytes):
 
 
 def _blocks(d, data: bytes, start: int) -> Iterator[bytes]:
-    """What ``d`` makes of ``data[start:]``, as far as it is sound; the place behind it is returned."""
+    """What ``d`` makes of ``data[start:]``, as far as it is sound; returned are the place reached and whether the stream ended there."""
     at, bounded, step = start, isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)), STEP
     try:
         while not d.eof and at < len(data):
@@ -117,36 +122,39 @@ def _blocks(d, data: bytes, start: int) -> Iterator[bytes]:
                     raise
                 d, at, step = before, at - len(chunk), 1  # byte by byte up to the break
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return at - len(d.unused_data) if d.eof else None
+        return at, False
+    return (at - len(d.unused_data), True) if d.eof else (at, False)
 
 
 def _unpacked(data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
     """(start, end, content, cut) of all compressed data in ``data``, wherever it starts. Members that follow one
-    another are one content; broken data gives what comes before the break. ``cut``: longer than MAX_LAYER."""
+    another are one content; broken data gives what comes before the break. ``cut``: longer than MAX_LAYER.
+
+    The search goes on behind a stream that ended or gave SOUND bytes, else at the next place, as what looks
+    like a header may be none. Each sound stream is so entered once."""
     m = _MAGIC.search(data)
     while m:
-        start, out, size, cut, end, reached = m.start(), [], 0, False, None, None
+        start, out, size, cut, end, behind, whole = m.start(), [], 0, False, None, 0, False
         while m and (d := _opened(m[0])) is not None:
             blocks = _blocks(d, data, m.start())
             while True:
                 try:
                     got = next(blocks)
                 except StopIteration as stop:
-                    reached = stop.value
+                    behind, whole = stop.value
                     break
                 out.append(got[:MAX_LAYER - size])
                 size += len(out[-1])
                 if len(out[-1]) < len(got):
-                    cut, reached = True, None
+                    cut, whole, behind = True, False, len(data)
                     break
-            if reached is None:
+            if not whole:
                 break
-            end = reached
+            end = behind
             m = _MAGIC.match(data, _PADDING.match(data, end).end())
         if size:
-            yield start, len(data) if reached is None else end, b"".join(out), cut
-        m = _MAGIC.search(data, max(start + 1, end or 0))
+            yield start, end if whole else len(data), b"".join(out), cut
+        m = _MAGIC.search(data, max(start + 1, end or 0, behind if size >= SOUND else 0))
 
 
 class Layer:
@@ -166,6 +174,9 @@ class Layer:
         return start, end
 
 
+_DOCUMENT = Layer("")
+
+
 def _escaped(layer: Layer, pattern: re.Pattern, decode) -> Layer:
     """The whole text with every match of ``pattern`` decoded; characters of a match lie at all of it."""
     text, out, at, size = layer.text, [], 0, 0
@@ -222,6 +233,8 @@ def _percent(run: str) -> str:
 def _char(escape: str) -> str:
     if escape[0] == "&":
         return html.unescape(escape)
+    if escape[1] in "0123":
+        return chr(int(escape[1:], 8))
     code = int(escape[3:-1] if escape[2] == "{" else escape[2:], 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
@@ -231,16 +244,20 @@ def unwrap(layer: Layer) -> Iterator[Layer | Span]:
     text = layer.text
     if "%" in text and _PERCENT_RUN.search(text):
         yield _escaped(layer, _PERCENT_RUN, _percent)
-    if ("\\" in text or "&" in text) and _ESCAPE.search(text):
+    if ("\\" in text or "&" in text or "%u" in text) and _ESCAPE.search(text):
         yield _escaped(layer, _ESCAPE, _char)
     for m in _BASE64.finditer(text):
         yield from _decoded(layer, m)
     if layer.data is not None:
+        for m in _WIDE.finditer(layer.data):
+            data = m[0].replace(b"\0", b"")
+            yield Layer(data.decode("latin-1"), layer, lambda a, b, at=m.start(): (at + 2 * a, at + 2 * b), data)
         for start, end, data, cut in _unpacked(layer.data):
+            at = layer.span(start, end)
             if cut:
-                yield ("oversize", *layer.span(start, end))
-            if _WORTH.search(data):
-                yield Layer(data.decode("latin-1"), layer, lambda a, b, at=(start, end): at, data)
+                yield ("oversize", *at)
+            if _WORTH.search(data):  # all of a content lies at its stream, however deep that is
+                yield Layer(data.decode("latin-1"), _DOCUMENT, lambda a, b, at=at: at, data)
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
