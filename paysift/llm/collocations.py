@@ -7,21 +7,29 @@ from the first scan on for which both its subphrases (without its last, without
 its first word) are ready, and through one full cycle, so that it meets every shard
 once. Lengths are interleaved: one scan counts words, pairs and longer phrases that
 are open. The scans end when no phrase is open. A phrase at the threshold has
-subphrases at the threshold, so each is found with its exact count.
+subphrases at the threshold, so none is missed.
 
-Ready phrases are known to the scanning tasks by ``2^bits`` hash buckets a length,
-each with the stop at which its first phrase became ready: that table is the only
-thing broadcast, and its size is fixed. Phrases that share a bucket with a ready one
-start early (more is counted, nothing is lost), and as a bucket's stop never changes,
-a phrase's first scan is the same in every task. Counts are kept in a bucketed table
-in the shared folder, to which every scan adds its own; looking for newly ready
-phrases and the final sums need no further shuffle.
+The scans count by a 64-bit hash of language and phrase: only numbers are shuffled,
+and phrases below the threshold, nearly all of them, never as text. Hashes that meet
+can only make a phrase ready too early. A last scan of all shards brings the phrases
+that became ready as text, and the counts that are returned are those of the texts.
+
+Counts are kept as sorted arrays, one for each scan and range of hashes, in a table of
+the shared folder that is bucketed by range: a scan adds its own arrays, and looking for
+newly ready phrases brings the arrays of one range together without a shuffle. Ranges of
+a hash are even whatever the phrases are; ``ranges`` is how many there are, so that one
+range's arrays fit a task.
+
+Ready phrases are known to the scanning tasks by a table of ``2^bits`` buckets a length,
+each with the stop at which its first phrase became ready; a phrase looks into two
+buckets and takes the later stop. That table is the only thing broadcast, and its size is
+fixed. A phrase that meets ready ones in both starts early (more is counted, nothing is
+lost), and as a bucket's stop never changes, a phrase's first scan is the same in every task.
 
 Cases: null text is empty, null lang is ``und``; repeated rows count as often as they
 come; texts and pieces of any length are read whole (a long text is cut at piece
 borders, where no phrase crosses); equal scores rank by count, then phrase in UTF-8
-byte order; empty tables give no rows; other columns are not read. Phrases are compared
-as strings, never by hash.
+byte order; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ from pyspark.sql import functions as F
 
 from paysift.sources.sinks import work_dir
 
-from .common import map_arrow, stored, widths
+from .common import importable, map_arrow, stored, widths
 
 SHARDS = 4
 WORDS = 3
@@ -47,13 +55,17 @@ THRESHOLD = 10
 #: A phrase goes if a longer one that holds it comes at least this often, in percent of it.
 ABSORB = 50
 TOP = 2000
-BITS = 21
+BITS = 23
+#: Ranges of hashes a shuffle partition, and keys a task holds before it sends them on.
+RANGES = 4
+HELD = 1 << 20
 #: Bytes of text that a task takes at once.
-CHUNK = 8 << 20
-#: First ranks are taken in this many parts of a language.
-SALTS = 64
+CHUNK = 3 << 20
+#: First ranks are taken in this many parts of a language, then in fewer.
+SALTS = (64, 4)
 
-COUNTS = "lang string, phrase string, n_words int, bucket int, c long"
+COUNTS = "n_words int, part int, keys binary, counts binary"
+PHRASES = "lang string, phrase string, c long"
 
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -65,8 +77,8 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes
     """(lang, text) pairs in lists of about CHUNK bytes; a longer text is cut after piece ends."""
     held, size = [], 0
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            at = 0
+        for lang, value in zip(batch.column(0), batch.column(1)):
+            lang, text, at = lang.as_py(), value.as_buffer().to_pybytes(), 0
             while len(text) - at > CHUNK and (end := _BREAK.search(text, at + CHUNK)):
                 yield [(lang, text[at:end.end()])]
                 at = end.end()
@@ -86,62 +98,209 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _count(docs: list[tuple[str, bytes]], scan: int, shards: int, max_words: int, ready: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of one chunk that are open in this scan, a batch for each length."""
-    low = b"\n".join(text for _, text in docs).translate(_FOLD)
-    words = low.split()
-    if not words:
-        return
-    raw = np.frombuffer(low, dtype=np.uint8)
-    gap = (raw == 32) | (raw == 10)
-    start = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
-    piece = np.searchsorted(np.flatnonzero(raw == 10), start)
-    names = sorted({lang for lang, _ in docs})
-    number = {name: i for i, name in enumerate(names)}
-    begins = np.cumsum([0] + [len(text) + 1 for _, text in docs[:-1]])
-    lang = np.array([number[name] for name, _ in docs])[np.searchsorted(begins, start, side="right") - 1]
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    del words, low, raw, gap, start
-    distinct = coded.dictionary.to_pylist()
-    key, first, code, many = np.unique(lang * len(distinct) + coded.indices.to_numpy(), return_index=True, return_inverse=True, return_counts=True)
-    tags = [name.encode() + b"\x00" for name in names]
-    one = np.fromiter((xxhash.xxh64_intdigest(tags[k // len(distinct)] + distinct[k % len(distinct)]) for k in key.tolist()), dtype=np.uint64, count=len(key))
-    word, top = coded.dictionary.cast(pa.string()).take(pa.array(key % len(distinct))), np.uint64(64 - bits)
-
-    def rows(at: np.ndarray, length: int, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        texts = [word.take(pa.array(code[at + i])) for i in range(length)]
-        return pa.RecordBatch.from_arrays([
-            pa.array(names).take(pa.array(lang[at])), pc.binary_join_element_wise(*texts, " ") if length > 1 else texts[0],
-            pa.array(np.full(len(at), length, dtype=np.int32)), pa.array((hashes >> top).astype(np.int32)), pa.array(counts)],
-            names=["lang", "phrase", "n_words", "bucket", "c"])
-
-    if scan < shards:
-        yield rows(first, 1, one, many)
-    single = one[code]
-    hashes = single
-    for length in range(2, max_words + 1):
-        since = ready[length - 2][(hashes >> top).astype(np.int64)]  # the stop of the shorter phrase from each word on
-        since = np.maximum(since[:-1], since[1:]).astype(np.int32)
-        whole = piece[: len(piece) - length + 1] == piece[length - 1:]
-        hashes = _mixed(hashes[:-1], single[length - 1:])
-        at = np.flatnonzero(whole & (since <= scan) & (since > scan - shards))
-        if not len(at):
-            continue
-        key = code[at]
+class _Chunk:
+    """Words of a list of texts, as numbers by position."""
+
+    def __init__(self, docs: list[tuple[str, bytes]]):
+        raw = np.frombuffer(b"\n".join(text for _, text in docs).translate(_FOLD), dtype=np.uint8)
+        inside = (raw != 32) & (raw != 10)
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, end = edges[::2], edges[1::2]
+        self.piece = np.cumsum(raw == 10, dtype=np.int32)[start]
+        # the words as one Arrow array over the text without its gaps
+        offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+        del raw, inside, edges
+        self.names = sorted({lang for lang, _ in docs})
+        number = {name: i for i, name in enumerate(self.names)}
+        begins = np.searchsorted(start, np.cumsum([0] + [len(text) + 1 for _, text in docs]))
+        self.lang = np.repeat(np.array([number[name] for name, _ in docs], dtype=np.int32), np.diff(begins))
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        n = max(1, len(distinct))
+        key = self.lang.astype(np.int64) * n + coded.indices.to_numpy()
+        if n * len(self.names) <= 8 * len(key) + 1024:  # a table of all (language, word) numbers instead of a sort
+            every = np.bincount(key, minlength=n * len(self.names))
+            used = np.flatnonzero(every)
+            place = np.zeros(len(every), dtype=np.int32)
+            place[used] = np.arange(len(used), dtype=np.int32)
+            self.code, self.many = place[key], every[used]
+        else:
+            used, code, self.many = np.unique(key, return_inverse=True, return_counts=True)
+            self.code = code.astype(np.int32)
+        tags = [name.encode() + b"\x00" for name in self.names]
+        self.one = np.fromiter((xxhash.xxh64_intdigest(tags[k // n] + distinct[k % n]) for k in used.tolist()), dtype=np.uint64, count=len(used))
+        self._used, self._distinct = used % n, coded.dictionary
+
+    def hashes(self, max_words: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length the hash of the phrase from every word on (also of those across a piece end)."""
+        single = found = self.one[self.code]
+        yield 1, found
+        for length in range(2, max_words + 1):
+            found = _mixed(found[:-1], single[length - 1:])
+            yield length, found
+
+    def whole(self, length: int) -> np.ndarray:
+        """Whether the phrase from a word on lies within a piece."""
+        return self.piece[: len(self.piece) - length + 1] == self.piece[length - 1:]
+
+    def texts(self, at: np.ndarray, length: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Language, text and count of the distinct phrases at the given words."""
+        word = self._distinct.cast(pa.string()).take(pa.array(self._used))
+        key = self.code[at].astype(np.int64)
         for i in range(1, length):
             if len(word) * (int(key.max()) + 1) >= 1 << 62:
                 key = np.unique(key, return_inverse=True)[1]
-            key = key * len(word) + code[at + i]
+            key = key * len(word) + self.code[at + i]
         _, first, many = np.unique(key, return_index=True, return_counts=True)
-        yield rows(at[first], length, hashes[at[first]], many)
+        first = at[first]
+        words = [word.take(pa.array(self.code[first + i])) for i in range(length)]
+        return pa.array(self.names).take(pa.array(self.lang[first])), pc.binary_join_element_wise(*words, " ") if length > 1 else words[0], many
+
+
+def _buckets(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two buckets of each key."""
+    top = np.uint64(64 - bits)
+    return (keys >> top).astype(np.int64), ((keys * np.uint64(0xD6E8FEB86659FD93)) >> top).astype(np.int64)
+
+
+def _since(ready: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """The stop at which each key counts as ready, _NEVER if not yet."""
+    one, two = _buckets(keys, bits)
+    return np.maximum(ready[one], ready[two])
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(counts[order], starts, dtype=np.int64)
+
+
+def _open(chunk: _Chunk, scan: int, shards: int, max_words: int, ready: list[np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, hashes and counts of the phrases of a chunk that are open in this scan."""
+    before = None
+    for length, found in chunk.hashes(max_words):
+        if length == 1:
+            if scan < shards:
+                yield 1, chunk.one, chunk.many
+        else:
+            since = _since(ready[length - 2], before, bits)  # the stop of the shorter phrase from each word on
+            since = np.maximum(since[:-1], since[1:]).astype(np.int32)
+            keys, many = np.unique(found[chunk.whole(length) & (since <= scan) & (since > scan - shards)], return_counts=True)
+            if len(keys):
+                yield length, keys, many
+        before = found
+
+
+def _arrays(length: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row for every range that sorted keys touch."""
+    part = (keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
+    cut = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+    spans = list(zip(cut[:-1], cut[1:]))
+    return pa.RecordBatch.from_arrays([
+        pa.array([length] * len(spans), pa.int32()), pa.array(part[cut[:-1]].astype(np.int32)),
+        pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].astype(np.int64).tobytes() for a, b in spans], pa.binary())],
+        names=["n_words", "part", "keys", "counts"])
+
+
+def _counted(batches, scan: int, shards: int, max_words: int, ready: list[np.ndarray], bits: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """A task of a scan: counts summed over its chunks, HELD keys at most at a time."""
+    held: dict[int, list] = {}
+
+    def out(length):
+        parts = held.pop(length)
+        yield _arrays(length, *_summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])), ranges)
+    for docs in _chunks(batches):
+        chunk = _Chunk(docs)
+        if not len(chunk.code):
+            continue
+        for length, keys, many in _open(chunk, scan, shards, max_words, ready, bits):
+            held.setdefault(length, []).append((keys, many.astype(np.int32)))
+            if sum(len(k) for k, _ in held[length]) > HELD:
+                yield from out(length)
+    for length in list(held):
+        yield from out(length)
+
+
+def _table_arrays(table: pa.Table, row: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(table["keys"][row].as_buffer(), dtype=np.uint64), np.frombuffer(table["counts"][row].as_buffer(), dtype=np.int64)
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """The arrays of one range from all tasks of a scan, as one."""
+    parts = [_table_arrays(table, i) for i in range(table.num_rows)]
+    keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    return table.slice(0, 1).select(["n_words", "part"]).append_column("keys", pa.array([keys.tobytes()], pa.binary())).append_column("counts", pa.array([counts.tobytes()], pa.binary()))
+
+
+def _newly_ready(last: int, threshold: int, bits: int):
+    """Buckets of the keys of one range that reached the threshold with scan ``last``."""
+    def check(table: pa.Table) -> pa.Table:
+        scans = table["scan"].to_pylist()
+        found = np.zeros(0, dtype=np.int64)
+        if last in scans:
+            keys, now = _table_arrays(table, scans.index(last))
+            before = np.zeros(len(keys), dtype=np.int64)
+            for row, scan in enumerate(scans):
+                if scan != last:
+                    old, counts = _table_arrays(table, row)
+                    at = np.minimum(np.searchsorted(old, keys), len(old) - 1)
+                    before += np.where(old[at] == keys, counts[at], 0)
+            found = np.unique(np.concatenate(_buckets(keys[(before < threshold) & (before + now >= threshold)], bits)))
+        return pa.table({"n_words": pa.array(np.full(len(found), table["n_words"][0].as_py(), dtype=np.int32)), "bucket": pa.array(found.astype(np.int32))})
+    return check
+
+
+def _texts(docs: list[tuple[str, bytes]], max_words: int, ready: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Texts and counts of the phrases of one chunk that became ready; the empty phrase has the number of words of its language."""
+    chunk = _Chunk(docs)
+    if not len(chunk.code):
+        return
 
+    def rows(lang, phrase, counts):
+        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(counts, pa.int64())], names=["lang", "phrase", "c"])
+    counts = np.bincount(chunk.lang, minlength=len(chunk.names))
+    yield rows(pa.array(chunk.names), pa.array([""] * len(counts)), counts)
+    for length, found in chunk.hashes(max_words):
+        at = np.flatnonzero(chunk.whole(length) & (_since(ready[length - 1], found, bits) != _NEVER))
+        if len(at):
+            yield rows(*chunk.texts(at, length))
+
+
+def ready_phrases(shard: DataFrame, max_words: int, threshold: int, shards: int, bits: int) -> list[np.ndarray]:
+    """The scans: for each length the stop at which each bucket had its first ready phrase."""
+    spark = shard.sparkSession
+    importable(spark)
+    buckets = widths(spark)
+    ranges = RANGES * buckets
+    table, place = f"paysift_phrases_{uuid.uuid4().hex}", work_dir(spark, "phrases")
+    ready = [np.full(1 << bits, _NEVER, dtype=np.uint8) for _ in range(max_words)]
+    scan, until = 0, shards
+    try:
+        while scan < until:
+            known = spark.sparkContext.broadcast(ready[:-1])
 
-def _scan(shard: DataFrame, scan: int, shards: int, max_words: int, ready, bits: int) -> DataFrame:
-    def task(batches):
-        for chunk in _chunks(batches):
-            yield from _count(chunk, scan, shards, max_words, ready.value, bits)
+            def task(batches, scan=scan, known=known):
+                return _counted(batches, scan, shards, max_words, known.value, bits, ranges)
+            counts = map_arrow(shard.filter(F.col("_shard") == scan % shards).select("lang", "text"), task, COUNTS)
+            (counts.groupBy("n_words", "part").applyInArrow(_merge, COUNTS).withColumn("scan", F.lit(scan))
+             .write.bucketBy(buckets, "n_words", "part").option("path", place).mode("append").saveAsTable(table))
+            known.destroy()
 
-    return map_arrow(shard, task, COUNTS)
+            new = spark.table(table).groupBy("n_words", "part").applyInArrow(_newly_ready(scan, threshold, bits), "n_words int, bucket int").distinct().toArrow()
+            scan += 1
+            length, found = new["n_words"].to_numpy(), new["bucket"].to_numpy()
+            for n in range(1, max_words + 1):
+                first = found[length == n]
+                first = first[ready[n - 1][first] == _NEVER]
+                ready[n - 1][first] = scan
+                if n < max_words and (length == n).any():
+                    until = scan + shards
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return ready
 
 
 def phrase_counts(docs: DataFrame, max_words: int = WORDS, threshold: int = THRESHOLD, shards: int = SHARDS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -149,40 +308,20 @@ def phrase_counts(docs: DataFrame, max_words: int = WORDS, threshold: int = THRE
     if shards * max_words >= _NEVER:
         raise ValueError(f"{shards} shards for phrases of {max_words} words make too many stops")
     spark = docs.sparkSession
-    cut = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text"), (F.monotonically_increasing_id() % shards).alias("_shard"))
     path = work_dir(spark, "shards")
-    cut.filter("text <> ''").write.partitionBy("_shard").parquet(path)
+    (docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text"), (F.monotonically_increasing_id() % shards).alias("_shard"))
+     .filter("text <> ''").write.partitionBy("_shard").parquet(path))
     shard = spark.read.schema("lang string, text string, _shard int").parquet(path)
-    table = f"paysift_phrases_{uuid.uuid4().hex}"
-    place = work_dir(spark, "phrases")
-    ready = [np.full(1 << bits, _NEVER, dtype=np.uint8) for _ in range(max_words - 1)]
-    scan, until = 0, shards
-    try:
-        while scan < until:
-            known = spark.sparkContext.broadcast(ready)
-            counts = _scan(shard.filter(F.col("_shard") == scan % shards).select("lang", "text"), scan, shards, max_words, known, bits)
-            (counts.groupBy("lang", "phrase").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"), F.first("n_words").alias("n_words"))
-             .select("lang", "phrase", "bucket", "c", F.lit(scan).alias("scan"), "n_words")
-             .write.partitionBy("n_words").bucketBy(widths(spark), "lang", "phrase").option("path", place).mode("append").saveAsTable(table))
-            known.destroy()
-            scan += 1
-            before = F.coalesce(F.sum(F.when(F.col("scan") < scan - 1, F.col("c"))), F.lit(0))
-            new = (spark.table(table).filter(F.col("n_words") < max_words).groupBy("lang", "phrase")
-                   .agg(F.first("n_words").alias("n_words"), F.first("bucket").alias("bucket"), F.sum("c").alias("c"), before.alias("before"))
-                   .filter((F.col("c") >= threshold) & (F.col("before") < threshold)).select("n_words", "bucket").distinct().toArrow())
-            length, bucket = new["n_words"].to_numpy(), new["bucket"].to_numpy()
-            for n in range(1, max_words):
-                found = bucket[length == n]
-                found = found[ready[n - 1][found] == _NEVER]
-                ready[n - 1][found] = scan
-                if len(found):
-                    until = scan + shards
-        every = spark.table(table)
-        often = stored(every.groupBy("lang", "phrase").agg(F.first("n_words").alias("n_words"), F.sum("c").alias("f")).filter(F.col("f") >= threshold), "often")
-        total = stored(every.filter("n_words = 1").groupBy("lang").agg(F.sum("c").alias("n")), "words")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    return often, total
+    ready = spark.sparkContext.broadcast(ready_phrases(shard, max_words, threshold, shards, bits))
+
+    def task(batches):
+        for chunk in _chunks(batches):
+            yield from _texts(chunk, max_words, ready.value, bits)
+    counts = map_arrow(shard.select("lang", "text"), task, PHRASES).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+    often = stored(counts.filter((F.col("f") >= threshold) | (F.col("phrase") == "")), "often")
+    ready.destroy()
+    phrases = often.filter("phrase <> ''").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")
+    return phrases, often.filter("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def _parts(shortest: int):
@@ -210,8 +349,10 @@ def collocations(docs: DataFrame, max_words: int = WORDS, threshold: int = THRES
     scored = (cuts.join(heads, ["lang", "_head"]).join(rests, ["lang", "_rest"]).withColumn("score", score)
               .groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("_c")).select("lang", "phrase", "a", "_c.l", "_c.r", "_c.score"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
-    best = scored.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= top)
+    best = scored
+    for salts in SALTS:
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(salts))).orderBy(*order)
+        best = best.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
