@@ -14,7 +14,8 @@ passages retain suffixes at equal places.
    at each of these starts, and passages that two different texts share stay.
 3. Overlapping passages are merged into maximal spans.
 
-Exact copies are reduced to one text before step 1; a copied text of PASSAGE
+Exact copies are one text: a task leaves out texts it has met, places are sets, and
+the windows of step 2 come from one row of each text. A copied text of PASSAGE
 words or more is one span. No pair of documents is ever listed: a passage that a
 third of all documents share costs one row per document.
 
@@ -99,12 +100,17 @@ def _text_key() -> list:
 
 
 def retained_suffixes(texts: DataFrame) -> DataFrame:
-    """(c1, c2, pos, h) of ``texts(c1, c2, text)``."""
+    """(c1, c2, pos, h) of ``texts(c1, c2, text)``; a text that a task meets again is left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             c1, c2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sizes, places, hashes = [], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
-            for t in batch.column(2):
+            for key, t in zip(zip(c1.tolist(), c2.tolist()), batch.column(2)):
+                if key in met:
+                    sizes.append(0)
+                    continue
+                met.add(key)
                 p, h = Rolling(t.as_py()).retained()
                 sizes.append(len(p))
                 places.append(p)
@@ -117,33 +123,40 @@ def retained_suffixes(texts: DataFrame) -> DataFrame:
 
 
 def passages_around(candidates: DataFrame) -> DataFrame:
-    """(c1, c2, start, g): hash of PASSAGE words at every start around the places of ``candidates(c1, c2, text, places)``."""
+    """(c1, c2, low, start, g): hash of PASSAGE words at every start around the places of ``candidates(c1, c2, low, text, places)``."""
+    low = candidates.schema["low"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, met = [], 0, set()
         for batch in batches:
-            for c1, c2, text, places in zip(*(batch.column(k) for k in range(4))):
+            low_type = batch.column(2).type
+            for c1, c2, low, text, places in zip(*(batch.column(k) for k in range(5))):
+                if (key := (c1.as_py(), c2.as_py())) in met:  # a row that repeats id and text
+                    continue
+                met.add(key)
                 r = Rolling(text.as_py())
                 if r.n < PASSAGE:
                     continue
                 at = np.asarray(places.values.to_numpy(), dtype=np.int64)
                 starts = np.unique((at[:, None] - np.arange(STRIDE)[None, :]).ravel())
                 starts = starts[(starts >= 0) & (starts <= r.n - PASSAGE)]
-                held.append((c1.as_py(), c2.as_py(), starts, r.at(starts, PASSAGE)))
+                held.append((c1.as_py(), c2.as_py(), low.as_py(), starts, r.at(starts, PASSAGE)))
                 rows += len(starts)
                 if rows >= ROWS:
-                    yield pack(held)
+                    yield pack(held, low_type)
                     held, rows = [], 0
         if held:
-            yield pack(held)
+            yield pack(held, low_type)
 
-    def pack(held):
-        sizes = [len(h[2]) for h in held]
+    def pack(held, low_type):
+        sizes = [len(h[3]) for h in held]
+        of = pa.array(np.repeat(np.arange(len(held)), sizes))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array([h[0] for h in held]), sizes)), pa.array(np.repeat(np.array([h[1] for h in held]), sizes)),
-             pa.array(np.concatenate([h[2] for h in held]).astype(np.int32)), pa.array(np.concatenate([h[3] for h in held]).view(np.int64))],
-            names=["c1", "c2", "start", "g"])
+            [pa.array([h[0] for h in held], pa.int64()).take(of), pa.array([h[1] for h in held], pa.int64()).take(of), pa.array([h[2] for h in held], low_type).take(of),
+             pa.array(np.concatenate([h[3] for h in held]).astype(np.int32)), pa.array(np.concatenate([h[4] for h in held]).view(np.int64))],
+            names=["c1", "c2", "low", "start", "g"])
 
-    return map_arrow(candidates, run, "c1 long, c2 long, start int, g long")
+    return map_arrow(candidates, run, f"c1 long, c2 long, low {low}, start int, g long")
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -158,15 +171,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", "text", *_text_key())
     texts = stored(rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")), "suffix-texts")
 
-    suffixes = stored(retained_suffixes(rows.select("c1", "c2", "text")).distinct(), "suffix-places")
-    places = (suffixes.join(_shared(suffixes, "h"), "h").groupBy("c1", "c2").agg(F.array_sort(F.collect_list("pos")).alias("places")))
+    # copies of a text in different tasks repeat its rows; the sets of places drop them once few rows are left
+    suffixes = stored(retained_suffixes(rows.select("c1", "c2", "text")), "suffix-places")
+    places = (suffixes.join(_shared(suffixes, "h"), "h").groupBy("c1", "c2").agg(F.array_sort(F.collect_set("pos")).alias("places")))
     wanted = places.join(texts, ["c1", "c2"]).select("c1", "c2", "places", "low")
     # the text comes from one document of each class, so that a class of many copies is no hot key
     a, b = rows.alias("a"), wanted.alias("b")
     one = a.join(b, (F.col("a.c1") == F.col("b.c1")) & (F.col("a.c2") == F.col("b.c2")) & F.col("a.doc_id").eqNullSafe(F.col("b.low")))
-    windows = stored(passages_around(one.select("a.c1", "a.c2", "a.text", "b.places")).distinct(), "suffix-windows")
-    named = windows.join(texts.select("c1", "c2", "low"), ["c1", "c2"])
-    hits = windows.join(_shared(named, "g"), "g").select("c1", "c2", "start", "first")
+    # windows that come twice all the same (one text in two tasks) have equal starts and make one span
+    windows = stored(passages_around(one.select("a.c1", "a.c2", "b.low", "a.text", "b.places")), "suffix-windows")
+    hits = windows.select("c1", "c2", "start", "g").join(_shared(windows, "g"), "g").select("c1", "c2", "start", "first")
 
     order = Window.partitionBy("c1", "c2").orderBy("start")
     apart = F.coalesce(F.col("start") > F.lag("start").over(order) + PASSAGE, F.lit(True))
