@@ -160,7 +160,9 @@ def passages_around(candidates: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """Values of ``key`` that rows of two different texts have, with the smallest document that has each."""
+    """Values of ``key`` that rows of two different texts have, with the smallest document that has each.
+
+    Stored before it is joined: a join of two plain tables can split the rows of a passage that many texts share."""
     differ = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
     low = [F.min("low").alias("first")] if "low" in rows.columns else []
     return rows.groupBy(key).agg(differ.alias("differ"), *low).filter("differ").drop("differ")
@@ -173,14 +175,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     # copies of a text in different tasks repeat its rows; the sets of places drop them once few rows are left
     suffixes = stored(retained_suffixes(rows.select("c1", "c2", "text")), "suffix-places")
-    places = (suffixes.join(_shared(suffixes, "h"), "h").groupBy("c1", "c2").agg(F.array_sort(F.collect_set("pos")).alias("places")))
+    places = (suffixes.join(stored(_shared(suffixes, "h"), "suffix-shared"), "h").groupBy("c1", "c2").agg(F.array_sort(F.collect_set("pos")).alias("places")))
     wanted = places.join(texts, ["c1", "c2"]).select("c1", "c2", "places", "low")
     # the text comes from one document of each class, so that a class of many copies is no hot key
     a, b = rows.alias("a"), wanted.alias("b")
     one = a.join(b, (F.col("a.c1") == F.col("b.c1")) & (F.col("a.c2") == F.col("b.c2")) & F.col("a.doc_id").eqNullSafe(F.col("b.low")))
     # windows that come twice all the same (one text in two tasks) have equal starts and make one span
     windows = stored(passages_around(one.select("a.c1", "a.c2", "b.low", "a.text", "b.places")), "suffix-windows")
-    hits = windows.select("c1", "c2", "start", "g").join(_shared(windows, "g"), "g").select("c1", "c2", "start", "first")
+    hits = windows.select("c1", "c2", "start", "g").join(stored(_shared(windows, "g"), "suffix-hits"), "g").select("c1", "c2", "start", "first")
 
     order = Window.partitionBy("c1", "c2").orderBy("start")
     apart = F.coalesce(F.col("start") > F.lag("start").over(order) + PASSAGE, F.lit(True))
