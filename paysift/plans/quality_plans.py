@@ -424,6 +424,7 @@ def loaded_fact(spark, sf):
     valid = st.filter("is_valid")
     dims = {"codes_dim": code_dim(spark, sf, st), "time_dim": W.dim_time(valid), "employees_dim": W.dim_employee(valid, attrs=("pay_code",)),
             "posts_dim": W.dim_budget_post(valid)}
+    dims = {name: stored(dim, name) for name, dim in dims.items()}  # both loads read them
     path = work_dir(spark, "fact")
     W.load_fact(st.filter("batch_id = 1"), **dims, loaded_at=LOADS[0]).write.parquet(f"{path}/load=1")
     first = spark.read.parquet(f"{path}/load=1")

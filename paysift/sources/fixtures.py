@@ -196,10 +196,6 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         "pay_date")
 
 
-STG_COLUMNS = ["batch_id", "source_file", "source_row_no", "employee_id", "pay_date", "pay_code",
-               "categorie_paie", "amount_cents", "employer_cents", "budget_post"]
-
-
 def stg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disturbed staging: unknown employees, null dates, blank codes, zero amounts,
     negative employer share, and a second batch that re-sends some lines."""
@@ -207,18 +203,19 @@ def stg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stg_from_ledger(lg: DataFrame) -> DataFrame:
+    """One row per ledger line in batch 1, disturbed, and a second, clean one in batch 2 for the re-sent lines: the
+    ledger is derived once."""
     r = F.col("source_row_no")
-    first = lg.select(
-        F.lit(1).cast("int").alias("batch_id"), "source_file", "source_row_no",
-        F.when(r % 101 == 0, F.col("employee_id") + 1000000).otherwise(F.col("employee_id")).alias("employee_id"),
-        F.when(r % 211 == 0, F.lit(None).cast("date")).otherwise(F.col("pay_date")).alias("pay_date"),
-        F.when(r % 307 == 0, F.lit("")).otherwise(F.col("pay_code")).alias("pay_code"),
-        "categorie_paie",
-        F.when(r % 97 == 0, F.lit(0).cast("long")).otherwise(F.col("amount_cents")).alias("amount_cents"),
-        F.when(r % 89 == 0, -F.col("employer_cents") - 1).otherwise(F.col("employer_cents")).alias("employer_cents"),
-        "budget_post")
-    resent = lg.filter(r % 61 == 0).select(F.lit(2).cast("int").alias("batch_id"), *STG_COLUMNS[1:])
-    return first.unionByName(resent)
+    batches = F.when(r % 61 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    first = F.col("batch_id") == 1
+
+    def disturbed(every: int, value, column: str):
+        return F.when(first & (r % every == 0), value).otherwise(F.col(column)).alias(column)
+    return lg.withColumn("batch_id", F.explode(batches)).select(
+        "batch_id", "source_file", "source_row_no",
+        disturbed(101, F.col("employee_id") + 1000000, "employee_id"), disturbed(211, F.lit(None).cast("date"), "pay_date"),
+        disturbed(307, F.lit(""), "pay_code"), "categorie_paie", disturbed(97, F.lit(0).cast("long"), "amount_cents"),
+        disturbed(89, -F.col("employer_cents") - 1, "employer_cents"), "budget_post")
 
 
 FIXTURES = {
