@@ -3,6 +3,21 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read back as the next stage's docs. All but the last return the
 columns of ``documents``.
+
+Cases, stage by stage (each stage's own module has the details):
+
+* language_id: null texts and texts without a letter have no language and go, whatever
+  their lang says; repeated rows are judged alike; null lang is no label.
+* simhash_near_dedup: of each group the row with the smallest doc_id stays (null ids last),
+  of equal ids the one with the smallest hash of its text, of exact repeats one row. Null and
+  empty texts have fingerprint zero and are one group.
+* decontaminate: null and word-less texts have no hits and stay; repeated rows get the same verdict.
+* mix_sources: null text has size 0 and comes with each whole pass over its source; null source is a
+  source of its own; rows that repeat are drawn on their own and come as often as all of them together.
+* token_output: null text is the end id alone; null doc_ids come first, equal ones by a hash of their text.
+
+Very long texts are taken whole, extra columns are carried to the last stage, and an empty
+table stays empty through all stages.
 """
 
 from __future__ import annotations
