@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from paysift.functions.names import norm_text
 
 from . import fixtures as fx
+from .sinks import together
 
 # The 15 file headers (in file order) and their canonical names.
 FILE_HEADERS = [
@@ -160,7 +161,10 @@ def read_pay_csv(spark: SparkSession, path: str, seps=(";", ",", "\t"), canonica
 
 
 def write_pay_files(df: DataFrame, path: str, sep: str = ";") -> None:
-    """Write a pay file DataFrame as one CSV folder per source file (landing-folder layout)."""
-    (df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8")
+    """Write a pay file DataFrame as one CSV folder per source file (landing-folder layout).
+
+    Lines are brought together by file first: otherwise every task writes a piece of every file, and
+    the number of pieces, not that of lines, is what a reader or a stream pays for."""
+    (together(df, "source_file").write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .partitionBy("source_file").csv(path))
