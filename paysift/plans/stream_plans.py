@@ -57,9 +57,10 @@ FROM (SELECT *, upper(CASE WHEN regexp_full_match(m, '[0-9]+') THEN CASE WHEN lt
 JOIN codes c USING (pay_code)
 """, ctes=PAYFILE_CTE)
 def m01f(spark, sf):
-    """Arriving files through to the fact, a few files an epoch, so that later epochs meet stored keys of their dates."""
+    """Arriving files through to the fact; each file comes in four pieces, a part of them an epoch, so that later epochs meet
+    stored keys of their dates."""
     landing, out, ck = work_dir(spark, "m1f-landing"), work_dir(spark, "m1f-out"), work_dir(spark, "m1f-ckpt")
-    write_pay_files(raw_pay_file(spark, sf), landing)
+    write_pay_files(raw_pay_file(spark, sf), landing, deliveries=4)
     M.stream_ingest(spark, landing, out, ck, max_files=500, periods=fx.periods(spark, sf), codes_dim=W.dim_code(fx.codes(spark)))
     return M.published(spark, out, "fact").select(
         "cle_metier", "pay_date", "employee_id", "pay_code", "categorie_paie", "poste_budgetaire", "amount_cents", "employer_cents", "is_adjustment", "is_refund")

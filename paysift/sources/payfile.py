@@ -160,11 +160,16 @@ def read_pay_csv(spark: SparkSession, path: str, seps=(";", ",", "\t"), canonica
     return read_canonical(lines, formats) if canonical else read_files(lines, formats)
 
 
-def write_pay_files(df: DataFrame, path: str, sep: str = ";") -> None:
+def write_pay_files(df: DataFrame, path: str, sep: str = ";", deliveries: int = 1) -> None:
     """Write a pay file DataFrame as one CSV folder per source file (landing-folder layout).
 
     Lines are brought together by file first: otherwise every task writes a piece of every file, and
-    the number of pieces, not that of lines, is what a reader or a stream pays for."""
-    (together(df, "source_file").write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8")
+    the number of pieces, not that of lines, is what a reader or a stream pays for. With ``deliveries``
+    each file comes in that many pieces, its lines dealt by their number."""
+    folders = ["source_file"]
+    if deliveries > 1:
+        df = df.withColumn("delivery", F.pmod(F.xxhash64(f"`{FILE_HEADERS[0]}`"), F.lit(deliveries)).cast("int"))
+        folders = ["delivery", "source_file"]
+    (together(df, *folders).write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .partitionBy("source_file").csv(path))
+     .partitionBy(*folders).csv(path))

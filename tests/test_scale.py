@@ -4,7 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
-from paysift.sources.payfile import write_pay_files
+from paysift.sources.payfile import FILE_HEADERS, write_pay_files
 from paysift.sources.sinks import work_dir
 from paysift.streaming import ingest as M
 
@@ -39,3 +39,21 @@ def test_the_calendar_is_derived_once_for_all_epochs(spark):
     assert M.published(spark, out, "lines").select("epoch").distinct().count() == 3
     assert M.published(spark, out, "lines").count() == 3
     assert seen.value <= 2  # the filter and the column of one derivation; at least three before
+
+
+def test_pieces_of_a_file_and_fact_files_by_date(spark):
+    landing, out, ck = work_dir(spark, "sp-in"), work_dir(spark, "sp-out"), work_dir(spark, "sp-ck")
+    money = F.concat(F.col("id").cast("string"), F.lit(",00"))
+    texts = {"date de paie": F.concat(F.lit("2025-11-2"), (F.col("id") % 2).cast("string")), "matricule": F.col("id").cast("string"), "montant": money,
+             "code de paie": F.lit("SAL"), "part employeur": F.lit("0,00")}
+    raw = spark.range(1, 201, 1, 8).select(F.col("id").cast("string").alias("N de ligne"), *[F.coalesce(texts[h], F.lit("")).alias(h) if h in texts else
+                                           F.lit("x").alias(h) for h in FILE_HEADERS[1:]], F.concat(F.lit("f"), F.col("id") % 2).alias("source_file"))
+    write_pay_files(raw, landing, deliveries=2)
+    assert len(glob.glob(f"{_local(landing)}/delivery=*/source_file=*/*.csv")) == 4
+    codes = spark.createDataFrame([("SAL", "Salaire", "Gains")], "pay_code string, label string, categorie_paie string")
+    M.stream_ingest(spark, landing, out, ck, max_files=3, codes_dim=codes)
+    fact = M.published(spark, out, "fact")
+    assert fact.select("epoch").distinct().count() == 2 and fact.count() == 200 and fact.select("cle_metier").distinct().count() == 200
+    for epoch in (0, 1):  # a task of its own per key range wrote a file into every date before
+        files = glob.glob(f"{_local(out)}/fact/pay_date=*/epoch={epoch}/*/*.parquet")
+        assert len(files) == len({f.split("pay_date=")[1].split("/")[0] for f in files})
