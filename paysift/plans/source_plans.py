@@ -226,8 +226,8 @@ UNION ALL SELECT 'anomalies', count(DISTINCT strftime(date_paie, '%Y-%m')) FROM
 UNION ALL SELECT 'comparison', count(*) FROM dl_code_paie
 """, ctes=CANON_CTE + ",\n" + _deltas_sql("code_paie"))
 def a08e(spark, sf):
-    """The seven exports written as CSV folders and counted from what is read back."""
-    lines, emp = canon_lines(spark, sf), fx.employees(spark, sf)
+    """The seven exports written as CSV folders and counted from what is read back; the lines are derived once for all seven."""
+    lines, emp = SK.stored(canon_lines(spark, sf).drop("source_file"), "report-lines"), fx.employees(spark, sf)
     reports = {"summary": R.report_summary(lines, emp), "employee_detail": R.report_employee_pivot(lines, emp), "by_code": R.report_by_code(lines),
                "by_post": R.report_by_post(lines), "evolution_12": R.evolution(lines, 12), "anomalies": R.anomaly_set(lines, emp),
                "comparison": R.period_deltas_by(lines, "code_paie")}

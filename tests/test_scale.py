@@ -57,3 +57,17 @@ def test_pieces_of_a_file_and_fact_files_by_date(spark):
     for epoch in (0, 1):  # a task of its own per key range wrote a file into every date before
         files = glob.glob(f"{_local(out)}/fact/pay_date=*/epoch={epoch}/*/*.parquet")
         assert len(files) == len({f.split("pay_date=")[1].split("/")[0] for f in files})
+
+
+def _scans(plan, table):
+    return plan.count(f"{table}.parquet")
+
+
+def test_report_exports_derive_the_lines_once(spark, sf, monkeypatch):
+    from paysift.operators import reports as R
+    from paysift.plans import source_plans as SP
+    seen = []
+    for name in ("report_summary", "report_by_code", "report_by_post", "evolution", "anomaly_set", "period_deltas_by"):
+        monkeypatch.setattr(R, name, lambda lines, *a, _f=getattr(R, name): (seen.append(lines), _f(lines, *a))[1])
+    assert SP.a08e(spark, sf).count() == 7
+    assert len(seen) == 6 and not any(_scans(d._jdf.queryExecution().toString(), "lineitem") for d in seen)
