@@ -71,3 +71,17 @@ def test_report_exports_derive_the_lines_once(spark, sf, monkeypatch):
         monkeypatch.setattr(R, name, lambda lines, *a, _f=getattr(R, name): (seen.append(lines), _f(lines, *a))[1])
     assert SP.a08e(spark, sf).count() == 7
     assert len(seen) == 6 and not any(_scans(d._jdf.queryExecution().toString(), "lineitem") for d in seen)
+
+
+def _lineitem_scans(df):
+    return _scans(df._jdf.queryExecution().executedPlan().toString(), "lineitem")
+
+
+def test_field_issues_come_from_one_reading(spark, sf):
+    from paysift.operators import quality as Q
+    from paysift.plans import quality_plans as QP
+    assert _lineitem_scans(QP.d02f(spark, sf)) == 1  # two before
+    rows = spark.createDataFrame([("1", "a", ""), ("2", "", ""), ("3", "c", "d"), ("4", None, "x")], "id string, p string, r string")
+    out = Q.stage_field_stats(Q.stage_fields(rows, {"f": ("p", F.trim), "g": ("r", F.trim)}, "id"))
+    assert sorted(map(tuple, out.collect())) == [("f", 2, 4, 1, 3), ("g", 2, 4, 1, 3)]
+    assert Q.stage_field_stats(Q.stage_fields(rows.filter("id = '3'"), {"f": ("p", F.trim)}, "id")).count() == 0
