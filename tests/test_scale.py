@@ -85,3 +85,32 @@ def test_field_issues_come_from_one_reading(spark, sf):
     out = Q.stage_field_stats(Q.stage_fields(rows, {"f": ("p", F.trim), "g": ("r", F.trim)}, "id"))
     assert sorted(map(tuple, out.collect())) == [("f", 2, 4, 1, 3), ("g", 2, 4, 1, 3)]
     assert Q.stage_field_stats(Q.stage_fields(rows.filter("id = '3'"), {"f": ("p", F.trim)}, "id")).count() == 0
+
+
+def _stored_columns(monkeypatch, module):
+    seen = []
+    monkeypatch.setattr(module, "stored", lambda df, name, *by, _f=module.stored: (seen.append((name, df.columns)), _f(df, name, *by))[1])
+    return seen
+
+
+def test_validity_without_error_lists(spark):
+    from paysift.operators import quality as Q
+    rows = spark.createDataFrame([(None, "1", "c", 1, 1), ("2020-01-01", " ", "c", 1, 1), ("2020-01-01", None, "c", 1, 1), ("2020-01-01", "1", "", 1, 1),
+                                  ("2020-01-01", "1", "c", None, 1), ("2020-01-01", "1", "c", 1, -1), ("2020-01-01", "1", "c", 1, None), (None,) * 5],
+                                 "pay_date string, employee_id string, pay_code string, amount_cents long, employer_cents long")
+    v = Q.validate_lines(rows)
+    assert [r.is_valid for r in v.collect()] == [False] * 6 + [True, False]
+    assert v.filter("is_valid <> (size(validation_errors) = 0) OR is_valid IS NULL").count() == 0
+    assert "PART_EMPLOYEUR" not in v.filter("is_valid").select("pay_date")._jdf.queryExecution().optimizedPlan().toString()  # no list is built
+
+
+def test_imports_keep_narrow_staging(spark, sf, monkeypatch):
+    from paysift.plans import quality_plans as QP
+    seen = _stored_columns(monkeypatch, QP)
+    QP.e12(spark, sf)
+    assert [c for n, c in seen if n == "staging"] == [QP.IMPORT_COLUMNS]  # error lists and keys were written before
+
+
+def test_diagnosis_derives_the_lines_once(spark, sf):
+    from paysift.plans import quality_plans as QP
+    assert _lineitem_scans(QP.d19(spark, sf)) == 0  # three before: all read the stored staging
