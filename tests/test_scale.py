@@ -114,3 +114,23 @@ def test_imports_keep_narrow_staging(spark, sf, monkeypatch):
 def test_diagnosis_derives_the_lines_once(spark, sf):
     from paysift.plans import quality_plans as QP
     assert _lineitem_scans(QP.d19(spark, sf)) == 0  # three before: all read the stored staging
+
+
+def test_fact_staging_without_keys(spark, sf, monkeypatch):
+    from paysift.plans import quality_plans as QP
+    seen = _stored_columns(monkeypatch, QP)
+    fact = QP.loaded_fact(spark, sf)
+    columns = dict(seen)["staging"]
+    assert not {"cle_metier", "validation_errors", "is_valid"} & set(columns)  # written before
+    assert fact.select("cle_metier").distinct().count() == fact.count()
+
+
+def test_fact_keeps_the_first_line_of_a_key(spark):
+    from paysift.operators import warehouse as W
+    codes = spark.createDataFrame([("c", "C", "Gains")], "pay_code string, label string, categorie_paie string")
+    rows = [("k", b, f"f{b}", r, 1, None, "c", None, 5, 0, True) for b, r in ((2, 1), (1, 9), (1, 4))]
+    lines = spark.createDataFrame(rows, "cle_metier string, batch_id int, source_file string, source_row_no long, employee_id long, pay_date date, "
+                                  "pay_code string, budget_post string, amount_cents long, employer_cents long, is_valid boolean")
+    loaded = W.load_fact(lines, codes)
+    assert [(r.source_batch_id, r.source_file, r.source_row_no) for r in loaded.collect()] == [(1, "f1", 4)]
+    assert "min_by" not in loaded._jdf.queryExecution().optimizedPlan().toString()
