@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from paysift.functions.amounts import amount_to_decimal
 from paysift.functions.dates import parse_pay_date
 from paysift.functions.names import norm_text
+from paysift.sources.sinks import stored
 
 # Profiling thresholds of the registry UI.
 MIN_CONFIDENCE_ACCEPT, MIN_CONFIDENCE_WARN = 0.70, 0.50
@@ -60,22 +61,29 @@ def mask_expr(v: Column, allow: tuple[str, ...] = ("A", "9")) -> Column:
 
 def mask_profile(vc: DataFrame, allow: tuple[str, ...] = ("A", "9")) -> DataFrame:
     """Dominant mask per column with its count, coverage and noise."""
-    masks = vc.groupBy("column", mask_expr(F.col("value"), allow).alias("mask")).agg(F.sum("cnt").alias("n_mask"))
-    tot = vc.groupBy("column").agg(F.sum("cnt").alias("n"))
-    w = Window.partitionBy("column").orderBy(F.desc("n_mask"), "mask")
-    dom = masks.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    return dom.join(tot, "column").select(
+    return mask_profiles(vc, [allow]).drop("allow")
+
+
+def mask_profiles(vc: DataFrame, allows: list[tuple[str, ...]]) -> DataFrame:
+    """C1 for several sets of allowed characters (``allow``: their number) from one reading of the counts.
+
+    The best mask and the total are plain aggregates over the masks' counts: no column's masks meet in one task."""
+    each = F.array(*[F.struct(F.lit(i).alias("allow"), mask_expr(F.col("value"), a).alias("mask")) for i, a in enumerate(allows)])
+    masks = vc.select("column", "cnt", F.explode(each).alias("_m")).groupBy("column", "_m.allow", "_m.mask").agg(F.sum("cnt").alias("n_mask"))
+    dom = masks.groupBy("column", "allow").agg(F.min(F.struct((-F.col("n_mask")).alias("_n"), "mask")).alias("_b"), F.sum("n_mask").alias("n"))
+    dom = dom.select("column", "allow", "_b.mask", (-F.col("_b._n")).alias("n_mask"), "n")
+    return dom.select(
         "column", "mask", "n_mask", "n", F.round(F.col("n_mask") / F.col("n"), 6).alias("coverage"),
-        F.round(1 - F.col("n_mask") / F.col("n"), 6).alias("noise"), F.length("mask").cast("long").alias("mask_len"))
+        F.round(1 - F.col("n_mask") / F.col("n"), 6).alias("noise"), F.length("mask").cast("long").alias("mask_len"), "allow")
 
 
 def column_profile(vc: DataFrame, patterns: dict[str, str] | None = None,
-                   date_window: tuple[int, int] = (2000, 2050)) -> DataFrame:
+                   date_window: tuple[int, int] = (2000, 2050), extra: list[Column] | None = None) -> DataFrame:
     """C2-C9 (+C5, C6): one row per column with all value statistics.
 
     Per-value flags are computed on distinct values and weighted by their
     count. Entropy and the most common value come from the same counts, in the
-    same single aggregation.
+    same single aggregation, as do the ``extra`` aggregates.
     """
     v, cnt = F.col("value"), F.col("cnt")
     toks = F.regexp_extract_all(v, F.lit(TOKEN_RE), 0)
@@ -98,7 +106,7 @@ def column_profile(vc: DataFrame, patterns: dict[str, str] | None = None,
         F.sum(cnt * F.length(v)).cast("long").alias("n_chars"),
         F.sum(cnt * F.length(F.regexp_replace(v, r"[^\p{L}]", ""))).cast("long").alias("n_letters"),
         F.sum(cnt * F.log2(cnt)).alias("_clogc"),
-        *weighted)
+        *weighted, *(extra or []))
     # Shannon entropy from the same pass: H = log2(n) - sum(c * log2 c) / n
     out = agg.withColumn("entropy", F.log2(F.col("n")) - F.col("_clogc") / F.col("n")).drop("_clogc")
     n = F.col("n")
@@ -235,7 +243,7 @@ def _set_name(d: dict) -> str:
 def registry_profile(df: DataFrame, cols: list[str], registry: dict) -> DataFrame:
     """Per-column profile with every statistic the registry's detectors need."""
     u = unpivot_values(df, cols)
-    vc = value_counts(u)
+    vc = stored(value_counts(u), "value-counts")  # read once for the profile and once for all masks
     pats = {}
     sets = {}
     allows = {("A", "9")}
@@ -248,25 +256,23 @@ def registry_profile(df: DataFrame, cols: list[str], registry: dict) -> DataFram
                 allows.add(tuple(d.get("allow", ["A", "9"])))
             if d["kind"] in ("value_in_set", "value_in_set_fuzzy", "number_range_hint"):
                 sets[_set_name(d)] = d
-    prof = column_profile(vc, pats)
-    for allow in allows:
-        m = mask_profile(vc, allow).select("column", F.col("coverage").alias(f"mask_cov_{_allow_key(allow)}"),
-                                           F.col("mask_len").alias(f"mask_len_{_allow_key(allow)}"))
-        prof = prof.join(m, "column", "left")
-    if sets:
-        v = F.col("value")
-        exprs = []
-        for name, d in sets.items():
-            if d["kind"] == "number_range_hint":
-                num = amount_to_decimal(v)
-                c = num.between(d.get("min_val", 0), d.get("max_val", 1e18))
-            elif d["kind"] == "value_in_set_fuzzy":
-                c = norm_text(v).isin(*[_norm_py(x) for x in d.get("values", [])])
-            else:
-                c = F.upper(v).isin(*[x.upper() for x in d.get("values", [])])
-            exprs.append(F.sum(F.when(c, F.col("cnt")).otherwise(0)).alias(f"x_{name}"))
-        prof = prof.join(vc.groupBy("column").agg(*exprs), "column", "left")
-    return prof
+    v = F.col("value")
+    exprs = []
+    for name, d in sets.items():
+        if d["kind"] == "number_range_hint":
+            num = amount_to_decimal(v)
+            c = num.between(d.get("min_val", 0), d.get("max_val", 1e18))
+        elif d["kind"] == "value_in_set_fuzzy":
+            c = norm_text(v).isin(*[_norm_py(x) for x in d.get("values", [])])
+        else:
+            c = F.upper(v).isin(*[x.upper() for x in d.get("values", [])])
+        exprs.append(F.sum(F.when(c, F.col("cnt")).otherwise(0)).alias(f"x_{name}"))
+    prof = column_profile(vc, pats, extra=exprs)
+    allows = sorted(allows)
+    of = lambda i, c: F.max(F.when(F.col("allow") == i, F.col(c)))  # noqa: E731  one row per column and set of characters
+    masks = mask_profiles(vc, allows).groupBy("column").agg(*[of(i, c).alias(f"{n}_{_allow_key(a)}") for i, a in enumerate(allows)
+                                                              for c, n in (("coverage", "mask_cov"), ("mask_len", "mask_len"))])
+    return prof.join(masks, "column", "left")
 
 
 def _norm_py(s: str) -> str:

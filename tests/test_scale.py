@@ -134,3 +134,35 @@ def test_fact_keeps_the_first_line_of_a_key(spark):
     loaded = W.load_fact(lines, codes)
     assert [(r.source_batch_id, r.source_file, r.source_row_no) for r in loaded.collect()] == [(1, "f1", 4)]
     assert "min_by" not in loaded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_counts_values_once(spark, monkeypatch):
+    from paysift.operators import profile as P
+    from paysift.plans import profile_plans as PP
+    seen = _stored_columns(monkeypatch, P)
+    rows = spark.createDataFrame([("A-1", "x"), ("A-1", None), ("B-2", "12"), ("b2", " ")], "a string, b string")
+    prof = P.registry_profile(rows, ["a", "b"], PP.REGISTRY)
+    assert [n for n, _ in seen] == ["value-counts"]
+    assert "LogicalRDD" not in prof._jdf.queryExecution().optimizedPlan().toString()  # the lines are read by no later pass
+    vc = P.value_counts(P.unpivot_values(rows, ["a", "b"]))
+    one = sorted(map(tuple, P.mask_profile(vc, ("A", "9", "-")).collect()))
+    assert one == [("a", "A-9", 3, 4, 0.75, 0.25, 3), ("b", "99", 1, 2, 0.5, 0.5, 2)]
+
+
+def test_ledger_store_derives_its_lines_once(spark):
+    import uuid
+    from paysift.sources import ledger_store as LS
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(r):
+        seen.add(1)
+        return f"f{r}"
+    lines = spark.range(20).select(F.udf(count)("id").alias("source_file"), F.col("id").alias("source_row_no"), F.col("id").alias("employee_id"),
+                                   F.expr("date_add(DATE'1992-01-01', CAST(id * 100 AS INT))").alias("pay_date"), F.lit(1).alias("amount_cents"))
+    name, path = f"sc_{uuid.uuid4().hex}", work_dir(spark, "sc-store")
+    LS.create_store(lines, name, path, 1992, 1994)
+    assert seen.value == 20  # 40 before
+    LS.append(lines, name, path, 1992, 1994)
+    assert seen.value == 40  # 80 before
+    assert spark.table(name).count() == spark.table(f"{name}_rows").count() == 40
+    LS.drop_store(spark, name)
