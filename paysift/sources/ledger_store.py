@@ -34,9 +34,12 @@ def _tables(name: str) -> dict[str, list[str]]:
     return {name: ["employee_id"], f"{name}_rows": ROW_KEY}
 
 
-def _write(lines: DataFrame, name: str, path: str, buckets: int) -> None:
+def _write(lines: DataFrame, name: str, path: str, buckets: int, new: bool = False) -> None:
+    """Both tables from one derivation of ``lines``: that of the rows from the stored lines, which in a new store are the first table."""
+    if not new:
+        lines = stored(lines, "append")
     for table, keys in _tables(name).items():
-        df = lines if table == name else lines.select("pay_date", *ROW_KEY, "year_part")
+        df = lines if table == name else (lines.sparkSession.table(name) if new else lines).select("pay_date", *ROW_KEY, "year_part")
         (df.repartition(buckets, *keys).write.mode("append").partitionBy("year_part").bucketBy(buckets, *keys).sortBy(*keys)
          .option("path", f"{path}/{table}").saveAsTable(table))
 
@@ -44,7 +47,7 @@ def _write(lines: DataFrame, name: str, path: str, buckets: int) -> None:
 def create_store(lines: DataFrame, name: str, path: str, first_year: int, last_year: int, buckets: int | None = None) -> None:
     """Write ``lines`` to new tables ``name`` and ``name_rows``. By default as many buckets as shuffle partitions:
     with fewer, Spark may prefer to shuffle both sides of a join."""
-    _write(lines.withColumn("year_part", year_part(first_year, last_year)), name, path, buckets or shuffle_partitions(lines.sparkSession))
+    _write(lines.withColumn("year_part", year_part(first_year, last_year)), name, path, buckets or shuffle_partitions(lines.sparkSession), new=True)
 
 
 def _buckets(spark: SparkSession, name: str) -> int:
