@@ -166,3 +166,23 @@ def test_ledger_store_derives_its_lines_once(spark):
     assert seen.value == 40  # 80 before
     assert spark.table(name).count() == spark.table(f"{name}_rows").count() == 40
     LS.drop_store(spark, name)
+
+
+def test_pay_files_formats_are_read_once(spark, tmp_path, monkeypatch):
+    from paysift.sources import payfile as PF
+    seen = _stored_columns(monkeypatch, PF)
+    (tmp_path / "a.csv").write_text('n;x\n1;\n"2";""\n3;"a;""b"""\n;"\n4\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("x,n\nb1,\n,5\n", encoding="utf-8")
+    df = PF.read_pay_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, df.select("n", "x").collect()), key=str) == sorted(
+        [("1", None), ("2", ""), ("3", 'a;"b"'), (None, '"'), ("4", None), (None, "b1"), ("5", None)], key=str)
+    assert [n for n, _ in seen] == ["formats"]
+
+
+def test_numbering_does_not_carry_labels(spark, sf, monkeypatch):
+    from paysift.plans import analytics_plans as AP
+    seen = []
+    monkeypatch.setattr(AP, "number_lines", lambda df, _f=AP.number_lines: (seen.append(df), _f(df))[1])
+    df = AP.f14(spark, sf)
+    assert "nom_employe" not in seen[0].columns and _lineitem_scans(seen[0]) == 0  # numbered with all attributes, derived twice before
+    assert df.columns[-1] == "line_no" and df.agg(F.count_distinct("line_no") - F.max("line_no")).first()[0] == 0
