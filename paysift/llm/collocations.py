@@ -9,14 +9,16 @@ once. Lengths are interleaved: one scan counts words, pairs and longer phrases t
 are open. The scans end when no phrase is open. A phrase at the threshold has
 subphrases at the threshold, so none is missed.
 
-The scans count by a 64-bit hash of language and phrase: only numbers are shuffled,
+The scans count by a 48-bit hash of language and phrase: only numbers are shuffled,
 and phrases below the threshold, nearly all of them, never as text. Hashes that meet
 can only make a phrase ready too early. A last scan of all shards brings the phrases
 that became ready as text, and the counts that are returned are those of the texts.
 
 Counts are kept as sorted arrays, one for each scan and range of hashes, in a table of
 the shared folder that is bucketed by range: a scan adds its own arrays, and looking for
-newly ready phrases brings the arrays of one range together without a shuffle. Ranges of
+newly ready phrases brings the arrays of one range together without a shuffle. Hashes of
+48 bits are shuffled and stored as the steps from one to the next, counts as they are,
+both by bytes of equal weight and without the upper bytes that no value needs. Ranges of
 a hash are even whatever the phrases are; ``ranges`` is how many there are, so that one
 range's arrays fit a task.
 
@@ -69,6 +71,9 @@ PHRASES = "lang string, phrase string, c long"
 
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bits of a hash that are kept, the upper ones.
+_SHORT = np.uint64(16)
+_KEPT = ~np.uint64((1 << 16) - 1)
 #: Stops are kept in a byte.
 _NEVER = 255
 
@@ -129,7 +134,7 @@ class _Chunk:
             used, code, self.many = np.unique(key, return_inverse=True, return_counts=True)
             self.code = code.astype(np.int32)
         tags = [name.encode() + b"\x00" for name in self.names]
-        self.one = np.fromiter((xxhash.xxh64_intdigest(tags[k // n] + distinct[k % n]) for k in used.tolist()), dtype=np.uint64, count=len(used))
+        self.one = np.fromiter((xxhash.xxh64_intdigest(tags[k // n] + distinct[k % n]) for k in used.tolist()), dtype=np.uint64, count=len(used)) & _KEPT
         self._used, self._distinct = used % n, coded.dictionary
 
     def hashes(self, max_words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -137,7 +142,7 @@ class _Chunk:
         single = found = self.one[self.code]
         yield 1, found
         for length in range(2, max_words + 1):
-            found = _mixed(found[:-1], single[length - 1:])
+            found = _mixed(found[:-1], single[length - 1:]) & _KEPT
             yield length, found
 
     def whole(self, length: int) -> np.ndarray:
@@ -194,6 +199,26 @@ def _open(chunk: _Chunk, scan: int, shards: int, max_words: int, ready: list[np.
         before = found
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, their lowest bytes first, then the next ones, as far as any number has such bytes."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unplaned(data: pa.Buffer) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8)
+    planes = raw[1:].reshape(int(raw[0]), -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def _stored_keys(keys: np.ndarray) -> bytes:
+    """The first of sorted keys, then the steps."""
+    short = keys >> _SHORT
+    return short[:1].astype("<u8").tobytes() + _planes(np.diff(short))
+
+
 def _arrays(length: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
     """A row for every range that sorted keys touch."""
     part = (keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
@@ -201,7 +226,7 @@ def _arrays(length: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> p
     spans = list(zip(cut[:-1], cut[1:]))
     return pa.RecordBatch.from_arrays([
         pa.array([length] * len(spans), pa.int32()), pa.array(part[cut[:-1]].astype(np.int32)),
-        pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].astype(np.int64).tobytes() for a, b in spans], pa.binary())],
+        pa.array([_stored_keys(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(counts[a:b]) for a, b in spans], pa.binary())],
         names=["n_words", "part", "keys", "counts"])
 
 
@@ -225,14 +250,17 @@ def _counted(batches, scan: int, shards: int, max_words: int, ready: list[np.nda
 
 
 def _table_arrays(table: pa.Table, row: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(table["keys"][row].as_buffer(), dtype=np.uint64), np.frombuffer(table["counts"][row].as_buffer(), dtype=np.int64)
+    """Keys and counts of one row."""
+    keys = table["keys"][row].as_buffer()
+    keys = np.cumsum(np.concatenate((np.frombuffer(keys, dtype="<u8", count=1), _unplaned(keys.slice(8)))), dtype=np.uint64)
+    return keys << _SHORT, _unplaned(table["counts"][row].as_buffer()).astype(np.int64)
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """The arrays of one range from all tasks of a scan, as one."""
     parts = [_table_arrays(table, i) for i in range(table.num_rows)]
     keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-    return table.slice(0, 1).select(["n_words", "part"]).append_column("keys", pa.array([keys.tobytes()], pa.binary())).append_column("counts", pa.array([counts.tobytes()], pa.binary()))
+    return table.slice(0, 1).select(["n_words", "part"]).append_column("keys", pa.array([_stored_keys(keys)], pa.binary())).append_column("counts", pa.array([_planes(counts)], pa.binary()))
 
 
 def _newly_ready(last: int, threshold: int, bits: int):

@@ -2,7 +2,9 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -60,6 +62,21 @@ def test_collocations_long_texts_are_cut_at_pieces(spark, monkeypatch):
     assert all(len(t) <= 64 + 15 or b"." not in t[64:-1] for c in chunks for _, t in c)
 
 
+def test_collocations_counts_are_stored_in_few_bytes():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 64, 1 << 18, dtype=np.uint64) & C._KEPT)
+    counts = np.where(rng.random(len(keys)) < 0.01, 1 << 40, 1)
+    table = pa.Table.from_batches([C._arrays(2, keys, np.ones(len(keys), dtype=np.int32), 64)])
+    assert table.num_rows == 64 and sum(len(x.as_py()) for c in ("keys", "counts") for x in table[c]) < 7 * len(keys)
+    for other in (counts, np.ones(len(keys), dtype=np.int32)):
+        table = pa.Table.from_batches([C._arrays(2, keys, other, 64)])
+        back = [C._table_arrays(table, i) for i in range(64)]
+        assert (np.concatenate([k for k, _ in back]) == keys).all() and (np.concatenate([n for _, n in back]) == other).all()
+    few = keys[[0, 5, 9]]
+    merged = C._merge(pa.Table.from_batches([C._arrays(2, k, np.array([300] * len(k)), 1) for k in (few, few[1:], keys[-1:])]))
+    assert [x.tolist() for x in C._table_arrays(merged, 0)] == [[*few.tolist(), int(keys[-1])], [300, 600, 600, 300]]
+
+
 def test_collocations_odd_rows(spark, odd, nothing):
     rows = [(r.lang, r.text) for r in odd.collect()]
     assert phrases(C.collocations(odd)) == brute.collocations(rows)
