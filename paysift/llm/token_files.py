@@ -42,8 +42,9 @@ MARK = 128
 #: Ids after which a segment closes (at the end of a document).
 SEGMENT = 1 << 22
 END_ID = 2
-#: Pretokens whose ids a Python worker remembers.
+#: Pretokens whose ids a Python worker remembers, and new ones that the library takes as one text.
 REMEMBERED = 500_000
+JOINED = 256
 
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -215,41 +216,120 @@ class Segment:
 _WS = "\t-\r \x85\xa0"
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_WS}{_L}{_N}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _BEYOND = re.compile("[^\0-ɏ]")
+_SPACES = frozenset(re.findall(f"[{_WS}]", "".join(map(chr, range(0x250)))))
+#: Class of a code point: 0 white space, 1 letter, 2 number, 3 other.
+_KIND = np.array([0 if c in _SPACES else 1 if re.match(f"[{_L}]", c) else 2 if re.match(f"[{_N}]", c) else 3 for c in map(chr, range(0x250))], dtype=np.uint8)
+
+
+def _cuts(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pretokens of texts below U+0250 begin, as the pattern
+    ``'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^LNS]+|S+(?!\\S)|S+`` finds them; the last place is the end.
+
+    ``code`` holds the code points of the texts in one array, ``begins`` the start of each text and the end."""
+    kind, n = _KIND[code], len(code)
+    border = np.zeros(n + 1, dtype=bool)
+    border[begins] = True
+    edge = border.copy()  # runs of one class
+    edge[1:n] |= kind[1:] != kind[:-1]
+    cut = edge.copy()
+    # white space before a run leaves its last character, and a blank goes with that run
+    last = np.flatnonzero((kind == 0) & edge[1:] & ~border[1:])
+    cut[last] = True
+    cut[last[code[last] == 32] + 1] = False
+    # a contraction takes its letters from the run behind
+    mark = np.flatnonzero((code == 39) & cut[:n] & edge[1:] & ~border[1:])
+    if len(mark):
+        one, two = code[mark + 1], np.where(border[mark + 2], 0, code[np.minimum(mark + 2, n - 1)])
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.isin(one, [ord(c) for c in "rv"]) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        cut[mark[short | long] + 1] = False
+        cut[mark[short] + 2] = True
+        cut[mark[long] + 3] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Token ids as little-endian bytes. Pretokens of byte-level BPE are encoded once and remembered
+    """Token ids as little-endian bytes. Pretokens of byte-level BPE are encoded once and remembered as Arrow arrays
     (the library keeps few of them); texts beyond U+024F or with the string of an added token go to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_list(pa.uint32()))
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                          and not spec.get("normalizer"))
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        vocab = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.blank[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # byte level writes a blank so
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, words: pa.Array) -> pa.Array:
+        """Lists of the ids of pretokens, each a text for the library."""
+        raw = self._library(words.to_pylist())
+        return pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, raw)]) // 4), pa.array(np.frombuffer(b"".join(raw), dtype="<u4")))
+
+    def _joined(self, words: pa.Array) -> pa.Array:
+        """The same for pretokens of a blank and other characters, many to a text: the library cuts them there again,
+        and the tokens that begin with a blank are the first of each."""
+        at, text = np.frombuffer(words.buffers()[1], dtype="<i8")[: len(words) + 1], words.buffers()[2].to_pybytes()
+        groups = [*at[:-1:JOINED].tolist(), int(at[-1])]
+        texts = [text[x:y].decode() for x, y in zip(groups, groups[1:])]
+        raw = self._library(texts)
+        flat = np.frombuffer(b"".join(raw), dtype="<u4")
+        first = np.flatnonzero(self.blank[flat])
+        ends = np.searchsorted(first, np.cumsum([0, *map(len, raw)]) // 4)
+        wanted = np.minimum(np.arange(len(groups)) * JOINED, len(words))
+        if not np.array_equal(ends, wanted) or any(a in t for t in texts for a in self.added):
+            return self._each(words)
+        return pa.LargeListArray.from_arrays(pa.array(np.append(first, len(flat))), pa.array(flat))
+
+    def _fresh(self, words: pa.Array) -> pa.Array:
+        """Lists of the ids of distinct pretokens."""
+        at = np.frombuffer(words.buffers()[1], dtype="<i8")[words.offset: words.offset + len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)
+        second = raw[np.minimum(at[:-1] + 1, len(raw) - 1)]
+        # a second character in U+0080 to U+00BF may be white space
+        join = (raw[at[:-1]] == 32) & (np.diff(at) > 1) & (second > 32) & (second != 0xC2)
+        order = np.argsort(~join, kind="stable")
+        many = int(join.sum())
+        ordered = words.take(pa.array(order))
+        parts = [encode(w) for encode, w in ((self._joined, ordered[:many]), (self._each, ordered[many:])) if len(w)]
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(order)))
+
+    def _by_piece(self, texts: list[str]) -> list[bytes]:
+        text = "".join(texts)
+        if not text:
+            return [b""] * len(texts)
+        code = np.frombuffer(text.encode("utf-16-le"), dtype="<u2")
+        begins = np.cumsum([0, *map(len, texts)])
+        cuts = _cuts(code, begins)
+        place = cuts + np.searchsorted(np.flatnonzero(code >= 0x80), cuts)  # in UTF-8
+        coded = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(place), pa.py_buffer(text.encode())]).dictionary_encode()
+        known = len(self.words)  # distinct as they are, they get the first numbers
+        every = pa.concat_arrays([self.words, coded.dictionary]).dictionary_encode()
+        words, ids, number = every.dictionary, self.ids, every.indices[known:]
+        if len(words) > known:
+            ids = pa.concat_arrays([ids, self._fresh(words[known:])])
+        used = ids.take(number)
+        lists = used.take(coded.indices)
+        # beyond the room, go on with those of these texts
+        self.words, self.ids = (words, ids) if len(words) <= REMEMBERED else (coded.dictionary, used)
+        raw = memoryview(lists.values.to_numpy()).cast("B")
+        ends = 4 * lists.offsets.to_numpy()[np.searchsorted(cuts, begins)]
+        return [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if not self.by_piece or _BEYOND.search(t) or any(a in t for a in self.added)]
-        pieces = [_PIECES.findall(t) for t in texts] if len(whole) < len(texts) else []
+        rest = sorted(set(range(len(texts))).difference(whole))
         out: list[bytes] = [b""] * len(texts)
-        if pieces:
-            for i in whole:
-                pieces[i] = []
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set(chain.from_iterable(pieces)).difference(self.known))
-            self.known.update(zip(new, self._library(new)))
-            get = self.known.__getitem__
-            out = [b"".join(map(get, p)) for p in pieces]
-        for i, got in zip(whole, self._library([texts[i] for i in whole])):
+        for i, got in chain(zip(rest, self._by_piece([texts[i] for i in rest])), zip(whole, self._library([texts[i] for i in whole]))):
             out[i] = got
         return out
 
@@ -265,7 +345,7 @@ def _encoder(path: str) -> Encoder:
 
 # ---- Spark ------------------------------------------------------------------------------------------------
 
-def _some(texts: Iterator[tuple], most: int = 1 << 20) -> Iterator[list[tuple]]:
+def _some(texts: Iterator[tuple], most: int = 1 << 23) -> Iterator[list[tuple]]:
     """Groups of (id, text) of about ``most`` characters."""
     held, size = [], 0
     for row in texts:

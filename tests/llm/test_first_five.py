@@ -190,6 +190,33 @@ def test_pretokens_equal_the_library():
     assert enc.encode(texts) == enc._library(texts)
 
 
+def test_new_pretokens_go_to_the_library_many_to_a_text(monkeypatch):
+    import public_tokenizers
+    enc = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(8)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(6000)]
+    texts = [" ".join(words[i:i + 300]) for i in range(0, 6000, 300)]
+    plain, given = enc._library, []
+    want = plain(texts)
+    monkeypatch.setattr(enc, "_library", lambda some: given.append(len(some)) or plain(some))
+    assert enc.encode(texts) == want
+    assert sum(given) < 100
+    given.clear()
+    assert enc.encode(texts[::-1]) == want[::-1] and sum(given) == 0
+
+
+def test_cuts_of_mixed_characters_and_a_full_memory(monkeypatch):
+    import public_tokenizers
+    enc = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_files, "REMEMBERED", 200)
+    monkeypatch.setattr(token_files, "JOINED", 3)
+    rng = np.random.default_rng(9)
+    chars = list("' ' '\t\n\xa0stremvlldabSTé1²_.<|\x85\x1c")
+    for _ in range(500):
+        texts = ["".join(rng.choice(chars, rng.integers(0, 15))) for _ in range(4)]
+        assert enc.encode(texts) == enc._library(texts)
+
+
 def test_strings_of_added_tokens_equal_an_untouched_tokenizer(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
