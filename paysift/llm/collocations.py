@@ -37,6 +37,7 @@ byte order; empty tables give no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -61,12 +62,15 @@ BITS = 23
 #: Ranges of hashes a shuffle partition, and keys a task holds before it sends them on.
 RANGES = 4
 HELD = 1 << 20
+#: Ranges of hashes a shuffle partition in the last scan, whose texts take more room.
+TEXT_RANGES = 16
 #: Bytes of text that a task takes at once.
 CHUNK = 3 << 20
 #: First ranks are taken in this many parts of a language, then in fewer.
 SALTS = (64, 4)
 
 COUNTS = "n_words int, part int, keys binary, counts binary"
+TEXTS = "part int, names array<string>, langs binary, phrases binary, counts binary"
 PHRASES = "lang string, phrase string, c long"
 
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
@@ -74,6 +78,7 @@ _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if
 #: Bits of a hash that are kept, the upper ones.
 _SHORT = np.uint64(16)
 _KEPT = ~np.uint64((1 << 16) - 1)
+_CODEC = pa.Codec("zstd", 1)
 #: Stops are kept in a byte.
 _NEVER = 255
 
@@ -149,8 +154,8 @@ class _Chunk:
         """Whether the phrase from a word on lies within a piece."""
         return self.piece[: len(self.piece) - length + 1] == self.piece[length - 1:]
 
-    def texts(self, at: np.ndarray, length: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
-        """Language, text and count of the distinct phrases at the given words."""
+    def texts(self, at: np.ndarray, length: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        """Language, text and count of the distinct phrases at the given words, and the first of those words."""
         word = self._distinct.cast(pa.string()).take(pa.array(self._used))
         key = self.code[at].astype(np.int64)
         for i in range(1, length):
@@ -160,7 +165,7 @@ class _Chunk:
         _, first, many = np.unique(key, return_index=True, return_counts=True)
         first = at[first]
         words = [word.take(pa.array(self.code[first + i])) for i in range(length)]
-        return pa.array(self.names).take(pa.array(self.lang[first])), pc.binary_join_element_wise(*words, " ") if length > 1 else words[0], many
+        return pa.array(self.names).take(pa.array(self.lang[first])), pc.binary_join_element_wise(*words, " ") if length > 1 else words[0], many, first
 
 
 def _buckets(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,13 +224,18 @@ def _stored_keys(keys: np.ndarray) -> bytes:
     return short[:1].astype("<u8").tobytes() + _planes(np.diff(short))
 
 
+def _part(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key."""
+    return ((keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int32)
+
+
 def _arrays(length: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
     """A row for every range that sorted keys touch."""
-    part = (keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
+    part = _part(keys, ranges)
     cut = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
     spans = list(zip(cut[:-1], cut[1:]))
     return pa.RecordBatch.from_arrays([
-        pa.array([length] * len(spans), pa.int32()), pa.array(part[cut[:-1]].astype(np.int32)),
+        pa.array([length] * len(spans), pa.int32()), pa.array(part[cut[:-1]]),
         pa.array([_stored_keys(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(counts[a:b]) for a, b in spans], pa.binary())],
         names=["n_words", "part", "keys", "counts"])
 
@@ -281,20 +291,84 @@ def _newly_ready(last: int, threshold: int, bits: int):
     return check
 
 
-def _texts(docs: list[tuple[str, bytes]], max_words: int, ready: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+def _texts(docs: list[tuple[str, bytes]], max_words: int, ready: list[np.ndarray], bits: int, parts: int) -> Iterator[pa.Table]:
     """Texts and counts of the phrases of one chunk that became ready; the empty phrase has the number of words of its language."""
     chunk = _Chunk(docs)
     if not len(chunk.code):
         return
 
-    def rows(lang, phrase, counts):
-        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(counts, pa.int64())], names=["lang", "phrase", "c"])
+    def rows(lang, phrase, counts, part):
+        return pa.table({"lang": lang, "phrase": phrase, "c": pa.array(counts, pa.int64()), "part": pa.array(part, pa.int32())})
     counts = np.bincount(chunk.lang, minlength=len(chunk.names))
-    yield rows(pa.array(chunk.names), pa.array([""] * len(counts)), counts)
+    yield rows(pa.array(chunk.names), pa.array([""] * len(counts)), counts, np.zeros(len(counts), dtype=np.int32))
     for length, found in chunk.hashes(max_words):
         at = np.flatnonzero(chunk.whole(length) & (_since(ready[length - 1], found, bits) != _NEVER))
         if len(at):
-            yield rows(*chunk.texts(at, length))
+            lang, phrase, counts, first = chunk.texts(at, length)
+            yield rows(lang, phrase, counts, _part(found[first], parts))
+
+
+def _squeezed(data: bytes) -> bytes:
+    return struct.pack("<q", len(data)) + _CODEC.compress(data, asbytes=True)
+
+
+def _unsqueezed(data: pa.Buffer) -> bytes:
+    return _CODEC.decompress(data.slice(8), struct.unpack("<q", data[:8])[0], asbytes=True) if data.size > 8 else b""
+
+
+def _added_up(tables: list[pa.Table], *keys: str) -> pa.Table:
+    return pa.concat_tables(tables).group_by([*keys, "lang", "phrase"], use_threads=False).aggregate([("c", "sum")]).rename_columns([*keys, "lang", "phrase", "c"])
+
+
+def _packed(table: pa.Table) -> pa.RecordBatch:
+    """A row for every part: its phrases, a line each (no phrase has a line break), their languages by number, their counts."""
+    table = table.take(pa.array(np.argsort(table["part"].to_numpy(), kind="stable"))).combine_chunks()
+    part, phrase = table["part"].to_numpy(), pc.cast(table["phrase"].combine_chunks(), pa.large_string())
+    coded = table["lang"].combine_chunks().dictionary_encode()
+    lang, counts = coded.indices.to_numpy(), table["c"].to_numpy()
+    cut = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])).tolist()
+    lines = pc.binary_join_element_wise(phrase, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    ends = np.frombuffer(lines.buffers()[1], dtype="<i8")[: len(lines) + 1]
+    text = memoryview(lines.buffers()[2])
+    spans = list(zip(cut, cut[1:]))
+    return pa.RecordBatch.from_arrays([
+        pa.array(part[cut[:-1]]), pa.array([coded.dictionary.to_pylist()] * len(spans), pa.list_(pa.string())),
+        pa.array([_squeezed(_planes(lang[a:b])) for a, b in spans], pa.binary()),
+        pa.array([_squeezed(bytes(text[ends[a]:ends[b]])) for a, b in spans], pa.binary()),
+        pa.array([_squeezed(_planes(counts[a:b])) for a, b in spans], pa.binary())], names=["part", "names", "langs", "phrases", "counts"])
+
+
+def _unpacked(table: pa.Table) -> Iterator[pa.Table]:
+    """The phrases of each row of one part."""
+    for row in range(table.num_rows):
+        names = table["names"][row].values
+        langs, counts = (_unplaned(pa.py_buffer(_unsqueezed(table[c][row].as_buffer()))) for c in ("langs", "counts"))
+        raw = np.frombuffer(_unsqueezed(table["phrases"][row].as_buffer()), dtype=np.uint8)
+        line = raw == 10
+        ends = np.concatenate(([0], np.flatnonzero(line) - np.arange(len(langs)))).astype("<i8")
+        phrase = pa.Array.from_buffers(pa.large_string(), len(langs), [None, pa.py_buffer(ends), pa.py_buffer(raw[~line])])
+        yield pa.table({"lang": names.take(pa.array(langs.astype(np.int64))), "phrase": phrase, "c": pa.array(counts.astype(np.int64))})
+
+
+def _ready_texts(batches, max_words: int, ready: list[np.ndarray], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """A task of the last scan: texts counted over its chunks, about HELD at most at a time."""
+    held: list[pa.Table] = []
+    for docs in _chunks(batches):
+        held += _texts(docs, max_words, ready, bits, parts)
+        if sum(t.num_rows for t in held) > HELD:
+            yield _packed(_added_up(held, "part"))
+            held = []
+    if held:
+        yield _packed(_added_up(held, "part"))
+
+
+def _often(threshold: int):
+    """Phrases of one part that come often enough, and the words of each language."""
+    def check(table: pa.Table) -> pa.Table:
+        total = _added_up(list(_unpacked(table)))
+        total = total.filter(pc.or_(pc.greater_equal(total["c"], threshold), pc.equal(total["phrase"], "")))
+        return total.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())]))
+    return check
 
 
 def ready_phrases(shard: DataFrame, max_words: int, threshold: int, shards: int, bits: int) -> list[np.ndarray]:
@@ -342,11 +416,13 @@ def phrase_counts(docs: DataFrame, max_words: int = WORDS, threshold: int = THRE
     shard = spark.read.schema("lang string, text string, _shard int").parquet(path)
     ready = spark.sparkContext.broadcast(ready_phrases(shard, max_words, threshold, shards, bits))
 
+    parts = TEXT_RANGES * widths(spark)
+
     def task(batches):
-        for chunk in _chunks(batches):
-            yield from _texts(chunk, max_words, ready.value, bits)
-    counts = map_arrow(shard.select("lang", "text"), task, PHRASES).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
-    often = stored(counts.filter((F.col("f") >= threshold) | (F.col("phrase") == "")), "often")
+        return _ready_texts(batches, max_words, ready.value, bits, parts)
+    counts = map_arrow(shard.select("lang", "text"), task, TEXTS).groupBy("part").applyInArrow(_often(threshold), PHRASES)
+    # words of a language are in one part, as each phrase is
+    often = stored(counts.withColumnRenamed("c", "f"), "often")
     ready.destroy()
     phrases = often.filter("phrase <> ''").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")
     return phrases, often.filter("phrase = ''").select("lang", F.col("f").alias("n"))

@@ -77,6 +77,19 @@ def test_collocations_counts_are_stored_in_few_bytes():
     assert [x.tolist() for x in C._table_arrays(merged, 0)] == [[*few.tolist(), int(keys[-1])], [300, 600, 600, 300]]
 
 
+def test_collocations_texts_are_shuffled_in_few_bytes():
+    rng = np.random.default_rng(11)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(3000)]
+    docs = [(f"l{k % 3}", " ".join(rng.choice(words, 400)).encode()) for k in range(200)]
+    ready = [np.zeros(1 << 10, dtype=np.uint8)] * 3
+    plain = C._added_up(list(C._texts(docs, 3, ready, 10, 8)), "part")
+    row = pa.Table.from_batches([C._packed(plain)])
+    assert sorted(row["part"].to_pylist()) == list(range(8))
+    back = pa.concat_tables(C._unpacked(row)).to_pylist()
+    assert sorted(map(repr, back)) == sorted(map(repr, plain.select(["lang", "phrase", "c"]).to_pylist()))
+    assert row.nbytes < 0.6 * plain.nbytes
+
+
 def test_collocations_odd_rows(spark, odd, nothing):
     rows = [(r.lang, r.text) for r in odd.collect()]
     assert phrases(C.collocations(odd)) == brute.collocations(rows)
