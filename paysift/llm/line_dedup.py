@@ -5,18 +5,28 @@ line is one token), as for all near-duplicate work on shingles in this library;
 lines match at a Jaccard similarity of 0.8 or more. A line is removed if an
 earlier line - smaller (doc_id, hash of the text, line number) - matches it.
 
-1. Equal lines are one class, represented by its first line; copies never meet.
-2. Tokens are ordered by rarity: the frequency of each of 2^16 token buckets is
-   counted over all lines (a literal of fixed size), ties by token. Any total
-   order keeps the join exact; this one puts common tokens last.
-3. Prefix filter: sets that reach the threshold share one of their first
-   n - ceil(0.8 n) + 1 tokens. Only these are posted and joined by token.
-4. Length filter (the smaller set has at least 0.8 of the larger one's tokens)
-   and positional filter (tokens left behind both positions must still suffice)
-   act inside that join.
-5. Candidates are verified on the full token sets, read again for these lines alone.
-
-No line text is shuffled but that of candidates: a line is known by 128 bits and its place.
+1. Prefix filter: sets that reach the threshold share one of their first
+   n - ceil(0.8 n) + 1 tokens in any total order. First the order is that of the
+   token hashes, so one reading of the lines gives all prefixes.
+2. Equal lines are one class, represented by its first line, with its prefix; copies never meet.
+3. Prefix tokens in buckets with clearly more postings than the average are common.
+   The others are posted and joined by token: this finds every link with a line
+   that has no common token in its prefix, as the first token both share is in both prefixes.
+   No token of this join has more postings than such a bucket, so its partitions are even and are hashed, not sorted.
+4. The lines met so far and those with a common token in their prefix are read again.
+   The latter are joined among themselves, by prefixes in order of rarity: the
+   frequency of each of 2^16 token buckets over these lines (a literal of fixed
+   size), ties by token.
+5. Pairs pass the length filter (the smaller set has at least 0.8 of the larger
+   one's tokens), the positional filter (tokens left behind both positions of the
+   first shared token must still suffice) and the overlap filter: of two prefixes the
+   one that ends first holds all shared tokens up to there, so the shared prefix
+   tokens and what is behind that prefix must suffice. Pairs of step 3 with common tokens
+   may fail it for the tokens left out; both their lines are then in step 4.
+6. Candidates are verified on the full token sets read in step 4.
+
+No line text is shuffled but that of step 4: a line is known by 128 bits and its place.
+Postings and candidates carry 64 of these bits; lines that share them are all verified.
 
 Cases: lines without a word are no lines here (kept, not counted). Null text has
 no lines. A null doc_id comes first in the order. Repeated rows of one doc_id and
@@ -27,6 +37,7 @@ Empty tables give no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,19 +45,49 @@ from pyspark.sql import functions as F
 from .common import packed, row_key, same_key, split_words, stored
 
 SHINGLE = 5
-#: Token buckets whose frequency is counted, and class buckets of the flag table.
-BUCKETS = 1 << 16
-FLAGS = 1 << 20
+#: Bits of the token buckets whose frequency is counted, of those for common prefix tokens, and of a flag table's slots.
+BUCKET_BITS = 16
+COMMON_BITS = 18
+FLAG_BITS = 21
+#: Arrays up to this length are built by one expression a place, so many places at a time: Spark compiles these, but not lambda functions.
+PLACES, STEP = 128, 16
 
 # ``explode_outer`` below: a plain ``explode`` makes the optimiser add a filter
 # that evaluates the exploded expression a second time.
 
 
-def _tokens(w: Column) -> Column:
-    """Distinct shingle hashes of a line's words (55 bits, so that a rarity fits above them)."""
-    last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), 9))
-    return F.array_distinct(hashes)
+def _words(line: Column) -> Column:
+    """Words of a line, as ``split_words`` has them; a pattern of one character is split without a regular expression."""
+    for space in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _each(value: Callable[[str], str], n: str) -> Column:
+    """Array of ``value(i)`` (SQL, a bigint and never null) for i from 0 to n - 1, n at least 1."""
+    steps = [f"array({', '.join(value(str(i)) for i in range(k, k + STEP))})" for k in range(0, PLACES, STEP)]
+    steps[1:] = [f"if({n} > {k * STEP}, {x}, cast(array() as array<bigint>))" for k, x in enumerate(steps[1:], 1)]
+    return F.expr(f"if({n} <= {PLACES}, slice(concat({', '.join(steps)}), 1, {n}), transform(sequence(0, {n} - 1), i -> {value('i')}))")
+
+
+def _shingle(word: Callable[[str], str], i: str) -> str:
+    """Hash of the words from place i (55 bits, so that a rarity fits above them); ``word``: the hash at a place, null behind the last."""
+    places = [str(int(i) + k) if i.isdigit() else f"{i} + {k}" for k in range(SHINGLE)]
+    return f"shiftrightunsigned(xxhash64({', '.join(map(word, places))}), 9)"
+
+
+def _with_tokens(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``tokens``, the distinct shingle hashes of ``line``.
+
+    The words' hashes are a column of their own: for each shingle the line must not be split anew."""
+    rows = rows.select(*keep, F.transform(_words(F.col("line")), lambda x: F.xxhash64(x)).alias("w"))
+    rows = rows.select(*keep, "w", F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1)).alias("m"))
+    return rows.select(*keep, F.array_distinct(_each(lambda i: _shingle(lambda k: f"get(w, {k})", i), "m")).alias("tokens"))
+
+
+def _table(values: list[int]) -> Column:
+    """An array of a fixed size, folded to one literal."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -56,68 +97,94 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit("second"), "line").alias("c2"))
 
 
-def _with_words(rows: DataFrame, *keep: str) -> DataFrame:
-    """``w``, the words of ``line``, as a column of its own: inside the shingle loop it must not be split anew."""
-    return rows.select(*keep, split_words(F.col("line")).alias("w"))
+def _prefixes(rows: DataFrame, *keep: str, tenths: int, rank: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``keep``, n and ``prefix`` of ``tokens``, in the order of ``rank`` (of a token, else the token itself)."""
+    rows = rows.select(*keep, "tokens", F.size("tokens").alias("n"))
+    least = F.floor((F.col("n").cast("long") * tenths + 9) / 10)  # ceil(n * tenths / 10)
+    ranked = F.transform("tokens", rank) if rank else F.col("tokens")
+    return rows.select(*keep, "n", F.slice(F.sort_array(ranked), F.lit(1), (F.col("n") - least + 1).cast("int")).alias("prefix"))
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """(c1, c2, first): distinct lines with the place of their first occurrence."""
-    return lines(docs).groupBy("c1", "c2").agg(F.min(F.struct("_id", "_th", "line_no")).alias("first"))
-
-
-def _first_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of ``rows`` that are the first of their class. The key holds the place, so a frequent line is no hot key."""
-    f = classes.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first._id").alias("f_id"), F.col("first._th").alias("f_th"),
-                       F.col("first.line_no").alias("f_no"))
-    return rows.join(f, (rows["c1"] == f["f1"]) & (rows["c2"] == f["f2"]) & rows["_id"].eqNullSafe(f["f_id"])
-                     & (rows["_th"] == f["f_th"]) & (rows["line_no"] == f["f_no"]), "left_semi")
+def line_classes(docs: DataFrame, tenths: int = 8) -> DataFrame:
+    """(c1, c2, first, n, prefix): distinct lines with the place of their first occurrence, how many tokens they have, and the first of these."""
+    keys = ["_id", "_th", "line_no", "c1", "c2"]
+    rows = _prefixes(_with_tokens(lines(docs), *keys), *keys, tenths=tenths)
+    return rows.groupBy("c1", "c2").agg(F.min(F.struct("_id", "_th", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+
+
+def _flagged(slots: DataFrame, bits: int = FLAG_BITS) -> Callable[[Column], Column]:
+    """A test whether the lowest bits of a number are those of one in ``slots`` (its only column)."""
+    low = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    place = lambda x: F.shiftright(low(x), 6).cast("int")
+    slot = F.col(slots.columns[0])
+    table = [0] * (1 << bits - 6)
+    for r in slots.groupBy(place(slot).alias("id")).agg(F.bit_or(bit(slot)).alias("bits")).collect():
+        table[r["id"]] = r["bits"]
+    return lambda x: F.get(_table(table), place(x)).bitwiseAND(bit(x)) != 0
+
+
+def _common(posted: DataFrame) -> DataFrame:
+    """(id): token buckets (lowest bits) with clearly more postings than the average."""
+    counts = posted.groupBy(F.col("token").bitwiseAND(F.lit((1 << COMMON_BITS) - 1)).cast("int").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    average = posted.count() / (1 << COMMON_BITS)
+    return counts.filter(F.col("n") > 2 * average + 32).select(F.col("id").cast("long"))
+
+
+def _rarity(sets: DataFrame) -> Callable[[Column], Column]:
+    """A token with the rarity of its bucket above it: 0 to 255, whatever the corpus, its frequency in ``sets`` on a log scale."""
+    bucket = lambda t: F.shiftright(t, 55 - BUCKET_BITS).cast("int")
+    counts = sets.select(F.explode_outer("tokens").alias("token")).groupBy(bucket(F.col("token")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    table = [0] * (1 << BUCKET_BITS)
+    for r in counts.collect():
+        table[r["id"]] = min(255, int(6 * math.log2(r["n"] + 1))) << 55
+    return lambda t: F.get(_table(table), bucket(t)).bitwiseOR(t)
 
 
-def similar(docs: DataFrame, classes: DataFrame, tenths: int = 8) -> DataFrame:
-    """(a1, a2, b1, b2): each link once, of classes whose token sets reach a Jaccard similarity of tenths / 10."""
-    spark = docs.sparkSession
-    bucket = F.pmod(F.col("token"), F.lit(BUCKETS)).cast("int")
-    counts = (_with_words(lines(docs)).select(F.explode_outer(_tokens(F.col("w"))).alias("token"))
-              .groupBy(bucket.alias("id")).agg(F.count(F.lit(1)).alias("n")))
-    table = [0] * BUCKETS  # 0..255 per bucket, whatever the corpus: its frequency on a log scale
-    for r in counts.collect():
-        table[r["id"]] = min(255, int(6 * math.log2(r["n"] + 1)))
-    rarity = F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)")  # folded to one literal
+def _posted(prefixes: DataFrame) -> DataFrame:
+    return prefixes.select("c1", "n", F.posexplode_outer("prefix").alias("pos", "token"))
 
-    # rarity in the upper bits, the token below: sorted as plain numbers
-    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(rarity, F.pmod(t, F.lit(BUCKETS)).cast("int")), 55).bitwiseOR(t)))
-    n = F.col("n").cast("long")
-    least = F.floor((n * tenths + 9) / 10)  # ceil(n * tenths / 10)
-    keys = ["_id", "_th", "line_no", "c1", "c2"]
-    sets = _with_words(lines(docs), *keys).select(*keys, _tokens(F.col("w")).alias("tokens"))
-    sets = sets.select(*keys, F.size("tokens").alias("n"), ordered.alias("tokens"))
-    prefixes = sets.select(*keys, "n", F.slice("tokens", F.lit(1), (n - least + 1).cast("int")).alias("prefix"))
-    posted = _first_lines(prefixes, classes).select("c1", "c2", "n", F.posexplode_outer("prefix").alias("pos", "token"))
 
-    a = posted.select("token", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("n").alias("an"), F.col("pos").alias("ap"))
-    b = posted.select("token", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
+def _met(posted: DataFrame, tenths: int, how: str) -> DataFrame:
+    """(a1, b1): lines that may reach the threshold by their sizes and the tokens their prefixes share."""
+    a = posted.select("token", F.col("c1").alias("a1"), F.col("n").alias("an"), F.col("pos").alias("ap"))
+    b = posted.select("token", F.col("c1").alias("b1"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
     # overlap o reaches the threshold when 10 o >= tenths (an + bn - o)
     most = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
-    met = a.join(b, (a["token"] == b["token"]) & ((F.col("a1") < F.col("b1")) | (F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-                 & (F.col("an") * 10 >= F.col("bn") * tenths) & (F.col("bn") * 10 >= F.col("an") * tenths)
-                 & (most * (10 + tenths) >= (F.col("an") + F.col("bn")) * tenths))
-    candidates = stored(met.select("a1", "a2", "b1", "b2").distinct(), "lines-candidates")
-
-    # token sets of the classes involved: a flag per class bucket keeps most other lines out before the join
-    involved = stored(candidates.select(F.explode(F.array(
-        F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")))).alias("c"))
-        .select("c.*").distinct().join(classes, ["c1", "c2"]), "lines-involved")
-    slot = F.pmod(F.col("c1"), F.lit(FLAGS)).cast("int")
-    taken = involved.select(slot.alias("id")).distinct().withColumn("on", F.lit(True))
-    every = spark.range(FLAGS).select(F.col("id").cast("int").alias("id")).join(taken, "id", "left")
-    flags = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("on", F.lit(False)).alias("on")))).getField("on").alias("f")).scalar()
-    firsts = _first_lines(lines(docs).filter(F.get(flags, slot)), involved)
-    sets = stored(_with_words(firsts, "c1", "c2").select("c1", "c2", _tokens(F.col("w")).alias("t")), "lines-sets")
-    left = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("t").alias("at"))
-    right = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("t").alias("bt"))
+    pairs = (a.join(b.hint(how), (a["token"] == b["token"]) & (F.col("a1") < F.col("b1"))
+                    & (F.col("an") * 10 >= F.col("bn") * tenths) & (F.col("bn") * 10 >= F.col("an") * tenths))
+             .groupBy("a1", "b1", "an", "bn").agg(F.count(F.lit(1)).alias("met"), F.max(most).alias("most")))
+    # the prefix that ends first holds all shared tokens up to its end: only what is behind it can be shared besides
+    behind = F.floor((F.greatest("an", "bn").cast("long") * tenths + 9) / 10) - 1
+    return pairs.filter(F.least(F.col("met") + behind, F.col("most")) * (10 + tenths) >= (F.col("an") + F.col("bn")) * tenths).select("a1", "b1")
+
+
+def _read_again(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(c1, c2, common, tokens) of the lines at ``places``; flags for the places keep most other lines out before the join."""
+    at = F.xxhash64("_th", "line_no")
+    rows = docs.select(*row_key(), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).filter(_flagged(places.select(at))(at))
+    found = rows.join(places, same_key(rows, places) & (rows["line_no"] == places["line_no"])).select("c1", "c2", "common", F.lower("line").alias("line"))
+    return _with_tokens(found, "c1", "c2", "common")
+
+
+def similar(docs: DataFrame, classes: DataFrame, tenths: int = 8) -> DataFrame:
+    """(a1, a2, b1, b2): each link once, of classes whose token sets reach a Jaccard similarity of tenths / 10."""
+    posted = _posted(classes)
+    common = _flagged(_common(posted), COMMON_BITS)(F.col("token"))
+    met = stored(_met(posted.filter(~common), tenths, "shuffle_hash"), "lines-met")
+
+    lines_again = met.select(F.explode(F.array("a1", "b1")).alias("c1"), F.lit(False).alias("common")).union(
+        posted.filter(common).select("c1", F.lit(True))).groupBy("c1").agg(F.max("common").alias("common"))
+    places = stored(lines_again.join(classes.select("c1", "c2", "first"), "c1").select("c1", "c2", "common", "first.*"), "lines-again")
+    sets = stored(_read_again(docs, places), "lines-sets")
+    some = sets.filter("common")
+    rare_first = _posted(_prefixes(some, "c1", tenths=tenths, rank=_rarity(some)))
+    candidates = stored(met.union(_met(rare_first, tenths, "merge")).distinct(), "lines-candidates")
+
+    left = sets.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("tokens").alias("at"))
+    right = sets.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("tokens").alias("bt"))
     shared = F.size(F.array_intersect("at", "bt"))
-    return (candidates.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
+    return (candidates.join(left, "a1").join(right, "b1")
             .filter(shared * (10 + tenths) >= (F.size("at") + F.size("bt")) * tenths).select("a1", "a2", "b1", "b2").distinct())
 
 

@@ -46,6 +46,24 @@ def test_line_links_equal_brute_force(spark):
     assert sum(r[4] for r in want) > 0 and sum(r[3] for r in want) > 3
 
 
+def test_lines_with_a_common_passage(spark, monkeypatch):
+    """One derivation of the lines gives all prefixes; lines whose prefix holds a common token are joined apart and lose no link."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [f"{passage} " + " ".join(f"u{i}x{k}" for k in range(5)) for i in range(60)]
+    texts += [texts[3] + " more", texts[4].replace(" ", "\t"), passage, passage + " p12", passage.upper()]
+    long = " ".join(f"w{i % 97} {i}" for i in range(300))
+    texts += [long, long + " end", long.replace(" 7 ", " seven\x0b"), long + " " + passage, BASE, BASE + " end"]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    calls = []
+    monkeypatch.setattr(line_dedup, "lines", lambda rows, f=line_dedup.lines: calls.append(1) or f(rows))
+    got = rows_of(line_dedup.op1_line_dedup(spark, df))
+    assert got == sorted(brute.line_links(docs), key=repr)
+    assert sum(r[4] for r in got) >= 10
+    assert len(calls) == 1
+    assert line_dedup._common(line_dedup._posted(line_dedup.line_classes(df))).count() > 0
+
+
 def test_line_dedup_odd_rows(odd, nothing):
     rows = line_dedup.op1_line_dedup(odd.sparkSession, odd).collect()
     assert len(rows) == odd.count() and all(0 <= r["n_kept"] <= r["n_lines"] for r in rows)
