@@ -11,6 +11,10 @@ document and the documents of a pair per block of texts; Spark adds the blocks'
 finds the highest count of every A id, and brings each block only the counts of its own
 distinct pairs. Blocks lie in the shared folder in between, so no text is encoded twice.
 
+Memory: a block is a few MB whatever the input. Each is a row group of its own, so that writers and
+readers hold one at a time, and its long arrays pass the JVM compressed. Blocks and counts meet
+block by block behind a sort that can spill; no list of counts is built on the heap.
+
 A is cut by tiktoken over the ranks of the tokenizer file if that file is a plain
 byte-level BPE whose ids follow its merges (far less CPU, same ids), else by the
 tokenizers library. Broadcast: one highest count per A id, at most the vocabulary.
@@ -40,11 +44,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_arrow, stored
+from .common import importable, map_arrow, release_memory, stored
 
 #: Bytes of text aligned at once, and in a block that shares one list of pairs.
 CHUNK = 2 << 20
 BLOCK = 8 << 20
+#: A row counts as so many bytes more, so that blocks of short and empty texts end too.
+_ROW = 64
+#: Of the arrays that only Python reads.
+_PACK = pa.Codec("zstd", compression_level=1)
 #: Place of the document number in a (document, end) key.
 _DOC = 40
 
@@ -152,6 +160,14 @@ def _group_strings(cut: pa.Table, both: pa.ChunkedArray, ids: list[pa.ListArray]
     return pc.binary_join_element_wise(*sides, "|")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Id and text of every row; few at a time are Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     a, b = byte_bpe(a_path), pieces(b_path)
     base, number = TaskContext.get().partitionId() << 32, 0
@@ -184,48 +200,45 @@ def _blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, id_type
         def one(values, kind):
             values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+
+        def bytes_of(values):
+            return pa.array([_PACK.compress(np.ascontiguousarray(values.to_numpy(), dtype=np.int32), asbytes=True)], pa.binary())
         columns = list(zip(*docs))
         rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, [id_type, *[pa.int64()] * 4, pa.string(), pa.int32()])],
                                           names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs"])
         return pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), one(rows, rows.type), one(counts["pair"], pa.int64()),
-                                           one(counts["count_all"], pa.int64()), one(at, pa.int32()), one(mine["count_all"], pa.int32())],
+                                           one(counts["count_all"], pa.int64()), bytes_of(at), bytes_of(mine["count_all"])],
                                           names=["block", "docs", "pair", "held", "at", "times"])
 
-    for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.append(row)
-            held_size += len(row[1])
-            if held_size >= CHUNK:
-                chunk()
-                size, held, held_size = size + held_size, [], 0
-                if size >= BLOCK:
-                    yield block()
-                    docs, tables, size, number = [], [], 0, number + 1
+    for row in _rows(batches):
+        held.append(row)
+        held_size += len(row[1]) + _ROW
+        if held_size >= CHUNK:
+            chunk()
+            size, held, held_size = size + held_size, [], 0
+            if size >= BLOCK:
+                yield block()
+                docs, tables, size, number = [], [], 0, number + 1
     if held:
         chunk()
     if docs:
         yield block()
 
 
-def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents from blocks and the counts of their pairs."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            docs, at, times = (batch.column(n)[i].values for n in ("docs", "at", "times"))
-            asked = batch.column("asked")[i].values
-            n_best = count_sum = np.zeros(len(docs), dtype=np.int64)
-            if asked is not None and len(asked):
-                place, count, best = (asked.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "count", "best"))
-                order = np.argsort(place)
-                at, times = at.to_numpy(), times.to_numpy().astype(np.int64)
-                stop = np.cumsum(docs.field("n_pairs").to_numpy())
-
-                def by_doc(x):
-                    run = np.concatenate(([0], np.cumsum(x)))
-                    return run[stop] - run[np.concatenate(([0], stop[:-1]))]
-                n_best, count_sum = by_doc(times * best[order][at]), by_doc(times * count[order][at])
-            fields = {n: docs.field(n) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-            yield pa.RecordBatch.from_pydict(fields | {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum)})
+def _with_counts(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+    """Rows of a block's documents from the block and the counts of its pairs."""
+    docs = blocks["docs"].combine_chunks().flatten()
+    stop = np.cumsum(docs.field("n_pairs").to_numpy())
+    at, times = (np.frombuffer(_PACK.decompress(blocks[n][0].as_buffer(), int(stop[-1]) * 4), dtype=np.int32) for n in ("at", "times"))
+    place = asked["pos"].to_numpy()
+
+    def by_doc(name):
+        value = np.zeros(len(place), dtype=np.int64)
+        value[place] = asked[name].to_numpy()
+        run = np.concatenate(([0], np.cumsum(times * value[at])))
+        return run[stop] - run[np.concatenate(([0], stop[:-1]))]
+    fields = {n: docs.field(n) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
+    return pa.table(fields | {"n_best": pa.array(by_doc("best"), pa.int64()), "count_sum": pa.array(by_doc("count"), pa.int64())})
 
 
 def alignment(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -238,16 +251,21 @@ def alignment(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     blocks = stored(map_arrow(rows, lambda batches: _blocks(batches, a_path, b_path, arrow),
                               f"block long, docs array<struct<doc_id:{name},n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,n_pairs:int>>, "
-                              "pair array<bigint>, held array<bigint>, at array<int>, times array<int>"), "blocks")
+                              "pair array<bigint>, held array<bigint>, at binary, times binary"), "blocks", {"parquet.block.row.count.limit": "1"})
     counts = (blocks.select(F.explode(F.arrays_zip("pair", "held")).alias("p")).select("p.*")
               .groupBy("pair").agg(F.sum("held").alias("count")).withColumn("a", F.expr(f"pair div {wide}")))
     counts = stored(counts, "pairs")
     best = counts.groupBy("a").agg(F.max("count").alias("most"))  # at most one row per A id
     counts = counts.join(F.broadcast(best), "a").select("pair", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
-    asked = (blocks.select("block", F.posexplode("pair").alias("pos", "pair")).join(counts, "pair")
-             .groupBy("block").agg(F.collect_list(F.struct("pos", "count", "best")).alias("asked")))
-    whole = blocks.select("block", "docs", "at", "times").join(asked, "block", "left")
-    return map_arrow(whole, _with_counts, f"doc_id {name}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
+    asked = blocks.select("block", F.posexplode("pair").alias("pos", "pair")).join(counts, "pair").select(F.col("block").alias("of"), "pos", "count", "best")
+    importable(spark)
+
+    def run(mine, counted):
+        out = _with_counts(mine, counted)
+        release_memory()
+        return out
+    return (blocks.select("block", "docs", "at", "times").groupBy("block").cogroup(asked.groupBy("of"))
+            .applyInArrow(run, f"doc_id {name}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"))
 
 
 def op13_token_alignment(spark: SparkSession, docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:

@@ -203,3 +203,14 @@ def test_alignment_odd_rows(spark, odd, nothing, plain):
     assert sorted(rows13(got), key=repr) == sorted(want, key=repr)
     assert sorted((str(r.doc_id) for r in got.select("doc_id").collect())) == sorted(str(r.doc_id) for r in rows)
     assert A.op13_token_alignment(spark, nothing).count() == 0
+
+
+def test_alignment_holds_one_block(spark):
+    """Memory: a writer or reader holds one block at a time, and no list of counts is built on the heap."""
+    import pyarrow.parquet as pq
+    long = spark.range(6, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words 12 "), A.BLOCK // 28).alias("text"))
+    got = A.op13_token_alignment(spark, long)
+    files = {f.removeprefix("file://") for f in got.inputFiles() if "-blocks-" in f}
+    assert [m.row_group(i).num_rows for m in map(pq.read_metadata, files) for i in range(m.num_row_groups)] == [1, 1, 1]
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert len({(r.n_best, r.count_sum, r.groups_sha256) for r in got.collect()}) == 1
