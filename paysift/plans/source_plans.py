@@ -12,7 +12,7 @@ from paysift.sources import documents as DOC
 from paysift.sources import fixtures as fx
 from paysift.sources import params as PR
 from paysift.sources import sinks as SK
-from paysift.sources.payfile import FILE_HEADERS, raw_pay_file, read_pay_csv, write_pay_files
+from paysift.sources.payfile import FILE_HEADERS, land_pay_file, raw_pay_file, read_pay_csv
 from paysift.sources.tables import read_table
 
 from .catalog import query
@@ -27,7 +27,7 @@ from .sqltext import STAR_INNER, STAR_OUTER
        ctes=PAYFILE_CTE)
 def a01(spark, sf):
     path = SK.work_dir(spark, "landing")
-    write_pay_files(raw_pay_file(spark, sf), path)
+    land_pay_file(spark, sf, path)
     df = read_pay_csv(spark, path)
     return df.select(*[F.col(f"`{h}`") for h in FILE_HEADERS], "source_file")
 

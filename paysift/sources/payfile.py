@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paysift.functions.names import norm_text
 
 from . import fixtures as fx
 from .sinks import stored, together
+from .tables import read_table
 
 # The 15 file headers (in file order) and their canonical names.
 FILE_HEADERS = [
@@ -41,21 +42,40 @@ def fr_money(cents_col) -> F.Column:
     return F.when(c < 0, F.concat(F.lit("-"), txt)).otherwise(txt)
 
 
-def raw_pay_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger as a raw 15-column text pay file with the file headers."""
-    lg = fx.ledger(spark, sf_dir)
-    emp = fx.employees(spark, sf_dir).select("employee_id", "matricule_raw", "nom_complet", "categorie_emploi",
-                                             "titre_emploi")
+def pay_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the pay file as keys and numbers: what is moved or stored of them.
+
+    :func:`pay_texts` makes the 15 text columns, which are several times as long. A line's file is that of its ``pay_date``."""
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey")
+    people = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    people = people.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    return fx.ledger_lines(spark, sf_dir, people)
+
+
+def pay_texts(spark: SparkSession, sf_dir: str, lines: DataFrame, *keep: str) -> DataFrame:
+    """:func:`pay_lines` as the raw 15-column text pay file with the file headers, ``source_file`` and ``keep``."""
+    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     cd = F.broadcast(fx.codes(spark).select("pay_code", "label"))
+    j = fx.ledger_columns(lines, "c_nationkey", "c_mktsegment", *keep)
+    j = j.join(cd, "pay_code", "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    known = F.col("c_nationkey").isNotNull()  # of no one's line all of these are null
+    emp = {n: F.when(known, c) for n, c in fx.employee_texts("employee_id", "c_mktsegment").items()}
     txt, date_raw = fx.raw_text_columns()
-    j = lg.join(cd, "pay_code", "left").join(emp, "employee_id", "left")
     cols = [
-        F.col("source_row_no").cast("string"), F.col("categorie_emploi"), F.lit(None).cast("string"),
-        F.col("titre_emploi"), date_raw, F.col("matricule_raw"), F.col("nom_complet"), F.col("categorie_paie"),
+        F.col("source_row_no").cast("string"), emp["categorie_emploi"], F.lit(None).cast("string"),
+        F.col("n_name"), date_raw, emp["matricule_raw"], emp["nom_complet"], F.col("categorie_paie"),
         F.col("pay_code"), F.col("label"), F.col("budget_post"), F.lit(None).cast("string"), txt,
         fr_money("employer_cents"), fr_money(F.col("amount_cents") + F.col("employer_cents")),
     ]
-    return j.select(*[c.alias(h) for c, h in zip(cols, FILE_HEADERS)], "source_file")
+    return j.select(*[c.alias(h) for c, h in zip(cols, FILE_HEADERS)], "source_file", *keep)
+
+
+def raw_pay_file(spark: SparkSession, sf_dir: str, arranged=None, *keep: str) -> DataFrame:
+    """The ledger as a raw 15-column text pay file with the file headers.
+
+    ``arranged`` moves or stores the lines before they are texts, and may add the columns ``keep``."""
+    lines = pay_lines(spark, sf_dir)
+    return pay_texts(spark, sf_dir, arranged(lines) if arranged else lines, *keep)
 
 
 # windows-1252 differs from ISO-8859-1 in the C1 control range only
@@ -179,8 +199,30 @@ def write_pay_files(df: DataFrame, path: str, sep: str = ";", deliveries: int =
     each file comes in that many pieces, its lines dealt by their number."""
     folders = ["source_file"]
     if deliveries > 1:
-        df = df.withColumn("delivery", F.pmod(F.xxhash64(f"`{FILE_HEADERS[0]}`"), F.lit(deliveries)).cast("int"))
+        df = df.withColumn("delivery", _delivery(F.col(f"`{FILE_HEADERS[0]}`"), deliveries))
         folders = ["delivery", "source_file"]
-    (together(df, *folders).write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8")
+    _write_texts(together(df, *folders), path, folders, sep)
+
+
+def land_pay_file(spark: SparkSession, sf_dir: str, path: str, deliveries: int = 1, compression: str = "none") -> DataFrame:
+    """The landing folder of the pay file (:func:`write_pay_files`), whose lines are brought together before they are texts.
+
+    Returns the distinct pay dates of the ledger's lines, met on the way: no second derivation for the calendar."""
+    keep, met = ["delivery"] if deliveries > 1 else [], Observation()
+
+    def by_file(lines):
+        if keep:
+            lines = lines.withColumn("delivery", _delivery(F.col("source_row_no").cast("string"), deliveries))
+        return together(lines, *keep, "pay_date").observe(met, F.collect_set("pay_date").alias("dates"))
+    _write_texts(raw_pay_file(spark, sf_dir, by_file, *keep), path, [*keep, "source_file"], ";", compression)
+    return spark.createDataFrame([(d,) for d in met.get["dates"]], "pay_date date")
+
+
+def _delivery(row_no, deliveries: int) -> F.Column:
+    return F.pmod(F.xxhash64(row_no), F.lit(deliveries)).cast("int")
+
+
+def _write_texts(df: DataFrame, path: str, folders: list[str], sep: str, compression: str = "none") -> None:
+    (df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", "UTF-8").option("compression", compression)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .partitionBy(*folders).csv(path))

@@ -213,3 +213,35 @@ def line(spark, source):
     rows = spark.createDataFrame([(1, "f0", 7), (2, "f0", 1), (1, "f1", 3)], "batch_id int, source_file string, source_row_no long")
     rows.selectExpr("*", "1L AS employee_id", "DATE'2015-01-15' AS pay_date", "'101' AS pay_code", "'Gains' AS categorie_paie", "100L AS amount_cents",
                     "0L AS employer_cents", "CAST(NULL AS STRING) AS budget_post").coalesce(1).write.parquet(source)
+
+
+
+def _text_columns(df):
+    return set(df.columns) & {*FILE_HEADERS, "matricule_raw", "nom_complet", "titre_emploi", "categorie_emploi", "source_file", "label"}
+
+
+
+def test_landing_lines_are_moved_as_numbers(spark, sf, monkeypatch):
+    from paysift.plans import source_plans as SP
+    from paysift.sources import payfile
+    seen = []
+    monkeypatch.setattr(payfile, "together", lambda df, *by, _f=payfile.together: (seen.append(df), _f(df, *by))[1])
+    n = SP.a01(spark, sf).count()
+    assert len(seen) == 1
+    for df in seen:
+        assert not _text_columns(df) and df.count() == n  # all 15 texts before
+
+
+
+def test_lines_without_an_employee_have_no_texts_of_one(spark, sf, tmp_path):
+    from paysift.sources.payfile import raw_pay_file
+    for t in ("lineitem", "orders", "part", "nation"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    c.filter("c_custkey % 3 > 0").withColumn("c_nationkey", F.when(F.col("c_custkey") % 3 == 1, F.col("c_nationkey"))).write.parquet(f"{tmp_path}/customer.parquet")
+    got = raw_pay_file(spark, str(tmp_path)).select("N de ligne", *[f"`{h}`" for h in ("matricule", "employé", "titre d'emploi", "catégorie d'emploi")])
+    whole = raw_pay_file(spark, sf).select(*got.columns)
+    known = whole.filter("cast(trim(matricule) AS long) % 3 = 1")
+    assert got.count() == whole.count() > known.count() > 0
+    assert got.filter("matricule IS NOT NULL").exceptAll(known).count() == 0 and known.exceptAll(got).count() == 0
+    assert got.filter("matricule IS NULL AND (`employé` IS NOT NULL OR `titre d'emploi` IS NOT NULL OR `catégorie d'emploi` IS NOT NULL)").count() == 0
