@@ -9,7 +9,7 @@ from paysift.operators import sketches as SKETCH
 from paysift.operators.registry import REGISTRY, VALUE_FIRST
 from paysift.sources import fixtures as fx
 from paysift.sources.mapping import canonicalise_columns, preflight
-from paysift.sources.payfile import FILE_HEADERS, OPTIONAL_FIELDS, REQUIRED_FIELDS, raw_pay_file
+from paysift.sources.payfile import FILE_HEADERS, OPTIONAL_FIELDS, REQUIRED_FIELDS, land_pay_file, raw_pay_file
 from paysift.sources.sinks import work_dir
 
 from . import mapping_sql as MS
@@ -345,10 +345,8 @@ LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client, sign
                           FROM saved) x WHERE r = 1) s ON s.signature = f.signature
 """, ctes=PAYFILE_CTE + ",\n" + PROFILES_CTE)
 def c16(spark, sf):
-    from paysift.sources.payfile import write_pay_files
-    from paysift.sources.sinks import work_dir
     landing = work_dir(spark, "c16-landing")
-    write_pay_files(raw_pay_file(spark, sf), landing)
+    land_pay_file(spark, sf, landing)
     sigs = P.header_signatures(P.first_lines(spark, landing)).select(
         F.regexp_extract("file", r"source_file=([^/]+)", 1).alias("source_file"), "signature").distinct()
     m = P.match_profiles(sigs, _profiles_df(spark))

@@ -222,12 +222,12 @@ def _text_columns(df):
 
 
 def test_landing_lines_are_moved_as_numbers(spark, sf, monkeypatch):
-    from paysift.plans import source_plans as SP
+    from paysift.plans import profile_plans as PP, source_plans as SP
     from paysift.sources import payfile
     seen = []
     monkeypatch.setattr(payfile, "together", lambda df, *by, _f=payfile.together: (seen.append(df), _f(df, *by))[1])
     n = SP.a01(spark, sf).count()
-    assert len(seen) == 1
+    assert PP.c16(spark, sf).count() > 0 and len(seen) == 2
     for df in seen:
         assert not _text_columns(df) and df.count() == n  # all 15 texts before
 
