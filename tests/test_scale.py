@@ -245,3 +245,15 @@ def test_lines_without_an_employee_have_no_texts_of_one(spark, sf, tmp_path):
     assert got.count() == whole.count() > known.count() > 0
     assert got.filter("matricule IS NOT NULL").exceptAll(known).count() == 0 and known.exceptAll(got).count() == 0
     assert got.filter("matricule IS NULL AND (`employé` IS NOT NULL OR `titre d'emploi` IS NOT NULL OR `catégorie d'emploi` IS NOT NULL)").count() == 0
+
+
+
+def test_checksum_lines_are_moved_as_numbers(spark, sf, monkeypatch):
+    from paysift.plans import source_plans as SP
+    moved = []
+
+    def raw(s, d, arranged=None, *keep, _f=SP.raw_pay_file):
+        return _f(s, d, lambda lines: (moved.append(lines), arranged(lines))[1], *keep)
+    monkeypatch.setattr(SP, "raw_pay_file", raw)
+    assert SP.a07(spark, sf).count() > 0
+    assert len(moved) == 1 and not _text_columns(moved[0])  # texts were repartitioned before
