@@ -10,7 +10,7 @@ from paysift.operators.registry import REGISTRY, VALUE_FIRST
 from paysift.sources import fixtures as fx
 from paysift.sources.mapping import canonicalise_columns, preflight
 from paysift.sources.payfile import FILE_HEADERS, OPTIONAL_FIELDS, REQUIRED_FIELDS, land_pay_file, raw_pay_file
-from paysift.sources.sinks import work_dir
+from paysift.sources.sinks import stored, together, work_dir
 
 from . import mapping_sql as MS
 from .catalog import query
@@ -143,9 +143,11 @@ SELECT "column", n, true AS unique_within_4pct, true AS top_count_within_half_pc
 """, ctes=PROFILE_CTE)
 def c06_sketches(spark, sf):
     """Sketches of every file stored, merged, and measured against the exact profile."""
-    df, path = payfile(spark, sf), work_dir(spark, "sketches")
+    # the lines are derived once, and stored by file: a file's sketches are made by few tasks, not by each
+    df, path = raw_pay_file(spark, sf, lambda lines: stored(together(lines, "pay_date"), "pay-lines")), work_dir(spark, "sketches")
     SKETCH.add_files(df, PROFILED, path)
-    e = SKETCH.sketch_error(SKETCH.stored_profile(spark, path), profile(spark, sf))
+    exact = P.column_profile(P.value_counts(P.unpivot_values(df, PROFILED)), _pats())
+    e = SKETCH.sketch_error(SKETCH.stored_profile(spark, path), exact)
     return e.select("column", "n", (F.col("unique_error") <= 0.04).alias("unique_within_4pct"),
                     (F.col("top_error") <= 0.005).alias("top_count_within_half_pct"), (F.col("entropy_error") <= 0.25).alias("entropy_within_quarter_bit"))
 

@@ -257,3 +257,23 @@ def test_checksum_lines_are_moved_as_numbers(spark, sf, monkeypatch):
     monkeypatch.setattr(SP, "raw_pay_file", raw)
     assert SP.a07(spark, sf).count() > 0
     assert len(moved) == 1 and not _text_columns(moved[0])  # texts were repartitioned before
+
+
+
+def _readings(monkeypatch, table):
+    """Grows by one for each time that the fixture views read ``table``."""
+    from paysift.sources import fixtures as fx
+    seen = []
+    monkeypatch.setattr(fx, "read_table", lambda s, d, name, _f=fx.read_table: (name == table and seen.append(name), _f(s, d, name))[1])
+    return seen
+
+
+
+def test_sketches_from_one_derivation_without_a_row_for_each_column(spark, sf, monkeypatch):
+    from paysift.operators import sketches as S
+    from paysift.plans import profile_plans as PP
+    seen, made = _readings(monkeypatch, "lineitem"), []
+    monkeypatch.setattr(S, "column_sketches", lambda *a, _f=S.column_sketches: (made.append(_f(*a)), made[-1])[1])
+    assert PP.c06_sketches(spark, sf).count() == 13 and len(seen) == 1  # two before
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "lineitem" not in plan
