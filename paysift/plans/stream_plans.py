@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from paysift.operators import warehouse as W
 from paysift.sources import fixtures as fx
-from paysift.sources.payfile import raw_pay_file, write_pay_files
+from paysift.sources.payfile import land_pay_file
 from paysift.sources.sinks import work_dir
 from paysift.streaming import ingest as M
 
@@ -41,8 +41,8 @@ WHERE pay_date IS NOT NULL AND matricule IS NOT NULL AND trim(matricule) <> '' A
 @query("m01_stream_ingest", M1_SQL, ctes=PAYFILE_CTE)
 def m01(spark, sf):
     landing, out, ck = work_dir(spark, "m1-landing"), work_dir(spark, "m1-out"), work_dir(spark, "m1-ckpt")
-    write_pay_files(raw_pay_file(spark, sf), landing)
-    M.stream_ingest(spark, landing, out, ck, periods=fx.periods(spark, sf))
+    dates = land_pay_file(spark, sf, landing)
+    M.stream_ingest(spark, landing, out, ck, periods=fx.periods_of(dates))
     return M.published(spark, out, "lines").drop("epoch", "attempt", "file_path")
 
 
@@ -60,8 +60,8 @@ def m01f(spark, sf):
     """Arriving files through to the fact; each file comes in four pieces, a part of them an epoch, so that later epochs meet
     stored keys of their dates."""
     landing, out, ck = work_dir(spark, "m1f-landing"), work_dir(spark, "m1f-out"), work_dir(spark, "m1f-ckpt")
-    write_pay_files(raw_pay_file(spark, sf), landing, deliveries=4)
-    M.stream_ingest(spark, landing, out, ck, max_files=500, periods=fx.periods(spark, sf), codes_dim=W.dim_code(fx.codes(spark)))
+    dates = land_pay_file(spark, sf, landing, deliveries=4)
+    M.stream_ingest(spark, landing, out, ck, max_files=500, periods=fx.periods_of(dates), codes_dim=W.dim_code(fx.codes(spark)))
     return M.published(spark, out, "fact").select(
         "cle_metier", "pay_date", "employee_id", "pay_code", "categorie_paie", "poste_budgetaire", "amount_cents", "employer_cents", "is_adjustment", "is_refund")
 

@@ -277,3 +277,18 @@ def test_sketches_from_one_derivation_without_a_row_for_each_column(spark, sf, m
     assert PP.c06_sketches(spark, sf).count() == 13 and len(seen) == 1  # two before
     plan = made[0]._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "lineitem" not in plan
+
+
+
+def test_stream_derives_the_ledger_once_and_moves_no_line(spark, sf, monkeypatch):
+    from paysift.plans import stream_plans as ST
+    seen, plans = _readings(monkeypatch, "lineitem"), []
+
+    def canonical(lines, formats, _f=M.read_canonical):
+        out = _f(lines, formats)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    monkeypatch.setattr(M, "read_canonical", canonical)
+    assert ST.m01(spark, sf).count() > 0
+    assert len(seen) == 1  # once more for the calendar before
+    assert plans and not any("SortMergeJoin" in p for p in plans)  # lines were shuffled by file to meet its format
