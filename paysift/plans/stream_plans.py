@@ -60,7 +60,7 @@ def m01f(spark, sf):
     """Arriving files through to the fact; each file comes in four pieces, a part of them an epoch, so that later epochs meet
     stored keys of their dates."""
     landing, out, ck = work_dir(spark, "m1f-landing"), work_dir(spark, "m1f-out"), work_dir(spark, "m1f-ckpt")
-    dates = land_pay_file(spark, sf, landing, deliveries=4)
+    dates = land_pay_file(spark, sf, landing, deliveries=4, compression="gzip")
     M.stream_ingest(spark, landing, out, ck, max_files=500, periods=fx.periods_of(dates), codes_dim=W.dim_code(fx.codes(spark)))
     return M.published(spark, out, "fact").select(
         "cle_metier", "pay_date", "employee_id", "pay_code", "categorie_paie", "poste_budgetaire", "amount_cents", "employer_cents", "is_adjustment", "is_refund")

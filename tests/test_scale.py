@@ -1,9 +1,11 @@
 """What a query pays for grows with its rows, not with tasks times folders, epochs or repeated derivations."""
 
 import glob
+import re
 
 from pyspark.sql import functions as F
 
+from paysift.functions.keys import business_key
 from paysift.sources.payfile import FILE_HEADERS, write_pay_files
 from paysift.sources.sinks import work_dir
 from paysift.streaming import ingest as M
@@ -215,12 +217,18 @@ def line(spark, source):
                     "0L AS employer_cents", "CAST(NULL AS STRING) AS budget_post").coalesce(1).write.parquet(source)
 
 
+def _readings(monkeypatch, table):
+    """Grows by one for each time that the fixture views read ``table``."""
+    from paysift.sources import fixtures as fx
+    seen = []
+    monkeypatch.setattr(fx, "read_table", lambda s, d, name, _f=fx.read_table: (name == table and seen.append(name), _f(s, d, name))[1])
+    return seen
+
 
 def _text_columns(df):
     return set(df.columns) & {*FILE_HEADERS, "matricule_raw", "nom_complet", "titre_emploi", "categorie_emploi", "source_file", "label"}
 
 
-
 def test_landing_lines_are_moved_as_numbers(spark, sf, monkeypatch):
     from paysift.plans import profile_plans as PP, source_plans as SP
     from paysift.sources import payfile
@@ -232,6 +240,16 @@ def test_landing_lines_are_moved_as_numbers(spark, sf, monkeypatch):
         assert not _text_columns(df) and df.count() == n  # all 15 texts before
 
 
+def test_checksum_lines_are_moved_as_numbers(spark, sf, monkeypatch):
+    from paysift.plans import source_plans as SP
+    moved = []
+
+    def raw(s, d, arranged=None, *keep, _f=SP.raw_pay_file):
+        return _f(s, d, lambda lines: (moved.append(lines), arranged(lines))[1], *keep)
+    monkeypatch.setattr(SP, "raw_pay_file", raw)
+    assert SP.a07(spark, sf).count() > 0
+    assert len(moved) == 1 and not _text_columns(moved[0])  # texts were repartitioned before
+
 
 def test_lines_without_an_employee_have_no_texts_of_one(spark, sf, tmp_path):
     from paysift.sources.payfile import raw_pay_file
@@ -247,26 +265,43 @@ def test_lines_without_an_employee_have_no_texts_of_one(spark, sf, tmp_path):
     assert got.filter("matricule IS NULL AND (`employé` IS NOT NULL OR `titre d'emploi` IS NOT NULL OR `catégorie d'emploi` IS NOT NULL)").count() == 0
 
 
+def test_stream_derives_the_ledger_once_and_moves_no_line(spark, sf, monkeypatch):
+    from paysift.plans import stream_plans as ST
+    seen, plans = _readings(monkeypatch, "lineitem"), []
 
-def test_checksum_lines_are_moved_as_numbers(spark, sf, monkeypatch):
-    from paysift.plans import source_plans as SP
-    moved = []
-
-    def raw(s, d, arranged=None, *keep, _f=SP.raw_pay_file):
-        return _f(s, d, lambda lines: (moved.append(lines), arranged(lines))[1], *keep)
-    monkeypatch.setattr(SP, "raw_pay_file", raw)
-    assert SP.a07(spark, sf).count() > 0
-    assert len(moved) == 1 and not _text_columns(moved[0])  # texts were repartitioned before
-
-
+    def canonical(lines, formats, _f=M.read_canonical):
+        out = _f(lines, formats)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    monkeypatch.setattr(M, "read_canonical", canonical)
+    assert ST.m01(spark, sf).count() > 0
+    assert len(seen) == 1  # once more for the calendar before
+    assert plans and not any("SortMergeJoin" in p for p in plans)  # lines were shuffled by file to meet its format
 
-def _readings(monkeypatch, table):
-    """Grows by one for each time that the fixture views read ``table``."""
-    from paysift.sources import fixtures as fx
-    seen = []
-    monkeypatch.setattr(fx, "read_table", lambda s, d, name, _f=fx.read_table: (name == table and seen.append(name), _f(s, d, name))[1])
-    return seen
 
+def test_fact_lines_are_dealt_once(spark, monkeypatch):
+    """Two epochs of the same lines: one shuffle of lines and stored keys, a date in several files where it is large."""
+    landing, out, ck = work_dir(spark, "sd-in"), work_dir(spark, "sd-out"), work_dir(spark, "sd-ck")
+    for i in range(2):
+        _file(f"{landing}/{i}", [r[:4] + ["2025-11-21" if n > 200 else r[4]] + r[5:] for n, r in ((n, _row(n, f"1{n:03d}", f"{n},00")) for n in range(1, 203))])
+    codes = spark.createDataFrame([("SAL", "Salaire", "Gains")], "pay_code string, label string, categorie_paie string")
+    plans, parts = [], []
+
+    def load(*a, _f=M.load_fact, **k):
+        rows = _f(*a, **k)
+        parts.append(sorted(tuple(r) for r in a[0].groupBy("pay_date").agg(F.count_distinct("_part")).select(F.dayofmonth("pay_date"), "*").drop("pay_date").collect()))
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+    monkeypatch.setattr(M, "load_fact", load)
+    monkeypatch.setattr(M, "LINES_A_FILE", 50, raising=False)
+    M.stream_ingest(spark, landing, out, ck, max_files=1, codes_dim=codes)
+    fact = M.published(spark, out, "fact")
+    assert M.published(spark, out, "lines").count() == 404 and fact.count() == 202 == fact.select("cle_metier").distinct().count()
+    moved = [[c for c in re.findall(r"Exchange hashpartitioning\((\w+)#", p) if c != "file_path"] for p in plans]  # but for the formats
+    assert moved == [["pay_date"]] * 2  # by code, by key and for the stored keys before
+    assert parts == [[(20, 5), (21, 1)]] * 2  # a date of 200 lines is cut, a small one is not
+    again = fact.select(business_key("pay_date", "employee_id", "pay_code", "poste_budgetaire", "amount_cents", "employer_cents").alias("k"), "cle_metier")
+    assert again.filter("k <> cle_metier").count() == 0
 
 
 def test_sketches_from_one_derivation_without_a_row_for_each_column(spark, sf, monkeypatch):
@@ -277,18 +312,3 @@ def test_sketches_from_one_derivation_without_a_row_for_each_column(spark, sf, m
     assert PP.c06_sketches(spark, sf).count() == 13 and len(seen) == 1  # two before
     plan = made[0]._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "lineitem" not in plan
-
-
-
-def test_stream_derives_the_ledger_once_and_moves_no_line(spark, sf, monkeypatch):
-    from paysift.plans import stream_plans as ST
-    seen, plans = _readings(monkeypatch, "lineitem"), []
-
-    def canonical(lines, formats, _f=M.read_canonical):
-        out = _f(lines, formats)
-        plans.append(out._jdf.queryExecution().executedPlan().toString())
-        return out
-    monkeypatch.setattr(M, "read_canonical", canonical)
-    assert ST.m01(spark, sf).count() > 0
-    assert len(seen) == 1  # once more for the calendar before
-    assert plans and not any("SortMergeJoin" in p for p in plans)  # lines were shuffled by file to meet its format
