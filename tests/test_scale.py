@@ -312,3 +312,16 @@ def test_sketches_from_one_derivation_without_a_row_for_each_column(spark, sf, m
     assert PP.c06_sketches(spark, sf).count() == 13 and len(seen) == 1  # two before
     plan = made[0]._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "lineitem" not in plan
+
+
+def test_generated_code_of_the_texts_is_compiled(spark, sf):
+    """The JVM interprets methods of more than 8 000 bytes."""
+    from paysift.sources import payfile
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before the run
+    try:
+        df = payfile.pay_texts(spark, sf, payfile.stored(payfile.pay_lines(spark, sf), "code-lines"))
+        code = df._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 1 and max(sizes) < 8000  # 8 625 with all texts in one projection
